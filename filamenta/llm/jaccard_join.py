@@ -9,12 +9,17 @@ size-derived bounds allow:
 * a row enters only the first n - ceil(0.8 n) + 1 of its n columns, rarest first
   (a pair at similarity 0.8 shares one of these);
 * two rows that first meet at their places i and j can overlap in at most
-  min(n_x - i, n_y - j) columns, which must reach 4/9 (n_x + n_y).
+  min(n_x - i, n_y - j) columns, which must reach 4/9 (n_x + n_y);
+* two rows whose leading columns overlap in o columns, the last at places i and j,
+  can overlap in at most o + min(n_x - i, n_y - j) - 1 columns;
+* a row misses at least as many columns of another as that has hash residues of
+  columns which the first lacks; a sketch of one bit a residue tells.
 
 First the overlap counts elect one partner (the column's row of furthest reach)
 for each row, whose full rows are multiplied out exactly. That joins a group of
-near copies with as many products as it has members. Then every bound-feasible
-pair of rows in *different* components is multiplied out. Pairs inside a component
+near copies with as many products as it has members. Then the leading
+columns' overlaps of every pair of rows in *different* components are accumulated,
+and the pairs that pass the bounds are multiplied out. Pairs inside a component
 can't change it, so the components are exact and no group emits all its pairs.
 """
 
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, keep, shuffle_partitions
@@ -34,10 +39,12 @@ from .shingles import shingle_sets
 #: Shingles that at least 1/512 of the documents of some window of 2**21 shingles hold count as frequent; at most so many are kept, the most frequent.
 #: The list only orders columns: results don't depend on it.
 FREQUENT, WINDOW = 1 << 18, 1 << 21
+#: Least and most bits of a row's sketch; it has twice as many as the row has columns, as a power of two. A bit stands for the columns of one hash residue.
+SKETCH_BITS = (2048, 1 << 17)
 #: Bits of the filter that keeps the full rows of uninvolved documents from being shuffled. A full filter lets every row pass; results don't depend on it.
 FILTER_BITS = 1 << 23
 
-_PROFILE = "doc_id long, n long, node long, shingle long, times long"
+_PROFILE = "doc_id long, n long, node long, sketch array<long>, shingle long, times long"
 _FEASIBLE = "9 * least({a}.n - {a}.i, {b}.n - {b}.i) >= 4 * ({a}.n + {b}.n)"
 
 
@@ -46,6 +53,13 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], 1 << (2 * len(shingles) - 1).bit_length())) if len(shingles) else SKETCH_BITS[0]
+    flags = np.zeros(bits, bool)
+    flags[((shingles >> np.uint64(40)) & np.uint64(bits - 1)).astype(np.intp)] = True
+    return np.packbits(flags).view(np.int64)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document its set's size and id; of each window of WINDOW shingles those that many documents hold."""
     window: list[np.ndarray] = []
@@ -55,12 +69,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = np.unique(np.concatenate(window), return_counts=True)
         often = times >= max(4, len(window) // 512)
         nothing = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["doc_id", "n", "node", "shingle", "times"])
+        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(nothing), pa.list_(pa.int64())), pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["doc_id", "n", "node", "sketch", "shingle", "times"])
 
     for batch in batches:
         n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        sketches = [np.zeros(0, np.int64)] * batch.num_rows
         for row, s in shingle_sets(batch.column("text")):
             n[row], node[row] = len(s), _node(s)
+            sketches[row] = _sketch(s)
             if len(s):
                 window.append(s)
                 held += len(s)
@@ -68,7 +84,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield heavy()
                 window, held = [], 0
         nothing = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), nothing, nothing], ["doc_id", "n", "node", "shingle", "times"])
+        sketch = pa.array(sketches, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), sketch, nothing, nothing], ["doc_id", "n", "node", "sketch", "shingle", "times"])
     if window:
         yield heavy()
 
@@ -139,7 +156,7 @@ def _entries(h: np.ndarray, node: np.ndarray, n: np.ndarray, i: np.ndarray) -> p
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the blocks of a task, the entries of columns that two rows share; two rows alone in a column must pass the bounds."""
+    """Of the blocks of a task, the entries of columns that two rows share."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for hot, h, row, place, node, n in zip(*(batch.column(c).to_pylist() for c in ("hot", "shingle", "row", "place", "node", "n"))):
@@ -165,10 +182,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, node, n, i = h[fresh], node[fresh], n[fresh], i[fresh]
     begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     sizes = np.diff(np.append(begins, len(h)))
-    good = sizes > 1
-    two = begins[sizes == 2]
-    good[sizes == 2] = 9 * np.minimum(n[two] - i[two], n[two + 1] - i[two + 1]).astype(np.int64) >= 4 * (n[two].astype(np.int64) + n[two + 1])
-    chosen = np.repeat(good, sizes)
+    chosen = np.repeat(sizes > 1, sizes)
     yield _entries(h[chosen], node[chosen], n[chosen], i[chosen])
 
 
@@ -189,7 +203,19 @@ def _rows_of(bits: np.ndarray):
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) of sets whose exact similarity is 0.8 or more, by their full rows."""
-    pairs = keep(pairs, "pairs")
+    def folded(x: str, y: str) -> Column:
+        """x's sketch with as many bits as y's, if it has twice as many (beyond that, sizes alone tell)."""
+        own, half = F.col(f"{x}.sketch"), (F.size(f"{x}.sketch") / 2).cast("int")
+        return F.when(half >= F.size(f"{y}.sketch"), F.zip_with(F.slice(own, F.lit(1), half), F.slice(own, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(own)
+
+    def missing(x: str, y: str) -> Column:
+        alone = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.coalesce(F.bit_count(p.bitwiseAND(F.bitwise_not(q))), F.lit(0)))
+        return F.aggregate(alone, F.lit(0), lambda total, k: total + k)
+
+    a, b = nodes.alias("m"), nodes.alias("w")
+    sized = pairs.join(a, F.col("a") == F.col("m.node")).join(b, F.col("b") == F.col("w.node"))
+    most = F.least(F.col("m.n") - missing("m", "w"), F.col("w.n") - missing("w", "m"))
+    pairs = keep(sized.where(9 * most >= 4 * (F.col("m.n") + F.col("w.n"))).select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = keep(wanted.join(nodes, "node").select("node", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "wanted")
     place = F.pmod("doc_id", F.lit(FILTER_BITS)) + 1
@@ -229,7 +255,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     blocks = max(shuffle_partitions(spark), total // 5_000_000 + 1)
     dealt = docs.mapInArrow(_blocks(frequent, blocks * 8), _BLOCKS).repartition(blocks, "block")
     entries = keep(dealt.mapInArrow(_met, _ENTRIES), "entries")
-    nodes = keep(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    nodes = keep(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     reach = F.struct(((F.col("n") - F.col("i")) / F.col("n")).alias("part"), "n", "node", "i")
     best = entries.groupBy("h").agg(F.max(reach).alias("p")).select("h", "p.node", "p.n", "p.i")
@@ -244,11 +270,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mixed = per.groupBy("h").agg(F.max(F.struct("times", "c")).alias("most"), F.count("*").alias("components")).where("components > 1").select("h", F.col("most.c").alias("major"))
     open_ = keep(labelled.join(mixed, "h"), "open")
     other = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    crossing = open_.where("c <> major").alias("x").join(open_.alias("y"), other & F.expr(_FEASIBLE.format(a="x", b="y")))
-    pairs = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    crossing = open_.where("c <> major").alias("x").join(open_.alias("y"), other)
+    first = F.col("x.node") < F.col("y.node")
+    ends = [F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name) for p, q, c, name in (("x", "y", "node", "a"), ("y", "x", "node", "b"), ("x", "y", "n", "na"), ("y", "x", "n", "nb"), ("x", "y", "i", "ia"), ("y", "x", "i", "ib"))]
+    counted = crossing.select(*ends).groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    pairs = counted.where("9 * (o + least(na - ia, nb - ib) - 1) >= 4 * (na + nb)").select("a", "b")
     label = components(links.union(_verified(docs, nodes, pairs)))
 
-    named = nodes.join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
+    named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
     lowest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "c").select("node", "component_id")
     full = sets.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
