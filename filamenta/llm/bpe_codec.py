@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import shuffle_partitions, text_or_empty
+from .common import shuffle_partitions, small_batches, text_or_empty
 
 #: Symbols of a leaf.
 LEAF = 1024
@@ -82,6 +82,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, long_run: int = word_bpe.LON
     result. Texts with a run of long_run characters without white space are cut
     into leaves; all others are encoded in one pass over the table, without a shuffle.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     unsplit = F.col("text").rlike(r"\S{%d}" % long_run)
 

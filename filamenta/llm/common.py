@@ -41,6 +41,11 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Send Python workers so many rows at once: rows here are whole texts, and the default of 10,000 may be gigabytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -49,7 +54,7 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def utf8_slices(texts: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def utf8_slices(texts: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets from 0, bytes) of runs of rows with about most_bytes of UTF-8; one longer text is a run of its own. Null counts as empty."""
     if texts.null_count:
         texts = pc.fill_null(texts, "")

@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, shuffle_partitions
+from .common import components, keep, shuffle_partitions, small_batches
 from .shingles import shingle_sets
 
-#: Shingles that at least 1/512 of the documents of some window of 2**21 shingles hold count as frequent; at most so many are kept, the most frequent.
+#: Shingles that at least 1/512 of the documents of some window of 2**20 shingles hold count as frequent; at most so many are kept, the most frequent.
 #: The list only orders columns: results don't depend on it.
-FREQUENT, WINDOW = 1 << 18, 1 << 21
+FREQUENT, WINDOW = 1 << 18, 1 << 20
 #: Least and most bits of a row's sketch; it has twice as many as the row has columns, as a power of two. A bit stands for the columns of one hash residue.
 SKETCH_BITS = (2048, 1 << 17)
 #: Bits of the filter that keeps the full rows of uninvolved documents from being shuffled. A full filter lets every row pass; results don't depend on it.
@@ -139,7 +139,7 @@ def _blocks(frequent: tuple[np.ndarray, np.ndarray], blocks: int):
                 nodes.append(node)
                 sizes.append(len(s))
                 held += len(parts[-1])
-                if held >= 1 << 20:
+                if held >= 1 << 18:
                     yield from flush(parts, nodes, sizes)
                     parts, nodes, sizes, held = [], [], [], 0
         if parts:
@@ -243,6 +243,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = keep(docs.mapInArrow(_profile, _PROFILE), "profile")
     sets = profile.where("n is not null").select("doc_id", "n", "node")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import keep, ranked, text_or_empty
+from .common import keep, ranked, small_batches, text_or_empty
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -75,6 +75,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> D
                     out.append((doc, a, len(piece) // 4, zlib.crc32(piece), n))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out)) or [()] * 5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     return docs.mapInArrow(cut, _PIECES)
 

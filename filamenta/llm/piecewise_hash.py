@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffle_partitions, text_or_empty
+from .common import mix64, shuffle_partitions, small_batches, text_or_empty
 
 LENGTH = 64
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -172,6 +172,7 @@ def piecewise_fingerprints(docs: DataFrame, rows_in_part: int = 2000) -> DataFra
     Rows are dealt once, into parts of neighbouring ids by quantiles of doc_id (at
     most 4096). Only the first and last row of each part meet outside it.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double")
     n = docs.count()

@@ -28,7 +28,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n + 1 of each; they grow to the longest text."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(1 << 21, n) + 1
+        size = max(1 << 19, n) + 1
         tables = []
         for x in (_BASE, pow(_BASE, -1, 1 << 64)):
             step = np.full(size, x, np.uint64)

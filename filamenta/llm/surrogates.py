@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, small_batches
 
 KEY = b"filamenta-surrogates"
 #: Entities that had to move to a later choice and are sent to every task; beyond so many they are joined to their documents instead.
@@ -226,6 +226,7 @@ def replace_personal_data(docs: DataFrame, key: bytes = KEY, sent: int = SENT) -
     n_chars, where docs has it, is counted anew. Repeated rows are rewritten alike;
     an empty table gives an empty result. A column n_replaced of docs is overwritten.
     """
+    small_batches(docs.sparkSession)
     assigned = collision_free(_distinct_entities(docs), key)
     moved = keep(assigned.where("attempt > 0").select(F.concat_ws(" ", "kind", "value").alias("entity"), "attempt"), "moved")
     names = docs.columns

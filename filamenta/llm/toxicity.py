@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Most labelled rows of either class that the model is fitted on, taken by a hash of the text; and most words of one such text.
 SAMPLE, SAMPLE_WORDS = 6000, 20_000
@@ -165,6 +165,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, penalty: float = PENALTY) -> Model:
     """The model of a bounded sample (SAMPLE rows of either class) of the labelled rows of docs outside the held-out fold."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), limit).toPandas().sort_values(["text", "label"])
     return fit(sample["text"].tolist(), sample["label"].to_numpy(), penalty)
 

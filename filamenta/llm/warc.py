@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, shared_folder
+from .common import keep, shared_folder, small_batches
 
 SKIPPABLE = 0x184D2A5D
 #: The dictionary is built from at most so many payloads (by a hash of their digests), of so many bytes each; its own size.
@@ -182,6 +182,7 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame
     An empty table gives an empty result. Repeated rows are written as often as they came.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     records = page_records(pages)
     files = keep(write_archives(records, folder, build_dictionary(records)), "archives")

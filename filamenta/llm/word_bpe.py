@@ -23,7 +23,7 @@ _PIECE = re.compile(r"[^ \n]+")
 #: Symbols from which a word counts as long unsplit text.
 LONG = 4096
 #: Words that a Python worker remembers; then it starts again.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 
 
 def _byte_symbols() -> list[str]:
