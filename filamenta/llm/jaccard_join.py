@@ -10,17 +10,14 @@ size-derived bounds allow:
   (a pair at similarity 0.8 shares one of these);
 * two rows that first meet at their places i and j can overlap in at most
   min(n_x - i, n_y - j) columns, which must reach 4/9 (n_x + n_y);
-* two rows whose leading columns overlap in o columns, the last at places i and j,
-  can overlap in at most o + min(n_x - i, n_y - j) - 1 columns;
 * a row misses at least as many columns of another as that has hash residues of
   columns which the first lacks; a sketch of one bit a residue tells.
 
-First the overlap counts elect one partner (the column's row of furthest reach)
-for each row, whose full rows are multiplied out exactly. That joins a group of
-near copies with as many products as it has members. Then the leading
-columns' overlaps of every pair of rows in *different* components are accumulated,
-and the pairs that pass the bounds are multiplied out. Pairs inside a component
-can't change it, so the components are exact and no group emits all its pairs.
+First the overlap counts elect one partner for each row, twice, whose full rows are
+multiplied out exactly. That joins a group of near copies with as many products as
+it has members. Then every pair of rows in *different* components that passes the
+bounds is multiplied out. Pairs inside a component can't change it, so the
+components are exact and no group emits all its pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +36,8 @@ from .shingles import shingle_sets
 #: Shingles that at least 1/512 of the documents of some window of 2**20 shingles hold count as frequent; at most so many are kept, the most frequent.
 #: The list only orders columns: results don't depend on it.
 FREQUENT, WINDOW = 1 << 18, 1 << 20
+#: Rounds in which each row elects a partner; they only save work of the step over all pairs across components.
+ELECTIONS = 2
 #: Least and most bits of a row's sketch; it has twice as many as the row has columns, as a power of two. A bit stands for the columns of one hash residue.
 SKETCH_BITS = (2048, 1 << 17)
 #: Bits of the filter that keeps the full rows of uninvolved documents from being shuffled. A full filter lets every row pass; results don't depend on it.
@@ -232,6 +231,27 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return keep(both.select("a", "b", overlap.alias("o"), (F.size("of_a") + F.size("of_b")).alias("m")).where("9L * o >= 4L * m").select("a", "b").distinct(), "links")
 
 
+def _labelled(entries: DataFrame, label: DataFrame | None) -> DataFrame:
+    """entries with the component c of each row, its own node at first."""
+    if label is None:
+        return entries.withColumn("c", F.col("node"))
+    return entries.join(label, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
+
+
+def _elected(labelled: DataFrame) -> DataFrame:
+    """(a, b): for each row the partner of another component that most of its columns elect, if their bounds allow.
+
+    A column elects its row of furthest reach, and for the rows in the component of that one the next of another component.
+    """
+    reach = F.struct(((F.col("n") - F.col("i")) / F.col("n")).alias("part"), "n", "node", "i", "c")
+    per = labelled.groupBy("h", "c").agg(F.max(reach).alias("p"))
+    first = per.groupBy("h").agg(F.max("p").alias("f"))
+    both = per.join(first, "h").groupBy("h").agg(F.first("f").alias("f"), F.max(F.when(F.col("c") != F.col("f.c"), F.col("p"))).alias("s")).where("s is not null")
+    chosen = labelled.join(both, "h").withColumn("e", F.when(F.col("c") != F.col("f.c"), F.col("f")).otherwise(F.col("s")))
+    votes = chosen.where("9 * least(n - i, e.n - e.i) >= 4 * (n + e.n)").groupBy(F.col("node").alias("a"), F.col("e.node").alias("b")).agg(F.count("*").alias("overlap"))
+    return votes.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("v")).select("a", "v.b")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text; further columns are ignored).
 
@@ -258,24 +278,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = keep(dealt.mapInArrow(_met, _ENTRIES), "entries")
     nodes = keep(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
-    reach = F.struct(((F.col("n") - F.col("i")) / F.col("n")).alias("part"), "n", "node", "i")
-    best = entries.groupBy("h").agg(F.max(reach).alias("p")).select("h", "p.node", "p.n", "p.i")
-    met = entries.alias("x").join(best.alias("p"), (F.col("x.h") == F.col("p.h")) & (F.col("x.node") != F.col("p.node")) & F.expr(_FEASIBLE.format(a="x", b="p")))
-    votes = met.groupBy(F.col("x.node").alias("a"), F.col("p.node").alias("b")).agg(F.count("*").alias("overlap"))
-    elected = votes.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("v")).select("a", "v.b")
-    links = _verified(docs, nodes, elected)
-    label = components(links)
+    links, label = None, None
+    for _ in range(ELECTIONS):
+        labelled = _labelled(entries, label)
+        found = _verified(docs, nodes, _elected(labelled))
+        links = found if links is None else links.union(found)
+        label = components(links)
 
-    labelled = entries.join(label, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
+    labelled = _labelled(entries, label)
     per = labelled.groupBy("h", "c").agg(F.count("*").alias("times"))
     mixed = per.groupBy("h").agg(F.max(F.struct("times", "c")).alias("most"), F.count("*").alias("components")).where("components > 1").select("h", F.col("most.c").alias("major"))
     open_ = keep(labelled.join(mixed, "h"), "open")
     other = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
-    crossing = open_.where("c <> major").alias("x").join(open_.alias("y"), other)
-    first = F.col("x.node") < F.col("y.node")
-    ends = [F.when(first, F.col(f"{p}.{c}")).otherwise(F.col(f"{q}.{c}")).alias(name) for p, q, c, name in (("x", "y", "node", "a"), ("y", "x", "node", "b"), ("x", "y", "n", "na"), ("y", "x", "n", "nb"), ("x", "y", "i", "ia"), ("y", "x", "i", "ib"))]
-    counted = crossing.select(*ends).groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    pairs = counted.where("9 * (o + least(na - ia, nb - ib) - 1) >= 4 * (na + nb)").select("a", "b")
+    crossing = open_.where("c <> major").alias("x").join(open_.alias("y"), other & F.expr(_FEASIBLE.format(a="x", b="y")))
+    pairs = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     label = components(links.union(_verified(docs, nodes, pairs)))
 
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
