@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import keep, shared_folder, small_batches
 
 SKIPPABLE = 0x184D2A5D
-#: The dictionary is built from at most so many payloads (by a hash of their digests), of so many bytes each; its own size.
+#: The dictionary is built from about so many payloads, of so many bytes each; its own size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 2000, 8192, 65_536
 #: Bytes of payloads after which a task begins another archive.
 ARCHIVE = 256 << 20
@@ -52,10 +52,12 @@ def page_records(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "payload", "size", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("low")).alias("refers_to"))
 
 
-def build_dictionary(records: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of response payloads; empty where there are too few to build one."""
-    some = records.where("record_type = 'response' and size > 0").select("digest", F.substring("payload", 1, SAMPLE_BYTES).alias("part")).orderBy("digest").limit(SAMPLE)
-    samples = [bytes(r["part"]) for r in some.collect()]
+def build_dictionary(pages: DataFrame) -> bytes:
+    """A dictionary from a bounded sample of payloads (about SAMPLE, at most twice as many, by a hash of id and url); empty where there are too few to build one."""
+    share = min(1 << 20, SAMPLE * (1 << 20) // max(1, pages.count()) + 1)
+    some = pages.where("html <> ''").where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < share)
+    parts = some.select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("part")).limit(2 * SAMPLE).collect()
+    samples = sorted(bytes(r["part"]) for r in parts)
     try:
         return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 16 else b""
     except zstandard.ZstdError:
@@ -185,5 +187,5 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame
     small_batches(spark)
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     records = page_records(pages)
-    files = keep(write_archives(records, folder, build_dictionary(records)), "archives")
+    files = keep(write_archives(records, folder, build_dictionary(pages)), "archives")
     return read_archives(files.repartition(max(1, min(1024, files.count())), F.xxhash64("path")), folder)
