@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import keep, small_batches, text_or_empty
 
 #: Most labelled rows of either class that the model is fitted on, taken by a hash of the text; and most words of one such text.
 SAMPLE, SAMPLE_WORDS = 6000, 20_000
@@ -93,43 +93,46 @@ def counterfactuals(text: str, identities=IDENTITIES) -> list[tuple[set[str], se
     return out
 
 
-def fit(texts: list[str], labels: np.ndarray, penalty: float = PENALTY, identities=IDENTITIES, rounds: int = 300) -> Model:
-    """The model of labelled texts. Without rows of both classes, it gives each text the share of class 1 (0 without rows)."""
-    y = np.asarray(labels, float)
-    if not len(y) or y.min() == y.max():
-        share = float(y.mean()) if len(y) else 0.0
-        return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    held = [sorted(features(t)) for t in texts]
-    counts: dict[str, list[int]] = {}
-    for hs, label in zip(held, y.astype(int)):
-        for f in hs:
-            counts.setdefault(f, [0, 0])[label] += 1
-    total = np.bincount(y.astype(int), minlength=2)
-    names = [f for f, c in counts.items() if sum(c) >= min(LEAST_TEXTS, len(y) // 4 + 1)]
+def _constant(y: np.ndarray) -> Model:
+    share = float(y.mean()) if len(y) else 0.0
+    return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+
+
+def chosen_features(counts: dict[str, tuple[int, int]], total: np.ndarray) -> list[str]:
+    """The features with the most evidence (G statistic; at least the 0.1 % level of one degree of freedom); counts: texts of class 0 and 1 that hold each."""
+    names = sorted(counts)
     c = np.array([counts[f] for f in names], float).reshape(-1, 2)
     share = c.sum(1, keepdims=True) * total / total.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        evidence = 2 * np.nansum(np.where(c > 0, c * np.log(c / share), 0), axis=1)
-    best = sorted(range(len(names)), key=lambda k: (-evidence[k], names[k]))[:FEATURES]
-    best = [k for k in best if evidence[k] >= 10.83] or best[:1000]  # 0.1 % level of one degree of freedom
-    column = {names[k]: j for j, k in enumerate(best)}
-    rows = np.concatenate([np.full(len(v), i) for i, v in enumerate(kept)] or [[]]).astype(int) if (kept := [[column[f] for f in hs if f in column] for hs in held]) else np.zeros(0, int)
-    cols = np.array([j for v in kept for j in v], int)
-    d = len(column)
-    pairs, flat = 0, []
-    for t in texts:
-        for gone, come in counterfactuals(t, identities):
-            moved = [(column[f], 1.0) for f in gone if f in column] + [(column[f], -1.0) for f in come if f in column]
-            if moved:
-                flat += [(pairs, j, s) for j, s in moved]
-                pairs += 1
-    pi, pj, ps = (np.array(x) for x in zip(*flat)) if flat else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    balance = np.where(y > 0, len(y) / (2 * total[1]), len(y) / (2 * total[0]))
+    evidence = 2 * np.where(c > 0, c * np.log(np.maximum(c, 1e-9) / np.maximum(share, 1e-9)), 0).sum(1)
+    best = np.argsort(-evidence, kind="stable")[:FEATURES]
+    return [names[k] for k in best if evidence[k] >= 10.83]
+
+
+def encoded(text: str, column: dict[str, int], identities=IDENTITIES) -> tuple[list[int], list[list[int]]]:
+    """The columns of a text, and for each of its counterfactuals the columns that go (k) and come (-1 - k)."""
+    moved = []
+    for gone, come in counterfactuals(text, identities):
+        m = [column[f] for f in sorted(gone) if f in column] + [-1 - column[f] for f in sorted(come) if f in column]
+        if m:
+            moved.append(m)
+    return [column[f] for f in sorted(features(text)) if f in column], moved
+
+
+def optimised(names: list[str], held: list[list[int]], y: np.ndarray, moved: list[list[int]], penalty: float, rounds: int = 300) -> Model:
+    """Logistic regression with balanced classes and the counterfactual penalty, by Adam over all rows."""
+    rows = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    cols = np.array([j for h in held for j in h], int)
+    pi = np.repeat(np.arange(len(moved)), [len(m) for m in moved])
+    pk = np.array([j for m in moved for j in m], int)
+    pj, ps = np.where(pk >= 0, pk, -1 - pk), np.where(pk >= 0, 1.0, -1.0)
+    d, n, pairs = len(names), len(y), len(moved)
+    total = np.bincount(y.astype(int), minlength=2)
+    balance = np.where(y > 0, n / (2 * total[1]), n / (2 * total[0]))
     w, b = np.zeros(d), 0.0
     m1, m2 = np.zeros(d + 1), np.zeros(d + 1)
-    for step in range(1, rounds + 1):  # Adam on the whole sample
-        z = np.bincount(rows, w[cols], len(y)) + b
-        g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+    for step in range(1, rounds + 1):
+        z = np.bincount(rows, w[cols], n) + b
+        g = balance * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
         grad = np.append(np.bincount(cols, g[rows], d) + 1e-4 * w, g.sum())
         if pairs:
             diff = np.bincount(pi, ps * w[pj], pairs)
@@ -137,8 +140,22 @@ def fit(texts: list[str], labels: np.ndarray, penalty: float = PENALTY, identiti
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:d], b - move[d]
-    names_by_column = list(column)
-    return Model({names_by_column[j]: float(w[j]) for j in range(d) if abs(w[j]) > 1e-3}, float(b))
+    return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}, float(b))
+
+
+def fit(texts: list[str], labels: np.ndarray, penalty: float = PENALTY, identities=IDENTITIES) -> Model:
+    """The model of labelled texts in memory. Without rows of both classes, it gives each text the share of class 1 (0 without rows)."""
+    y = np.asarray(labels, float)
+    if not len(y) or y.min() == y.max():
+        return _constant(y)
+    counts: dict[str, list[int]] = {}
+    for t, label in zip(texts, y.astype(int)):
+        for f in features(t):
+            counts.setdefault(f, [0, 0])[label] += 1
+    names = chosen_features({f: tuple(c) for f, c in counts.items() if sum(c) >= LEAST_TEXTS}, np.bincount(y.astype(int), minlength=2))
+    column = {f: k for k, f in enumerate(names)}
+    held, moved = zip(*[encoded(t, column, identities) for t in texts])
+    return optimised(names, list(held), y, [m for ms in moved for m in ms], penalty)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -164,10 +181,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, penalty: float = PENALTY) -> Model:
-    """The model of a bounded sample (SAMPLE rows of either class) of the labelled rows of docs outside the held-out fold."""
+    """The model of a bounded sample (SAMPLE rows of either class) of the labelled rows of docs outside the held-out fold.
+
+    Tasks count and encode features; the driver gets the features that may be chosen
+    and the sample's rows as column numbers.
+    """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), limit).toPandas().sort_values(["text", "label"])
-    return fit(sample["text"].tolist(), sample["label"].to_numpy(), penalty)
+    sample = keep(labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), limit), "labelled")
+    total = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if not (total.get(0) and total.get(1)):
+        return _constant(np.array([k for k, n in total.items() for _ in range(n)], float))
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            held: dict[str, list[int]] = {}
+            for t, label in zip(part["text"], part["label"]):
+                for f in features(t):
+                    held.setdefault(f, [0, 0])[label] += 1
+            yield pd.DataFrame([(f, a, b) for f, (a, b) in held.items()], columns=["feature", "clean", "toxic"])
+
+    n0, n1 = total[0], total[1]
+    counts = sample.mapInPandas(counted, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    apart = F.abs(F.col("clean") / n0 - F.col("toxic") / n1) / F.sqrt((F.col("clean") + F.col("toxic")) / (n0 + n1))
+    rows = counts.where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS).orderBy(F.desc(apart), "feature").limit(2 * FEATURES).collect()
+    names = chosen_features({r["feature"]: (r["clean"], r["toxic"]) for r in rows}, np.array([n0, n1], float))
+    column = {f: k for k, f in enumerate(names)}
+
+    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([(label, *encoded(t, column)) for t, label in zip(part["text"], part["label"])], columns=["label", "held", "moved"])
+
+    got = sample.mapInPandas(numbered, "label int, held array<int>, moved array<array<int>>").toPandas()
+    held = [list(h) for h in got["held"]]
+    order = sorted(range(len(held)), key=lambda k: (got["label"][k], held[k]))
+    moved = sorted(list(m) for ms in got["moved"] for m in ms)
+    return optimised(names, [held[k] for k in order], got["label"].to_numpy(float)[order], moved, penalty)
 
 
 def score_column(model: Model, text: Column) -> Column:
