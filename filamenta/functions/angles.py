@@ -61,6 +61,20 @@ def twist_to_pitch(twist: Column, rise: Column) -> Column:
     return F.when(twist == 0, F.lit(0.0)).otherwise(F.abs(360.0 / twist) * rise)
 
 
+def twist_to_pitch_near_strand(twist: Column, rise: Column) -> Column:
+    """Pitch after the most subunits, ten at most, whose joint rise lies between 4.5 and 5 and whose joint twist stays under 90; of one subunit if there are none."""
+    pitch = F.abs(rise) * 360.0 / F.abs(twist)
+    for n in range(2, 11):
+        joint = F.abs(wrap(F.abs(twist) * n))
+        pitch = F.when((rise * n > 4.5) & (rise * n < 5) & (joint < 90), F.abs(rise) * n * 360.0 / joint).otherwise(pitch)
+    return pitch
+
+
+def fit_error(angle: Column, at: Column, slope: float, intercept: float, period: float = 360.0) -> Column:
+    """Signed distance of an angle from a line modulo its period."""
+    return wrap(angle - (at * slope + intercept), period)
+
+
 def cosine_similarity(a: str, b: str) -> Column:
     """Of two array columns; 0 where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -12,10 +12,11 @@ from ..operators import filaments as L
 from ..operators import grouping as G
 from ..operators import joins as J
 from ..operators import selection as S
+from . import geometry
 from .views import SEG, read, segments
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = dict(geometry.QUERIES)
+SQL: dict[str, str] = dict(geometry.SQL)
 
 
 def _q(name: str, build, sql: str | None = None) -> None:
