@@ -55,6 +55,21 @@ def near_semi(df: DataFrame, other: DataFrame, partition: list[str], x: str, y:
     return left.join(r, near, "left_semi").drop("_ci", "_cj")
 
 
+def nearest_match(df: DataFrame, other: DataFrame, partition: list[str], x: str, y: str, distance: float, rid: str) -> DataFrame:
+    """(rid, match, apart): for each row of df the nearest row of other at most distance away in the same partition; ties go to the smaller id.
+
+    Cells as in near_semi; the best of a row's candidates is taken by aggregation.
+    """
+    side = distance or 1.0
+    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    left = df.select(*partition, F.col(rid).alias("rid"), F.col(x).alias("_px"), F.col(y).alias("_py"), F.floor(F.col(x) / side).alias("_ci"), F.floor(F.col(y) / side).alias("_cj"))
+    right = other.select(*partition, F.col(rid).alias("match"), F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_di", around).withColumn("_dj", around)
+    right = right.withColumn("_ci", F.floor(F.col("_x") / side) + F.col("_di")).withColumn("_cj", F.floor(F.col("_y") / side) + F.col("_dj"))
+    squared = F.pow(F.col("_px") - F.col("_x"), 2) + F.pow(F.col("_py") - F.col("_y"), 2)
+    near = left.join(right, [*partition, "_ci", "_cj"]).withColumn("apart", F.sqrt(squared)).where(F.col("apart") <= distance)
+    return near.groupBy("rid").agg(F.min(F.struct("apart", "match")).alias("b")).select("rid", F.col("b.match").alias("match"), F.col("b.apart").alias("apart"))
+
+
 def recover_filaments(part: DataFrame, full: DataFrame, keys: list[str], least: float) -> DataFrame:
     """All rows of those filaments of full of which part holds at least that share."""
     have = part.groupBy(*keys).agg(F.count("*").alias("_have"))

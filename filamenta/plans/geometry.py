@@ -9,6 +9,7 @@ from ..functions import angles as A
 from ..functions import scores
 from ..functions import symmetry as Y
 from ..operators import averages, conventions, shells
+from ..operators import joins as J
 from ..operators.filaments import rebased
 from .views import SEG, read, segments
 
@@ -68,6 +69,7 @@ _q("convert_to_star", lambda d: conventions.to_star(exported(d)).select("rid", "
 _q("symmetry_point_distance", lambda d: d.select("rid", F.round(Y.point_distance(tuple(map(F.col, _POINT)), tuple(map(F.col, _OTHER)), "D2"), 4).alias("distance")), f"SELECT rid, round(sqrt(least({', '.join(_D2)})), 4) AS distance FROM seg")
 _q("symmetry_set_distance", lambda d: d.groupBy("mic").agg(F.round(Y.set_distance(tuple(map(F.col, _POINT)), tuple(map(F.col, _OTHER)), "D2", "rmse"), 4).alias("rmse")), f"SELECT mic, round(sqrt(least({', '.join(f'avg({s})' for s in _D2)})), 4) AS rmse FROM seg GROUP BY mic")
 _q("symmetry_rotation_distance", lambda d: d.select("rid", F.round(Y.rotation_distance(_quaternion(), tuple(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)), "C2"), 3).alias("degrees")), f"SELECT rid, round(2 * degrees(acos(least(1.0, greatest(abs(cos(b) * cos(a + c)), abs(cos(b) * sin(a + c)))))), 3) AS degrees FROM (SELECT rid, {_HALF} FROM seg)")
+_q("nearest_match_range_join", lambda d: J.nearest_match(d.where("score > 0"), d.where("score < 50"), ["mic"], "x", "y", 2.0, "rid").select("rid", "match", F.round("apart", 6).alias("apart")), ", p AS (SELECT a.rid, b.rid AS match, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS apart FROM seg a JOIN seg b ON a.mic = b.mic AND a.score > 0 AND b.score < 50), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY apart, match) AS n FROM p WHERE apart <= 2) SELECT rid, match, round(apart, 6) AS apart FROM r WHERE n = 1")
 _q("average_rotation", lambda d: averages.average_rotation(d, ["mic", "tube"]).select("mic", "tube", *[F.round(c, 4).alias(c) for c in ("rot", "tilt", "psi")]))
 _q("elbow_point", lambda d: averages.elbow(d.select("mic", "rid", "score"), ["mic"], "rid", "score"), """, e AS (SELECT mic, min(rid) AS x0, max(rid) AS x1, arg_min(score, rid) AS y0, arg_max(score, rid) AS y1 FROM seg GROUP BY mic),
   f AS (SELECT mic, rid, round(abs((x1 - x0) * (score - y0) - (y1 - y0) * (rid - x0)), 6) AS away FROM seg JOIN e USING (mic)), r AS (SELECT mic, rid, row_number() OVER (PARTITION BY mic ORDER BY away DESC, rid) AS n FROM f) SELECT mic, rid FROM r WHERE n = 1""")
