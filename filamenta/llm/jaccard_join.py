@@ -6,8 +6,10 @@ one row. Columns are dealt into blocks as binary arrays; a block's task multipli
 its part of the matrix by its transpose, keeping only entries that the
 size-derived bounds allow:
 
-* a row enters only the first n - ceil(0.8 n) + 1 of its n columns, rarest first
-  (a pair at similarity 0.8 shares one of these);
+* every column's rows are counted, and a row enters only the first
+  n - ceil(0.8 n) + 1 of its n columns, rarest first (a pair at similarity 0.8
+  shares one of these); most rows have so many columns of their own that they
+  don't enter at all;
 * two rows that first meet at their places i and j can overlap in at most
   min(n_x - i, n_y - j) columns, which must reach 4/9 (n_x + n_y);
 * a row misses at least as many columns of another as that has hash residues of
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, shuffle_partitions, small_batches
+from .common import components, keep, mix64, small_batches
 from .shingles import shingle_sets
 
 #: Shingles that at least 1/512 of the documents of some window of 2**20 shingles hold count as frequent; at most so many are kept, the most frequent.
@@ -89,100 +91,140 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield heavy()
 
 
-_BLOCKS = "block int, hot boolean, shingle binary, row binary, place binary, node binary, n binary"
+_BLOCKS = "block int, hot boolean, column binary, times binary, length binary, node binary, n binary, d binary"
 
 
 def _blocks(frequent: tuple[np.ndarray, np.ndarray], blocks: int):
-    """Deals the leading columns of each distinct set of a task into blocks; frequent: sorted shingles and their counts."""
-    known, times = frequent
+    """Deals the columns of each distinct set of a task into blocks; frequent: sorted shingles and their counts.
 
-    def leading(s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-            often = known[at] == s
-            if often.any():
-                s = np.concatenate([s[~often], s[often][np.argsort(times[at[often]], kind="stable")]])
-        return s[: n - (4 * n + 4) // 5 + 1]
-
-    def flush(parts: list[np.ndarray], nodes: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(p) for p in parts])
-        h = np.concatenate(parts)
-        of = np.repeat(np.arange(len(parts)), lengths)
-        place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        node, n = np.array(nodes, np.int64), np.array(sizes, np.int32)
-        at = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else None
-        hot = known[at] == h if at is not None else np.zeros(len(h), bool)
-        spread = node.view(np.uint64)[of] ^ h  # a frequent column's entries go to any block, which only passes them on
-        block = np.where(hot, (spread >> np.uint64(20)) % np.uint64(blocks), (h >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64) * 2 + hot
-        order = np.argsort(block, kind="stable")
-        cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-        out: list[list] = [[] for _ in range(7)]
-        for a, b in zip(cuts, [*cuts[1:], len(order)]):
-            rows, local = np.unique(of[order[a:b]], return_inverse=True)
-            key = int(block[order[a]])
-            for column, x in zip(out, (key // 2, bool(key % 2), h[order[a:b]].tobytes(), local.astype(np.uint32).tobytes(), place[order[a:b]].astype(np.int32).tobytes(), node[rows].tobytes(), n[rows].tobytes())):
-                column.append(x)
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["block", "hot", "shingle", "row", "place", "node", "n"])
+    A column is known by the leading 32 + log2(blocks) bits of its shingle's hash, so
+    about one in a thousand shares its name with another. That can only add entries
+    in common, never hide one. d counts the distinct names of a row.
+    """
+    known, times = frequent
+    bits = 32 + blocks.bit_length() - 1
+
+    def flush(sets: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        n = np.array([len(s) for s in sets], np.int32)
+        h = np.concatenate(sets)
+        of = np.repeat(np.arange(len(sets)), n)
+        node = np.array(nodes, np.int64)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1) if len(known) else np.zeros(len(h), np.intp)
+        often = known[at] == h if len(known) else np.zeros(len(h), bool)
+        column = h >> np.uint64(64 - bits)
+        parts = []
+        for hot in (False, True):
+            mine = np.flatnonzero(often == hot)
+            if len(mine):
+                repeats = np.zeros(len(mine), bool)
+                repeats[1:] = (column[mine[1:]] == column[mine[:-1]]) & (of[mine[1:]] == of[mine[:-1]])
+                parts.append((hot, mine[~repeats]))
+        d = sum(np.bincount(of[mine], minlength=len(sets)) for _, mine in parts).astype(np.int32)
+        out: list[list] = [[] for _ in range(8)]
+        for hot, mine in parts:
+            name, row = column[mine], of[mine]
+            # a frequent column's entries go to any block, which only passes them on
+            block = mix64(node.view(np.uint64)[row] ^ name) % np.uint64(blocks) if hot else name % np.uint64(blocks)
+            order = np.argsort(block.astype(np.uint16 if blocks < 1 << 16 else np.int64), kind="stable")
+            block, name, row, mine = block[order], name[order], row[order], mine[order]
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            for a, b in zip(cuts, [*cuts[1:], len(order)]):
+                rows, lengths = np.unique(row[a:b], return_counts=True)
+                stored = name[a:b] if hot else (name[a:b] // np.uint64(blocks)).astype(np.uint32)
+                values = (int(block[a]), hot, stored.tobytes(), times[at[mine[a:b]]].astype(np.int32).tobytes() if hot else b"", lengths.astype(np.uint32).tobytes(), node[rows].tobytes(), n[rows].tobytes(), d[rows].tobytes())
+                for held, x in zip(out, values):
+                    held.append(x)
+        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["block", "hot", "column", "times", "length", "node", "n", "d"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        parts, nodes, sizes, held = [], [], [], 0
+        sets, nodes, held = [], [], 0
         for batch in batches:
             for _, s in shingle_sets(batch.column("text")):
                 if not len(s) or (node := _node(s)) in seen:
                     continue
                 seen.add(node)
-                parts.append(leading(s))
+                sets.append(s)
                 nodes.append(node)
-                sizes.append(len(s))
-                held += len(parts[-1])
-                if held >= 1 << 18:
-                    yield from flush(parts, nodes, sizes)
-                    parts, nodes, sizes, held = [], [], [], 0
-        if parts:
-            yield from flush(parts, nodes, sizes)
+                held += len(s)
+                if held >= 1 << 19:
+                    yield from flush(sets, nodes)
+                    sets, nodes, held = [], [], 0
+        if sets:
+            yield from flush(sets, nodes)
 
     return deal
 
 
-_ENTRIES = "h long, node long, n int, i int"
+_SHARED = "node long, n int, d int, hot boolean, h array<long>, times array<int>"
 
 
-def _entries(h: np.ndarray, node: np.ndarray, n: np.ndarray, i: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(i.astype(np.int32))], ["h", "node", "n", "i"])
+def _by_row(hot: bool, h: np.ndarray, node: np.ndarray, n: np.ndarray, d: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of entries ordered by node, one record a node, a few hundred thousand entries at once."""
+    begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(h) else np.zeros(0, np.intp)
+    ends = np.append(begins[1:], len(h))
+    first = 0
+    while first < len(begins):
+        last = max(first + 1, int(np.searchsorted(ends, begins[first] + (1 << 18), "right")))
+        a, b = begins[first], ends[last - 1]
+        offsets = pa.array(np.append(begins[first:last], b) - a, pa.int32())
+        chosen = begins[first:last]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[a:b].view(np.int64), times[a:b].astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(node[chosen]), pa.array(n[chosen]), pa.array(d[chosen]), pa.array(np.full(len(chosen), hot)), *lists], ["node", "n", "d", "hot", "h", "times"])
+        first = last
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the blocks of a task, the entries of columns that two rows share."""
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        for hot, h, row, place, node, n in zip(*(batch.column(c).to_pylist() for c in ("hot", "shingle", "row", "place", "node", "n"))):
-            local = np.frombuffer(row, np.uint32)
-            part = (np.frombuffer(h, np.uint64), np.frombuffer(node, np.int64)[local], np.frombuffer(n, np.int32)[local], np.frombuffer(place, np.int32))
+def _shared(blocks: int):
+    """Of the blocks of a task, each row's columns that other rows hold too, with the number of rows that hold them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+        for batch in batches:
+            for block, hot, column, times, length, node, n, d in zip(*(c.to_pylist() for c in batch.columns)):
+                name = np.frombuffer(column, np.uint64) if hot else np.frombuffer(column, np.uint32).astype(np.uint64) * np.uint64(blocks) + np.uint64(block)
+                row = np.repeat(np.arange(len(node) // 8), np.frombuffer(length, np.uint32))
+                counted = np.frombuffer(times, np.int32) if hot else np.zeros(len(name), np.int32)
+                held[hot].append((name, np.frombuffer(node, np.int64)[row], np.frombuffer(n, np.int32)[row], np.frombuffer(d, np.int32)[row], counted))
+        for hot in (False, True):
+            if not held[hot]:
+                continue
+            h, node, n, d, times = (np.concatenate(x) for x in zip(*held.pop(hot)))
+            if not hot:
+                _, at, met = np.unique(h, return_inverse=True, return_counts=True)
+                often = met[at] > 1
+                h, node, n, d = h[often], node[often], n[often], d[often]
+            order = np.lexsort((node, h))
+            h, node, n, d = h[order], node[order], n[order], d[order]
+            fresh = np.ones(len(h), bool)  # a set that several tasks saw came several times
+            fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
             if hot:
-                yield _entries(*part)
-            else:
-                held.append(part)
-    if not held:
-        return
-    h, node, n, i = (np.concatenate(x) for x in zip(*held))
-    held.clear()
-    _, at, times = np.unique(h, return_inverse=True, return_counts=True)
-    shared = times[at] > 1
-    h, node, n, i = h[shared], node[shared], n[shared], i[shared]
-    order = np.lexsort((node, h))
-    h, node, n, i = h[order], node[order], n[order], i[order]
-    if not len(h):
-        return
-    fresh = np.ones(len(h), bool)  # a set that several tasks saw came several times
-    fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
-    h, node, n, i = h[fresh], node[fresh], n[fresh], i[fresh]
-    begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    sizes = np.diff(np.append(begins, len(h)))
-    chosen = np.repeat(sizes > 1, sizes)
-    yield _entries(h[chosen], node[chosen], n[chosen], i[chosen])
+                times = times[order][fresh]
+            h, node, n, d = h[fresh], node[fresh], n[fresh], d[fresh]
+            if not hot and len(h):
+                begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                sizes = np.diff(np.append(begins, len(h)))
+                times = np.repeat(sizes, sizes)
+                often = times > 1
+                h, node, n, d, times = h[often], node[often], n[often], d[often], times[often]
+            order = np.argsort(node, kind="stable")
+            yield from _by_row(hot, h[order], node[order], n[order], d[order], times[: len(h)][order])
+
+    return count
+
+
+def _leading(shared: DataFrame) -> DataFrame:
+    """(h, node, n, i): of each row the columns among its first n - ceil(0.8 n) + 1 that other rows hold, and their places.
+
+    Columns that no other row holds come first, then those with few rows, frequent
+    ones last. A row with enough columns of its own has no entries at all. The group
+    of a node is one distinct set, whatever the number of its copies.
+    """
+    listed = shared.select("node", "n", "d", F.arrays_zip(F.transform("h", lambda x: F.col("hot")).alias("hot"), "times", "h").alias("columns"))
+    row = listed.groupBy("node").agg(F.first("n").alias("n"), F.first("d").alias("d"), F.flatten(F.collect_list("columns")).alias("columns"))
+    row = row.withColumn("own", F.col("d") - F.size("columns")).withColumn("held", F.expr("n - (4 * n + 4) div 5 + 1 - own")).where("held > 0")
+    places = row.select("node", "n", "own", F.posexplode(F.slice(F.array_sort("columns"), F.lit(1), F.col("held").cast("int"))).alias("pos", "column"))
+    return places.select(F.col("column.h").alias("h"), "node", "n", (F.col("own") + F.col("pos")).alias("i"))
 
 
 def _rows_of(bits: np.ndarray):
@@ -273,9 +315,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     order = np.argsort(known)
     frequent = (known[order], rows["times"].to_numpy(np.int64)[order])
     total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = max(shuffle_partitions(spark), total // 5_000_000 + 1)
-    dealt = docs.mapInArrow(_blocks(frequent, blocks * 8), _BLOCKS).repartition(blocks, "block")
-    entries = keep(dealt.mapInArrow(_met, _ENTRIES), "entries")
+    blocks = max(spark.sparkContext.defaultParallelism, total // 4_000_000 + 1)
+    dealt = docs.mapInArrow(_blocks(frequent, blocks), _BLOCKS).repartitionById(blocks, F.col("block"))
+    entries = keep(_leading(dealt.mapInArrow(_shared(blocks), _SHARED)), "entries")
     nodes = keep(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     links, label = None, None
