@@ -180,35 +180,52 @@ def _shared(blocks: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
+        rows: list[tuple[np.ndarray, ...]] = []
+        base = 0
         for batch in batches:
-            for block, hot, column, times, length, node, n, d in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):
+                block, hot, column, times, length, node, n, d = (c[k].as_py() for c in batch.columns)
                 name = np.frombuffer(column, np.uint64) if hot else np.frombuffer(column, np.uint32).astype(np.uint64) * np.uint64(blocks) + np.uint64(block)
-                row = np.repeat(np.arange(len(node) // 8), np.frombuffer(length, np.uint32))
-                counted = np.frombuffer(times, np.int32) if hot else np.zeros(len(name), np.int32)
-                held[hot].append((name, np.frombuffer(node, np.int64)[row], np.frombuffer(n, np.int32)[row], np.frombuffer(d, np.int32)[row], counted))
+                rows.append((np.frombuffer(node, np.int64), np.frombuffer(n, np.int32), np.frombuffer(d, np.int32)))
+                row = np.repeat(np.arange(base, base + len(rows[-1][0]), dtype=np.uint32), np.frombuffer(length, np.uint32))
+                base += len(rows[-1][0])
+                held[hot].append((name, row, np.frombuffer(times, np.int32)))
+        if not rows:
+            return
+        nodes, sizes, names = (np.concatenate(x) for x in zip(*rows))
+        rows.clear()
         for hot in (False, True):
-            if not held[hot]:
+            parts = held.pop(hot)
+            if not parts:
                 continue
-            h, node, n, d, times = (np.concatenate(x) for x in zip(*held.pop(hot)))
-            if not hot:
-                _, at, met = np.unique(h, return_inverse=True, return_counts=True)
-                often = met[at] > 1
-                h, node, n, d = h[often], node[often], n[often], d[often]
-            order = np.lexsort((node, h))
-            h, node, n, d = h[order], node[order], n[order], d[order]
+            h, row, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            parts.clear()
+            if not hot:  # most columns are in one entry only; these go before anything else is gathered
+                order = np.argsort(h)
+                same = h[order[1:]] == h[order[:-1]]
+                often = np.zeros(len(h), bool)
+                often[1:] = same
+                often[:-1] |= same
+                order = order[often]
+                h, row = h[order], row[order]
+                del order, same, often
+            order = np.lexsort((nodes[row], h))
+            h, row = h[order], row[order]
+            node = nodes[row]
             fresh = np.ones(len(h), bool)  # a set that several tasks saw came several times
             fresh[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
             if hot:
                 times = times[order][fresh]
-            h, node, n, d = h[fresh], node[fresh], n[fresh], d[fresh]
-            if not hot and len(h):
-                begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                sizes = np.diff(np.append(begins, len(h)))
-                times = np.repeat(sizes, sizes)
+            h, row = h[fresh], row[fresh]
+            if not hot:
+                begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.intp)
+                met = np.diff(np.append(begins, len(h)))
+                times = np.repeat(met, met)
                 often = times > 1
-                h, node, n, d, times = h[often], node[often], n[often], d[often], times[often]
-            order = np.argsort(node, kind="stable")
-            yield from _by_row(hot, h[order], node[order], n[order], d[order], times[: len(h)][order])
+                h, row, times = h[often], row[often], times[often]
+            order = np.argsort(nodes[row], kind="stable")
+            h, row, times = h[order], row[order], times[order]
+            yield from _by_row(hot, h, nodes[row], sizes[row], names[row], times)
 
     return count
 
