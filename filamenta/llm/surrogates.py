@@ -6,7 +6,7 @@ shape, so two different ones never share a surrogate; card numbers keep a valid
 check digit, IP addresses valid octets. Names after a title become other names of
 the same gender and script, chosen by a keyed hash. A collision check over the
 distinct entities of the whole corpus moves every entity but one that share a
-surrogate to their next choice until none share one. Equal entities have equal
+surrogate (but for letter case) to their next choice until none share one. Equal entities have equal
 surrogates everywhere, and later mentions of a family name follow its first.
 """
 
@@ -26,6 +26,8 @@ from .common import keep, small_batches
 KEY = b"filamenta-surrogates"
 #: Entities that had to move to a later choice and are sent to every task; beyond so many they are joined to their documents instead.
 SENT = 100_000
+#: Choices of one length; so many later ones have a character more, and so on.
+STRETCH = 8
 
 _DIGIT, _LOWER, _UPPER, _HEX = string.digits, string.ascii_lowercase, string.ascii_uppercase, "0123456789abcdef"
 # Frequent given and family names, by gender and script.
@@ -80,9 +82,10 @@ def permuted(key: bytes, tweak: str, number: int, size: int) -> int:
             return x
 
 
-def reshaped(key: bytes, kind: str, value: str, classes: list[str]) -> str:
-    """value with every character whose class isn't empty permuted jointly inside its class."""
+def reshaped(key: bytes, kind: str, value: str, classes: list[str], attempt: int = 0) -> str:
+    """value with every character whose class isn't empty permuted jointly inside its class, by another permutation for each shape and attempt."""
     out, chunk = list(value), 60
+    shape = "".join(c if classes[k] == "" else "U" if classes[k] == _UPPER else str(len(classes[k])) for k, c in enumerate(value))
     places = [k for k, c in enumerate(classes) if c]
     for a in range(0, len(places), chunk):
         part = places[a : a + chunk]
@@ -90,8 +93,8 @@ def reshaped(key: bytes, kind: str, value: str, classes: list[str]) -> str:
         for k in part:
             number = number * len(classes[k]) + classes[k].index(value[k])
             size *= len(classes[k])
-        context = "".join(c if classes[k] == "" else str(len(classes[k])) for k, c in enumerate(value)) if a == 0 else value[: part[0]]
-        number = permuted(key, f"{kind}:{context}:{a}", number, size)
+        context = shape if a == 0 else f"{value[: part[0]]}/{shape}"
+        number = permuted(key, f"{kind}:{context}:{a}" + (f":{attempt}" if attempt else ""), number, size)
         for k in reversed(part):
             number, r = divmod(number, len(classes[k]))
             out[k] = classes[k][r]
@@ -106,9 +109,21 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
 
+def _is_name(kind: str) -> bool:
+    return kind.startswith(("given", "family"))
+
+
+def _known_as(kind: str, value: str) -> str:
+    """The value under which an entity is the same everywhere: names don't depend on letter case."""
+    return value.lower() if _is_name(kind) else value
+
+
 def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The attempt-th choice for an entity; kinds given:f, given:m, given: and family are names, all others have one choice."""
-    if kind.startswith(("given", "family")):
+    """The attempt-th choice for an entity; kinds given:f, given:m, given: and family are names.
+
+    Emails, phones and secrets may have few or no characters to permute, so their choices from the STRETCH-th on are longer.
+    """
+    if _is_name(kind):
         script = script_of(value)
         genders = [kind[6:]] if kind in ("given:f", "given:m") else ["f", "m"]
         names = FAMILY[script] if kind == "family" else [n for g in genders for n in GIVEN[g, script]]
@@ -122,7 +137,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
         number = 0
         for part in value.split("."):
             number = number << 8 | int(part)
-        number = permuted(key, "ip", number, 1 << 32)
+        number = permuted(key, f"ip:{attempt}" if attempt else "ip", number, 1 << 32)
         return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
     classes = [_class(c) for c in value]
     digits = [k for k, c in enumerate(value) if c in _DIGIT]
@@ -144,10 +159,16 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
             classes[digits[0]] = "23456789"
     elif kind == "card":
         classes[digits[0]] = classes[digits[-1]] = ""
-        out = reshaped(key, kind, value, classes)
+        out = reshaped(key, kind, value, classes, attempt)
         check = luhn("".join(out[k] for k in digits[:-1]))
         return out[: digits[-1]] + str(check) + out[digits[-1] + 1 :]
-    return reshaped(key, kind, value, classes)
+    out = reshaped(key, kind, value, classes, attempt)
+    if attempt < STRETCH or kind not in ("email", "phone", "secret"):
+        return out
+    extra, letters = "", _DIGIT if kind == "phone" else _LOWER
+    for k in range(attempt // STRETCH):
+        extra += letters[int.from_bytes(hashlib.blake2b(f"{kind}:{value}:{attempt}:{k}".encode(), key=key, digest_size=8).digest(), "big") % len(letters)]
+    return extra + out if kind == "email" else out + extra
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
@@ -185,7 +206,7 @@ def replaced(text: str, moved: dict[str, int], key: bytes = KEY) -> tuple[str, i
         return text, 0
     out, at = [], 0
     for a, b, kind, value in found:
-        out += [text[at:a], surrogate(kind, value, moved.get(f"{kind} {value.lower()}", 0) if kind.startswith(("given", "family")) else 0, key)]
+        out += [text[at:a], surrogate(kind, value, moved.get(f"{kind} {_known_as(kind, value)}", 0), key)]
         at = b
     return "".join(out) + text[at:], len(found)
 
@@ -196,14 +217,14 @@ _ENTITY = "kind string, value string"
 def _distinct_entities(docs: DataFrame) -> DataFrame:
     def found(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = {(k, v.lower() if k.startswith(("given", "family")) else v) for t in part["text"] for _, _, k, v in entities(t)}
+            rows = {(k, _known_as(k, v)) for t in part["text"] for _, _, k, v in entities(t)}
             yield pd.DataFrame(sorted(rows), columns=["kind", "value"])
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(found, _ENTITY).distinct()
 
 
 def collision_free(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, attempt, surrogate) of distinct entities, no two with one surrogate."""
+    """(kind, value, attempt, surrogate) of distinct entities, no two with one surrogate, whatever its letter case."""
 
     @F.pandas_udf("string")
     def choice(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
@@ -243,14 +264,14 @@ def replace_personal_data(docs: DataFrame, key: bytes = KEY, sent: int = SENT) -
 
         @F.pandas_udf("array<string>")
         def named(text: pd.Series) -> pd.Series:
-            return text.map(lambda t: sorted({f"{k} {v.lower()}" for _, _, k, v in entities(t or "") if k.startswith(("given", "family"))}))
+            return text.map(lambda t: sorted({f"{k} {_known_as(k, v)}" for _, _, k, v in entities(t or "")}))
 
         @F.pandas_udf("text string, n_replaced long")
         def rewrite_by(text: pd.Series, moves: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([(None, 0) if t is None else replaced(t, {e["entity"]: e["attempt"] for e in (m if m is not None else [])}, key) for t, m in zip(text, moves)], columns=["text", "n_replaced"])
 
         rows = docs.withColumn("_row", F.monotonically_increasing_id())
-        of_row = rows.select("_row", F.explode(named("text")).alias("entity")).join(moved, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "attempt")).alias("_moves"))  # the names of one document
+        of_row = rows.select("_row", F.explode(named("text")).alias("entity")).join(moved, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "attempt")).alias("_moves"))  # the entities of one document
         out = rows.join(of_row, "_row", "left").withColumn("_new", rewrite_by("text", "_moves"))
     fresh = {"text": F.col("_new.text")} | ({"n_chars": F.coalesce(F.length("_new.text").cast("long"), F.lit(0).cast("long"))} if "n_chars" in names else {})
     return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in names if c != "n_replaced"], F.col("_new.n_replaced").alias("n_replaced"))
