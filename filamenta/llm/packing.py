@@ -3,7 +3,8 @@
 Only the histogram (at most max_tokens lengths) reaches the driver. It places the
 lengths longest first: copies of a length go to the open packs with the most room,
 as many at once as there are such packs, which updates the counts of packing
-patterns. Patterns are then joined back to the pieces by each piece's rank among
+patterns; where none has room, new packs take as many copies each as they hold.
+Patterns are then joined back to the pieces by each piece's rank among
 the pieces of its length.
 """
 
@@ -44,8 +45,12 @@ def patterns(histogram: dict[int, int], limit: int) -> list[tuple[int, list[int]
         while left:
             shortest = used_lengths[0] if used_lengths else limit
             if shortest + length > limit:
-                each = 1
-                put(length * each, left, [length] * each)
+                each = limit // length  # a new pack is the shortest until it is full
+                many, rest = divmod(left, each)
+                if many:
+                    put(length * each, many, [length] * each)
+                if rest:
+                    put(length * rest, 1, [length] * rest)
                 break
             count, lengths = open_[shortest].pop()
             if not open_[shortest]:

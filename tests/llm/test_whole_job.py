@@ -1,6 +1,9 @@
 """Inputs on which an operator once did less than its whole job."""
 
-from filamenta.llm import surrogates
+import collections
+import heapq
+
+from filamenta.llm import packing, surrogates
 
 
 def test_surrogates_of_case_variants_differ(spark):
@@ -18,3 +21,23 @@ def test_surrogates_of_case_variants_differ(spark):
     new = {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(docs).collect()}
     assert new == {r["doc_id"]: r["text"] for r in surrogates.replace_personal_data(docs, sent=0).collect()}
     assert len({t.lower() for t in new.values() if t}) == len(words) + len(secrets) + 1
+
+
+def test_packs_of_one_dominant_length_are_filled():
+    def row_by_row(histogram, limit):
+        used = []
+        for n in sorted(histogram, reverse=True):
+            for _ in range(histogram[n]):
+                heapq.heappush(used, heapq.heappop(used) + n if used and used[0] + n <= limit else n)
+        return len(used)
+
+    for histogram in ({10: 1000}, {10: 3000, 1500: 4, 700: 9}, {300: 5000} | dict.fromkeys(range(1, 200), 3)):
+        packs = packing.patterns(histogram, 2048)
+        assert sum(count for count, _ in packs) == row_by_row(histogram, 2048)
+        got = collections.Counter()
+        for count, lengths in packs:
+            assert sum(lengths) <= 2048
+            for n in lengths:
+                got[n] += count
+        assert got == histogram
+    assert sum(count for count, _ in packing.patterns({10: 1000}, 2048)) == -(-10 * 1000 // 2048)
