@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from filamenta.llm.common import keep, table
-from filamenta.llm.jaccard_join import jaccard_components
+from filamenta.llm.jaccard_join import first_of_components
 from filamenta.llm.packing import pack
 from filamenta.llm.queries import vocabulary_path
 from filamenta.llm.surrogates import replace_personal_data
@@ -18,9 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, the document with the smallest doc_id; of rows that repeat it, one."""
-    first = jaccard_components(docs).where("component_id = doc_id or component_id is null").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of the n-gram Jaccard join one row, that with the smallest doc_id, and every row that nothing links."""
+    return first_of_components(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

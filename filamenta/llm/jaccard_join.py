@@ -45,7 +45,7 @@ SKETCH_BITS = (2048, 1 << 17)
 #: Bits of the filter that keeps the full rows of uninvolved documents from being shuffled. A full filter lets every row pass; results don't depend on it.
 FILTER_BITS = 1 << 23
 
-_PROFILE = "doc_id long, n long, node long, sketch array<long>, shingle long, times long"
+_PROFILE = "doc_id long, mark long, n long, node long, sketch array<long>, shingle long, times long"
 _FEASIBLE = "9 * least({a}.n - {a}.i, {b}.n - {b}.i) >= 4 * ({a}.n + {b}.n)"
 
 
@@ -70,7 +70,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = np.unique(np.concatenate(window), return_counts=True)
         often = times >= max(4, len(window) // 512)
         nothing = pa.nulls(int(often.sum()), pa.int64())
-        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(nothing), pa.list_(pa.int64())), pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["doc_id", "n", "node", "sketch", "shingle", "times"])
+        return pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(len(nothing), pa.list_(pa.int64())), pa.array(values[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["doc_id", "mark", "n", "node", "sketch", "shingle", "times"])
 
     for batch in batches:
         n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -86,7 +86,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 window, held = [], 0
         nothing = pa.nulls(batch.num_rows, pa.int64())
         sketch = pa.array(sketches, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node), sketch, nothing, nothing], ["doc_id", "n", "node", "sketch", "shingle", "times"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n), pa.array(node), sketch, nothing, nothing], ["doc_id", "mark", "n", "node", "sketch", "shingle", "times"])
     if window:
         yield heavy()
 
@@ -311,21 +311,18 @@ def _elected(labelled: DataFrame) -> DataFrame:
     return votes.groupBy("a").agg(F.max(F.struct("overlap", "b")).alias("v")).select("a", "v.b")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text; further columns are ignored).
+def _mark() -> Column:
+    """Tells rows with one doc_id apart by their texts."""
+    return F.xxhash64("text")
 
-    Documents link when 100 * overlap >= 80 * union of their 5-word shingle sets;
-    component_id is the smallest doc_id that links reach. Null and empty texts, and
-    texts of white space only, have no shingles and link with nothing: their
-    component_id is their own doc_id. Repeated rows come back as often as they
-    came, in one component. A null doc_id stays null unless linked. An empty table
-    gives an empty result.
-    """
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, mark, n, node) of every row of docs, and (node, doc_id, c) of every distinct set that isn't empty: its smallest doc_id and its component, known by a node."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = keep(docs.mapInArrow(_profile, _PROFILE), "profile")
-    sets = profile.where("n is not null").select("doc_id", "n", "node")
+    profile = keep(docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(_profile, _PROFILE), "profile")
+    sets = profile.where("n is not null").select("doc_id", "mark", "n", "node")
     often = profile.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     rows = often.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
     known = rows["shingle"].to_numpy(np.int64).view(np.uint64)
@@ -354,8 +351,41 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     label = components(links.union(_verified(docs, nodes, pairs)))
 
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
+    return sets, named
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text; further columns are ignored).
+
+    Documents link when 100 * overlap >= 80 * union of their 5-word shingle sets;
+    component_id is the smallest doc_id that links reach. Null and empty texts, and
+    texts of white space only, have no shingles and link with nothing: their
+    component_id is their own doc_id. Repeated rows come back as often as they
+    came, in one component. A null doc_id stays null unless linked. An empty table
+    gives an empty result.
+    """
+    sets, named = _linked(docs)
     lowest = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "c").select("node", "component_id")
     full = sets.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     bare = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.union(bare)
+
+
+def first_of_components(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when each component of jaccard_components keeps one: that with the smallest doc_id (null last), then the smallest hash of its text.
+
+    Rows are told apart by doc_id and text, so a doc_id that is null or repeated with
+    other texts loses nothing but near copies. Rows without shingles all stay.
+    """
+    sets, named = _linked(docs)
+    keys = lambda df, text: (F.coalesce(df["doc_id"].cast("long"), F.lit(0)).alias("_id"), df["doc_id"].isNull().alias("_none"), text.alias("_mark"))
+    full = sets.where("n > 0").join(named.select("node", "c"), "node")
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b")
+    first = full.groupBy("c").agg(lowest).select(F.col("b.doc_id").alias("doc_id"), F.col("b.mark").alias("mark"))
+    first = first.select(*keys(first, F.col("mark")))
+    bare = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(~bare)
+    rows = rows.select(*rows.columns, *keys(rows, _mark()))
+    stay = rows.join(first, ["_id", "_none", "_mark"], "left_semi").dropDuplicates(["_id", "_none", "_mark"])
+    return stay.select(*docs.columns).union(docs.where(bare))

@@ -3,6 +3,8 @@
 import collections
 import heapq
 
+import corpus_pipeline
+
 from filamenta.llm import packing, surrogates
 
 
@@ -41,3 +43,16 @@ def test_packs_of_one_dominant_length_are_filled():
                 got[n] += count
         assert got == histogram
     assert sum(count for count, _ in packing.patterns({10: 1000}, 2048)) == -(-10 * 1000 // 2048)
+
+
+def test_near_duplicates_keep_rows_of_null_and_repeated_ids(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    near = lambda k: words(k) + " more"
+    rows = [(None, words(1)), (None, words(2)), (None, near(2)), (7, words(3)), (7, words(4)), (7, words(4)), (8, near(4)), (9, words(5)), (None, near(5)), (None, words(6)), (1, near(6)), (None, None), (None, ""), (3, " \t"), (3, " \t")]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    either = [(None, words(2)), (None, near(2))]
+    assert sum(got.pop(r, 0) for r in either) == 1
+    assert got == collections.Counter([(None, words(1)), (7, words(3)), (7, words(4)), (9, words(5)), (1, near(6)), (None, None), (None, ""), (3, " \t"), (3, " \t")])
