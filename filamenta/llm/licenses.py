@@ -1,15 +1,15 @@
 """License scans by a positional rare-token index (operator 6), with DataFrame functions only.
 
 Templates are short licence notices, indexed as postings (word, template, place).
-Of each text, the licence words that the fewest documents hold are looked up; the
-places of a template's words that keep their distance from the template's beginning
-vote for (template, beginning). A template with enough votes gives its label if
+Of each text, all uncommon words of every template are looked up, however many
+templates it holds; the places of a template's words that keep their distance from
+the template's beginning vote for (template, beginning). A template with enough votes gives its label if
 the text also holds all its mandatory phrases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -18,6 +18,9 @@ from .common import keep
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use", "source and binary forms")),
+    ("bsd", "bsd license", ("bsd license",)),
+    ("bsd", "bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd", "bsd 3 clause license", ("bsd 3 clause",)),
     ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4",)),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4",)),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4",)),
@@ -27,14 +30,15 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "hereby granted")),
     ("lgpl", "gnu lesser general public license", ("lesser general public license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted", "free of charge")),
+    ("mit", "mit license", ("mit license",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
 )
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Words of templates too common in any language to look up.
-COMMON = frozenset("a and any are by copy following for form forms free in into is made met of on or person purpose source subject terms that the this to under use v version with without work 0 2 3 4".split())
-#: Licence words looked up of one text, the rarest; share of a template's looked-up words that must agree on its beginning.
-RAREST, AGREE = 8, 0.6
+COMMON = frozenset("a and any are by copy following for form forms free in into is made met mit of on or person purpose source subject terms that the this to under use v version with without work 0 2 3 4".split())
+#: Share of a template's looked-up words that must agree on its beginning.
+AGREE = 0.6
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -63,7 +67,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     candidate = (F.size("present") >= 2) | F.arrays_overlap("present", literal([a for a in anchors if a in rare]))
     hits = F.filter(F.transform("w", lambda w, i: F.struct((i - F.col("lead")).cast("long").alias("at"), w.alias("word"))), lambda x: x["word"].isin(*vocabulary))
     joined = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    holds = [F.when(F.lit(True) if not phrases else _all([F.col("joined").contains(f" {p} ") for p in phrases]), F.lit(label)) for label, _, phrases in templates]
+    holds = [F.when(F.lit(True) if not phrases else _all([F.col("joined").contains(f" {p} ") for p in phrases]), F.lit(k)) for k, (_, _, phrases) in enumerate(templates)]
     scanned = found.select("doc_id", "n_words", "present", F.when(candidate, hits).alias("hits"), F.when(candidate, joined).alias("joined"))
     scanned = scanned.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "present", "hits", F.when(F.col("joined").isNotNull(), F.array_compact(F.array(*holds))).alias("holds"))
     scanned = keep(scanned, "scanned")
@@ -87,19 +91,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE) -> DataFrame:
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(base)]))
     based = marked.select("row", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("own"))
 
-    total = scanned.count()
-    held = scanned.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.broadcast(held.select("word", F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf")))  # at most a row a licence word
-    order = Window.partitionBy("row").orderBy(F.desc("idf"), "word")
-    looked = marked.select("row", F.explode("present").alias("word")).join(idf, "word").withColumn("r", F.row_number().over(order)).where(F.col("r") <= RAREST).select("row", "word")
-    postings = spark.createDataFrame([(w, label, at) for label, t, _ in templates for at, w in enumerate(t.split()) if w not in COMMON], "word string, template string, place long")
-    asked = looked.join(F.broadcast(postings), "word").groupBy("row", "template").agg(F.count("*").alias("asked"))
-    where = marked.select("row", F.explode("hits").alias("hit")).select("row", "hit.word", "hit.at").join(looked, ["row", "word"])
-    votes = where.join(F.broadcast(postings), "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.count("*").alias("votes"))
+    postings = F.broadcast(spark.createDataFrame([(w, k, at) for k, (_, t, _) in enumerate(templates) for at, w in enumerate(t.split()) if w not in COMMON], "word string, template int, place long"))
+    asked = marked.select("row", F.explode("present").alias("word")).join(postings, "word").groupBy("row", "template").agg(F.count("*").alias("asked"))
+    where = marked.select("row", F.explode("hits").alias("hit")).select("row", "hit.word", "hit.at")
+    votes = where.join(postings, "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("row", "template").agg(F.max("votes").alias("votes")).join(asked, ["row", "template"])
     best = best.withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("asked"))).where(F.col("share") >= AGREE)
     best = best.join(marked.select("row", F.explode("holds").alias("template")), ["row", "template"])
-    added = best.groupBy("row").agg(F.collect_set("template").alias("more"), F.max("share").alias("share"))
+    labelled = F.element_at(literal([label for label, _, _ in templates]), F.col("template") + 1)
+    added = best.withColumn("template", labelled).groupBy("row").agg(F.collect_set("template").alias("more"), F.max("share").alias("share"))
 
     out = scanned.select("row", "doc_id", "n_words").join(based, "row", "left").join(added, "row", "left")
     none = F.array().cast("array<string>")

@@ -5,7 +5,7 @@ import heapq
 
 import corpus_pipeline
 
-from filamenta.llm import packing, surrogates
+from filamenta.llm import licenses, packing, surrogates
 
 
 def test_surrogates_of_case_variants_differ(spark):
@@ -56,3 +56,13 @@ def test_near_duplicates_keep_rows_of_null_and_repeated_ids(spark):
     either = [(None, words(2)), (None, near(2))]
     assert sum(got.pop(r, 0) for r in either) == 1
     assert got == collections.Counter([(None, words(1)), (7, words(3)), (7, words(4)), (9, words(5)), (1, near(6)), (None, None), (None, ""), (3, " \t"), (3, " \t")])
+
+
+def test_licenses_of_files_with_several_notices(spark):
+    notice = {label: text for label, text, _ in reversed(licenses.TEMPLATES)}
+    some = ["mit", "bsd", "apache-2.0", "isc", "epl-2.0"]
+    texts = [" . ".join(notice[k] for k in ("mit", "bsd", "apache-2.0")), " . ".join(notice[k] for k in some), "Released under the MIT License.", "See the BSD 3-Clause License", "a mit license words"[:5]]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, notice["apache-2.0"]) for k in range(20)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {"mit", "bsd", "apache-2.0"} <= got[0] and set(some) <= got[1]
+    assert (got[2], got[3], got[4]) == ({"mit"}, {"bsd"}, {""})
