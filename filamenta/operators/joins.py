@@ -34,8 +34,8 @@ def contained_in(names: DataFrame, name: str, patterns: list[tuple[str, int]]) -
     return out
 
 
-def near_semi(df: DataFrame, other: DataFrame, partition: list[str], x: str, y: str, distance: float, rid: str) -> DataFrame:
-    """Rows of df with any row of other at most distance away in the same partition.
+def near_semi(df: DataFrame, other: DataFrame, partition: list[str], x: str, y: str, distance: float, rid: str, own: bool = True) -> DataFrame:
+    """Rows of df with any row of other (without own: any of another rid) at most distance away in the same partition.
 
     Points fall into square cells of that size; other's rows go to the nine cells
     around them, so the join is an equality of cells with a distance check.
@@ -43,15 +43,17 @@ def near_semi(df: DataFrame, other: DataFrame, partition: list[str], x: str, y:
     side = distance or 1.0
     cell = lambda c: F.floor(F.col(c) / side)
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    right = other.select(*partition, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_i", cell("_x")).withColumn("_j", cell("_y"))
+    right = other.select(*partition, F.col(rid).alias("_rid"), F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_i", cell("_x")).withColumn("_j", cell("_y"))
     right = right.withColumn("_di", around).withColumn("_dj", around)
-    right = right.select(*partition, "_x", "_y", (F.col("_i") + F.col("_di")).alias("_ci"), (F.col("_j") + F.col("_dj")).alias("_cj"))
+    right = right.select(*partition, "_rid", "_x", "_y", (F.col("_i") + F.col("_di")).alias("_ci"), (F.col("_j") + F.col("_dj")).alias("_cj"))
     left = df.withColumn("_ci", cell(x)).withColumn("_cj", cell(y)).alias("l")
     r = right.alias("r")
     same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in (*partition, "_ci", "_cj")]
     near = F.pow(F.col(f"l.{x}") - F.col("r._x"), 2) + F.pow(F.col(f"l.{y}") - F.col("r._y"), 2) <= distance * distance
     for s in same:
         near = near & s
+    if not own:
+        near = near & (F.col(f"l.{rid}") != F.col("r._rid"))
     return left.join(r, near, "left_semi").drop("_ci", "_cj")
 
 

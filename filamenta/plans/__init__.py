@@ -104,6 +104,7 @@ _q("select_common_helices", lambda d: J.semi(d, d.where("score > 60"), ["mic", "
 _q("copy_parm_keep_last", lambda d: J.last_lookup(d.select("rid", "mic", "score"), d.where("cls = 1").select("mic", "score", "rid"), "mic", ["score"], "rid"), ", k AS (SELECT mic, arg_max(score, rid) AS s FROM seg WHERE cls = 1 GROUP BY mic) SELECT rid, seg.mic, k.s AS score FROM seg LEFT JOIN k ON seg.mic = k.mic")
 _q("copy_ctf_group_mean", lambda d: J.group_mean_lookup(d.select("rid", "mic", "defocus_u"), d.where("cls <> 3"), "mic", ["defocus_u"]).select("rid", "mic", _r("defocus_u")), ", k AS (SELECT mic, avg(defocus_u) AS m FROM seg WHERE cls <> 3 GROUP BY mic) SELECT rid, seg.mic, round(k.m, 4) AS defocus_u FROM seg LEFT JOIN k ON seg.mic = k.mic")
 _q("select_by_location_range_join", lambda d: J.near_semi(d.where("rid % 2 = 0"), d.where("rid % 2 = 1"), ["mic"], "x", "y", 2.0, "rid").select("rid"), "SELECT rid FROM seg a WHERE rid % 2 = 0 AND EXISTS (SELECT 1 FROM seg b WHERE b.rid % 2 = 1 AND a.mic = b.mic AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0)")
+_q("select_by_location_all", lambda d: J.near_semi(d, d, ["mic"], "x", "y", 2.0, "rid", own=False).select("rid"), "SELECT rid FROM seg a WHERE EXISTS (SELECT 1 FROM seg b WHERE b.rid <> a.rid AND a.mic = b.mic AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0)")
 _q("containment_join", lambda d: d.select("rid", J.contained_in(d, "tube", [("li", 1), ("e", 2)]).alias("grp")), "SELECT rid, CASE WHEN contains(tube, 'li') THEN 1 WHEN contains(tube, 'e') THEN 2 ELSE 0 END AS grp FROM seg")
 _q("recover_full_filaments", lambda d: J.recover_filaments(d.where("score > 30"), d, ["mic", "tube"], 0.6).select("rid"), "SELECT rid FROM seg WHERE (mic, tube) IN (SELECT (mic, tube) FROM seg GROUP BY mic, tube HAVING count(*) FILTER (WHERE score > 30) / count(*) >= 0.6 AND count(*) FILTER (WHERE score > 30) > 0)")
 # Filaments
@@ -114,6 +115,7 @@ _q("rebase_track", lambda d: L.rebased(d).select("rid", _r("track0")), "SELECT r
 _q("angle_variance_circular", lambda d: L.angle_variance(d).select("mic", "tube", _r("tilt_mean"), _r("tilt_std", 3), _r("psi_std", 3)), "SELECT mic, tube, round((degrees(atan2(avg(sin(radians(tilt))), avg(cos(radians(tilt))))) + 360) % 360, 4) AS tilt_mean, round(degrees(sqrt(-2 * ln(least(1.0, sqrt(pow(avg(sin(radians(tilt))), 2) + pow(avg(cos(radians(tilt))), 2)))))), 3) AS tilt_std, round(degrees(sqrt(-2 * ln(least(1.0, sqrt(pow(avg(sin(radians(2 * psi))), 2) + pow(avg(cos(radians(2 * psi))), 2)))))) / 2, 3) AS psi_std FROM seg GROUP BY mic, tube")
 _q("angle_unwrap", lambda d: L.unwrapped(d).select("rid", _r("unwrapped")), ", s AS (SELECT *, (((rot - lag(rot) OVER w + 180) % 360) + 360) % 360 - 180 AS step, first_value(rot) OVER w AS f FROM seg WINDOW w AS (PARTITION BY mic, tube ORDER BY track, rid)) SELECT rid, round(f + sum(coalesce(step, 0)) OVER (PARTITION BY mic, tube ORDER BY track, rid ROWS UNBOUNDED PRECEDING), 4) AS unwrapped FROM s")
 _q("hom_fit_best_slope", lambda d: L.best_slope(d.withColumn("track", F.col("track") / 3600), ["mic"], 25, 121).select("mic", _r("variance", 6)), ", s AS (SELECT mic, rot, track / 3600 - min(track / 3600) OVER (PARTITION BY mic) AS t, count(*) OVER (PARTITION BY mic) AS n FROM seg), g AS (SELECT -1.1 + k * (2.2 / 120) AS slope FROM range(121) r(k)), f AS (SELECT mic, slope, 1 - sqrt(pow(avg(cos(radians(rot - slope * t))), 2) + pow(avg(sin(radians(rot - slope * t))), 2)) AS v FROM s, g WHERE n >= 25 GROUP BY mic, slope) SELECT mic, round(min(v), 6) AS variance FROM f GROUP BY mic")
+_q("hom_fit_all_slopes", lambda d: L.best_slope(d.withColumn("track", F.col("track") / 3600), ["mic"]).select("mic", "slope", "variance"))
 _PAIRS = ", p AS (SELECT a.mic, a.tube, a.cls, b.track - a.track AS distance FROM seg a JOIN seg b ON a.mic = b.mic AND a.tube = b.tube AND a.cls = b.cls AND a.track < b.track AND abs((((a.psi - b.psi + 180) % 360) + 360) % 360 - 180) < 90)"
 _q("pair_distances", lambda d: L.pair_distances(d).select("mic", "tube", "cls", _r("distance")), f"{_PAIRS} SELECT mic, tube, cls, round(distance, 4) AS distance FROM p")
 _q("pair_distance_histogram", lambda d: L.pair_distances(d).groupBy(F.floor(F.col("distance") / 86400).alias("bin")).agg(F.count("*").alias("n")).withColumn("twist", F.round(360.0 / ((F.col("bin") + 0.5) * 86400 / 4.75), 8)), f"{_PAIRS} SELECT CAST(floor(distance / 86400) AS BIGINT) AS bin, count(*) AS n, round(360.0 / ((floor(distance / 86400) + 0.5) * 86400 / 4.75), 8) AS twist FROM p GROUP BY floor(distance / 86400)")
