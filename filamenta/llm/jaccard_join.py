@@ -1,10 +1,12 @@
-"""N-gram Jaccard join as a blocked sparse matrix product (operator 7).
+"""N-gram Jaccard join by blocked column counts, prefixes and verification (operator 7).
 
 The matrix has a row per distinct shingle set and a column per 5-word shingle.
 Documents with equal sets are one row from the start, so a group of copies costs
-one row. Columns are dealt into blocks as binary arrays; a block's task multiplies
-its part of the matrix by its transpose, keeping only entries that the
-size-derived bounds allow:
+one row. Columns are dealt into blocks as binary arrays; a block's task counts the
+rows of its columns. Pairs come from a join of the rows' leading entries on their
+column and are verified on full rows. The matrix isn't multiplied by its transpose
+and overlaps of crossing pairs aren't accumulated, because a common column would
+emit the square of its rows; these bounds leave few pairs to verify:
 
 * every column's rows are counted, and a row enters only the first
   n - ceil(0.8 n) + 1 of its n columns, rarest first (a pair at similarity 0.8
@@ -15,10 +17,10 @@ size-derived bounds allow:
 * a row misses at least as many columns of another as that has hash residues of
   columns which the first lacks; a sketch of one bit a residue tells.
 
-First the overlap counts elect one partner for each row, twice, whose full rows are
-multiplied out exactly. That joins a group of near copies with as many products as
+First counts of shared leading columns elect one partner for each row, twice, and
+their full rows are intersected exactly. That joins a group of near copies with as many products as
 it has members. Then every pair of rows in *different* components that passes the
-bounds is multiplied out. Pairs inside a component can't change it, so the
+bounds is intersected. Pairs inside a component can't change it, so the
 components are exact and no group emits all its pairs.
 """
 
