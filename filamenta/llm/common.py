@@ -6,8 +6,10 @@ Nothing here keeps state on the driver beyond what its docstring bounds.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +24,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_kept: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def keep(df: DataFrame, label: str = "step") -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
@@ -38,7 +45,19 @@ def keep(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _kept[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that keep() wrote and nothing will read again."""
+    for df in tables:
+        path = _kept.pop(df, None)
+        if path:
+            jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -99,14 +118,17 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = keep(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        before, e = e, keep(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        discard(before, large)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_033)).first()
         if now == seen:
             break
         seen = now
     leaves = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return keep(leaves.union(roots), "components")
+    out = keep(leaves.union(roots), "components")
+    discard(e)
+    return out
 
 
 def ranked(df: DataFrame, group: str, order: Column, tie: list[str], rank: str, buckets: int = 1024) -> DataFrame:

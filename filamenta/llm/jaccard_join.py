@@ -1,27 +1,30 @@
-"""N-gram Jaccard join by blocked column counts, prefixes and verification (operator 7).
+"""N-gram Jaccard join as a blocked sparse matrix product (operator 7).
 
 The matrix has a row per distinct shingle set and a column per 5-word shingle.
 Documents with equal sets are one row from the start, so a group of copies costs
 one row. Columns are dealt into blocks as binary arrays; a block's task counts the
-rows of its columns. Pairs come from a join of the rows' leading entries on their
-column and are verified on full rows. The matrix isn't multiplied by its transpose
-and overlaps of crossing pairs aren't accumulated, because a common column would
-emit the square of its rows; these bounds leave few pairs to verify:
-
-* every column's rows are counted, and a row enters only the first
-  n - ceil(0.8 n) + 1 of its n columns, rarest first (a pair at similarity 0.8
-  shares one of these); most rows have so many columns of their own that they
-  don't enter at all;
-* two rows that first meet at their places i and j can overlap in at most
+rows of its columns, and what others share of a row comes back to the bucket of
+that row, packed into one record a block and bucket.
+
+The product of the matrix with its transpose would emit the square of a common
+column's rows, so it is taken over the entries that can begin a link:
+
+* a row enters only the first n - ceil(0.8 n) + 1 of its n columns, rarest first (a
+  pair at similarity 0.8 shares one of these); most rows have so many columns of
+  their own that they don't enter at all;
+* two rows that meet at their places i and j can overlap from there in at most
   min(n_x - i, n_y - j) columns, which must reach 4/9 (n_x + n_y);
+* overlap counts of a pair are summed over all columns where it meets, and the pair
+  is discarded if the sum and what can follow its last meeting stay below that bound;
 * a row misses at least as many columns of another as that has hash residues of
   columns which the first lacks; a sketch of one bit a residue tells.
 
 First counts of shared leading columns elect one partner for each row, twice, and
-their full rows are intersected exactly. That joins a group of near copies with as many products as
-it has members. Then every pair of rows in *different* components that passes the
-bounds is intersected. Pairs inside a component can't change it, so the
-components are exact and no group emits all its pairs.
+their full rows are intersected exactly. That joins a group of near copies with as
+many products as it has members. Then the product of rows in *different* components
+is taken, and the pairs that pass all bounds are intersected. Pairs inside a
+component can't change it, so the components are exact and no group emits all its
+pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, mix64, small_batches
+from .common import components, discard, keep, mix64, small_batches
 from .shingles import shingle_sets
 
 #: Shingles that at least 1/512 of the documents of some window of 2**20 shingles hold count as frequent; at most so many are kept, the most frequent.
@@ -47,6 +50,9 @@ SKETCH_BITS = (2048, 1 << 17)
 #: Bits of the filter that keeps the full rows of uninvolved documents from being shuffled. A full filter lets every row pass; results don't depend on it.
 FILTER_BITS = 1 << 23
 
+#: Shingles of a block, so that a task's share of the matrix stays small; distinct sets that a task remembers (a set dealt twice counts once).
+BLOCK, SEEN = 2_000_000, 1 << 19
+
 _PROFILE = "doc_id long, mark long, n long, node long, sketch array<long>, shingle long, times long"
 _FEASIBLE = "9 * least({a}.n - {a}.i, {b}.n - {b}.i) >= 4 * ({a}.n + {b}.n)"
 
@@ -133,7 +139,7 @@ def _blocks(frequent: tuple[np.ndarray, np.ndarray], blocks: int):
             for a, b in zip(cuts, [*cuts[1:], len(order)]):
                 rows, lengths = np.unique(row[a:b], return_counts=True)
                 stored = name[a:b] if hot else (name[a:b] // np.uint64(blocks)).astype(np.uint32)
-                values = (int(block[a]), hot, stored.tobytes(), times[at[mine[a:b]]].astype(np.int32).tobytes() if hot else b"", lengths.astype(np.uint32).tobytes(), node[rows].tobytes(), n[rows].tobytes(), d[rows].tobytes())
+                values = (int(block[a]), hot, stored.tobytes(), (np.minimum(times[at[mine[a:b]]], _OFTEN - 1) + _OFTEN).astype(np.int32).tobytes() if hot else b"", lengths.astype(np.uint32).tobytes(), node[rows].tobytes(), n[rows].tobytes(), d[rows].tobytes())
                 for held, x in zip(out, values):
                     held.append(x)
         kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
@@ -146,6 +152,8 @@ def _blocks(frequent: tuple[np.ndarray, np.ndarray], blocks: int):
             for _, s in shingle_sets(batch.column("text")):
                 if not len(s) or (node := _node(s)) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(node)
                 sets.append(s)
                 nodes.append(node)
@@ -159,26 +167,27 @@ def _blocks(frequent: tuple[np.ndarray, np.ndarray], blocks: int):
     return deal
 
 
-_SHARED = "node long, n int, d int, hot boolean, h array<long>, times array<int>"
+_PACKED = "bucket int, node binary, n binary, d binary, length binary, h binary, times binary"
+#: Added to the count of a frequent column, so that these come after all others; counts are cut off below it, which only orders columns.
+_OFTEN = 1 << 30
 
 
-def _by_row(hot: bool, h: np.ndarray, node: np.ndarray, n: np.ndarray, d: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of entries ordered by node, one record a node, a few hundred thousand entries at once."""
-    begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(h) else np.zeros(0, np.intp)
-    ends = np.append(begins[1:], len(h))
-    first = 0
-    while first < len(begins):
-        last = max(first + 1, int(np.searchsorted(ends, begins[first] + (1 << 18), "right")))
-        a, b = begins[first], ends[last - 1]
-        offsets = pa.array(np.append(begins[first:last], b) - a, pa.int32())
-        chosen = begins[first:last]
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[a:b].view(np.int64), times[a:b].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([pa.array(node[chosen]), pa.array(n[chosen]), pa.array(d[chosen]), pa.array(np.full(len(chosen), hot)), *lists], ["node", "n", "d", "hot", "h", "times"])
-        first = last
+def _shared(blocks: int):
+    """Of the blocks of a task, each row's columns that other rows hold too, with the number of rows that hold them.
 
+    Everything that goes to one bucket of rows is one record, so records are as many
+    as pairs of tasks and buckets, whatever the rows.
+    """
 
-def _shared(blocks: int):
-    """Of the blocks of a task, each row's columns that other rows hold too, with the number of rows that hold them."""
+    def packed(node: np.ndarray, n: np.ndarray, d: np.ndarray, h: np.ndarray, times: np.ndarray) -> Iterator[tuple]:
+        bucket = (node.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((node, bucket))
+        node, n, d, h, times, bucket = node[order], n[order], d[order], h[order], times[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            begins = a + np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
+            length = np.diff(np.append(begins, b)).astype(np.uint32)
+            yield int(bucket[a]), node[begins].tobytes(), n[begins].tobytes(), d[begins].tobytes(), length.tobytes(), h[a:b].tobytes(), times[a:b].tobytes()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple[np.ndarray, ...]]] = {False: [], True: []}
@@ -221,42 +230,67 @@ def _shared(blocks: int):
             h, row = h[fresh], row[fresh]
             if not hot:
                 begins = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.intp)
-                met = np.diff(np.append(begins, len(h)))
-                times = np.repeat(met, met)
+                met = np.minimum(np.diff(np.append(begins, len(h))), _OFTEN - 1)
+                times = np.repeat(met, np.diff(np.append(begins, len(h)))).astype(np.int32)
                 often = times > 1
                 h, row, times = h[often], row[often], times[often]
-            order = np.argsort(nodes[row], kind="stable")
-            h, row, times = h[order], row[order], times[order]
-            yield from _by_row(hot, h, nodes[row], sizes[row], names[row], times)
+            del order, fresh, node
+            for record in packed(nodes[row], sizes[row], names[row], h, times) if len(h) else ():
+                yield pa.RecordBatch.from_arrays([pa.array([record[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in record[1:]]], ["bucket", "node", "n", "d", "length", "h", "times"])
 
     return count
 
 
-def _leading(shared: DataFrame) -> DataFrame:
-    """(h, node, n, i): of each row the columns among its first n - ceil(0.8 n) + 1 that other rows hold, and their places.
+_ENTRY = "h long, node long, n int, i int"
+
+
+def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node, n, i): of each row of a task's buckets the columns among its first n - ceil(0.8 n) + 1 that other rows hold, and their places.
 
     Columns that no other row holds come first, then those with few rows, frequent
-    ones last. A row with enough columns of its own has no entries at all. The group
-    of a node is one distinct set, whatever the number of its copies.
+    ones last. A row with enough columns of its own has no entries at all. A node is
+    one distinct set, whatever the number of its copies.
     """
-    listed = shared.select("node", "n", "d", F.arrays_zip(F.transform("h", lambda x: F.col("hot")).alias("hot"), "times", "h").alias("columns"))
-    row = listed.groupBy("node").agg(F.first("n").alias("n"), F.first("d").alias("d"), F.flatten(F.collect_list("columns")).alias("columns"))
-    row = row.withColumn("own", F.col("d") - F.size("columns")).withColumn("held", F.expr("n - (4 * n + 4) div 5 + 1 - own")).where("held > 0")
-    places = row.select("node", "n", "own", F.posexplode(F.slice(F.array_sort("columns"), F.lit(1), F.col("held").cast("int"))).alias("pos", "column"))
-    return places.select(F.col("column.h").alias("h"), "node", "n", (F.col("own") + F.col("pos")).alias("i"))
+    parts = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            node, n, d, length, h, times = (np.frombuffer(batch.column(c)[k].as_py(), kind) for c, kind in (("node", np.int64), ("n", np.int32), ("d", np.int32), ("length", np.uint32), ("h", np.uint64), ("times", np.int32)))
+            parts.append((np.repeat(node, length), np.repeat(n, length), np.repeat(d, length), h, times))
+    if not parts:
+        return
+    node, n, d, h, times = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    parts.clear()
+    order = np.lexsort((h, times, node))
+    node, n, d, h = node[order], n[order], d[order], h[order]
+    del order, times
+    begins = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    size = np.diff(np.append(begins, len(node)))
+    own = d - np.repeat(size, size)
+    place = own + np.arange(len(node)) - np.repeat(begins, size)
+    led = np.flatnonzero(place < n - (4 * n.astype(np.int64) + 4) // 5 + 1)
+    for a in range(0, len(led), 1 << 16):
+        some = led[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(node[some]), pa.array(n[some]), pa.array(place[some].astype(np.int32))], ["h", "node", "n", "i"])
 
 
 def _rows_of(bits: np.ndarray):
-    """The full rows of documents whose id may be among those that the filter holds."""
+    """The full rows, one a distinct set and task, of documents whose id may be among those that the filter holds."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             at = np.mod(batch.column("doc_id").to_numpy(zero_copy_only=False), FILTER_BITS)
             chosen = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(chosen):
-                part = batch.take(pa.array(chosen))
-                sets = [s.view(np.int64) for _, s in shingle_sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([_node(s.view(np.uint64)) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "node", "shingles"])
+                fresh = {}
+                for _, s in shingle_sets(batch.column("text").take(pa.array(chosen))):
+                    node = _node(s)
+                    if node not in seen:
+                        fresh[node] = s.view(np.int64)
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.update(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.list_(pa.int64()))], ["node", "shingles"])
 
     return emit
 
@@ -284,12 +318,15 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     for r in bitmaps:
         first = (r["bucket"] - 1) * 4096
         bits[first : first + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(_rows_of(bits), "doc_id long, node long, shingles array<long>")
-    rows = rows.join(wanted, ["doc_id", "node"]).select("node", "shingles")
+    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(_rows_of(bits), "node long, shingles array<long>")
+    rows = keep(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "rows")
+    # Both joins read tables, so Spark splits the partition of a row that many pairs have in common.
     left = pairs.join(rows.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = left.join(rows.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     overlap = F.size(F.array_intersect("of_a", "of_b"))
-    return keep(both.select("a", "b", overlap.alias("o"), (F.size("of_a") + F.size("of_b")).alias("m")).where("9L * o >= 4L * m").select("a", "b").distinct(), "links")
+    links = keep(both.select("a", "b", overlap.alias("o"), (F.size("of_a") + F.size("of_b")).alias("m")).where("9L * o >= 4L * m").select("a", "b"), "links")
+    discard(pairs, wanted, rows)
+    return links
 
 
 def _labelled(entries: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -331,9 +368,10 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = np.argsort(known)
     frequent = (known[order], rows["times"].to_numpy(np.int64)[order])
     total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = max(spark.sparkContext.defaultParallelism, total // 4_000_000 + 1)
+    blocks = max(spark.sparkContext.defaultParallelism, total // BLOCK + 1)
     dealt = docs.mapInArrow(_blocks(frequent, blocks), _BLOCKS).repartitionById(blocks, F.col("block"))
-    entries = keep(_leading(dealt.mapInArrow(_shared(blocks), _SHARED)), "entries")
+    shared = dealt.mapInArrow(_shared(blocks), _PACKED).repartitionById(blocks, F.col("bucket"))
+    entries = keep(shared.mapInArrow(_leading, _ENTRY), "entries")
     nodes = keep(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     links, label = None, None
@@ -349,8 +387,12 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_ = keep(labelled.join(mixed, "h"), "open")
     other = (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
     crossing = open_.where("c <> major").alias("x").join(open_.alias("y"), other & F.expr(_FEASIBLE.format(a="x", b="y")))
-    pairs = crossing.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    low, high = (lambda c: F.when(F.col("x.node") < F.col("y.node"), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))), (lambda c: F.when(F.col("x.node") < F.col("y.node"), F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    met = crossing.select(low("node").alias("a"), high("node").alias("b"), low("n").alias("na"), high("n").alias("nb"), low("i").alias("ia"), high("i").alias("ib"))
+    product = met.groupBy("a", "b").agg(F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    pairs = product.where("9 * (o + least(na - ia, nb - ib) - 1) >= 4 * (na + nb)").select("a", "b")
     label = components(links.union(_verified(docs, nodes, pairs)))
+    discard(entries, open_)
 
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
     return sets, named
@@ -389,5 +431,5 @@ def first_of_components(docs: DataFrame) -> DataFrame:
     bare = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.where(~bare)
     rows = rows.select(*rows.columns, *keys(rows, _mark()))
-    stay = rows.join(first, ["_id", "_none", "_mark"], "left_semi").dropDuplicates(["_id", "_none", "_mark"])
+    stay = rows.dropDuplicates(["_id", "_none", "_mark"]).join(first, ["_id", "_none", "_mark"], "left_semi")  # copies go before the shuffle
     return stay.select(*docs.columns).union(docs.where(bare))
