@@ -3,14 +3,18 @@
 A logistic model over the presence of words and word beginnings. It is fitted on a
 bounded sample of labelled rows; every text is scored whole. Sentences of the
 sample that name a social group are written again with each other group of the
-same kind in its place, and the loss adds PENALTY times the squared difference of
-the two scores before the logistic function, so that a neutral mention of a group
-carries no weight of its own.
+same kind in its place, and a sentence of each sampled text is written with and
+without a group of its language, so that there are pairs also where no text names
+one. The loss adds PENALTY times the squared difference of the two scores before
+the logistic function, so that a neutral mention of a group carries no weight of
+its own. Model.pairs and Model.change tell how many pairs there were and by how much
+their scores differ.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import keep, small_batches, text_or_empty
 
-#: Most labelled rows of either class that the model is fitted on, taken by a hash of the text; and most words of one such text.
-SAMPLE, SAMPLE_WORDS = 6000, 20_000
+#: Most labelled rows of either class that the model is fitted on, taken by a hash of their ids.
+SAMPLE = 6000
 #: Most features kept, those with the most evidence (G statistic); least number of sampled texts that hold one.
 FEATURES, LEAST_TEXTS = 20_000, 3
 PENALTY = 10.0
-#: Groups of interchangeable identity terms.
+#: Groups of interchangeable identity terms, by language.
 IDENTITIES = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -37,7 +41,24 @@ IDENTITIES = (
     ("deaf", "blind", "disabled", "autistic"),
     ("immigrant", "refugee", "foreigner", "native"),
     ("immigrants", "refugees", "foreigners", "natives"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "atheisten"),
+    ("schwule", "lesben", "heterosexuelle", "transsexuelle"),
+    ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "türken"),
+    ("flüchtlinge", "einwanderer", "ausländer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "athées"),
+    ("gays", "lesbiennes", "hétérosexuels", "transgenres"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains"),
+    ("réfugiés", "immigrés", "étrangers", "autochtones"),
+    ("mujeres", "hombres", "chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "ateos"),
+    ("homosexuales", "lesbianas", "heterosexuales", "transexuales"),
+    ("negros", "blancos", "asiáticos", "árabes", "africanos", "gitanos"),
+    ("refugiados", "inmigrantes", "extranjeros", "nativos"),
 )
+#: Words that tell the language of a sentence, and so the groups that are written into it; English if none does.
+_LANGUAGE = ((10, 15, frozenset("der die das und ein eine ist nicht mit zu den sich für".split())), (15, 20, frozenset("le les des et une est dans pour que du avec au sur".split())), (20, 25, frozenset("el los las y una es en para por con del como se".split())))
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&-_/\\|=+~`"
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -57,8 +78,9 @@ def features(text: str) -> set[str]:
 class Model:
     """Weights by feature; score() is 0 to 1."""
 
-    def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias, self._known = weights, bias, {}
+    def __init__(self, weights: dict[str, float], bias: float, pairs: int = 0, change: float = 0.0):
+        """pairs: the counterfactual pairs it was fitted on; change: the mean difference of their scores before the logistic function."""
+        self.weights, self.bias, self.pairs, self.change, self._known = weights, bias, pairs, change, {}
 
     def _weighted(self, word: str) -> tuple[str, ...]:
         return tuple(f for f in features_of(word) if f in self.weights)
@@ -93,6 +115,22 @@ def counterfactuals(text: str, identities=IDENTITIES) -> list[tuple[set[str], se
     return out
 
 
+def written_in(text: str, identities=IDENTITIES) -> list[tuple[set[str], set[str]]]:
+    """Counterfactuals of one sentence of the text, chosen by its hash: without a group against with it, and with it against with the next of its kind, written behind the first word."""
+    sentences = [w for s in _SENTENCE.split(text.lower()) if (w := s.split())]
+    if not sentences:
+        return []
+    h = zlib.crc32(text.encode())
+    words = sentences[h % len(sentences)]
+    first, last = next(((a, b) for a, b, own in _LANGUAGE if len(own & set(words)) >= 2), (0, 10))
+    groups = identities[first:last] or identities
+    group = groups[(h >> 8) % len(groups)]
+    k = (h >> 16) % len(group)
+    here = {f for w in words for f in features_of(w)}
+    one, other = (set(features_of(group[j % len(group)])) - here for j in (k, k + 1))
+    return [p for p in ((set(), one), (one - other, other - one)) if p[0] or p[1]]
+
+
 def _constant(y: np.ndarray) -> Model:
     share = float(y.mean()) if len(y) else 0.0
     return Model({}, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
@@ -108,10 +146,15 @@ def chosen_features(counts: dict[str, tuple[int, int]], total: np.ndarray) -> li
     return [names[k] for k in best if evidence[k] >= 10.83]
 
 
+def with_identities(names: list[str], identities=IDENTITIES) -> list[str]:
+    """names, and the features of all identity terms, so that every pair has columns."""
+    return names + sorted({f for g in identities for t in g for f in features_of(t)} - set(names))
+
+
 def encoded(text: str, column: dict[str, int], identities=IDENTITIES) -> tuple[list[int], list[list[int]]]:
     """The columns of a text, and for each of its counterfactuals the columns that go (k) and come (-1 - k)."""
     moved = []
-    for gone, come in counterfactuals(text, identities):
+    for gone, come in [*counterfactuals(text, identities), *written_in(text, identities)]:
         m = [column[f] for f in sorted(gone) if f in column] + [-1 - column[f] for f in sorted(come) if f in column]
         if m:
             moved.append(m)
@@ -140,7 +183,8 @@ def optimised(names: list[str], held: list[list[int]], y: np.ndarray, moved: lis
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:d], b - move[d]
-    return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}, float(b))
+    change = float(np.abs(np.bincount(pi, ps * w[pj], pairs)).mean()) if pairs else 0.0
+    return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}, float(b), pairs, change)
 
 
 def fit(texts: list[str], labels: np.ndarray, penalty: float = PENALTY, identities=IDENTITIES) -> Model:
@@ -152,7 +196,7 @@ def fit(texts: list[str], labels: np.ndarray, penalty: float = PENALTY, identiti
     for t, label in zip(texts, y.astype(int)):
         for f in features(t):
             counts.setdefault(f, [0, 0])[label] += 1
-    names = chosen_features({f: tuple(c) for f, c in counts.items() if sum(c) >= LEAST_TEXTS}, np.bincount(y.astype(int), minlength=2))
+    names = with_identities(chosen_features({f: tuple(c) for f, c in counts.items() if sum(c) >= LEAST_TEXTS}, np.bincount(y.astype(int), minlength=2)), identities)
     column = {f: k for k, f in enumerate(names)}
     held, moved = zip(*[encoded(t, column, identities) for t in texts])
     return optimised(names, list(held), y, [m for ms in moved for m in ms], penalty)
@@ -176,8 +220,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, F.lit(int(min(1.0, limit / n) * (1 << 20)))).otherwise(share)
     chosen = y.where(F.col("_h") < share).select("doc_id", "label")
-    words = F.array_join(F.slice(F.split(text_or_empty(), r"\s+"), 1, SAMPLE_WORDS), " ")
-    return docs.join(F.broadcast(chosen), "doc_id").select(words.alias("text"), "label")
+    return docs.join(F.broadcast(chosen), "doc_id").select(text_or_empty().alias("text"), "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, penalty: float = PENALTY) -> Model:
@@ -204,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, penalty: floa
     counts = sample.mapInPandas(counted, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     apart = F.abs(F.col("clean") / n0 - F.col("toxic") / n1) / F.sqrt((F.col("clean") + F.col("toxic")) / (n0 + n1))
     rows = counts.where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS).orderBy(F.desc(apart), "feature").limit(2 * FEATURES).collect()
-    names = chosen_features({r["feature"]: (r["clean"], r["toxic"]) for r in rows}, np.array([n0, n1], float))
+    names = with_identities(chosen_features({r["feature"]: (r["clean"], r["toxic"]) for r in rows}, np.array([n0, n1], float)))
     column = {f: k for k, f in enumerate(names)}
 
     def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
