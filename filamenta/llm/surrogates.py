@@ -2,34 +2,47 @@
 
 Detected entities get keyed replacements of the same type and format. Numbers,
 addresses and secrets go through a keyed permutation of all strings of their own
-shape, so two different ones never share a surrogate; card numbers keep a valid
-check digit, IP addresses valid octets. Names after a title become other names of
-the same gender and script, chosen by a keyed hash. A collision check over the
-distinct entities of the whole corpus moves every entity but one that share a
-surrogate (but for letter case) to their next choice until none share one. Equal entities have equal
-surrogates everywhere, and later mentions of a family name follow its first.
+shape, so two different ones never share a surrogate; letters of any script are
+replaced by letters of their script and case; card numbers keep a valid check
+digit, IP addresses valid octets. Names after a title, and known given names before
+a family name, become other names of the same gender and script, chosen by a keyed
+hash. No entity becomes itself. A collision check over the distinct entities of the
+whole corpus moves every entity but one that share a surrogate (but for letter case)
+to their next choice until none share one. Equal entities have equal surrogates
+everywhere: a given name whose title tells no gender takes the gender that the
+corpus gives it, and later mentions of a name follow its first.
+
+The key comes from the setting spark.filamenta.surrogates.key. Whoever knows it can
+reverse the permutations, so there is no default: without the setting each call
+draws a key that is kept nowhere, and surrogates can't be matched between calls.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import string
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import discard, keep, small_batches
 
-KEY = b"filamenta-surrogates"
+KEY_SETTING = "spark.filamenta.surrogates.key"
+#: Rounds of the collision check, each of which moves all entities that share a surrogate; an error beyond.
+ROUNDS = 100
 #: Entities that had to move to a later choice and are sent to every task; beyond so many they are joined to their documents instead.
 SENT = 100_000
 #: Choices of one length; so many later ones have a character more, and so on.
 STRETCH = 8
 
 _DIGIT, _LOWER, _UPPER, _HEX = string.digits, string.ascii_lowercase, string.ascii_uppercase, "0123456789abcdef"
+_ALPHABETS = ("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 # Frequent given and family names, by gender and script.
 GIVEN = {
     ("f", "latin"): "Alice Anna Bella Carla Clara Diana Elena Emma Eva Flora Grace Helen Ida Irene Julia Laura Lena Lucia Maria Nina Nora Olga Paula Rosa Sara Sofia Vera Zoe".split(),
@@ -56,8 +69,16 @@ _FOUND = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?!\d))"
     r"|(?P<name>(?<!\w)(?P<title>" + "|".join(_TITLES) + r")\b\.?\s(?P<first>" + _CAP + r")(?:\s(?P<last>" + _CAP + r"))?)"
+    r"|(?P<person>(?<!\w)(?P<known>" + "|".join(n for names in GIVEN.values() for n in names) + r")\s(?P<family>" + _CAP + r")(?!\w))"
 )
-_HINT = re.compile(r"[@\d]|[=:]|(?<!\w)(?:" + "|".join(_TITLES) + r")\b")
+_HINT = re.compile(r"[@\d]|[=:]|(?<!\w)(?:" + "|".join([*_TITLES, *(n for names in GIVEN.values() for n in names)]) + r")\b")
+_GENDER = {n: g for (g, _), names in GIVEN.items() for n in names}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key of the session's setting, or one for this call alone."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return hashlib.blake2b(key.encode(), digest_size=32).digest() if key else secrets.token_bytes(32)
 
 
 def luhn(digits: str) -> int:
@@ -85,7 +106,7 @@ def permuted(key: bytes, tweak: str, number: int, size: int) -> int:
 def reshaped(key: bytes, kind: str, value: str, classes: list[str], attempt: int = 0) -> str:
     """value with every character whose class isn't empty permuted jointly inside its class, by another permutation for each shape and attempt."""
     out, chunk = list(value), 60
-    shape = "".join(c if classes[k] == "" else "U" if classes[k] == _UPPER else str(len(classes[k])) for k, c in enumerate(value))
+    shape = "".join(c if classes[k] == "" else f"<{classes[k]}>" if not classes[k].isascii() else "U" if classes[k] == _UPPER else str(len(classes[k])) for k, c in enumerate(value))
     places = [k for k, c in enumerate(classes) if c]
     for a in range(0, len(places), chunk):
         part = places[a : a + chunk]
@@ -101,8 +122,19 @@ def reshaped(key: bytes, kind: str, value: str, classes: list[str], attempt: int
     return "".join(out)
 
 
+@lru_cache(maxsize=1 << 16)
 def _class(c: str) -> str:
-    return _DIGIT if c in _DIGIT else _LOWER if c in _LOWER else _UPPER if c in _UPPER else ""
+    """The characters among which one is permuted: ASCII digits or letters of its case; beyond ASCII, those of its alphabet, or the letters or digits of its category in its 128 code points."""
+    if c.isascii():
+        return _DIGIT if c in _DIGIT else _LOWER if c in _LOWER else _UPPER if c in _UPPER else ""
+    for letters in _ALPHABETS:
+        if c in letters:
+            return letters
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return ""
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind)
 
 
 def script_of(word: str) -> str:
@@ -118,11 +150,19 @@ def _known_as(kind: str, value: str) -> str:
     return value.lower() if _is_name(kind) else value
 
 
-def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
-    """The attempt-th choice for an entity; kinds given:f, given:m, given: and family are names.
+def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
+    """The attempt-th choice for an entity, never itself (but for letter case); kinds given:f, given:m, given: and family are names.
 
     Emails, phones and secrets may have few or no characters to permute, so their choices from the STRETCH-th on are longer.
     """
+    out = _choice(kind, value, attempt, key)
+    while out.lower() == value.lower():
+        attempt += STRETCH
+        out = _choice(kind, value, attempt, key)
+    return out
+
+
+def _choice(kind: str, value: str, attempt: int, key: bytes) -> str:
     if _is_name(kind):
         script = script_of(value)
         genders = [kind[6:]] if kind in ("given:f", "given:m") else ["f", "m"]
@@ -172,41 +212,55 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
 
 
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, value) of the entities of a text, from left to right and without overlap."""
+    """(start, end, kind, value) of the entities of a text, from left to right and without overlap.
+
+    Names of a text that stand after a title or as a whole are found again where they
+    stand alone. A given name's gender is its title's, else that of the same name
+    elsewhere in the text, else that of the list of names.
+    """
     if not _HINT.search(text):
         return []
-    out, families = [], set()
+    out, given, families = [], {}, set()
+
+    def person(first: tuple[int, int] | None, name: str | None, last: tuple[int, int], family: str, gender: str) -> None:
+        if first is not None:
+            out.append((*first, f"given:{gender}" if gender else "given", name))
+            given[name] = given.get(name) or gender
+        out.append((*last, "family", family))
+        families.add(family)
+
     for m in _FOUND.finditer(text):
-        kind = m.lastgroup if m["name"] is None else "name"
-        if kind == "name":
-            gender = _TITLES[m["title"]]
-            if m["last"]:
-                out.append((*m.span("first"), f"given:{gender}", m["first"]))
-            family = "last" if m["last"] else "first"
-            out.append((*m.span(family), "family", m[family]))
-            families.add(m[family])
-        elif kind == "card":
+        if m["name"] is not None:
+            alone = m["last"] is None
+            person(None if alone else m.span("first"), m["first"], m.span("first" if alone else "last"), m["first" if alone else "last"], _TITLES[m["title"]])
+        elif m["person"] is not None:
+            person(m.span("known"), m["known"], m.span("family"), m["family"], "")
+        elif m.lastgroup == "card":
             digits = re.sub(r"\D", "", m["card"])
             out.append((*m.span(), "card" if luhn(digits[:-1]) == int(digits[-1]) else "number", m[0]))
         else:
-            out.append((*m.span(kind), kind, m[kind]))
-    if families:
-        taken = [(a, b) for a, b, _, _ in out]
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(families, key=len, reverse=True))) + r")(?!\w)", text):
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
-                out.append((*m.span(), "family", m[0]))
+            out.append((*m.span(m.lastgroup), m.lastgroup, m[m.lastgroup]))
+    names = families | set(given)
+    if names:
+        taken, k = sorted((a, b) for a, b, _, _ in out), 0
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)", text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or m.end() <= taken[k][0]:
+                out.append((*m.span(), "family" if m[0] in families else "given", m[0]))
         out.sort()
-    return out
+    return [(a, b, f"given:{given[v] or _GENDER.get(v, '')}" if kind == "given" else kind, v) for a, b, kind, v in out]
 
 
-def replaced(text: str, moved: dict[str, int], key: bytes = KEY) -> tuple[str, int]:
-    """The text with surrogates and their number; moved: the attempt of entities ("kind value") that aren't at their first choice."""
+def replaced(text: str, moved: dict[str, tuple[str, int]], key: bytes) -> tuple[str, int]:
+    """The text with surrogates and their number; moved: kind and attempt of entities ("kind value") that aren't at the first choice of their own kind."""
     found = entities(text)
     if not found:
         return text, 0
     out, at = [], 0
     for a, b, kind, value in found:
-        out += [text[at:a], surrogate(kind, value, moved.get(f"{kind} {_known_as(kind, value)}", 0), key)]
+        kind, attempt = moved.get(f"{kind} {_known_as(kind, value)}", (kind, 0))
+        out += [text[at:a], surrogate(kind, value, attempt, key)]
         at = b
     return "".join(out) + text[at:], len(found)
 
@@ -223,7 +277,13 @@ def _distinct_entities(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(found, _ENTITY).distinct()
 
 
-def collision_free(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def told_apart(found: DataFrame) -> DataFrame:
+    """(value, as_kind): given names without a gender that the corpus has with one gender elsewhere."""
+    gendered = found.where("kind in ('given:f', 'given:m')").groupBy("value").agg(F.count("*").alias("n"), F.max("kind").alias("as_kind")).where("n = 1")
+    return found.where("kind = 'given:'").join(gendered, "value").select("value", "as_kind")
+
+
+def collision_free(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
     """(kind, value, attempt, surrogate) of distinct entities, no two with one surrogate, whatever its letter case."""
 
     @F.pandas_udf("string")
@@ -231,29 +291,38 @@ def collision_free(found: DataFrame, key: bytes = KEY) -> DataFrame:
         return pd.Series([surrogate(k, v, a, key).lower() for k, v, a in zip(kind, value, attempt)], dtype=object)
 
     now = keep(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", choice("kind", "value", "attempt")), "surrogates")
-    while True:
+    for _ in range(rounds):
         owner = now.groupBy("surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("surrogate", "owner")
         losing = now.join(owner, "surrogate").where("owner.kind <> kind or owner.value <> value").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         losing = keep(losing.withColumn("surrogate", choice("kind", "value", "attempt")), "surrogates")
         if losing.isEmpty():
             return now
-        now = keep(now.join(losing, ["kind", "value"], "left_anti").unionByName(losing), "surrogates")
+        before, now = now, keep(now.join(losing, ["kind", "value"], "left_anti").unionByName(losing), "surrogates")
+        discard(before, losing)
+    raise RuntimeError(f"entities still share surrogates after {rounds} rounds")
 
 
-def replace_personal_data(docs: DataFrame, key: bytes = KEY, sent: int = SENT) -> DataFrame:
+def replace_personal_data(docs: DataFrame, key: bytes | None = None, sent: int = SENT) -> DataFrame:
     """docs with all its columns, text rewritten, and n_replaced (long).
 
-    A null text stays null (n_replaced 0), texts without entities stay as they are,
-    n_chars, where docs has it, is counted anew. Repeated rows are rewritten alike;
-    an empty table gives an empty result. A column n_replaced of docs is overwritten.
+    key: of the permutations and hashes; by default key_of() the session. A null text
+    stays null (n_replaced 0), texts without entities stay as they are, n_chars, where
+    docs has it, is counted anew. Repeated rows are rewritten alike; an empty table
+    gives an empty result. A column n_replaced of docs is overwritten.
     """
     small_batches(docs.sparkSession)
-    assigned = collision_free(_distinct_entities(docs), key)
-    moved = keep(assigned.where("attempt > 0").select(F.concat_ws(" ", "kind", "value").alias("entity"), "attempt"), "moved")
+    key = key or key_of(docs.sparkSession)
+    found = keep(_distinct_entities(docs), "entities")
+    alias = told_apart(found)
+    assigned = collision_free(found.join(alias.select("value", F.lit("given:").alias("kind")), ["kind", "value"], "left_anti"), key)
+    named = lambda kind: F.concat_ws(" ", kind, "value").alias("entity")
+    moved = assigned.where("attempt > 0").select(named("kind"), "kind", "attempt")
+    led = alias.join(assigned, (alias["value"] == assigned["value"]) & (alias["as_kind"] == assigned["kind"])).select(F.concat_ws(" ", F.lit("given:"), alias["value"]).alias("entity"), "kind", "attempt")
+    moved = keep(moved.unionByName(led), "moved")
     names = docs.columns
 
     if moved.limit(sent + 1).count() <= sent:
-        sent_all = {r["entity"]: r["attempt"] for r in moved.collect()}
+        sent_all = {r["entity"]: (r["kind"], r["attempt"]) for r in moved.collect()}
 
         @F.pandas_udf("text string, n_replaced long")
         def rewrite(text: pd.Series) -> pd.DataFrame:
@@ -263,15 +332,15 @@ def replace_personal_data(docs: DataFrame, key: bytes = KEY, sent: int = SENT) -
     else:
 
         @F.pandas_udf("array<string>")
-        def named(text: pd.Series) -> pd.Series:
+        def of_text(text: pd.Series) -> pd.Series:
             return text.map(lambda t: sorted({f"{k} {_known_as(k, v)}" for _, _, k, v in entities(t or "")}))
 
         @F.pandas_udf("text string, n_replaced long")
         def rewrite_by(text: pd.Series, moves: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([(None, 0) if t is None else replaced(t, {e["entity"]: e["attempt"] for e in (m if m is not None else [])}, key) for t, m in zip(text, moves)], columns=["text", "n_replaced"])
+            return pd.DataFrame([(None, 0) if t is None else replaced(t, {e["entity"]: (e["kind"], e["attempt"]) for e in (m if m is not None else [])}, key) for t, m in zip(text, moves)], columns=["text", "n_replaced"])
 
         rows = docs.withColumn("_row", F.monotonically_increasing_id())
-        of_row = rows.select("_row", F.explode(named("text")).alias("entity")).join(moved, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "attempt")).alias("_moves"))  # the entities of one document
+        of_row = rows.select("_row", F.explode(of_text("text")).alias("entity")).join(moved, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "kind", "attempt")).alias("_moves"))  # the entities of one document
         out = rows.join(of_row, "_row", "left").withColumn("_new", rewrite_by("text", "_moves"))
     fresh = {"text": F.col("_new.text")} | ({"n_chars": F.coalesce(F.length("_new.text").cast("long"), F.lit(0).cast("long"))} if "n_chars" in names else {})
     return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in names if c != "n_replaced"], F.col("_new.n_replaced").alias("n_replaced"))
