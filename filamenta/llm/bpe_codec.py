@@ -24,7 +24,7 @@ from . import word_bpe
 from .common import shuffle_partitions, small_batches, text_or_empty
 
 #: Symbols of a leaf.
-LEAF = 1024
+LEAF = 128
 
 
 def join_halves(bpe: word_bpe.WordBpe, left: list[str], right: list[str], k: int = 4) -> list[str]:
@@ -81,6 +81,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, long_run: int = word_bpe.LON
     Repeated rows come back as often as they came; an empty table gives an empty
     result. Texts with a run of long_run characters without white space are cut
     into leaves; all others are encoded in one pass over the table, without a shuffle.
+    The leaves of one text are joined in one task, as its ids' digest needs them in order.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))

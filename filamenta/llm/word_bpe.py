@@ -21,7 +21,7 @@ _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 _WORD = re.compile(r"[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r 0-9a-zß-öø-ÿ]+")
 _PIECE = re.compile(r"[^ \n]+")
 #: Symbols from which a word counts as long unsplit text.
-LONG = 4096
+LONG = 256
 #: Words that a Python worker remembers; then it starts again.
 REMEMBERED = 600_000
 
