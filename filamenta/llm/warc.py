@@ -30,6 +30,8 @@ SKIPPABLE = 0x184D2A5D
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 2000, 8192, 65_536
 #: Bytes of payloads after which a task begins another archive.
 ARCHIVE = 256 << 20
+#: Groups of equal payloads (a digest and an id, about 100 bytes each) that are sent to every task.
+SENT = 200_000
 #: Equal payloads from this size are written once.
 LEAST = 100
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the registered namespace of URLs
@@ -41,13 +43,16 @@ def page_records(pages: DataFrame) -> DataFrame:
 
     The response of a group of equal payloads of at least LEAST bytes is the row with
     the smallest page_id (rows that repeat that id are responses too); a group of
-    rows whose ids are all null is all response. The digests of groups are joined to
-    the rows by a sort-merge join, which AQE splits where one payload is very common.
+    rows whose ids are all null is all response. Groups are found on digests and ids;
+    up to SENT of them are sent to every task, so that payloads stay where they are,
+    and beyond they are joined by a sort-merge join, which AQE splits where one
+    payload is very common.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     low = rows.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("digest", "low")
-    rows = rows.join(low, "digest", "left")
+    low = keep(low, "groups")
+    rows = rows.join(F.broadcast(low) if low.limit(SENT + 1).count() <= SENT else low, "digest", "left")
     again = F.col("low").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("low"))
     return rows.select("page_id", "url", "payload", "size", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("low")).alias("refers_to"))
 
