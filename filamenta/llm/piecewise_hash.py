@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, shuffle_partitions, small_batches, text_or_empty
 
+#: Most parts that the table is dealt into, and the relative error of the quantiles between them (one part).
+PARTS = 1 << 16
 LENGTH = 64
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _SPREAD = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -143,7 +145,7 @@ def _borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = last = None
 
     def both() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64()), pa.array([last[2]]), pa.array([first[2]])], ["part", "doc_id", "text", "head"])
+        return pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int32()), pa.array([last[1]], pa.int64()), pa.array([last[2]]), pa.array([first[2]])], ["part", "doc_id", "text", "head"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
@@ -169,26 +171,28 @@ def piecewise_fingerprints(docs: DataFrame, rows_in_part: int = 2000) -> DataFra
     the fingerprint "3::", of likeness 1 to itself and 0 to others. An empty table
     gives an empty result.
 
-    Rows are dealt once, into parts of neighbouring ids by quantiles of doc_id (at
-    most 4096). Only the first and last row of each part meet outside it.
+    Rows are dealt once, into parts of neighbouring ids by quantiles of doc_id, one a
+    task, which Spark sorts with spilling and a worker reads as a stream. Only the
+    first and last row of each part meet outside it. Beyond PARTS * rows_in_part rows
+    parts grow; rows of one doc_id are always in one part.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double")
     n = docs.count()
     tasks = shuffle_partitions(docs.sparkSession)
-    parts = min(4096, max(1, n // rows_in_part, 4 * tasks))
+    parts = min(PARTS, max(1, n // rows_in_part, tasks))
     shares = [k / parts for k in range(1, parts)]
-    cuts = sorted(set(docs.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or [])) if shares and n else []
+    cuts = sorted(set(docs.agg(F.percentile_approx(key, shares, max(10_000, 2 * parts))).first()[0] or [])) if shares and n else []
     keyed = docs.withColumn("_key", key)
     if cuts:
         ordered = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_part").transform(keyed)
     else:
         ordered = keyed.withColumn("_part", F.lit(0.0))
-    ordered = ordered.select((-F.col("_part")).cast("long").alias("part"), "doc_id", "text")
-    ordered = ordered.repartition(max(tasks, parts // 4), "part").sortWithinPartitions("part", F.desc_nulls_last("doc_id"), "text")
-    borders = ordered.mapInArrow(_borders, "part long, doc_id long, text string, head string")
-    # One row a part, so at most 4096 rows meet here.
+    ordered = ordered.select((F.lit(len(cuts)) - F.col("_part")).cast("int").alias("part"), "doc_id", "text")
+    ordered = ordered.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.desc_nulls_last("doc_id"), "text")
+    borders = ordered.mapInArrow(_borders, "part int, doc_id long, text string, head string")
+    # One row a part, so at most PARTS rows, of which texts go along, meet here.
     places = Window.orderBy("part")
     chained = borders.withColumn("after", F.coalesce(F.lead("head").over(places), F.first("head").over(places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     crossing = chained.select("doc_id", "text", "after").repartition(tasks).mapInArrow(_crossing, _RESULT)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from filamenta.llm import bpe_codec, packing, piecewise_hash, posting_lists, sharding, surrogates, toxicity, warc, word_bpe
+from filamenta.llm import bpe_codec, licenses, packing, piecewise_hash, posting_lists, sharding, surrogates, toxicity, warc, word_bpe
 from filamenta.llm.common import components
 from filamenta.llm.jaccard_join import jaccard_components
 from filamenta.llm.licenses import BASE, scan_licenses
@@ -227,6 +227,18 @@ def test_encoding_and_decoding_are_the_library_s(docs, nothing):
     assert bpe_codec.encode_decode(nothing, VOCABULARY).count() == 0
 
 
+def test_long_unsplit_text_in_several_languages(spark):
+    r, library = random.Random(12), Tokenizer.from_file(VOCABULARY)
+    alphabets = ["abcdefghij", "äöüßéèñç", "абвгдежз", "αβγδεζ", "日本語中文字漢", "กขคงจ", "0123456789", "!?-_/", "ab<|1é日"]
+    run = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    texts = [f"{run(a, 9)} {run(a, n)} {run(a, 5)}\n{run(b, m)}" for a in alphabets for b in alphabets[:4] for n, m in ((255, 3), (256, 700), (1500, 257))] + [run("ab", 20_000), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in bpe_codec.encode_decode(docs, VOCABULARY).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()), t[:40]
+
+
 def test_tree_concatenation_of_unsplit_text():
     r = random.Random(1)
     bpe, library = word_bpe.WordBpe(VOCABULARY), Tokenizer.from_file(VOCABULARY)
@@ -294,6 +306,8 @@ def test_warc_round_trip(spark, nothing, tmp_path):
     assert files and all(f.name.endswith(".warc.zst") for f in files)
     assert int.from_bytes(files[0].read_bytes()[:4], "little") == warc.SKIPPABLE
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "u", big), (1, "v", big + "x"), (2, "w", big), (3, None, big + "x"), (1, "u", big)], "page_id long, url string, html string").withColumn("low", F.lit(9)).withColumn("size", F.lit(9))
+    assert sorted((x["page_id"], x["payload_bytes"] - len(big), x["record_type"], x["refers_to"]) for x in warc.archive_round_trip(clash).collect()) == [(1, 0, "response", None), (1, 0, "response", None), (1, 1, "response", None), (2, 0, "revisit", 1), (3, 1, "revisit", 1)]
 
 
 def test_fingerprints_follow_the_next_document(docs, nothing):
@@ -333,10 +347,15 @@ def test_edit_distance_and_likeness():
 
 
 def test_licenses_against_plain_loops(spark, docs, nothing):
-    texts = ["Licensed under CC BY-NC 4.0.", "x (c) All Rights  reserved! all rights reserved", "GNU General Public License, version 3", "This work is licensed under the GNU General Public License, version 3.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "license software permission words only", "Ünder the general public licensé", "cc\nby", "accby cc-by"]
+    texts = ["Licensed under CC BY-NC 4.0.", "x (c) All Rights  reserved! all rights reserved", "GNU General Public License, version 3", "This work is licensed under the GNU General Public License, version 3.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "license software permission words only", "Ünder the general public licensé", "cc\nby", "accby cc-by", "filler " * 8000 + licenses.TEMPLATES[1][1] + " tail " * 8000, "Redistribution and use in source and binary forms, with or without modification, are permitted", licenses.TEMPLATES[-1][1].upper(), "software is furnished to do so, subject to the following conditions"]
     more = spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     both = docs.unionByName(more, allowMissingColumns=True)
     got = {r["doc_id"]: r for r in scan_licenses(both).collect()}
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    everyone = [split(t) for _, t in pairs(both, "doc_id", "text")]
+    held = collections.Counter(w for ws in everyone for w in set(ws))
+    index = [set(licenses.rarest(t.split(), held, len(everyone))) for _, t, _ in licenses.TEMPLATES]
+    rare, anchors = set().union(*index), {min(p.split(), key=lambda x: (held[x], x)) for p, _ in BASE}
     for i, t in pairs(both, "doc_id", "text"):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
         places = sorted((k, label) for p, label in BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
@@ -344,6 +363,18 @@ def test_licenses_against_plain_loops(spark, docs, nothing):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None), t
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
         assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+        more, best = set(), 0.0
+        if len(rare & set(w)) >= 2 or anchors & set(w):
+            for k, (label, template, phrases) in enumerate(licenses.TEMPLATES):
+                where = [(a, x) for a, x in enumerate(template.split()) if x in index[k]]
+                asked = len(index[k] & set(w))
+                votes = max((sum(b + a < len(w) and b + a >= 0 and w[b + a] == x for a, x in where) for b in range(-len(template.split()), len(w))), default=0)
+                share = min(1.0, votes / asked) if asked else 0.0
+                if share >= licenses.AGREE and all(f" {p} " in f" {' '.join(w)} " for p in phrases):
+                    more.add(label)
+                    best = max(best, share)
+        assert r["labels"] == ",".join(sorted(more | {x for _, x in places})), t
+        assert abs(r["score"] - (1.0 if places else best)) < 1e-12
     assert "cc-by-nc-4.0" in got[10_000]["labels"] and "gpl-3.0" in got[10_003]["labels"] and got[10_004]["labels"] == "mit" and got[10_005]["labels"] == ""
     assert scan_licenses(nothing).count() == 0
     assert scan_licenses(both).count() == both.count()
