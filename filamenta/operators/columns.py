@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,55 @@ def change_pixel_size(df: DataFrame, apix: float, size: str = "apix", defocus=("
     r = F.lit(float(apix)) / F.col(size)
     scaled = {d: F.col(d) * r * r for d in defocus} | {cs: F.col(cs) * r * r * r * r, size: F.lit(float(apix))}
     return df.withColumns(scaled)
+
+
+def preferred_first(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of a list that df has, in its order, then all others."""
+    return df.select(*[c for c in columns if c in df.columns], *[f"`{c}`" for c in df.columns if c not in columns])
+
+
+def pixel_size(df: DataFrame, optics: DataFrame | None = None, names: tuple[str, ...] = ("rlnMicrographPixelSize", "rlnMicrographOriginalPixelSize", "rlnImagePixelSize")) -> tuple[float, str] | None:
+    """(value, column) of the first of these columns that the optics table has, else the rows; from the first row with a value."""
+    for source in (optics, df):
+        for c in names if source is not None else ():
+            if c in source.columns:
+                row = source.where(F.col(c).isNotNull()).select(F.col(c).cast("double")).first()
+                if row:
+                    return row[0], c
+    return None
+
+
+def set_optics_value(df: DataFrame, optics: DataFrame | None, column: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, optics) with the value set in the optics table if that has the column, else in the rows."""
+    if optics is not None and column in optics.columns:
+        return df, set_value(optics, column, text)
+    return set_value(df, column, text), optics
+
+
+def stacks_by_suffix(df: DataFrame, image: str = "rlnImageName") -> DataFrame:
+    """df with images in .mrc files named as stacks (.mrcs)."""
+    return df.withColumn(image, F.regexp_replace(image, r"\.mrc$", ".mrcs"))
+
+
+def full_stack(df: DataFrame, sizes: DataFrame, image: str = "rlnImageName", rid: str = "rid", keep: tuple[str, ...] = ("rlnVoltage", "rlnDefocusU", "rlnDefocusV", "rlnDefocusAngle", "rlnSphericalAberration", "rlnDetectorPixelSize", "rlnMagnification", "rlnAmplitudeContrast", "rlnMicrographName", "rlnGroupName", "rlnGroupNumber")) -> DataFrame:
+    """All images of each stack that df names, numbered from 1, with the CTF columns of its first row; sizes: (file, n)."""
+    columns = [c for c in keep if c in df.columns]
+    first = df.groupBy(F.element_at(F.split(image, "@"), -1).alias("file")).agg(F.min_by(F.struct(F.lit(1).alias("_"), *columns), rid).alias("_c"))
+    slices = first.join(sizes, "file").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return slices.select(F.format_string("%06d@%s", "k", "file").alias(image), *[F.col(f"_c.{c}").alias(c) for c in columns])
+
+
+def recentred(df: DataFrame, x: str, y: str, shift_x: str, shift_y: str, apix: Column) -> DataFrame:
+    """df with coordinates moved by the whole pixels of its shifts in angstrom, and the rest of the shifts."""
+    out = df
+    for at, shift in ((x, shift_x), (y, shift_y)):
+        whole = F.rint(F.col(shift) / apix)
+        out = out.withColumn(at, F.col(at) - whole).withColumn(shift, F.col(shift) - whole * apix)
+    return out
+
+
+def with_created_time(df: DataFrame, files: DataFrame, column: str) -> DataFrame:
+    """df with the time of each file that the column names, as <column>CreateTime; files: (path, modificationTime), as Spark lists them. An unknown file has null."""
+    times = files.select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.col("modificationTime").alias(f"{column}CreateTime"))
+    named = df.withColumn("_file", F.element_at(F.split(column, "@"), -1))
+    return named.join(times.dropDuplicates(["_path"]), F.col("_file") == F.col("_path"), "left").drop("_file", "_path")

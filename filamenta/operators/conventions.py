@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import quaternion_to_euler
 from ..functions.optics import image_name
+from .ranking import numbered
 
 #: Columns that only change their name; of several with one new name the last wins.
 RENAMED = {
@@ -53,7 +56,7 @@ def _tubes(df: DataFrame) -> DataFrame:
         return df
     uid = F.col("`filament/filament_uid`")
     if "blob/path" not in df.columns:
-        ids = df.select(uid.alias("_uid")).distinct().withColumn("_tube", F.dense_rank().over(Window.orderBy("_uid")))
+        ids = numbered(df.select(uid.alias("_uid")).distinct(), ["_uid"], "_tube")
         return df.join(ids, uid == F.col("_uid"), "left").drop("_uid")
     stack = F.col("`blob/path`")
     low = df.agg(F.min(uid)).first()[0]
@@ -123,3 +126,28 @@ def to_star(df: DataFrame, rid: str = "rid") -> DataFrame:
     if not out:
         raise ValueError(f"none of these columns is known: {df.columns}")
     return df.select(*([rid] if has(rid) else []), *[value.alias(name) for name, value in out.items()])
+
+
+#: Columns of an export that are laid over the STAR rows which it was imported from, and their factors.
+OVERLAY = {"ctf/df1_A": ("rlnDefocusU", 1.0), "ctf/df2_A": ("rlnDefocusV", 1.0), "ctf/df_angle_rad": ("rlnDefocusAngle", 180.0 / math.pi), "ctf/phase_shift_rad": ("rlnPhaseShift", 1.0), "ctf/bfactor": ("rlnCtfBfactor", 1.0), "ctf/scale": ("rlnCtfScalefactor", 1.0)}
+
+
+def laid_over(star: DataFrame, imported: DataFrame, chosen: DataFrame, rid: str = "rid", uid: str = "uid") -> DataFrame:
+    """The STAR rows that an export still holds, with its class, 2D alignment and CTF in place of theirs.
+
+    star and imported (rid, uid) count the same rows by rid; chosen is the export.
+    """
+    c = lambda name: F.col(f"`{name}`")
+    has = set(chosen.columns)
+    new: dict[str, Column] = {}
+    if "alignments2D/class" in has:
+        new["rlnClassNumber"] = c("alignments2D/class").cast("long") + 1
+    if "alignments2D/shift" in has:
+        size = c("blob/psize_A").cast("double") if "blob/psize_A" in has else F.lit(1.0)
+        new |= {f"rlnOrigin{axis}Angst": -F.coalesce(F.get(c("alignments2D/shift"), k).cast("double"), F.lit(0.0)) * size for k, axis in enumerate("XY")}
+    if "alignments2D/pose" in has:
+        new["rlnAnglePsi"] = -c("alignments2D/pose").cast("double") * (180.0 / math.pi)
+    new |= {name: c(source).cast("double") * factor for source, (name, factor) in OVERLAY.items() if source in has}
+    over = chosen.select(F.col(uid).alias("_uid"), F.struct(F.lit(1).alias("_"), *[value.alias(name) for name, value in new.items()]).alias("_o"))
+    rows = star.join(imported.select(rid, F.col(uid).alias("_uid")), rid).join(over, "_uid")
+    return rows.select(*[F.col(f"`{n}`") for n in star.columns if n not in new], *[F.col(f"_o.{n}").alias(n) for n in new])

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import circular_mean, circular_std, wrap
+from .ranking import running_before
 
 KEYS = ["mic", "tube"]
 
@@ -29,11 +34,10 @@ def tube_lengths(df: DataFrame) -> DataFrame:
 
 def break_filaments(df: DataFrame, most: int) -> DataFrame:
     """Filaments cut into chunks of at most so many segments along the track; chunk ids from 0 in order of first appearance of filament, then chunk."""
-    cut = df.withColumn("chunk", F.floor((F.row_number().over(_along("track", "rid")) - 1) / most))
-    first = df.groupBy(*KEYS).agg(F.min("rid").alias("_first"))
-    chunks = cut.select(*KEYS, "chunk").distinct().join(first, KEYS)
-    chunks = chunks.withColumn("chunk_id", F.row_number().over(Window.orderBy("_first", "chunk")) - 1)
-    return cut.join(chunks.drop("_first"), [*KEYS, "chunk"]).drop("chunk")
+    cut = df.withColumn("_chunk", F.floor((F.row_number().over(_along("track", "rid")) - 1) / most))
+    filaments = df.groupBy(*KEYS).agg(F.min("rid").alias("_first"), F.ceil(F.count("*") / most).alias("_chunks"))
+    before = running_before(filaments, ["_first"], F.col("_chunks"), "_before").select(*KEYS, "_before")
+    return cut.join(before, KEYS).withColumn("chunk_id", F.col("_before") + F.col("_chunk")).drop("_chunk", "_before")
 
 
 def rebased(df: DataFrame) -> DataFrame:
@@ -66,14 +70,121 @@ def pair_distances(df: DataFrame) -> DataFrame:
     return a.join(b, same & (F.col("a.track") < F.col("b.track")) & polar).select("a.mic", "a.tube", "a.cls", (F.col("b.track") - F.col("a.track")).alias("distance"))
 
 
-def best_slope(df: DataFrame, keys: list[str], least: int = 25, slopes: int = 1201, reach: float = 1.1, scale: float = 1.0) -> DataFrame:
-    """Per filament of at least so many segments the slope of a grid that leaves the least squared wrapped residual around its circular mean."""
-    big = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("track").alias("_t0")).where(F.col("_n") >= least)
-    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(slopes - 1)), lambda k: -F.lit(reach) + k * (2 * reach / (slopes - 1))))
-    tried = df.join(big, keys).withColumn("slope", grid)
-    residual = F.radians(F.col("rot") - F.col("slope") * (F.col("track") - F.col("_t0")) * scale)
-    fit = tried.groupBy(*keys, "slope").agg((1 - F.sqrt(F.pow(F.avg(F.cos(residual)), 2) + F.pow(F.avg(F.sin(residual)), 2))).alias("variance"))
-    return fit.groupBy(*keys).agg(F.min(F.struct(F.round("variance", 9).alias("variance"), "slope")).alias("b")).select(*keys, F.col("b.slope").alias("slope"), F.col("b.variance").alias("variance"))
+def _fitted(x: np.ndarray, o: np.ndarray, slopes: np.ndarray, period: float) -> tuple[np.ndarray, np.ndarray]:
+    """(intercepts, sums of squared wrapped residuals) of lines of these slopes through angles o at x, in order.
+
+    The intercept is the mean of the residuals without jumps of more than half a period.
+    """
+    r = o - slopes[:, None] * x
+    step = np.diff(r, axis=1)
+    turns = np.floor(step / period + 0.5).cumsum(axis=1) * period
+    b = r[:, 0] + np.concatenate([np.zeros((len(slopes), 1)), r[:, 1:] - turns - r[:, :1]], axis=1).mean(axis=1)
+    d = r - b[:, None]
+    d -= np.floor(d / period + 0.5) * period
+    return b, (d * d).sum(axis=1)
+
+
+def fit_slopes(df: DataFrame, keys: list[str], least: int = 25, slopes: int = 1201, reach: float = 1.1, period: float = 360.0, order: tuple[str, ...] = ("track", "rid")) -> DataFrame:
+    """(keys, slope, intercept, sse, segments): for each filament of at least so many segments the line of angle rot along track, of a grid of slopes, with the least sum of squared wrapped residuals; ties to the smaller slope.
+
+    A filament's tracks and angles meet in one row, and tasks try the grid on whole
+    batches of filaments; nothing is repeated for each slope.
+    """
+    grid = np.linspace(-reach, reach, slopes)
+    placed = F.sort_array(F.collect_list(F.struct(*order, F.pmod(F.col("rot"), F.lit(period)).alias("_angle"))))
+    lines = df.groupBy(*keys).agg(F.count("*").alias("segments"), placed.alias("_p")).where(F.col("segments") >= least)
+    lines = lines.select(*keys, "segments", F.transform("_p", lambda p: p[order[0]].cast("double")).alias("_x"), F.transform("_p", lambda p: p["_angle"].cast("double")).alias("_o"))
+
+    def fit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            best = []
+            for x, o in zip(part["_x"], part["_o"]):
+                x, o = np.asarray(x, float), np.asarray(o, float)
+                b, sse = (np.concatenate(v) for v in zip(*[_fitted(x, o, grid[a : a + 128], period) for a in range(0, slopes, 128)]))
+                k = int(np.argmin(np.round(sse, 6)))
+                best.append((grid[k], b[k], sse[k]))
+            yield pd.concat([part[[*keys, "segments"]].reset_index(drop=True), pd.DataFrame(best, columns=["slope", "intercept", "sse"], dtype=float)], axis=1)
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return lines.mapInPandas(fit, f"{kinds}, segments long, slope double, intercept double, sse double")
+
+
+def best_slope(df: DataFrame, keys: list[str], least: int = 25, slopes: int = 1201, reach: float = 1.1, period: float = 360.0) -> DataFrame:
+    """(keys, slope, variance): the slope of fit_slopes() and the mean of its squared wrapped residuals."""
+    return fit_slopes(df, keys, least, slopes, reach, period).select(*keys, "slope", (F.col("sse") / F.col("segments")).alias("variance"))
+
+
+def symmetry_guess(df: DataFrame) -> int:
+    """The symmetry that the breadth of all rot angles tells: 360 over it, rounded down from 0.3 above; at least 2."""
+    low, high = df.agg(F.min("rot"), F.max("rot")).first()
+    guess = int(360.0 / (high - low) + 0.3) if high is not None and high > low else 1
+    return max(2, guess)
+
+
+def angular_consistency(df: DataFrame, keys: list[str], slope: float, period: float, least: int = 25) -> DataFrame:
+    """df with filament_slope, filament_error and segment_error, for filaments of at least so many segments.
+
+    Lines of slope and -slope are laid through the angle rot along track; the one with
+    the smaller sum of absolute wrapped distances stays (ties: slope). segment_error is
+    a row's distance, filament_error their mean.
+    """
+    angle = F.pmod(F.col("rot"), F.lit(period))
+    residual = {s: angle - F.lit(s * abs(slope)) * F.col("track") for s in (1, -1)}
+    fits = df.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.avg(F.pmod(r, F.lit(period))).alias(f"_b{k}") for k, r in enumerate(residual.values())]).where(F.col("_n") >= least)
+    rows = df.join(fits, keys)
+    for k, r in enumerate(residual.values()):
+        rows = rows.withColumn(f"_e{k}", F.abs(wrap(r - F.col(f"_b{k}"), period)))
+    sums = rows.groupBy(*keys).agg(F.sum("_e0").alias("_s0"), F.sum("_e1").alias("_s1"), F.count("*").alias("_m"))
+    up = F.col("_s0") <= F.col("_s1")
+    pick = lambda a, b: F.when(up, a).otherwise(b)
+    out = rows.join(sums, keys)
+    return out.select(*[f"`{c}`" for c in df.columns], pick(F.lit(abs(slope)), F.lit(-abs(slope))).alias("filament_slope"), pick(F.col("_s0") / F.col("_m"), F.col("_s1") / F.col("_m")).alias("filament_error"), pick(F.col("_e0"), F.col("_e1")).alias("segment_error"))
+
+
+def two_gaussians(df: DataFrame, value: str, bins: int = 50, rounds: int = 200) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+    """(weight, mean, deviation) of the two normal distributions, the lower mean first, that describe a histogram of value best.
+
+    Spark counts the histogram; expectation and maximisation run over its bins.
+    """
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    if low is None or low == high:
+        one = (1.0, float(low), 0.0) if low is not None else (0.0, 0.0, 0.0)
+        return one, (0.0, one[1], 0.0)
+    width = (high - low) / bins
+    at = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1))
+    counts = np.zeros(bins)
+    for r in df.where(F.col(value).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n")).collect():  # a row a bin
+        counts[r["bin"]] = r["n"]
+    x = low + (np.arange(bins) + 0.5) * width
+    share = counts / counts.sum()
+    middle, spread = (share * x).sum(), np.sqrt((share * (x - (share * x).sum()) ** 2).sum())
+    w, m, s = np.array([0.5, 0.5]), np.array([middle - spread, middle + spread]), np.full(2, spread)
+    for _ in range(rounds):
+        d = w / s * np.exp(-0.5 * ((x[:, None] - m) / s) ** 2) + 1e-300
+        r = d / d.sum(1, keepdims=True) * share[:, None]
+        w = r.sum(0)
+        m = (r * x[:, None]).sum(0) / w
+        s = np.maximum(np.sqrt((r * (x[:, None] - m) ** 2).sum(0) / w), width / 4)
+    return tuple((float(w[k]), float(m[k]), float(s[k])) for k in np.argsort(m))
+
+
+def l1_core(df: DataFrame, keys: list[str], value: str, k: int) -> DataFrame:
+    """(keys, center, l1): of all runs of k neighbouring values in sorted order that with the least sum of distances from its median, and that median; ties to the smaller one.
+
+    Sums of the values before and after the middle come from running sums, so a run costs
+    no more than its ends.
+    """
+    w = Window.partitionBy(*keys).orderBy(value)
+    half, upper = k // 2, (k + 1) // 2
+    total = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, value, F.row_number().over(w).alias("_i"), total.alias("_s"))
+    last = lambda c, n: F.lead(c, n).over(Window.partitionBy(*keys).orderBy("_i"))
+    begin = F.col("_s") - F.col(value)
+    low = last("_s", half - 1) - begin if half else F.lit(0.0)
+    high = last("_s", k - 1) - last("_s", upper - 1)
+    center = last(value, upper - 1) if k % 2 else (last(value, half - 1) + last(value, half)) / 2
+    runs = rows.select(*keys, center.alias("center"), F.round(high - low, 9).alias("l1"))
+    return runs.where("l1 is not null").groupBy(*keys).agg(F.min(F.struct("l1", "center")).alias("b")).select(*keys, F.col("b.center").alias("center"), F.col("b.l1").alias("l1"))
 
 
 def resampled(df: DataFrame, spacing: float) -> DataFrame:

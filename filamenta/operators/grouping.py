@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def _numbered(keys: DataFrame, order: list, name: str, start: int) -> DataFrame:
-    """keys with a dense id in the order given. A table of keys is far smaller than the rows; its one-task window is over keys alone."""
-    return keys.withColumn(name, F.row_number().over(Window.orderBy(*order)) + (start - 1))
+from ..functions.optics import SOFTWARE, acquisition_time, beam_shift_label, time_text
+from .ranking import numbered, running_before
 
 
 def first_seen_ids(df: DataFrame, keys: list[str], rid: str, name: str, start: int = 1) -> DataFrame:
     """Ids of keys in order of first appearance."""
     seen = df.groupBy(*keys).agg(F.min(rid).alias("_first"))
-    return df.join(_numbered(seen, ["_first"], name, start).drop("_first"), keys)
+    return df.join(numbered(seen, ["_first"], name, start).drop("_first"), keys)
 
 
 def sorted_ids(df: DataFrame, keys: list[str], name: str, start: int = 1) -> DataFrame:
     """Ids of keys in sorted order; for two keys that is the combination of two groupings."""
-    return df.join(_numbered(df.select(*keys).distinct(), keys, name, start), keys)
+    return df.join(numbered(df.select(*keys).distinct(), keys, name, start), keys)
 
 
 def reset(df: DataFrame, name: str) -> DataFrame:
@@ -31,39 +32,111 @@ def sync(df: DataFrame, primary: str, suffix: str) -> DataFrame:
     return df.withColumns({c: F.col(primary) for c in df.columns if c.endswith(suffix) and c != primary})
 
 
-def packed_runs(values: list[tuple], size: int) -> list[int]:
-    """Group numbers from 0 of sorted (value, count) runs: runs aren't split, a group closes when full or when the next run would overflow it, and a last group under half of size joins the one before."""
-    out, group, held = [], 0, 0
-    for _, n in values:
-        if held and held + n > size:
+def _packer(size: int) -> Callable[[object, int], int]:
+    """A function that takes the runs of one parent after the other, (parent, count), and gives each its group from 0."""
+    now, group, held = None, 0, 0
+
+    def step(key: object, n: int) -> int:
+        nonlocal now, group, held
+        if key != now:
+            now, group, held = key, 0, 0
+        if held and (held == size or held + n > size):
             group, held = group + 1, 0
-        out.append(group)
         held += n
-        if held >= size:
-            group, held = group + 1, 0
-    if out:
-        last = out[-1]
-        total = sum(n for (_, n), g in zip(values, out) if g == last)
-        if last > 0 and total < size // 2:
-            out = [min(g, last - 1) for g in out]
+        return group
+
+    return step
+
+
+def packed_runs(values: list[tuple], size: int) -> list[int]:
+    """Group numbers from 0 of sorted (value, count) runs: runs aren't split, a group closes when full or when the next run would overflow it, and a last group under half of size joins the one before."""
+    step = _packer(size)
+    out = [step(0, n) for _, n in values]
+    if out and out[-1] > 0 and sum(n for (_, n), g in zip(values, out) if g == out[-1]) < size // 2:
+        out = [min(g, out[-1] - 1) for g in out]
     return out
 
 
-def time_groups(df: DataFrame, parent: str, time: str, size: int, name: str) -> DataFrame:
-    """Within each parent group, sorted distinct times are packed into groups of about size times; ids run on from parent to parent.
+def packed_times(runs: DataFrame, parent: str, time: str, count: str, size: int) -> DataFrame:
+    """(parent, time, group): sorted runs of count rows each, packed within each parent into groups of at most size from 0.
 
-    Distinct times have no ties, so the group is the row's rank over size; a last group under half of size joins the one before.
+    Each task reads the sorted runs of its parents as a stream. A last group under half
+    of size joins the one before.
     """
-    times = df.select(parent, time).distinct()
-    w = Window.partitionBy(parent).orderBy(time)
-    total = times.groupBy(parent).agg(F.count("*").alias("_n"))
-    last = F.floor((F.col("_n") - 1) / size)
-    short = (F.col("_n") - last * size < size // 2) & (last > 0)
-    total = total.withColumn("_groups", last + 1 - short.cast("long"))
-    total = total.withColumn("_before", F.coalesce(F.sum("_groups").over(Window.orderBy(parent).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = times.withColumn("_r", F.row_number().over(w)).join(total, parent)
-    own = F.least(F.floor((F.col("_r") - 1) / size), F.col("_groups") - 1)
-    return df.join(ranked.select(parent, time, (own + F.col("_before") + 1).cast("long").alias(name)), [parent, time])
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = _packer(size)
+        for part in parts:
+            yield part.assign(_group=[step(key, n) for key, n in zip(part[parent].tolist(), part[count].tolist())])
+
+    kinds = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in (parent, time, count))
+    packed = runs.select(parent, time, count).repartition(F.col(f"`{parent}`")).sortWithinPartitions(parent, time).mapInPandas(pack, f"{kinds}, _group long")
+    held = packed.groupBy(parent, "_group").agg(F.sum(count).alias("_held"))
+    last = held.groupBy(parent).agg(F.max(F.struct("_group", "_held")).alias("_last"))
+    small = (F.col("_last._held") < size // 2) & (F.col("_last._group") > 0)
+    return packed.join(last, parent).select(parent, time, F.when(small, F.least("_group", F.col("_last._group") - 1)).otherwise(F.col("_group")).alias("group"))
+
+
+def time_groups(df: DataFrame, parent: str, time: str, size: int, name: str, item: str | None = None) -> DataFrame:
+    """Within each parent group, items (micrographs; by default times) are packed in order of time into groups of about size; ids run on from parent to parent.
+
+    Items of one time stay together. A negative size first puts all parents together.
+    """
+    if size < 0:
+        return time_groups(df.withColumn("_all", F.lit(1)), "_all", time, -size, name, item).drop("_all")
+    runs = df.select(parent, time, *([item] if item else [])).distinct().groupBy(parent, time).agg(F.count("*").alias("_count"))
+    packed = packed_times(runs, parent, time, "_count", size)
+    groups = packed.groupBy(parent).agg((F.max("group") + 1).alias("_groups"))
+    before = running_before(groups, [parent], F.col("_groups"), "_before").select(parent, "_before")
+    ids = packed.join(before, parent).select(parent, time, (F.col("group") + F.col("_before") + 1).cast("long").alias(name))
+    return df.join(ids, [parent, time])
+
+
+def label_groups(df: DataFrame, image: str, software: str, name: str, per_stage_shift: int = 1, parent: str | None = None) -> DataFrame:
+    """Groups by the beam shift label in file names: labels sorted and numbered from 1, within each parent group running on.
+
+    Where serial numbers stand for labels, the group is the number modulo the images a
+    stage shift (from 1; 0 for number 0). Software whose names hold no label is refused.
+    """
+    if not any(SOFTWARE[software][2:]):
+        raise ValueError(f"names of {software} hold no beam shift")
+    label = beam_shift_label(F.col(image), software)
+    if not SOFTWARE[software][3]:
+        k = label.cast("long")
+        return df.withColumn(name, F.when(k > 0, (k - 1) % per_stage_shift + 1).otherwise(0).cast("int"))
+    return sorted_ids(df.withColumn("_label", label), [*([parent] if parent else []), "_label"], name).drop("_label")
+
+
+def cloned_optics(optics: DataFrame, ids: DataFrame, group: str = "rlnOpticsGroup") -> DataFrame:
+    """The optics table of new groups: ids (old, new); each new group has the row of the group it came from, its own number and a name after it."""
+    rest = [c for c in optics.columns if c not in (group, f"{group}Name")]
+    return ids.distinct().join(optics, F.col("old") == F.col(group)).select(F.col("new").alias(group), F.concat(F.lit("opticsGroup"), F.col("new").cast("string")).alias(f"{group}Name"), *rest)
+
+
+def optics_by_time(df: DataFrame, optics: DataFrame, image: str, size: int, group: str = "rlnOpticsGroup", software: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with new optics groups and rlnMovieCollectionTime, the optics table with a row for each): groups split by acquisition time."""
+    timed = df.withColumn("_time", acquisition_time(F.col(image), software)).withColumn("rlnMovieCollectionTime", time_text(F.col("_time")))
+    out = time_groups(timed, group, "_time", size, "_new", image)
+    return out.drop(group, "_time").withColumnRenamed("_new", group), cloned_optics(optics, out.select(F.col(group).alias("old"), F.col("_new").alias("new")), group)
+
+
+def optics_per_micrograph(df: DataFrame, optics: DataFrame, image: str, rid: str, group: str = "rlnOpticsGroup") -> tuple[DataFrame, DataFrame]:
+    """(rows with an optics group for each image file in order of appearance, the optics table with a row for each)."""
+    out = first_seen_ids(df, [image], rid, "_new")
+    return out.drop(group).withColumnRenamed("_new", group), cloned_optics(optics, out.select(F.col(group).alias("old"), F.col("_new").alias("new")), group)
+
+
+def optics_by_label(df: DataFrame, optics: DataFrame, image: str, software: str, group: str = "rlnOpticsGroup", per_stage_shift: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(rows with optics groups split by beam shift label, the optics table with a row for each)."""
+    out = label_groups(df, image, software, "_label_group", per_stage_shift)
+    out = sorted_ids(out, [group, "_label_group"], "_new").drop("_label_group")
+    return out.drop(group).withColumnRenamed("_new", group), cloned_optics(optics, out.select(F.col(group).alias("old"), F.col("_new").alias("new")), group)
+
+
+def one_optics_group(df: DataFrame, optics: DataFrame, group: str = "rlnOpticsGroup") -> tuple[DataFrame, DataFrame]:
+    """(rows of group 1, the first optics row as group 1)."""
+    first = optics.orderBy(group).limit(1)
+    return df.withColumn(group, F.lit(1)), first.withColumn(group, F.lit(1)).withColumn(f"{group}Name", F.lit("opticsGroup1"))
 
 
 def propagate_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
@@ -80,3 +153,41 @@ def build_optics(df: DataFrame, columns: list[str], rid: str) -> tuple[DataFrame
 
 def dissolve_optics(df: DataFrame, optics: DataFrame, key: str = "optics_group") -> DataFrame:
     return df.join(optics, key, "left")
+
+
+def shift_clusters(df: DataFrame, x: str, y: str, name: str, least: int = 4, clusters: range = range(2, 200), seed: int = 1) -> DataFrame:
+    """df with a cluster number from 1 for each place (x, y), of the number of clusters with the best silhouette; clusters of fewer than least rows go to the nearest other centre.
+
+    Clusters are fitted by k-means on distinct places and their counts, for each number
+    in clusters that the places allow; every fit is a job.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    places = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").cast("double").alias("_w"))
+    points = VectorAssembler(inputCols=[x, y], outputCol="_at").transform(places).cache()
+    try:
+        n, best = points.count(), None
+        for k in clusters:
+            if k >= n:
+                break
+            model = KMeans(k=k, seed=seed, featuresCol="_at", predictionCol="_c", weightCol="_w", initSteps=4).fit(points)
+            placed = model.transform(points)
+            if placed.select("_c").distinct().count() < 2:
+                continue
+            score = ClusteringEvaluator(featuresCol="_at", predictionCol="_c", weightCol="_w").evaluate(placed)
+            if best is None or score > best[0] + 1e-9:
+                best = (score, model)
+        if best is None:
+            return df.withColumn(name, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
+        placed = best[1].transform(points)
+        sizes = {r["_c"]: r["n"] for r in placed.groupBy("_c").agg(F.sum("_w").alias("n")).collect()}
+        kept = [c for c in sorted(sizes) if sizes[c] >= least] or [max(sizes, key=sizes.get)]
+        centres = best[1].clusterCenters()
+        to = {c: min(kept, key=lambda o: float(((centres[o] - centres[c]) ** 2).sum())) for c in sizes}
+        number = {c: k for k, c in enumerate(sorted(kept, key=lambda c: tuple(centres[c])), 1)}
+        label = F.element_at(F.create_map(*[F.lit(v) for c in sizes for v in (c, number[to[c]])]), F.col("_c"))
+        return df.join(placed.select(x, y, label.alias(name)), [x, y], "left").select(*df.columns, name)
+    finally:
+        points.unpersist()

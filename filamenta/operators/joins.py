@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.optics import clean_micrograph, eman_astigmatism, file_stem, image_file
+
 
 def semi(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other.select(*keys), keys, "left_semi")
@@ -26,12 +28,110 @@ def group_mean_lookup(df: DataFrame, source: DataFrame, key: str, columns: list[
     return df.drop(*columns).join(source.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns]), key, "left")
 
 
-def contained_in(names: DataFrame, name: str, patterns: list[tuple[str, int]]) -> Column:
-    """The value of the first pattern that a name contains, else 0; patterns: a short list, given in order."""
-    out = F.lit(0)
-    for text, value in reversed(patterns):
-        out = F.when(F.col(name).contains(text), F.lit(value)).otherwise(out)
-    return out
+def mean_ctf_lookup(df: DataFrame, source: DataFrame, key: str, u: str, v: str, angle: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """df with the CTF of source's rows of the same key: mean defocus, the mean vector of half the astigmatism along its angle, means of others; keys without rows keep theirs."""
+    half = (F.col(v) - F.col(u)) / -2
+    means = source.groupBy(key).agg(F.avg((F.col(u) + F.col(v)) / 2).alias("_d"), F.avg(half * F.cos(F.radians(angle))).alias("_x"), F.avg(half * F.sin(F.radians(angle))).alias("_y"), *[F.avg(c).alias(f"_o{k}") for k, c in enumerate(others)])
+    length = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))
+    new = {u: F.col("_d") + length, v: F.col("_d") - length, angle: F.degrees(F.atan2("_y", "_x"))} | {c: F.col(f"_o{k}") for k, c in enumerate(others)}
+    joined = df.join(means, key, "left")
+    return joined.select(*[F.when(F.col("_d").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+
+
+def copy_optics(optics: DataFrame, source: DataFrame, columns: tuple[str, ...] = ("rlnBeamTiltX", "rlnBeamTiltY", "rlnOddZernike", "rlnEvenZernike"), group: str = "rlnOpticsGroup") -> DataFrame:
+    """optics with those of the columns that source has, from its row of the same group; groups that it lacks keep theirs, or get 0."""
+    have = [c for c in columns if c in source.columns]
+    other = source.select(F.col(group).alias("_g"), *[F.col(c).alias(f"_s_{c}") for c in have])
+    joined = optics.join(other, F.col(group) == F.col("_g"), "left")
+    kept = {c: F.col(c) if c in optics.columns else F.lit(0.0) for c in have}
+    rest = [F.col(c) for c in optics.columns if c not in have]
+    return joined.select(*rest, *[F.when(F.col("_g").isNotNull(), F.col(f"_s_{c}")).otherwise(kept[c]).alias(c) for c in have])
+
+
+def set_ctf(df: DataFrame, ctf: DataFrame, image: str = "rlnImageName", detector: float = 5.0) -> DataFrame:
+    """df with the CTF columns of a table (name, voltage, cs, ampcont in percent, apix, defocus and dfdiff in micrometres, dfang) by the stem of the image file, else by that up to its first dot; without a row they are null."""
+    stem = file_stem(image_file(F.col(image)))
+    values = F.struct("voltage", "cs", "ampcont", "apix", "defocus", "dfdiff", "dfang")
+    one = ctf.select(F.col("name").alias("_one"), values.alias("_c1"))
+    two = ctf.select(F.col("name").alias("_two"), values.alias("_c2"))
+    rows = df.withColumn("_stem", stem).withColumn("_short", F.substring_index(stem, ".", 1))
+    rows = rows.join(one, F.col("_stem") == F.col("_one"), "left").join(two, F.col("_short") == F.col("_two"), "left").withColumn("_c", F.coalesce("_c1", "_c2"))
+    size = F.col("rlnDetectorPixelSize").cast("double") if "rlnDetectorPixelSize" in df.columns else F.lit(float(detector))
+    u, v, angle = eman_astigmatism(F.col("_c.defocus"), F.col("_c.dfdiff"), F.col("_c.dfang"))
+    new = {"rlnDetectorPixelSize": size, "rlnVoltage": F.col("_c.voltage"), "rlnSphericalAberration": F.col("_c.cs"), "rlnAmplitudeContrast": F.col("_c.ampcont") / 100.0, "rlnMagnification": size * 1e4 / F.col("_c.apix"), "rlnDefocusU": u, "rlnDefocusV": v, "rlnDefocusAngle": angle}
+    return rows.select(*[c for c in df.columns if c not in new], *[value.alias(name) for name, value in new.items()])
+
+
+def remapped_micrographs(df: DataFrame, names: DataFrame, micrograph: str = "rlnMicrographName") -> DataFrame:
+    """df with micrograph paths of another table, found by the cleaned base name; of several the last in order; a name that it lacks stays."""
+    known = names.groupBy(clean_micrograph(F.col(micrograph)).alias("_base")).agg(F.max(micrograph).alias("_path"))
+    joined = df.withColumn("_own", clean_micrograph(F.col(micrograph))).join(known, F.col("_own") == F.col("_base"), "left")
+    return joined.select(*[F.coalesce("_path", micrograph).alias(c) if c == micrograph else F.col(f"`{c}`") for c in df.columns])
+
+
+def coalesced(df: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """df with columns of other's row of the same key where that has a value; other has a row a key."""
+    joined = df.join(other.select(key, *[F.col(c).alias(f"_o_{c}") for c in columns]), key, "left")
+    return joined.select(*[F.coalesce(f"_o_{c}", c).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns], *[F.col(f"_o_{c}").alias(c) for c in columns if c not in df.columns])
+
+
+def inner_by_uid(df: DataFrame, passthrough: DataFrame, uid: str = "uid") -> DataFrame:
+    """Rows of both tables by uid; columns of both keep the values of the first."""
+    return df.join(passthrough.select(uid, *[f"`{c}`" for c in passthrough.columns if c not in df.columns]), uid)
+
+
+def intersected(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys of both tables."""
+    return df.select(*keys).intersect(other.select(*keys))
+
+
+def subtracted(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of df whose keys other lacks; none is left if all are there."""
+    return df.join(other.select(*keys), keys, "left_anti")
+
+
+def same_fields(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows of both with the columns that both have, in df's order."""
+    columns = [c for c in df.columns if c in other.columns]
+    return df.select(*columns).unionByName(other.select(*columns))
+
+
+def first_in_order(df: DataFrame, keys: list[str], rid: str) -> DataFrame:
+    """The distinct keys in order of their first row, which stays as rid."""
+    return df.groupBy(*keys).agg(F.min(rid).alias(rid))
+
+
+def on_segment(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column, off: float = 1.0) -> Column:
+    """Whether the way from a to b over the point is less than off longer than the straight one."""
+    way = lambda px, py, qx, qy: F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))
+    return F.abs(way(ax, ay, bx, by) - way(x, y, ax, ay) - way(x, y, bx, by)) < off
+
+
+def filaments_along(part: DataFrame, full: DataFrame, partition: list[str], tube: str, x: str, y: str, rid: str, least: float = 0.0) -> DataFrame:
+    """Rows of those filaments of full on whose line between first and last segment both ends of a filament of part lie, with at least that share of its rows.
+
+    Filaments are one row each with their ends when they meet.
+    """
+
+    def ends(df: DataFrame, tag: str) -> DataFrame:
+        point = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+        return df.groupBy(*partition, F.col(tube).alias(f"_{tag}")).agg(F.min_by(point, rid).alias(f"_{tag}a"), F.max_by(point, rid).alias(f"_{tag}b"), F.count("*").alias(f"_{tag}n"))
+
+    pairs = ends(part, "p").join(ends(full, "f"), partition)
+    c = F.col
+    along = [on_segment(c(f"_p{e}.x"), c(f"_p{e}.y"), c("_fa.x"), c("_fa.y"), c("_fb.x"), c("_fb.y")) for e in "ab"]
+    chosen = pairs.where(along[0] & along[1] & (c("_pn") / c("_fn") >= least)).select(*partition, c("_f").alias(tube)).distinct()
+    return full.join(chosen, [*partition, tube], "left_semi")
+
+
+def contained_in(df: DataFrame, name: str, patterns: DataFrame, out: str) -> DataFrame:
+    """df with the value of the first pattern (rank, pattern, value; a row each) that the name contains, else 0.
+
+    Each distinct name meets the patterns once; names are far fewer than rows.
+    """
+    names = df.select(F.col(name).alias("_name")).distinct()
+    hits = names.join(patterns, F.contains("_name", F.col("pattern"))).groupBy("_name").agg(F.min_by("value", "rank").alias("_value"))
+    return df.join(hits, F.col(name) == F.col("_name"), "left").withColumn(out, F.coalesce("_value", F.lit(0))).drop("_name", "_value")
 
 
 def near_semi(df: DataFrame, other: DataFrame, partition: list[str], x: str, y: str, distance: float, rid: str, own: bool = True) -> DataFrame:

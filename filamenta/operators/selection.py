@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import kth_smallest, numbered, running_before
+
+
+def with_variation(df: DataFrame, image: str) -> DataFrame:
+    """Rows whose image (an array of numbers) isn't blank."""
+    return df.where(F.array_max(image) > F.array_min(image))
+
+
+def with_any_class(helices: DataFrame, classes: str, chosen: list) -> DataFrame:
+    """Helices whose list of classes has one of the chosen ones."""
+    return helices.where(F.arrays_overlap(classes, F.array(*[F.lit(c) for c in chosen])))
+
 
 def is_in(df: DataFrame, column: str, values: list) -> DataFrame:
     return df.where(F.col(column).isin(values))
@@ -14,22 +26,6 @@ def between_open(df: DataFrame, column: str, low: float, high: float) -> DataFra
     return df.where((F.col(column) > low) & (F.col(column) < high))
 
 
-def kth_smallest(df: DataFrame, column: str, k: int) -> float | None:
-    """The k-th smallest value (from 1), by the counts of its distinct values in ranges of quantiles, not by one sort."""
-    n = df.where(F.col(column).isNotNull()).count()
-    if not 1 <= k <= n:
-        return None
-    low, high = (max(0.0, k / n - 0.01), min(1.0, k / n + 0.01))
-    a, b = df.agg(F.percentile_approx(column, [low, high], 10_000)).first()[0]
-    below = df.where(F.col(column) < a).count()
-    part = df.where((F.col(column) >= a) & (F.col(column) <= b)).groupBy(column).agg(F.count("*").alias("n")).orderBy(column)
-    for r in part.toLocalIterator():  # about a fiftieth of the distinct values, streamed
-        below += r["n"]
-        if below >= k:
-            return r[column]
-    return None
-
-
 def ratio_range(df: DataFrame, column: str, first: float, last: float) -> DataFrame:
     """Rows from the value at share first (inclusive) up to that at share last (exclusive; all of the rest at 1)."""
     n = df.count()
@@ -38,6 +34,11 @@ def ratio_range(df: DataFrame, column: str, first: float, last: float) -> DataFr
     return out if last >= 1 else out.where(F.col(column) < F.lit(kth_smallest(df, column, int(n * last) + 1)))
 
 
+def best_first(df: DataFrame, score: str, rid: str, name: str = "rank") -> DataFrame:
+    """df with the rank of rows by descending score (null last), ties by rid."""
+    return numbered(df.withColumn("_none", F.col(score).isNull()).withColumn("_less", -F.col(score)), ["_none", "_less", rid], name).drop("_none", "_less")
+
+
 def rows_between(df: DataFrame, rid: str, first: int, last: int) -> DataFrame:
     return df.where((F.col(rid) >= first) & (F.col(rid) < last))
 
@@ -69,33 +70,102 @@ def best_per_bin(df: DataFrame, bins: list[str], score: str, k: int, rid: str) -
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
+def drawn(rid: str, seed: int = 1) -> Column:
+    """A hash of row id and seed as text, which other systems can repeat: the MD5 of "id:seed" in lower-case hex."""
+    return F.md5(F.concat(F.col(rid).cast("string"), F.lit(f":{seed}")))
+
+
 def random_sample(df: DataFrame, group: str, n: int, rid: str, seed: int = 1) -> DataFrame:
     """n rows of each group by a seeded hash of rid."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(rid), F.lit(seed)), rid)
+    w = Window.partitionBy(group).orderBy(drawn(rid, seed), rid)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
 def split_random(df: DataFrame, rid: str, sets: int, seed: int = 1) -> DataFrame:
-    return df.withColumn("subset", (F.pmod(F.xxhash64(F.col(rid), F.lit(seed)), F.lit(sets)) + 1).cast("int"))
+    return df.withColumn("subset", (F.conv(F.substring(drawn(rid, seed), 1, 8), 16, 10).cast("long") % sets + 1).cast("int"))
 
 
 def split_even_odd(df: DataFrame, rid: str, sets: int = 2) -> DataFrame:
     return df.withColumn("subset", (F.col(rid) % sets + 1).cast("int"))
 
 
-def split_largest_first(df: DataFrame, keys: list[str], rid: str, sets: int, limit: int = 1_000_000) -> DataFrame:
-    """Whole groups to subsets: largest first into the smallest subset, ties by first appearance.
+def dealt(histogram: dict[int, int], sets: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, last, subsets): of the groups of each size, those numbered first to last - 1 go to these subsets in turn.
 
-    The greedy pass is sequential over one row a group; beyond limit groups it is refused.
+    The groups go largest first to the smallest subset, ties to the first. Groups of one
+    size aren't counted out one by one: the smallest subset takes as many at once as
+    bring it to the next one, and once subsets differ by less than the size, they take
+    turns.
+    """
+    held, out = [0] * sets, []
+    for size in sorted(histogram, reverse=True):
+        left, at = histogram[size], 0
+        while left:
+            order = sorted(range(sets), key=lambda k: (held[k], k))
+            if held[order[-1]] - held[order[0]] < size:
+                out.append((size, at, at + left, order))
+                for place, k in enumerate(order):
+                    held[k] += size * (left // sets + (place < left % sets))
+                break
+            first, next_ = order[0], order[1]
+            take = min(left, max(1, -(-(held[next_] - held[first]) // size)))
+            out.append((size, at, at + take, [first]))
+            held[first] += size * take
+            at, left = at + take, left - take
+    return out
+
+
+def split_largest_first(df: DataFrame, keys: list[str], rid: str, sets: int) -> DataFrame:
+    """df with subset: whole groups to subsets, largest first into the smallest subset, ties by first appearance.
+
+    The greedy pass runs over the histogram of group sizes; a group finds its subset by
+    its number among those of its size.
+    """
+    groups = df.groupBy(*keys).agg((-F.count("*")).alias("_less"), F.min(rid).alias("_first"))
+    sizes = {-r["_less"]: r["n"] for r in groups.groupBy("_less").agg(F.count("*").alias("n")).collect()}  # distinct sizes: at most the root of twice the rows
+    larger, before = {}, 0
+    for size in sorted(sizes, reverse=True):
+        larger[size], before = before, before + sizes[size]
+    runs = [(-size, larger[size] + a, larger[size] + b, [k + 1 for k in order]) for size, a, b, order in dealt(sizes, sets)]
+    runs = df.sparkSession.createDataFrame(runs, "_less long, _a long, _b long, _order array<int>")
+    ranked = running_before(groups, ["_less", "_first"], F.lit(1).cast("long"), "_rank")
+    ranked = ranked.join(runs, "_less").where((F.col("_rank") >= F.col("_a")) & (F.col("_rank") < F.col("_b")))
+    subset = F.get("_order", ((F.col("_rank") - F.col("_a")) % F.size("_order")).cast("int"))
+    return df.join(ranked.select(*keys, subset.alias("subset")), keys)
+
+
+def split_in_halves(df: DataFrame, keys: list[str], rid: str, most: int = 1 << 24) -> DataFrame:
+    """df with subset 1 or 2: whole groups (micrographs) to two subsets whose row counts differ as little as possible.
+
+    The sums that groups can reach are bits of a number; groups of equal size are taken
+    in powers of two, so passes are as many as distinct sizes times the logarithm of
+    their numbers. The histogram of sizes reaches the driver; a table of more than most
+    rows has too many sums, and an error says so.
     """
-    groups = df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(rid).alias("first"))
-    rows = groups.orderBy(F.desc("n"), "first").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} groups")
-    held, placed = [0] * sets, []
-    for r in rows:
-        s = min(range(sets), key=lambda k: held[k])
-        held[s] += r["n"]
-        placed.append((*[r[k] for k in keys], s + 1))
-    schema = ", ".join(f"`{k}` {groups.schema[k].dataType.simpleString()}" for k in keys) + ", subset int"
-    return df.join(df.sparkSession.createDataFrame(placed, schema), keys)
+    groups = df.groupBy(*keys).agg((-F.count("*")).alias("_less"), F.min(rid).alias("_first"))
+    sizes = {-r["_less"]: r["n"] for r in groups.groupBy("_less").agg(F.count("*").alias("n")).collect()}
+    total = sum(n * c for n, c in sizes.items())
+    if total > most:
+        raise ValueError("too many rows for exact halves: split_largest_first gives nearly even ones")
+    bundles = []
+    for size, count in sorted(sizes.items()):
+        k = 1
+        while count:
+            take = min(k, count)
+            bundles.append((size, take))
+            count, k = count - take, 2 * k
+    reached, inside = [1], (1 << (total // 2 + 1)) - 1
+    for size, take in bundles:
+        reached.append((reached[-1] | reached[-1] << (size * take)) & inside)
+    goal = next(x for x in range(total // 2, -1, -1) if reached[-1] >> x & 1)
+    chosen: dict[int, int] = {}
+    for (size, take), before in zip(reversed(bundles), reversed(reached[:-1])):
+        if not before >> goal & 1:
+            chosen[size] = chosen.get(size, 0) + take
+            goal -= size * take
+    larger, before = {}, 0
+    for size in sorted(sizes, reverse=True):
+        larger[size], before = before, before + sizes[size]
+    bounds = df.sparkSession.createDataFrame([(-size, larger[size] + chosen.get(size, 0)) for size in sizes], "_less long, _to long")
+    ranked = running_before(groups, ["_less", "_first"], F.lit(1).cast("long"), "_rank").join(bounds, "_less")
+    return df.join(ranked.select(*keys, F.when(F.col("_rank") < F.col("_to"), 1).otherwise(2).alias("subset")), keys)

@@ -22,8 +22,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SEG = """seg AS (SELECT event_id AS rid, user_id AS mic, event_type AS tube, epoch_us(ts) / 1e6 AS track,
-  ((value * 36.0) % 360.0 + 360.0) % 360.0 AS psi, ((value * 77.0) % 360.0 + 360.0) % 360.0 AS rot, (((value * 11.0) % 360.0 + 360.0) % 360.0) / 2 AS tilt,
+def _turn(k: str) -> str:
+    """As Spark's pmod: 360 is added only to what is negative, or last bits would differ."""
+    return f"CASE WHEN (value * {k}) % 360.0 < 0 THEN ((value * {k}) % 360.0 + 360.0) % 360.0 ELSE (value * {k}) % 360.0 END"
+
+
+SEG = f"""seg AS (SELECT event_id AS rid, user_id AS mic, event_type AS tube, epoch_us(ts) / 1e6 AS track,
+  {_turn('36.0')} AS psi, {_turn('77.0')} AS rot, ({_turn('11.0')}) / 2 AS tilt,
   event_id % 5 + 1 AS cls, value AS score, printf('%06d@stack_%d.mrcs', event_id, user_id) AS image,
   value % 100 AS x, (epoch_us(ts) / 1e6) % 100 AS y, value * 10 + 10000 AS defocus_u, value * 9 + 10000 AS defocus_v, CAST(2.7 AS DOUBLE) AS cs, CAST(1.25 AS DOUBLE) AS apix
   FROM events)"""

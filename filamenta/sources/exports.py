@@ -11,10 +11,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .star import read_star
+from ..operators.grouping import dissolve_optics
+from .databases import read_refinement
+from .maps import stack_images
+from .star import moved_out, read_star, write_star_file
 
 #: Rows that a task hands over at once.
 SLICE = 10_000
@@ -48,6 +53,7 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     columns = found.groupBy("name").agg(F.min("kind").alias("kind"), F.min("place").alias("place")).orderBy("place", "name").collect()  # one row a column
     if not columns:
         raise ValueError(f"no table in {path}")
+    columns = [r for r in columns if r["name"] not in ("file", "rid")]  # the place in the file is the row's id
     names = [r["name"] for r in columns]
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,13 +69,24 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(rows, schema)
 
 
-def read_export(spark: SparkSession, path: str, passthrough: str | None = None) -> DataFrame:
+def passthrough_of(spark: SparkSession, path: str) -> str | None:
+    """The passthrough table in the folder of an export: that of its own name for particles_..., else that of all particles; None if there is none."""
+    folder, _, name = path.rpartition("/")
+    glob = f"{folder}/*J[0-9]*_passthrough_{name if name.startswith('particles_') else 'particles.cs'}"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    found = jvm.Path(glob).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.Path(glob))
+    return min(str(f.getPath()) for f in found) if found else None
+
+
+def read_export(spark: SparkSession, path: str, passthrough: str | None = None, discover: bool = False) -> DataFrame:
     """Rows of structured .npy tables with file and rid, their place in it from 0.
 
     passthrough: tables whose further columns are joined by uid; columns of both keep
-    the values of the first, rows without a partner stay.
+    the values of the first, rows without a partner stay. With discover they are looked
+    for beside the export.
     """
     df = _read(spark, path)
+    passthrough = passthrough or (passthrough_of(spark, path) if discover else None)
     if passthrough:
         more = _read(spark, passthrough)
         fresh = [c for c in more.columns if c not in df.columns]
@@ -89,8 +106,76 @@ def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
             return read_export(spark, path).drop("file")
         if path.endswith(".parquet"):
             return spark.read.parquet(path)
+        if path.endswith(".db"):
+            return read_refinement(spark, path)
+        if path.endswith((".mrc", ".mrcs")):
+            return stack_images(spark, path)
         raise ValueError(f"no reader for {path}")
 
     if not paths:
         raise ValueError("no paths")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p).withColumn("source", F.lit(k)) for k, p in enumerate(paths)])
+
+
+def write_export(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """A folder of structured .npy tables (.cs), one a task, or with one_file a single table, which one task writes.
+
+    Strings are as long as the longest of the column, arrays as long as the first row's.
+    The file system must be one that pyarrow opens.
+    """
+    kinds, text = {f.name: f.dataType.simpleString() for f in df.schema.fields}, []
+    for name, kind in kinds.items():
+        if kind == "string":
+            text.append(F.max(F.octet_length(f"`{name}`")).alias(name))
+        elif kind.startswith("array"):
+            text.append(F.max(F.size(f"`{name}`")).alias(name))
+    widths = df.agg(*text).first().asDict() if text else {}
+    plain = {"double": "f8", "float": "f4", "bigint": "i8", "int": "i4", "smallint": "i2", "tinyint": "i1", "boolean": "?"}
+    fields = [(n, f"S{max(1, widths[n] or 1)}") if k == "string" else (n, plain[k[6:-1]], (max(1, widths[n] or 1),)) if k.startswith("array") else (n, plain[k]) for n, k in kinds.items()]
+    folder = f"{path}.parts" if one_file else path
+
+    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
+        filesystem.create_dir(root, recursive=True)
+        tables = []
+        for part in parts:
+            table = np.zeros(len(part), np.dtype(fields))
+            for field in fields:
+                column = part[field[0]]
+                table[field[0]] = [v.encode() for v in column] if field[1].startswith("S") else np.stack(column.to_list()) if len(field) == 3 and len(part) else column.to_numpy()
+            tables.append(table)
+        if tables:
+            task = TaskContext.get()
+            name = f"{root}/part-{task.partitionId():05d}.cs"
+            with filesystem.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp", compression=None) as sink:
+                sink.write(_npy(np.concatenate(tables)))
+            filesystem.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+            yield pd.DataFrame({"path": [name]})
+
+    (df.repartition(1) if one_file else df).mapInPandas(write, "path string").count()
+    if one_file:
+        moved_out(df.sparkSession, folder, path)
+
+
+def _npy(table: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, table)
+    return out.getvalue()
+
+
+def write_table(df: DataFrame, path: str, optics: DataFrame | None = None, order: str = "rid") -> None:
+    """The table by the suffix of its path: .oldformat.star (optics columns in the rows), .star, .cs, .csv or .parquet; an empty table is refused."""
+    if df.isEmpty():
+        raise ValueError(f"nothing to write to {path}")
+    if path.endswith(".oldformat.star"):
+        write_star_file(dissolve_optics(df, optics, "rlnOpticsGroup") if optics is not None else df, path, block="", order=order)
+    elif path.endswith(".star"):
+        write_star_file(df, path, optics, order=order)
+    elif path.endswith(".cs"):
+        write_export(df, path, one_file=True)
+    elif path.endswith(".csv"):
+        df.write.csv(path, header=True)
+    elif path.endswith(".parquet"):
+        df.write.parquet(path)
+    else:
+        raise ValueError(f"no writer for {path}")

@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"'[^']*'|\"[^\"]*\"|[^\s#]\S*")
@@ -74,3 +74,66 @@ def write_star(df: DataFrame, path: str, block: str = "particles", order: str =
     body = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).select(F.concat_ws("\t", *shown).alias("value"))
     df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/0-head")
     body.write.text(f"{path}/1-rows")
+
+
+def read_star_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, optics table or None) of a STAR file."""
+    blocks = {b for r in spark.read.text(path, wholetext=True).select(F.expr("regexp_extract_all(value, '(?m)^data_([^ \\\\t\\\\r\\\\n]*)', 1)").alias("b")).collect() for b in r["b"]}
+    return read_star(spark, path), read_star(spark, path, "optics") if "optics" in blocks else None
+
+
+def _shown(df: DataFrame, columns: list[str]) -> list[Column]:
+    return [F.round(f"`{c}`", 6).cast("string") if df.schema[c].dataType.simpleString() in ("double", "float") else F.col(f"`{c}`").cast("string") for c in columns]
+
+
+def _head(block: str, columns: list[str]) -> str:
+    return f"data_{block}\n\nloop_\n" + "\n".join(f"_{c} #{k}" for k, c in enumerate(columns, 1))
+
+
+def write_star_file(df: DataFrame, path: str, optics: DataFrame | None = None, block: str | None = None, order: str = "rid") -> None:
+    """One STAR file of the columns named rln..., in order of a column, after the optics table.
+
+    The format is one stream of text, so one task writes it, from rows that Spark has
+    sorted with spilling; write_star() is the way for many tasks. The block is
+    micrographs for rows without images, else particles.
+    """
+    columns = [c for c in df.columns if c.startswith("rln")]
+    if not columns or df.isEmpty():
+        raise ValueError("nothing to write")
+    block = block if block is not None else "particles" if "rlnImageName" in columns or "rlnMicrographName" not in columns else "micrographs"
+    spark = df.sparkSession
+    lines = [("0", 0, "# version 30001")] if optics is not None else []
+    parts = []
+    if optics is not None:
+        names = [c for c in optics.columns if c.startswith("rln")]
+        lines += [("1", 0, "\n" + _head("optics", names)), ("3", 0, "")]
+        parts.append(optics.select(F.lit("2").alias("part"), F.col(names[0] if "rlnOpticsGroup" not in names else "rlnOpticsGroup").cast("long").alias("at"), F.concat_ws("\t", *_shown(optics, names)).alias("line")))
+    lines += [("4", 0, "\n" + _head(block, columns))]
+    parts.append(df.select(F.lit("5").alias("part"), F.col(order).cast("long").alias("at"), F.concat_ws("\t", *_shown(df, columns)).alias("line")))
+    text = spark.createDataFrame(lines, "part string, at long, line string")
+    for p in parts:
+        text = text.union(p)
+    folder = f"{path}.parts"
+    text.repartition(1).sortWithinPartitions("part", "at", "line").select("line").write.mode("overwrite").text(folder)
+    moved_out(spark, folder, path)
+
+
+def moved_out(spark: SparkSession, folder: str, path: str) -> None:
+    """The only part file of a folder becomes path, and the folder goes."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    source, target = jvm.Path(folder), jvm.Path(path)
+    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(source) if f.getPath().getName().startswith("part-"))
+    files.delete(target, False)
+    if not files.rename(part, target):
+        raise OSError(f"can't write {path}")
+    files.delete(source, True)
+
+
+def write_star_by(df: DataFrame, path: str, column: str, order: str = "rid") -> None:
+    """A folder with a STAR table of parts for each value of a column (micrograph or subset)."""
+    columns = [c for c in df.columns if c not in (order, column)]
+    head = df.select(column).distinct().select(column, F.lit(-1).cast("long").alias("_at"), F.lit(_head("particles", columns)).alias("value"))
+    body = df.select(column, F.col(order).cast("long").alias("_at"), F.concat_ws("\t", *_shown(df, columns)).alias("value"))
+    rows = head.union(body).repartition(F.col(f"`{column}`")).sortWithinPartitions(column, "_at")
+    rows.select(column, "value").write.partitionBy(column).text(path)

@@ -18,7 +18,7 @@ def duck(sf):
 
 def same(a, b) -> bool:
     if isinstance(a, float) or isinstance(b, float):
-        return a is not None and b is not None and (abs(a - b) <= 2e-4 * max(1.0, abs(a)) or a != a and b != b)
+        return a is not None and b is not None and (abs(a - b) <= 1e-9 * max(1.0, abs(a)) or a != a and b != b)
     return a == b
 
 
