@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import circular_mean, circular_std, wrap
-from .ranking import running_before
+from .ranking import numbered, running_before
 
 KEYS = ["mic", "tube"]
 
@@ -28,6 +28,56 @@ def inter_segment_distance(df: DataFrame) -> DataFrame:
     return segment_gaps(df).agg(F.median("gap").alias("median_gap"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("std_gap"))
 
 
+def full_segment_count(df: DataFrame) -> DataFrame:
+    """One row: the segments that filaments of these lengths have at the median distance; halves round to even."""
+    gap = inter_segment_distance(df).select("median_gap")
+    lengths = df.groupBy(*KEYS).agg(F.max("track").alias("_l"))
+    return lengths.crossJoin(F.broadcast(gap)).agg(F.sum(F.rint(F.col("_l") / F.col("median_gap")) + 1).cast("long").alias("segments"))
+
+
+def lengths_by_index(df: DataFrame, index: str, spacing: float) -> DataFrame:
+    """Filament lengths where no track is known: from the range of segment numbers and their distance."""
+    return df.groupBy(*KEYS).agg(((F.max(index) - F.min(index) + 1) * spacing).alias("longest"))
+
+
+def rate_variance(df: DataFrame, angle: str = "rot") -> DataFrame:
+    """Per filament: the deviation of the angle's wrapped change over the way between neighbours, and median and median absolute deviation of the unwrapped rates between all pairs.
+
+    Pairs stay inside a filament, whose length bounds them.
+    """
+    w = _along("track", "rid")
+    step = wrap(F.col(angle) - F.lag(angle).over(w)) / F.nullif(F.col("track") - F.lag("track").over(w), F.lit(0.0))
+    steps = df.withColumn("_step", step).groupBy(*KEYS).agg(F.stddev_pop("_step").alias("rate_std"))
+    u = unwrapped(df, angle).select(*KEYS, "rid", "track", "unwrapped")
+    a, b = u.alias("a"), u.alias("b")
+    pairs = a.join(b, (F.col("a.mic") == F.col("b.mic")) & (F.col("a.tube") == F.col("b.tube")) & (F.col("a.track") < F.col("b.track")))
+    rates = pairs.select("a.mic", "a.tube", ((F.col("b.unwrapped") - F.col("a.unwrapped")) / (F.col("b.track") - F.col("a.track"))).alias("_rate"))
+    middle = rates.groupBy(*KEYS).agg(F.median("_rate").alias("rate_median"))
+    away = rates.join(middle, KEYS).groupBy(*KEYS).agg(F.max("rate_median").alias("rate_median"), F.median(F.abs(F.col("_rate") - F.col("rate_median"))).alias("rate_mad"))
+    return steps.join(away, KEYS, "left")
+
+
+def helix_table(df: DataFrame, image: str) -> DataFrame:
+    """(mic, tube, length, classes, image, rank): of each filament its track length, its classes from the most segments to the fewest, its first image; ranks by descending length."""
+    counts = df.groupBy(*KEYS, "cls").agg(F.count("*").alias("n"), F.max("track").alias("last"), F.min("track").alias("first"), F.min_by(image, "rid").alias("image"), F.min("rid").alias("rid"))
+    per = counts.groupBy(*KEYS).agg((F.max("last") - F.min("first")).alias("length"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "cls"))), lambda s: s["cls"].cast("string")), " ").alias("classes"), F.min_by("image", "rid").alias("image"))
+    return numbered(per.withColumn("_less", -F.col("length")), ["_less", *KEYS], "rank").drop("_less")
+
+
+def twist_histogram(df: DataFrame, bins: int, low: float, high: float, rise: float = 4.75) -> DataFrame:
+    """(bin, n, log_n, twist_1 .. twist_4): pair distances counted in equal bins of [low, high], the last closed, log10(1 + n), and the twist at each bin's centre for symmetries C1 to C4.
+
+    Bins without a pair are there with 0.
+    """
+    width = (high - low) / bins
+    d = pair_distances(df).where((F.col("distance") >= low) & (F.col("distance") <= high))
+    at = F.least(F.floor((F.col("distance") - low) / width), F.lit(bins - 1))
+    counts = d.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    center = F.lit(low) + (F.col("bin") + 0.5) * width
+    return every.select("bin", "n", F.log10(F.col("n") + 1.0).alias("log_n"), *[(360.0 / (center * c / rise)).alias(f"twist_{c}") for c in range(1, 5)])
+
+
 def tube_lengths(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.max("track").alias("longest"), (F.max("track") - F.min("track")).alias("span"), F.count("*").alias("segments"))
 

@@ -144,6 +144,14 @@ def propagate_medians(df: DataFrame, group: str, columns: list[str]) -> DataFram
     return df.drop(*columns).join(medians, group)
 
 
+def propagate_vector_medians(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """df with every element of array columns replaced by the median of all elements of its group."""
+    for c in columns:
+        medians = df.select(group, F.explode(c).alias("_v")).groupBy(group).agg(F.median("_v").alias("_m"))
+        df = df.join(medians, group, "left").withColumn(c, F.transform(c, lambda v: F.col("_m"))).drop("_m")
+    return df
+
+
 def build_optics(df: DataFrame, columns: list[str], rid: str) -> tuple[DataFrame, DataFrame]:
     """(rows with optics_group and without the optics columns, the optics table)."""
     numbered = first_seen_ids(df, columns, rid, "optics_group")

@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.optics import clean_micrograph, eman_astigmatism, file_stem, image_file
 
 
+def name_key(name: Column, pattern: str | None = None) -> Column:
+    """What file selections compare: the name without leading zeros, or the first group of a pattern in it; null where the pattern doesn't match, which never equals anything."""
+    bare = F.regexp_replace(name, "^0+", "")
+    return bare if pattern is None else F.when(bare.rlike(pattern), F.regexp_extract(bare, pattern, 1))
+
+
+def select_by_name(df: DataFrame, other: DataFrame, column: str, other_column: str, pattern: str | None = None, keep: bool = True) -> DataFrame:
+    """Rows whose name key other has (or, with keep False, lacks)."""
+    keys = other.select(name_key(F.col(other_column), pattern).alias("_k")).where("_k is not null")
+    return df.withColumn("_k", name_key(F.col(column), pattern)).join(keys, "_k", "left_semi" if keep else "left_anti").drop("_k")
+
+
+def exposure_parameters(df: DataFrame, source: DataFrame, uid: str, group: str, columns: list[str]) -> DataFrame:
+    """df with source's exposure group of the same uid (the least group less 1 if it lacks the uid), and that group's medians of columns in source; medians of all its rows where the group has none."""
+    least = source.agg((F.min(group) - 1).alias("_least"))
+    ids = source.groupBy(uid).agg(F.max(group).alias("_g"))
+    medians = source.groupBy(F.col(group).alias("_g")).agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    whole = source.agg(*[F.median(c).alias(f"_w_{c}") for c in columns]).crossJoin(least)  # one row each
+    joined = df.drop(group, *columns).join(ids, uid, "left").join(medians, "_g", "left").join(F.broadcast(whole))
+    return joined.select(*[c for c in df.columns if c not in (group, *columns)], F.coalesce("_g", "_least").alias(group), *[F.coalesce(f"_m_{c}", f"_w_{c}").alias(c) for c in columns])
+
+
+def same_axis(pairs: DataFrame, one: tuple[str, ...], other: tuple[str, ...], tolerance: float, match: str) -> DataFrame:
+    """Of candidate pairs (match, quaternions w, x, y, z of both) those whose relative rotation turns the z axis by at most tolerance degrees; of one match's the pair that turns it least, ties by the other columns."""
+    (a, b, c, d), (e, f, g, h) = ([F.col(n) for n in names] for names in (one, other))
+    x, y = a * f - b * e + c * h - d * g, a * g - b * h - c * e + d * f
+    z = 1 - 2 * (x * x + y * y)
+    near = pairs.withColumn("_z", F.round(z, 12)).where(F.col("_z") >= math.cos(math.radians(tolerance)))
+    return near.groupBy(match).agg(F.min(F.struct((-F.col("_z")).alias("_less"), *[c for c in pairs.columns if c != match])).alias("_p")).select(match, "_p.*").drop("_less")
+
+
 def semi(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other.select(*keys), keys, "left_semi")
 

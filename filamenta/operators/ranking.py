@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which an order is cut; their bounds are rows chosen by a hash.
-RANGES = 256
+#: Ranges into which an order is cut; their bounds are rows chosen by a hash. A row meets the bounds of STEP ranges at once, then those inside.
+RANGES, STEP = 1024, 32
 
 
 def running_before(df: DataFrame, order: list[str], value: Column, name: str, ranges: int = RANGES) -> DataFrame:
@@ -16,10 +17,13 @@ def running_before(df: DataFrame, order: list[str], value: Column, name: str, ra
     inside ranges, and the sums of the ranges, at most RANGES + 1 rows, run in one place.
     """
     edges = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(ranges).collect()
+    edges.sort(key=lambda e: tuple((v is not None, v) if v is not None else (False, 0) for v in e))
     at = F.struct(*[F.col(f"`{c}`") for c in order])
+    literal = lambda es: F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, e)]) for e in es])
     if edges:
-        literal = F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, edge)]) for edge in edges])
-        part = F.size(F.filter(literal, lambda e: e <= at))
+        block = F.size(F.filter(literal(edges[::STEP]), lambda e: e <= at))
+        fine = F.filter(F.slice(literal(edges), F.greatest(F.lit(1), (block - 1) * STEP + 1), F.lit(STEP)), lambda e: e <= at)
+        part = F.when(block == 0, F.lit(0)).otherwise((block - 1) * STEP + F.size(fine))
     else:
         part = F.lit(0)
     rows = df.withColumn("_part", part).withColumn("_value", value)
@@ -46,11 +50,11 @@ def kth_smallest(df: DataFrame, column: str, k: int, cuts: int = 1000) -> float
         low, high = rows.agg(F.min(column), F.max(column)).first()
         if low == high:
             return low
-        edges = sorted({low, *edges, high})
-        part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(column)))
-        counts = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # at most cuts + 2 rows
+        splits = sorted({low, *edges, high})
+        parted = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_x", outputCol="_part").transform(rows.withColumn("_x", F.col(column).cast("double")))
+        counts = sorted((r["_part"], r["n"]) for r in parted.groupBy("_part").agg(F.count("*").alias("n")).collect())  # at most cuts + 3 rows
         for at, m in counts:
             if k <= m:
                 break
             k -= m
-        rows = rows.where(part == at)
+        rows = parted.where(F.col("_part") == at).select(column)

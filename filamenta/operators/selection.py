@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .averages import elbow
 from .ranking import kth_smallest, numbered, running_before
 
 
@@ -34,6 +35,34 @@ def ratio_range(df: DataFrame, column: str, first: float, last: float) -> DataFr
     return out if last >= 1 else out.where(F.col(column) < F.lit(kth_smallest(df, column, int(n * last) + 1)))
 
 
+def row_ratio_range(df: DataFrame, rid: str, first: float, last: float) -> DataFrame:
+    """Rows numbered (in order of rid) from round(n * first) up to round(n * last), exclusive; halves round to even."""
+    n = df.count()
+    ranked = numbered(df, [rid], "_place", 0)
+    return ranked.where((F.col("_place") >= round(n * first)) & (F.col("_place") < round(n * last))).drop("_place")
+
+
+def longest(helices: DataFrame, length: str, keys: list[str], share: float = 1.0, most: int = 0, cutoff: float = 0.0) -> DataFrame:
+    """Helices by descending length: the first share of them (rounded down), of these the first most (0: all), of these those of at least cutoff."""
+    n = helices.count()
+    ranked = numbered(helices.withColumn("_less", -F.col(length)), ["_less", *keys], "_place")
+    limit = min(int(n * share), most or n)
+    return ranked.where((F.col("_place") <= limit) & (F.col(length) >= cutoff)).drop("_less", "_place")
+
+
+def random_per_bin(df: DataFrame, bins: list[str], k: int, rid: str, seed: int = 1) -> DataFrame:
+    """k rows of each bin by a seeded hash."""
+    w = Window.partitionBy(*bins).orderBy(drawn(rid, seed), rid)
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def elbow_count(df: DataFrame, bins: list[str]) -> int:
+    """The count of that bin at which the curve of counts, sorted from high to low, lies farthest from the chord between its ends; of ties the first."""
+    counts = numbered(df.groupBy(*bins).agg((-F.count("*")).alias("_less")), ["_less", *bins], "_place", 0).select(F.lit(1).alias("_one"), "_place", (-F.col("_less")).alias("_n"))
+    at = elbow(counts, ["_one"], "_place", "_n").join(counts, ["_one", "_place"]).select("_n").first()
+    return int(at[0]) if at else 0
+
+
 def best_first(df: DataFrame, score: str, rid: str, name: str = "rank") -> DataFrame:
     """df with the rank of rows by descending score (null last), ties by rid."""
     return numbered(df.withColumn("_none", F.col(score).isNull()).withColumn("_less", -F.col(score)), ["_none", "_less", rid], name).drop("_none", "_less")

@@ -66,6 +66,23 @@ _q("convert_to_star", lambda d: conventions.to_star(exported(d)).select("rid", "
    """SELECT rid, printf('%06d@%s.mrcs', rid + 1, CAST(mic AS VARCHAR)) AS "rlnImageName", CAST(cls + 1 AS INTEGER) AS "rlnClassNumber", round(defocus_u, 2) AS "rlnDefocusU", round(defocus_v, 2) AS "rlnDefocusV", round(degrees(radians(psi)), 2) AS "rlnDefocusAngle",
   -round(degrees(radians(rot)), 2) AS "rlnAnglePsi", round(-round(x, 2) * apix, 6) AS "rlnOriginXAngst", round(x / 100 * 4000, 2) AS "rlnCoordinateX", round(track - min(track) OVER (PARTITION BY mic, cls), 2) AS "rlnHelicalTrackLengthAngst",
   CAST(dense_rank() OVER (PARTITION BY mic ORDER BY cls) AS INTEGER) AS "rlnHelicalTubeID" FROM seg""")
+def exported_poses(d: DataFrame) -> DataFrame:
+    """Segments with the columns of a structured export after a 3D refinement."""
+    columns = {
+        "blob/psize_A": F.col("apix"), "ctf/accel_kv": F.lit(300.0), "ctf/cs_mm": F.col("cs"), "ctf/amp_contrast": F.lit(0.1), "ctf/phase_shift_rad": F.radians("tilt"), "ctf/bfactor": F.col("x"), "ctf/scale": F.col("y"),
+        "ctf/tilt_A": F.array("x", "y"), "ctf/anisomag": F.array("x", "y", "rot", "psi"), "alignments3D/split": F.col("cls"), "alignments3D/class": F.col("cls"), "alignments3D/cross_cor": F.col("score"),
+        "alignments3D/pose": F.array(F.radians("psi") / 9, F.radians("tilt") / 9, F.radians("rot") / 9), "alignments3D/shift": F.array(F.col("x"), F.col("x") * 0.3 + 0.0013), "filament/filament_pose": F.radians(F.col("rot") * 0.9 + 0.0173), "location/exp_group_id": F.col("cls") + 2, "micrograph_blob/path": F.col("image"),
+    }
+    return d.select("rid", *[c.alias(n) for n, c in columns.items()])
+
+
+_POSE = ["rlnVoltage", "rlnSphericalAberration", "rlnAmplitudeContrast", "rlnPhaseShift", "rlnCtfBfactor", "rlnCtfScalefactor", "rlnBeamTiltX", "rlnMagMat00", "rlnMagMat11", "rlnLogLikeliContribution", "rlnAngleRot", "rlnAngleTilt", "rlnAnglePsi", "rlnOriginYAngst", "rlnAnglePsiPrior", "rlnAngleTiltPrior"]
+_q("convert_poses_to_star", lambda d: conventions.to_star(exported_poses(d)).select("rid", "rlnRandomSubset", "rlnClassNumber", "rlnOpticsGroup", "rlnMicrographName", *[F.round(c, 5).alias(c) for c in _POSE]),
+   """, r AS (SELECT *, radians(psi) / 9 AS a, radians(tilt) / 9 AS b, radians(rot) / 9 AS c FROM seg), t AS (SELECT *, sqrt(a * a + b * b + c * c) AS t FROM r), q AS (SELECT *, cos(t / 2) AS w, a * sin(t / 2) / t AS qx, b * sin(t / 2) / t AS qy, c * sin(t / 2) / t AS qz FROM t)
+  SELECT rid, CAST(cls + 1 AS INTEGER) AS "rlnRandomSubset", CAST(cls + 1 AS INTEGER) AS "rlnClassNumber", CAST(cls + 2 AS INTEGER) AS "rlnOpticsGroup", image AS "rlnMicrographName", CAST(300.0 AS DOUBLE) AS "rlnVoltage", cs AS "rlnSphericalAberration", CAST(0.1 AS DOUBLE) AS "rlnAmplitudeContrast", round(degrees(radians(tilt)), 5) AS "rlnPhaseShift",
+  round(x, 5) AS "rlnCtfBfactor", round(y, 5) AS "rlnCtfScalefactor", round(round(asin(x / cs * 1e-7) * 1e3, 8), 5) AS "rlnBeamTiltX", round(x, 5) AS "rlnMagMat00", round(psi, 5) AS "rlnMagMat11", round(score, 5) AS "rlnLogLikeliContribution",
+  round((((degrees(atan2(qz, w) - atan2(qx, qy)) + 180) % 360) + 360) % 360 - 180, 5) AS "rlnAngleRot", round(degrees(2 * atan2(sqrt(qx * qx + qy * qy), sqrt(w * w + qz * qz))), 5) AS "rlnAngleTilt", round((((degrees(atan2(qz, w) + atan2(qx, qy)) + 180) % 360) + 360) % 360 - 180, 5) AS "rlnAnglePsi",
+  round(round(round(x * 0.3::DOUBLE + 0.0013::DOUBLE, 2) * apix, 6), 5) AS "rlnOriginYAngst", round(round(-degrees(radians(rot * 0.9::DOUBLE + 0.0173::DOUBLE)), 1), 5) AS "rlnAnglePsiPrior", CAST(90.0 AS DOUBLE) AS "rlnAngleTiltPrior" FROM q""")
 _q("symmetry_point_distance", lambda d: d.select("rid", F.round(Y.point_distance(tuple(map(F.col, _POINT)), tuple(map(F.col, _OTHER)), "D2"), 4).alias("distance")), f"SELECT rid, round(sqrt(least({', '.join(_D2)})), 4) AS distance FROM seg")
 _q("symmetry_set_distance", lambda d: d.groupBy("mic").agg(F.round(Y.set_distance(tuple(map(F.col, _POINT)), tuple(map(F.col, _OTHER)), "D2", "rmse"), 4).alias("rmse")), f"SELECT mic, round(sqrt(least({', '.join(f'avg({s})' for s in _D2)})), 4) AS rmse FROM seg GROUP BY mic")
 _q("symmetry_rotation_distance", lambda d: d.select("rid", F.round(Y.rotation_distance(_quaternion(), tuple(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)), "C2"), 3).alias("degrees")), f"SELECT rid, round(2 * degrees(acos(least(1.0, greatest(abs(cos(b) * cos(a + c)), abs(cos(b) * sin(a + c)))))), 3) AS degrees FROM (SELECT rid, {_HALF} FROM seg)")

@@ -9,9 +9,11 @@ from ..functions import optics as O
 from ..functions import paths as T
 from ..functions import units as U
 from ..operators import columns as C
+from ..operators import filaments as L
 from ..operators import grouping as G
 from ..operators import joins as J
 from ..operators import mismatch as M
+from ..operators import selection as S
 from ..operators import shells
 from ..operators import volumes as V
 from .options import run_options
@@ -118,6 +120,31 @@ _q("recover_filaments_along", lambda d: J.filaments_along(d.where("score > 0"),
   d AS (SELECT f.mic, f.tube, p.n / f.n AS share, sqrt((f.ax - f.bx) ** 2 + (f.ay - f.by_) ** 2) AS l, sqrt((f.ax - p.ax) ** 2 + (f.ay - p.ay) ** 2) + sqrt((f.bx - p.ax) ** 2 + (f.by_ - p.ay) ** 2) AS la, sqrt((f.ax - p.bx) ** 2 + (f.ay - p.by_) ** 2) + sqrt((f.bx - p.bx) ** 2 + (f.by_ - p.by_) ** 2) AS lb FROM f JOIN p USING (mic))
   SELECT rid FROM seg WHERE (mic, tube) IN (SELECT (mic, tube) FROM d WHERE share >= 0.1 AND abs(l - la) < 1 AND abs(l - lb) < 1)""")
 
+_q("select_by_name_pattern", lambda d: J.select_by_name(d.select("rid", F.format_string("000m%d_%s.mrc", "mic", "tube").alias("name")), d.where("score > 60").select(F.format_string("m%d_x.mrc", "mic").alias("other")), "name", "other", r"^(m\d+)_").select("rid"), "SELECT rid FROM seg WHERE mic IN (SELECT mic FROM seg WHERE score > 60)")
+_q("exclude_by_name", lambda d: J.select_by_name(d.select("rid", F.format_string("00%d", "mic").alias("name")), d.where("score > 60 AND mic % 2 = 0").select(F.col("mic").cast("string").alias("other")), "name", "other", keep=False).select("rid"), "SELECT rid FROM seg WHERE mic NOT IN (SELECT mic FROM seg WHERE score > 60 AND mic % 2 = 0)")
+_q("exposure_parameters", lambda d: J.exposure_parameters(d.select("rid", "score"), d.where("mic % 3 = 0").select("rid", F.col("cls").alias("grp"), "score"), "rid", "grp", ["score"]).select("rid", "grp", _r("score", 6)), ", s AS (SELECT rid, cls AS g, score FROM seg WHERE mic % 3 = 0), m AS (SELECT g, median(score) AS v FROM s GROUP BY g) SELECT seg.rid, coalesce(s.g, (SELECT min(g) - 1 FROM s)) AS grp, round(coalesce(m.v, (SELECT median(score) FROM s)), 6) AS score FROM seg LEFT JOIN s USING (rid) LEFT JOIN m ON m.g = s.g")
+_q("same_axis_pairs", lambda d: J.same_axis(d.where("cls = 1").alias("a").join(d.where("cls = 2").alias("b"), F.col("a.mic") == F.col("b.mic")).select(F.col("a.rid").alias("rid"), F.col("b.rid").alias("match"), *[f(F.radians(F.col(f"{t}.tilt")) / 2).alias(f"{t}{n}") for t in "ab" for f, n in ((F.cos, "w"), (F.sin, "x"))], F.lit(0.0).alias("zero")), ("aw", "ax", "zero", "zero"), ("bw", "bx", "zero", "zero"), 20.0, "rid").select("rid", "match"),
+   ", p AS (SELECT a.rid, b.rid AS match, round(1 - 2 * power(cos(radians(a.tilt) / 2) * sin(radians(b.tilt) / 2) - sin(radians(a.tilt) / 2) * cos(radians(b.tilt) / 2), 2), 12) AS z FROM seg a JOIN seg b ON a.mic = b.mic AND a.cls = 1 AND b.cls = 2), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY z DESC, match) AS n FROM p WHERE z >= cos(radians(20.0))) SELECT rid, match FROM r WHERE n = 1")
+_q("vector_median_propagate", lambda d: G.propagate_vector_medians(d.select("rid", "tube", F.array("x", "y").alias("v")), "tube", ["v"]).select("rid", F.round(F.get("v", 1), 6).alias("v")), ", m AS (SELECT tube, median(v) AS m FROM (SELECT tube, x AS v FROM seg UNION ALL SELECT tube, y FROM seg) GROUP BY tube) SELECT rid, round(m, 6) AS v FROM seg JOIN m USING (tube)")
+_q("optics_table", lambda d: G.build_optics(d.select("rid", "tube", "cls"), ["tube", "cls"], "rid")[1], ", k AS (SELECT tube, cls, row_number() OVER (ORDER BY min(rid)) AS g FROM seg GROUP BY tube, cls) SELECT tube, cls, CAST(g AS INTEGER) AS optics_group FROM k")
+
+# Selections and filaments
+_q("select_row_ratio_range", lambda d: S.row_ratio_range(d, "rid", 0.25, 0.7).select("rid"), ", r AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS k, count(*) OVER () AS n FROM seg) SELECT rid FROM r WHERE k >= round_even(n * 0.25, 0) AND k < round_even(n * 0.7, 0)")
+_q("longest_helices", lambda d: S.longest(L.tube_lengths(d), "span", ["mic", "tube"], 0.5, 40, 1000.0).select("mic", "tube"), ", h AS (SELECT mic, tube, max(track) - min(track) AS span FROM seg GROUP BY mic, tube), r AS (SELECT *, row_number() OVER (ORDER BY span DESC, mic, tube) AS k, count(*) OVER () AS n FROM h) SELECT mic, tube FROM r WHERE k <= least(floor(n * 0.5), 40) AND span >= 1000")
+_binned = lambda d: d.withColumn("a", F.floor(F.col("rot") / 30)).withColumn("b", F.floor(F.col("tilt") / 20))
+_q("norm_euler_random", lambda d: S.random_per_bin(_binned(d), ["a", "b"], 2, "rid").select("rid"), "SELECT rid FROM (SELECT rid, row_number() OVER (PARTITION BY floor(rot / 30), floor(tilt / 20) ORDER BY md5(CAST(rid AS VARCHAR) || ':1'), rid) AS n FROM seg) WHERE n <= 2")
+_q("norm_euler_elbow", lambda d: d.sparkSession.range(1).select(F.lit(S.elbow_count(_binned(d), ["a", "b"])).cast("long").alias("k")), """, c AS (SELECT floor(rot / 30) AS a, floor(tilt / 20) AS b, count(*) AS n FROM seg GROUP BY 1, 2), o AS (SELECT n, row_number() OVER (ORDER BY n DESC, a, b) - 1 AS x FROM c), e AS (SELECT min(x) AS x0, max(x) AS x1, arg_min(n, x) AS y0, arg_max(n, x) AS y1 FROM o)
+  SELECT n AS k FROM o, e ORDER BY round(abs((x1 - x0) * (n - y0) - (y1 - y0) * (x - x0)), 6) DESC, x LIMIT 1""")
+_q("full_segment_count", lambda d: L.full_segment_count(d), ", g AS (SELECT track - lag(track) OVER (PARTITION BY mic, tube ORDER BY track, rid) AS gap FROM seg), l AS (SELECT max(track) AS l FROM seg GROUP BY mic, tube) SELECT CAST(sum(round_even(l / (SELECT median(gap) FROM g WHERE gap IS NOT NULL), 0) + 1) AS BIGINT) AS segments FROM l")
+_q("tube_length_by_index", lambda d: L.lengths_by_index(d, "rid", 4.75).select("mic", "tube", _r("longest")), "SELECT mic, tube, round((max(rid) - min(rid) + 1) * 4.75::DOUBLE, 4) AS longest FROM seg GROUP BY mic, tube")
+_q("rate_variance", lambda d: L.rate_variance(d).select("mic", "tube", _r("rate_std", 8), _r("rate_median", 8), _r("rate_mad", 8)), """, s AS (SELECT mic, tube, rid, track, rot, (((rot - lag(rot) OVER w + 180) % 360) + 360) % 360 - 180 AS step, track - lag(track) OVER w AS way, first_value(rot) OVER w AS f FROM seg WINDOW w AS (PARTITION BY mic, tube ORDER BY track, rid)),
+  u AS (SELECT mic, tube, rid, track, f + sum(coalesce(step, 0)) OVER (PARTITION BY mic, tube ORDER BY track, rid ROWS UNBOUNDED PRECEDING) AS u FROM s), d AS (SELECT mic, tube, stddev_pop(step / nullif(way, 0)) AS rate_std FROM s GROUP BY mic, tube),
+  r AS (SELECT a.mic, a.tube, (b.u - a.u) / (b.track - a.track) AS rate FROM u a JOIN u b ON a.mic = b.mic AND a.tube = b.tube AND a.track < b.track), m AS (SELECT mic, tube, median(rate) AS m FROM r GROUP BY mic, tube), v AS (SELECT mic, tube, any_value(m) AS rate_median, median(abs(rate - m)) AS rate_mad FROM r JOIN m USING (mic, tube) GROUP BY mic, tube)
+  SELECT mic, tube, round(rate_std, 8) AS rate_std, round(rate_median, 8) AS rate_median, round(rate_mad, 8) AS rate_mad FROM d LEFT JOIN v USING (mic, tube)""")
+_q("helix_table", lambda d: L.helix_table(d, "image").select("mic", "tube", _r("length"), "classes", "image", "rank"), """, c AS (SELECT mic, tube, cls, count(*) AS n FROM seg GROUP BY ALL), k AS (SELECT mic, tube, string_agg(CAST(cls AS VARCHAR), ' ' ORDER BY n DESC, cls) AS classes FROM c GROUP BY mic, tube),
+  h AS (SELECT mic, tube, max(track) - min(track) AS length, arg_min(image, rid) AS image FROM seg GROUP BY mic, tube) SELECT mic, tube, round(length, 4) AS length, classes, image, CAST(row_number() OVER (ORDER BY length DESC, mic, tube) AS INTEGER) AS rank FROM h JOIN k USING (mic, tube)""")
+_q("twist_histogram", lambda d: L.twist_histogram(d, 40, 0.0, 2e6).select("bin", "n", _r("log_n", 8), *[_r(f"twist_{c}", 8) for c in range(1, 5)]), ", p AS (SELECT b.track - a.track AS d FROM seg a JOIN seg b ON a.mic = b.mic AND a.tube = b.tube AND a.cls = b.cls AND a.track < b.track AND abs((((a.psi - b.psi + 180) % 360) + 360) % 360 - 180) < 90), c AS (SELECT least(floor(d / 50000.0::DOUBLE), 39) AS bin, count(*) AS n FROM p WHERE d <= 2e6 GROUP BY 1), e AS (SELECT k AS bin, coalesce(n, 0) AS n, (k + 0.5::DOUBLE) * 50000 AS m FROM range(40) r(k) LEFT JOIN c ON c.bin = k)" + f" SELECT bin, n, round(log10(n + 1), 8) AS log_n, {', '.join(f'round(360.0 / (m * {c} / 4.75), 8) AS twist_{c}' for c in range(1, 5))} FROM e")
+
 # Columns, names and units
 _q("column_reorder", lambda d: C.preferred_first(d.select("score", "rid", "psi", "mic"), ("mic", "rid", "nothing")), "SELECT mic, rid, score, psi FROM seg")
 _q("pixel_size", lambda d: d.sparkSession.createDataFrame([C.pixel_size(d.withColumnRenamed("apix", "rlnImagePixelSize"), _with_optics(d)[1])], "size double, name string"), "SELECT CAST(1.25 AS DOUBLE) AS size, 'rlnImagePixelSize' AS name FROM seg LIMIT 1")
