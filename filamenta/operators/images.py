@@ -91,3 +91,28 @@ def best_shift(pairs: DataFrame, key: str, one: str, other: str, shape: tuple[in
             yield pd.DataFrame({key: part[key], "dy": np.where(y > ny // 2, y - ny, y), "dx": np.where(x > nx // 2, x - nx, x), "peak": c[np.arange(len(part)), at]})
 
     return pairs.select(key, one, other).mapInPandas(run, f"`{key}` {pairs.schema[key].dataType.simpleString()}, dy int, dx int, peak double")
+
+
+def tapered(df: DataFrame, key: str, values: str, shape: tuple[int, int], start: tuple[float, float], slope: float = 0.1) -> DataFrame:
+    """Images that fall to 0 as a cosine, from the part start of the way between centre and edge on over the part slope of it, along each axis whose start lies between 0 and 1."""
+    gain = np.ones(shape)
+    for axis, (n, f) in enumerate(zip(shape, start)):
+        if 0 < f < 1:
+            away = np.abs((np.arange(n) - n // 2) / (n // 2))
+            fall = np.where(away < f, 1.0, np.where(away > f + slope, 0.0, (1 + np.cos((away - f) / slope * np.pi)) / 2))
+            gain *= fall.reshape([-1 if k == axis else 1 for k in range(2)])
+    return _mapped(df, key, values, lambda x: x * gain, shape)
+
+
+def phases_randomised(df: DataFrame, key: str, values: str, shape: tuple[int, ...], apix: float, from_resolution: float, seed: int = 1) -> DataFrame:
+    """Images whose amplitudes stay and whose phases beyond a resolution in angstrom are those of noise; the noise is the same for all images of a seed."""
+    far = _radii(shape) > apix / from_resolution
+    noise = np.fft.fftn(np.random.default_rng(seed).normal(size=shape))
+    phase = noise / np.maximum(np.abs(noise), 1e-12)
+    axes = tuple(range(1, len(shape) + 1))
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        f = np.fft.fftn(x, axes=axes)
+        return np.fft.ifftn(np.where(far, np.abs(f) * phase, f), axes=axes).real
+
+    return _mapped(df, key, values, kernel, shape)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,39 @@ def helix_geometry(df: DataFrame) -> DataFrame:
     c = df.where("v > 0").groupBy("map").agg(mass.alias("m"), *[(F.sum(F.col("v") * F.col(a)) / mass).alias(f"c{a}") for a in "yx"], *[(F.sum(F.col("v") * F.col(a) * F.col(b)) / mass).alias(f"s{a}{b}") for a, b in ("yy", "xx", "yx")])
     v = lambda a, b: F.col(f"s{a}{b}") - F.col(f"c{a}") * F.col(f"c{b}")
     return c.select("map", F.degrees(F.atan2(2 * v("y", "x"), v("x", "x") - v("y", "y")) / 2).alias("angle"), F.col("cy").alias("center_y"), F.col("cx").alias("center_x"))
+
+
+def helical_symmetrised(df: DataFrame, size: tuple[int, int, int], apix: float, twist: float, rise: float, csym: int = 1, fraction: float = 1.0) -> DataFrame:
+    """Maps of a size (z, y, x) as the mean over the symmetry copies of each place: turned by twist degrees and moved by rise angstrom for each step along z, and turned by the parts of a circle of csym.
+
+    Places between voxels are interpolated linearly. Only sections between the first and
+    the last with a hundredth of the fullest one's mass count, of these the fraction of
+    the map around their middle; copies outside the map don't count, and a place
+    without any is 0. Voxels meet copies by an equality of places, map by map.
+    """
+    nz, ny, nx = size
+    steps = max(1, int(nz * apix / rise))
+    sums = df.groupBy("map", "z").agg(F.sum("v").alias("s"))
+    most = sums.groupBy("map").agg(F.max("s").alias("most"))
+    ends = sums.join(most, "map").where(F.col("s") > 0.01 * F.col("most")).groupBy("map").agg(F.min("z").alias("_z0"), F.max("z").alias("_z1"))
+    middle = F.floor((F.col("_z0") + F.col("_z1") + 1) / 2)
+    half = int(nz * fraction + 0.5) // 2
+    ends = ends.select("map", F.greatest("_z0", middle - half).alias("_z0"), F.least("_z1", middle + half).alias("_z1"))
+    turns = [(h, math.radians(twist * h + 360.0 * c / csym)) for h in range(-steps, steps + 1) for c in range(csym)]
+    copies = F.explode(F.array(*[F.struct(F.lit(h * rise / apix).alias("up"), F.lit(math.cos(a)).alias("cos"), F.lit(math.sin(a)).alias("sin")) for h, a in turns]))
+    grid = ends.select("map", "_z0", "_z1", *[F.lit(0).alias(c) for c in "zyx"])
+    for c, n in zip("zyx", size):
+        grid = grid.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    y, x = F.col("y") - ny // 2, F.col("x") - nx / 2
+    t = grid.withColumn("_c", copies)
+    t = t.withColumn("_k", F.col("z") + F.col("_c.up")).where((F.col("_k") >= F.col("_z0")) & (F.col("_k") < F.col("_z1")))
+    t = t.withColumn("_j", F.col("_c.cos") * y + F.col("_c.sin") * x + ny // 2).withColumn("_i", F.col("_c.cos") * x - F.col("_c.sin") * y + nx // 2)
+    t = t.where((F.floor("_j") >= 0) & (F.floor("_j") < ny - 1) & (F.floor("_i") >= 0) & (F.floor("_i") < nx - 1))
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (0, 1) for b in (0, 1) for c in (0, 1)]))
+    t = t.withColumn("_o", corner)
+    part = lambda at, step: F.when(step == 1, at - F.floor(at)).otherwise(1 - (at - F.floor(at)))
+    weight = part(F.col("_k"), F.col("_o.a")) * part(F.col("_j"), F.col("_o.b")) * part(F.col("_i"), F.col("_o.c"))
+    near = t.select("map", "z", "y", "x", weight.alias("_w"), *[(F.floor(f"_{n}") + F.col(f"_o.{o}")).cast("int").alias(f"_{c}") for n, o, c in (("k", "a", "z"), ("j", "b", "y"), ("i", "c", "x"))])
+    source = df.select("map", *[F.col(c).alias(f"_{c}") for c in "zyx"], F.col("v").alias("_v"))
+    means = near.join(source, ["map", "_z", "_y", "_x"], "left").groupBy("map", "z", "y", "x").agg((F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))) / (F.count("*") / 8)).alias("_m"))
+    return grid.drop("_z0", "_z1").join(means, ["map", "z", "y", "x"], "left").withColumn("v", F.coalesce("_m", F.lit(0.0))).drop("_m")

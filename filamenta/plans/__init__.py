@@ -127,7 +127,7 @@ _GRID = """, t AS (SELECT mic, rid, track / 3600 AS x, CASE WHEN rot < 0 THEN ro
   f AS (SELECT mic, k, any_value(m) AS m, any_value(n) AS n, sum(pow(r - b - floor((r - b) / 360 + 0.5) * 360, 2)) AS sse FROM b GROUP BY mic, k), z AS (SELECT *, row_number() OVER (PARTITION BY mic ORDER BY round(sse, 3), k) AS place FROM f)"""
 _hours = lambda d: d.withColumn("track", F.col("track") / 3600)
 _q("hom_fit_best_slope", lambda d: L.fit_slopes(_hours(d), ["mic"]).select("mic", _r("slope", 6), _r("sse", 2), "segments"), f"{_GRID} SELECT mic, round(m, 6) AS slope, round(sse, 2) AS sse, n AS segments FROM z WHERE place = 1")
-_q("hom_fit_all_slopes", lambda d: L.best_slope(_hours(d), ["mic"]))
+_q("hom_fit_all_slopes", lambda d: L.best_slope(_hours(d), ["mic"]).select("mic", _r("slope", 6), _r("variance", 3)), f"{_GRID} SELECT mic, round(m, 6) AS slope, round(sse / n, 3) AS variance FROM z WHERE place = 1")
 _q("hom_consistency", lambda d: L.angular_consistency(L.rebased(d).withColumn("track", F.col("track0") / 3600), ["mic"], 0.25, 360.0 / 2).select("rid", _r("filament_slope", 6), _r("filament_error", 5), _r("segment_error", 5)),
    """, t AS (SELECT rid, mic, (track - min(track) OVER (PARTITION BY mic, tube)) / 3600 AS x, rot % 180 AS o, count(*) OVER (PARTITION BY mic) AS n FROM seg), r AS (SELECT *, o - 0.25 * x AS p, o + 0.25 * x AS q FROM t WHERE n >= 25),
   b AS (SELECT *, avg(((p % 180) + 180) % 180) OVER (PARTITION BY mic) AS bp, avg(((q % 180) + 180) % 180) OVER (PARTITION BY mic) AS bq FROM r), e AS (SELECT *, abs((((p - bp + 90) % 180) + 180) % 180 - 90) AS ep, abs((((q - bq + 90) % 180) + 180) % 180 - 90) AS eq FROM b),

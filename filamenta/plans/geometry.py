@@ -20,7 +20,7 @@ SQL: dict[str, str] = {}
 def _q(name: str, build, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: build(segments(spark, sf_dir))
     if sql:
-        SQL[name] = f"WITH {SEG}{'' if sql.startswith(',') else ' '}{sql}"
+        SQL[name] = f"WITH RECURSIVE {SEG}{'' if sql.startswith(',') else ' '}{sql}"
 
 
 def _e(name: str, build, sql: str) -> None:
@@ -87,7 +87,16 @@ _q("symmetry_point_distance", lambda d: d.select("rid", F.round(Y.point_distance
 _q("symmetry_set_distance", lambda d: d.groupBy("mic").agg(F.round(Y.set_distance(tuple(map(F.col, _POINT)), tuple(map(F.col, _OTHER)), "D2", "rmse"), 4).alias("rmse")), f"SELECT mic, round(sqrt(least({', '.join(f'avg({s})' for s in _D2)})), 4) AS rmse FROM seg GROUP BY mic")
 _q("symmetry_rotation_distance", lambda d: d.select("rid", F.round(Y.rotation_distance(_quaternion(), tuple(F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)), "C2"), 3).alias("degrees")), f"SELECT rid, round(2 * degrees(acos(least(1.0, greatest(abs(cos(b) * cos(a + c)), abs(cos(b) * sin(a + c)))))), 3) AS degrees FROM (SELECT rid, {_HALF} FROM seg)")
 _q("nearest_match_range_join", lambda d: J.nearest_match(d.where("score > 0"), d.where("score < 50"), ["mic"], "x", "y", 2.0, "rid").select("rid", "match", F.round("apart", 6).alias("apart")), ", p AS (SELECT a.rid, b.rid AS match, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS apart FROM seg a JOIN seg b ON a.mic = b.mic AND a.score > 0 AND b.score < 50), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY apart, match) AS n FROM p WHERE apart <= 2) SELECT rid, match, round(apart, 6) AS apart FROM r WHERE n = 1")
-_q("average_rotation", lambda d: averages.average_rotation(d, ["mic", "tube"]).select("mic", "tube", *[F.round(c, 4).alias(c) for c in ("rot", "tilt", "psi")]))
+_CELLS = [(i, j) for i in range(4) for j in range(i, 4)]
+_AT = lambda i, j: f"m{min(i, j)}{max(i, j)}"
+_TRACE = " + ".join(f"{_AT(i, k)} * {_AT(k, i)}" for i in range(4) for k in range(4))
+_SQUARED = ", ".join(f"({' + '.join(f'{_AT(i, k)} * {_AT(k, j)}' for k in range(4))}) / ({_TRACE}) AS {_AT(i, j)}" for i, j in _CELLS)
+_LARGEST = " ".join(f"WHEN m{i}{i} >= greatest(m00, m11, m22, m33) THEN [{', '.join(_AT(i, j) for j in range(4))}]" for i in range(4))
+# The axis of the largest eigenvalue, by squaring the matrix 40 times.
+_q("average_rotation", lambda d: averages.average_rotation(d, ["mic", "tube"]).select("mic", "tube", *[F.round(c, 3).alias(c) for c in ("rot", "tilt", "psi")]),
+   f""", h AS (SELECT mic, tube, {_HALF} FROM seg), q AS (SELECT mic, tube, [cos(b) * cos(a + c), sin(b) * sin(c - a), sin(b) * cos(c - a), cos(b) * sin(a + c)] AS q FROM h), s AS (SELECT mic, tube, {', '.join(f'sum(q[{i + 1}] * q[{j + 1}]) AS {_AT(i, j)}' for i, j in _CELLS)} FROM q GROUP BY mic, tube),
+  p AS (SELECT 0 AS turn, * FROM s UNION ALL SELECT turn + 1, mic, tube, {_SQUARED} FROM p WHERE turn < 40), v AS (SELECT mic, tube, CASE {_LARGEST} END AS v FROM p WHERE turn = 40), e AS (SELECT mic, tube, v[1] AS w, v[2] AS x, v[3] AS y, v[4] AS z FROM v)
+  SELECT mic, tube, round((((degrees(atan2(z, w) - atan2(x, y)) + 180) % 360) + 360) % 360 - 180, 3) AS rot, round(degrees(2 * atan2(sqrt(x * x + y * y), sqrt(w * w + z * z))), 3) AS tilt, round((((degrees(atan2(z, w) + atan2(x, y)) + 180) % 360) + 360) % 360 - 180, 3) AS psi FROM e""")
 _q("elbow_point", lambda d: averages.elbow(d.select("mic", "rid", "score"), ["mic"], "rid", "score"), """, e AS (SELECT mic, min(rid) AS x0, max(rid) AS x1, arg_min(score, rid) AS y0, arg_max(score, rid) AS y1 FROM seg GROUP BY mic),
   f AS (SELECT mic, rid, round(abs((x1 - x0) * (score - y0) - (y1 - y0) * (rid - x0)), 6) AS away FROM seg JOIN e USING (mic)), r AS (SELECT mic, rid, row_number() OVER (PARTITION BY mic ORDER BY away DESC, rid) AS n FROM f) SELECT mic, rid FROM r WHERE n = 1""")
 _q("pitch_near_strand", lambda d: d.select("rid", F.round(A.twist_to_pitch_near_strand(F.col("psi") + 0.5, F.lit(2.4)), 4).alias("pitch")), ", t AS (SELECT rid, abs(psi + 0.5) AS one, abs(((psi + 0.5) * 2 + 180) % 360 - 180) AS two FROM seg) SELECT rid, round(CASE WHEN two < 90 THEN 2.4 * 2 * 360.0 / two ELSE 2.4 * 360.0 / one END, 4) AS pitch FROM t")
@@ -95,3 +104,7 @@ _q("angular_errors", lambda d: rebased(d).select("rid", F.round(A.fit_error(F.co
 _e("shell_correlation", lambda p: shells.shell_correlation(coefficients(p), []).select("shell", "n", F.round("fsc", 6).alias("fsc")), f"{_SHELL} SELECT shell, count(*) AS n, round({_FSC}, 6) AS fsc FROM c GROUP BY shell")
 _e("shell_crossing", lambda p: shells.crossing(shells.shell_correlation(coefficients(p), ["vec_id"]), ["vec_id"]).select("vec_id", F.round("crossing", 4).alias("crossing")), f"{_SHELL}, f AS (SELECT vec_id, shell, {_FSC} AS fsc FROM c GROUP BY vec_id, shell), l AS (SELECT *, lag(fsc) OVER w AS f, lag(shell) OVER w AS s FROM f WINDOW w AS (PARTITION BY vec_id ORDER BY shell)) SELECT vec_id, round(min(CASE WHEN f >= 0.143 AND fsc < 0.143 THEN s + (f - 0.143) / (f - fsc) * (shell - s) END), 4) AS crossing FROM l GROUP BY vec_id")
 _e("array_scores", lambda p: p.select("vec_id", F.round(scores.correlation("a", "b"), 6).alias("correlation"), F.round(scores.r_factor("a", "b"), 6).alias("r_factor")), ", u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM pair) SELECT vec_id, round(coalesce(corr(x, y), 0), 6) AS correlation, round(1 / (1 + sum(abs(x - y)) / sum(abs(y))), 6) AS r_factor FROM u GROUP BY vec_id")
+_e("mutual_information", lambda p: scores.mutual_information(p, "vec_id", "a", "b", 8).select("vec_id", F.round("score", 8).alias("score")), """, u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM pair), l AS (SELECT *, min(x) OVER w AS x0, max(x) OVER w AS x1, min(y) OVER w AS y0, max(y) OVER w AS y1 FROM u WINDOW w AS (PARTITION BY vec_id)),
+  c AS (SELECT vec_id, least(floor((x - x0) / (x1 - x0) * 8), 7) AS p, least(floor((y - y0) / (y1 - y0) * 8), 7) AS q, count(*) AS n FROM l GROUP BY ALL), h AS (SELECT vec_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM c GROUP BY vec_id),
+  a1 AS (SELECT vec_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT vec_id, p, sum(n) AS n FROM c GROUP BY vec_id, p) GROUP BY vec_id), b1 AS (SELECT vec_id, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS h FROM (SELECT vec_id, q, sum(n) AS n FROM c GROUP BY vec_id, q) GROUP BY vec_id)
+  SELECT h.vec_id, round((a1.h + b1.h) / h.h - 1, 8) AS score FROM h JOIN a1 USING (vec_id) JOIN b1 USING (vec_id)""")

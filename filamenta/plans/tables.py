@@ -175,7 +175,7 @@ _q("option_chain", lambda d: run_options(d, [("select", "cls 1 2 3"), ("addParm"
 def _v(name: str, build, sql: str) -> None:
     """build: of voxels of 4 x 4 x 4 maps made of the embeddings; sql: over the view vox (map, z, y, x, v)."""
     QUERIES[name] = lambda spark, sf_dir: build(V.voxels(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 4, 4))
-    SQL[name] = f"WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings), vox AS (SELECT vec_id AS map, CAST(i // 16 AS INTEGER) AS z, CAST(i // 4 % 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, CAST(v AS DOUBLE) AS v FROM e) {sql}"
+    SQL[name] = f"WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings), vox AS (SELECT vec_id AS map, CAST(i // 16 AS INTEGER) AS z, CAST(i // 4 % 4 AS INTEGER) AS y, CAST(i % 4 AS INTEGER) AS x, CAST(v AS DOUBLE) AS v FROM e){'' if sql.startswith(',') else ' '}{sql}"
 
 
 _v("flip_hand", lambda d: V.flipped(d, "z", 4), "SELECT map, CAST(3 - z AS INTEGER) AS z, y, x, v FROM vox")
@@ -186,3 +186,11 @@ _v("normalise_mean_std", lambda d: V.standardised(d).select("map", "z", "y", "x"
 _v("threshold_volume", lambda d: V.thresholded(d, 0.05), "SELECT map, z, y, x, greatest(v, 0.05) - 0.05 AS v FROM vox")
 _v("cylinder_mask", lambda d: V.within_cylinder(d, 1.5, 4, 4), "SELECT map, z, y, x, CASE WHEN sqrt((y - 2) * (y - 2) + (x - 2) * (x - 2)) <= 1.5 THEN v ELSE 0.0 END AS v FROM vox")
 _v("helix_geometry", lambda d: V.helix_geometry(d).select("map", _r("angle", 3), _r("center_y", 5), _r("center_x", 5)), "SELECT map, round(degrees(atan2(2 * (yx - cy * cx), (xx - cx * cx) - (yy - cy * cy)) / 2), 3) AS angle, round(cy, 5) AS center_y, round(cx, 5) AS center_x FROM (SELECT map, sum(v * y) / sum(v) AS cy, sum(v * x) / sum(v) AS cx, sum(v * y * y) / sum(v) AS yy, sum(v * x * x) / sum(v) AS xx, sum(v * y * x) / sum(v) AS yx FROM vox WHERE v > 0 GROUP BY map)")
+
+_v("helical_symmetry", lambda d: V.helical_symmetrised(d, (4, 4, 4), 1.0, 31.7, 1.0, 2).select("map", "z", "y", "x", _r("v", 5)),
+   """, s AS (SELECT map, z, sum(v) AS s FROM vox GROUP BY ALL), e0 AS (SELECT map, min(z) AS z0, max(z) AS z1 FROM (SELECT *, max(s) OVER (PARTITION BY map) AS most FROM s) WHERE s > 0.01::DOUBLE * most GROUP BY map),
+  d AS (SELECT map, greatest(z0, (z0 + z1 + 1) // 2 - 2) AS z0, least(z1, (z0 + z1 + 1) // 2 + 2) AS z1 FROM e0), o AS (SELECT h, radians(31.7 * h + 180.0 * c) AS a FROM range(-4, 5) r(h), range(2) q(c)),
+  t AS (SELECT map, z, y, x, z + h AS k, cos(a) * (y - 2) + sin(a) * (x - 2) + 2 AS j, cos(a) * (x - 2) - sin(a) * (y - 2) + 2 AS i FROM vox JOIN d USING (map), o WHERE z + h >= z0 AND z + h < z1),
+  u AS (SELECT *, CAST(floor(j) AS INTEGER) AS fj, CAST(floor(i) AS INTEGER) AS fi FROM t WHERE floor(j) BETWEEN 0 AND 2 AND floor(i) BETWEEN 0 AND 2),
+  w AS (SELECT u.map, u.z, u.y, u.x, (CASE b WHEN 1 THEN j - fj ELSE 1 - (j - fj) END) * (CASE c WHEN 1 THEN i - fi ELSE 1 - (i - fi) END) * p.v AS v FROM u, range(2) b(b), range(2) c(c) JOIN vox p ON p.map = u.map AND p.z = u.k AND p.y = fj + b AND p.x = fi + c),
+  m AS (SELECT map, z, y, x, sum(v) / (count(*) / 4) AS v FROM w GROUP BY ALL) SELECT map, z, y, x, round(coalesce(m.v, 0.0), 5) AS v FROM (SELECT map, z, y, x FROM vox JOIN d USING (map)) LEFT JOIN m USING (map, z, y, x)""")

@@ -268,5 +268,9 @@ def test_fourier_kernels_are_numpy_s(spark):
     assert all(np.allclose(flat[k], 0, atol=1e-9) for k in range(6)) and np.allclose(back(images.pass_filtered(df, "k", "v", (8, 8), 1.0))[0], x[0].ravel())
     half = back(images.pass_filtered(df, "k", "v", (8, 8), 1.0, low_pass=4.0))
     assert abs(abs(np.fft.fft2(np.reshape(half[1], (8, 8)))[0, 2]) / abs(np.fft.fft2(x[1])[0, 2]) - 0.5) < 1e-9
+    fallen = back(images.tapered(df, "k", "v", (8, 8), (0.5, 0.0), 0.25))
+    assert np.allclose(np.reshape(fallen[2], (8, 8)), x[2] * np.array([0, 0, 1, 1, 1, 1, 1, 0])[:, None])
+    mixed = back(images.phases_randomised(df, "k", "v", (8, 8), 1.0, 4.0))
+    assert np.allclose(np.abs(np.fft.fft2(np.reshape(mixed[3], (8, 8)))), np.abs(np.fft.fft2(x[3]))) and np.allclose(np.fft.fft2(np.reshape(mixed[3], (8, 8)))[1, 1], np.fft.fft2(x[3])[1, 1]) and not np.allclose(mixed[3], x[3].ravel())
     both = spark.createDataFrame([(k, v.ravel().tolist(), np.roll(v, (1, -2), (0, 1)).ravel().tolist()) for k, v in enumerate(x)], "k long, a array<double>, b array<double>")
     assert {(q["dy"], q["dx"]) for q in images.best_shift(both, "k", "a", "b", (8, 8)).collect()} == {(-1, 2)}
