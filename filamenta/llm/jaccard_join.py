@@ -424,9 +424,9 @@ def first_of_components(docs: DataFrame) -> DataFrame:
     """
     sets, named = _linked(docs)
     keys = lambda df, text: (F.coalesce(df["doc_id"].cast("long"), F.lit(0)).alias("_id"), df["doc_id"].isNull().alias("_none"), text.alias("_mark"))
-    full = sets.where("n > 0").join(named.select("node", "c"), "node")
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b")
-    first = full.groupBy("c").agg(lowest).select(F.col("b.doc_id").alias("doc_id"), F.col("b.mark").alias("mark"))
+    first = sets.where("n > 0").groupBy("node").agg(lowest).join(named.select("node", "c"), "node").groupBy("c").agg(F.min("b").alias("b"))
+    first = first.select(F.col("b.doc_id").alias("doc_id"), F.col("b.mark").alias("mark"))
     first = first.select(*keys(first, F.col("mark")))
     bare = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rows = docs.where(~bare)
