@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.optics import SOFTWARE, acquisition_time, beam_shift_label, time_text
@@ -84,7 +84,16 @@ def time_groups(df: DataFrame, parent: str, time: str, size: int, name: str, ite
     """
     if size < 0:
         return time_groups(df.withColumn("_all", F.lit(1)), "_all", time, -size, name, item).drop("_all")
-    runs = df.select(parent, time, *([item] if item else [])).distinct().groupBy(parent, time).agg(F.count("*").alias("_count"))
+    if item is None:  # distinct times have no ties, so the group is the row's rank over size
+        times = df.select(parent, time).distinct()
+        last = F.floor((F.col("_n") - 1) / size)
+        short = (F.col("_n") - last * size < size // 2) & (last > 0)
+        groups = times.groupBy(parent).agg(F.count("*").alias("_n")).withColumn("_groups", last + 1 - short.cast("long"))
+        groups = running_before(groups, [parent], F.col("_groups"), "_before").drop("_n")
+        own = F.least(F.floor((F.row_number().over(Window.partitionBy(parent).orderBy(time)) - 1) / size), F.col("_groups") - 1)
+        ids = times.join(groups, parent)
+        return df.join(ids.select(parent, time, (own + F.col("_before") + 1).cast("long").alias(name)), [parent, time])
+    runs = df.select(parent, time, item).distinct().groupBy(parent, time).agg(F.count("*").alias("_count"))
     packed = packed_times(runs, parent, time, "_count", size)
     groups = packed.groupBy(parent).agg((F.max("group") + 1).alias("_groups"))
     before = running_before(groups, [parent], F.col("_groups"), "_before").select(parent, "_before")

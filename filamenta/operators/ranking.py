@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges into which an order is cut; their bounds are rows chosen by a hash. A row meets the bounds of STEP ranges at once, then those inside.
-RANGES, STEP = 1024, 32
+RANGES, STEP = 256, 16
+
+
+def _literal(value: object, kind: str) -> str:
+    """A value of a column type in SQL; strings as their bytes."""
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if isinstance(value, datetime):
+        return f"CAST(timestamp_micros({round(value.timestamp() * 1_000_000)}) AS {kind})"
+    return f"CAST(X'{value.encode().hex()}' AS STRING)" if isinstance(value, str) else f"CAST('{value}' AS {kind})"
 
 
 def running_before(df: DataFrame, order: list[str], value: Column, name: str, ranges: int = RANGES) -> DataFrame:
@@ -18,8 +29,9 @@ def running_before(df: DataFrame, order: list[str], value: Column, name: str, ra
     """
     edges = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(ranges).collect()
     edges.sort(key=lambda e: tuple((v is not None, v) if v is not None else (False, 0) for v in e))
-    at = F.struct(*[F.col(f"`{c}`") for c in order])
-    literal = lambda es: F.array(*[F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, e)]) for e in es])
+    at = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(order)])
+    kinds = [df.schema[c].dataType.simpleString() for c in order]
+    literal = lambda es: F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'c{k}', {_literal(v, t)}" for k, (v, t) in enumerate(zip(e, kinds))) + ")" for e in es) + ")")
     if edges:
         block = F.size(F.filter(literal(edges[::STEP]), lambda e: e <= at))
         fine = F.filter(F.slice(literal(edges), F.greatest(F.lit(1), (block - 1) * STEP + 1), F.lit(STEP)), lambda e: e <= at)
