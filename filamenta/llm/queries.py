@@ -16,6 +16,7 @@ from .sharding import shard_documents
 from .surrogates import replace_personal_data
 from .toxicity import score_toxicity
 from .warc import archive_round_trip
+from .whitening import whiten
 
 
 def vocabulary_path() -> str:
@@ -64,13 +65,17 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_balanced_propagation, op3_tree_bpe, op4_toxicity, op5_surrogates, op6_licenses, op7_jaccard_join, op8_packing, op9_warc, op10_piecewise_hash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_balanced_propagation, op3_tree_bpe, op4_toxicity, op5_surrogates, op6_licenses, op7_jaccard_join, op8_packing, op9_warc, op10_piecewise_hash, op11_whitening, pipeline)}
 
 ORACLE_SQL = {
     "op9_warc": """
