@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe_codec import encode_decode
 from .common import table
+from .conversation_repair import damaged, repair_conversations
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
 from .packing import pack
@@ -69,13 +70,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations"))).drop("repaired")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_balanced_propagation, op3_tree_bpe, op4_toxicity, op5_surrogates, op6_licenses, op7_jaccard_join, op8_packing, op9_warc, op10_piecewise_hash, op11_whitening, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_balanced_propagation, op3_tree_bpe, op4_toxicity, op5_surrogates, op6_licenses, op7_jaccard_join, op8_packing, op9_warc, op10_piecewise_hash, op11_whitening, op12_conversation_repair, pipeline)}
 
 ORACLE_SQL = {
     "op9_warc": """
