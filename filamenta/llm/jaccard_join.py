@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, keep, mix64, small_batches
-from .shingles import shingle_sets
+from .shingles import WORDS, shingle_sets
 
 #: Shingles that at least 1/512 of the documents of some window of 2**20 shingles hold count as frequent; at most so many are kept, the most frequent.
 #: The list only orders columns: results don't depend on it.
@@ -273,7 +273,7 @@ def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[some].view(np.int64)), pa.array(node[some]), pa.array(n[some]), pa.array(place[some].astype(np.int32))], ["h", "node", "n", "i"])
 
 
-def _rows_of(bits: np.ndarray):
+def _rows_of(bits: np.ndarray, words: int):
     """The full rows, one a distinct set and task, of documents whose id may be among those that the filter holds."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +283,7 @@ def _rows_of(bits: np.ndarray):
             chosen = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
             if len(chosen):
                 fresh = {}
-                for _, s in shingle_sets(batch.column("text").take(pa.array(chosen))):
+                for _, s in shingle_sets(batch.column("text").take(pa.array(chosen)), words):
                     node = _node(s)
                     if node not in seen:
                         fresh[node] = s.view(np.int64)
@@ -295,6 +295,27 @@ def _rows_of(bits: np.ndarray):
     return emit
 
 
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Those of pairs (a, b) of sets, a written table, whose full rows overlap in at least share[0] / share[1] of the sum of their sizes."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = keep(wanted.join(nodes, "node").select("node", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "wanted")
+    place = F.pmod("doc_id", F.lit(FILTER_BITS)) + 1
+    bitmaps = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 256 rows of 4 KB
+    bits = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
+    for r in bitmaps:
+        first = (r["bucket"] - 1) * 4096
+        bits[first : first + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(_rows_of(bits, words), "node long, shingles array<long>")
+    rows = keep(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "rows")
+    # Both joins read tables, so Spark splits the partition of a row that many pairs have in common.
+    left = pairs.join(rows.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = left.join(rows.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    overlap = F.size(F.array_intersect("of_a", "of_b"))
+    links = keep(both.select("a", "b", overlap.alias("o"), (F.size("of_a") + F.size("of_b")).alias("m")).where(F.col("o") * share[1] >= F.col("m") * share[0]).select("a", "b"), "links")
+    discard(wanted, rows)
+    return links
+
+
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) of sets whose exact similarity is 0.8 or more, by their full rows."""
     def folded(x: str, y: str) -> Column:
@@ -310,22 +331,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     sized = pairs.join(a, F.col("a") == F.col("m.node")).join(b, F.col("b") == F.col("w.node"))
     most = F.least(F.col("m.n") - missing("m", "w"), F.col("w.n") - missing("w", "m"))
     pairs = keep(sized.where(9 * most >= 4 * (F.col("m.n") + F.col("w.n"))).select("a", "b"), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = keep(wanted.join(nodes, "node").select("node", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "wanted")
-    place = F.pmod("doc_id", F.lit(FILTER_BITS)) + 1
-    bitmaps = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 256 rows of 4 KB
-    bits = np.zeros(FILTER_BITS // 8 + 8192, np.uint8)
-    for r in bitmaps:
-        first = (r["bucket"] - 1) * 4096
-        bits[first : first + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(_rows_of(bits), "node long, shingles array<long>")
-    rows = keep(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "rows")
-    # Both joins read tables, so Spark splits the partition of a row that many pairs have in common.
-    left = pairs.join(rows.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = left.join(rows.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    overlap = F.size(F.array_intersect("of_a", "of_b"))
-    links = keep(both.select("a", "b", overlap.alias("o"), (F.size("of_a") + F.size("of_b")).alias("m")).where("9L * o >= 4L * m").select("a", "b"), "links")
-    discard(pairs, wanted, rows)
+    links = confirmed(docs, nodes, pairs, WORDS, (4, 9))
+    discard(pairs)
     return links
 
 

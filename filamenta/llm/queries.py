@@ -10,6 +10,7 @@ from .common import table
 from .conversation_repair import damaged, repair_conversations
 from .jaccard_join import jaccard_components
 from .licenses import scan_licenses
+from .minhash import minhash_groups
 from .packing import pack
 from .piecewise_hash import piecewise_fingerprints
 from .posting_lists import nearest_neighbours
@@ -74,13 +75,17 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(table(spark, sf_dir, "conversations"))).drop("repaired")
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_balanced_propagation, op3_tree_bpe, op4_toxicity, op5_surrogates, op6_licenses, op7_jaccard_join, op8_packing, op9_warc, op10_piecewise_hash, op11_whitening, op12_conversation_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_posting_lists, op2_balanced_propagation, op3_tree_bpe, op4_toxicity, op5_surrogates, op6_licenses, op7_jaccard_join, op8_packing, op9_warc, op10_piecewise_hash, op11_whitening, op12_conversation_repair, op13_minhash, pipeline)}
 
 ORACLE_SQL = {
     "op9_warc": """

@@ -1,7 +1,7 @@
-"""Five-word shingle sets of whole texts, as 64-bit hashes, vectorised over Arrow batches.
+"""Shingle sets of whole texts, of five words or as many as asked for, as 64-bit hashes, vectorised over Arrow batches.
 
 Words are runs of bytes other than space and 0x09-0x0D after lower-casing A-Z. A
-text with fewer than five words has one shingle, its whole sequence; one without
+text with fewer words has one shingle, its whole sequence; one without
 words (or null) has none. Two different shingles share a hash with probability
 2**-64.
 """
@@ -21,7 +21,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_WEIGHTS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+_WEIGHTS = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 _powers: list[np.ndarray] = []
 
 
@@ -57,21 +57,21 @@ def _word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, np.searchsorted(offsets, begins, "right") - 1
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingles) of every row of a string array."""
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct shingles) of every row of a string array; size: words of a shingle, at most 8."""
     for row, offsets, raw in utf8_slices(texts):
         words, of = _word_hashes(offsets, raw)
         n = len(offsets) - 1
         bounds = np.searchsorted(of, np.arange(n + 1))
-        m = max(0, len(words) - WORDS + 1)
+        m = max(0, len(words) - size + 1)
         rolled = np.zeros(m, np.uint64)
-        for k in range(WORDS):
+        for k in range(size):
             rolled += words[k : k + m] * _WEIGHTS[k]
         rolled = mix64(rolled)
         for d in range(n):
             a, b = bounds[d], bounds[d + 1]
-            if b - a >= WORDS:
-                yield row + d, np.unique(rolled[a : b - WORDS + 1])
+            if b - a >= size:
+                yield row + d, np.unique(rolled[a : b - size + 1])
             elif b > a:
                 short = (words[a:b] * _WEIGHTS[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.full(1, b - a, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
                 yield row + d, mix64(short)
