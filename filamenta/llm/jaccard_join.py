@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, keep, mix64, small_batches
+from .common import components, discard, free_names, keep, mix64, quoted, small_batches
 from .shingles import WORDS, shingle_sets
 
 #: Shingles that at least 1/512 of the documents of some window of 2**20 shingles hold count as frequent; at most so many are kept, the most frequent.
@@ -430,13 +430,15 @@ def first_of_components(docs: DataFrame) -> DataFrame:
     other texts loses nothing but near copies. Rows without shingles all stay.
     """
     sets, named = _linked(docs)
-    keys = lambda df, text: (F.coalesce(df["doc_id"].cast("long"), F.lit(0)).alias("_id"), df["doc_id"].isNull().alias("_none"), text.alias("_mark"))
+    names = free_names(docs, "id", "none", "mark")
+    keys = lambda df, text: [c.alias(n) for c, n in zip((F.coalesce(df["doc_id"].cast("long"), F.lit(0)), df["doc_id"].isNull(), text), names)]
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("b")
     first = sets.where("n > 0").groupBy("node").agg(lowest).join(named.select("node", "c"), "node").groupBy("c").agg(F.min("b").alias("b"))
     first = first.select(F.col("b.doc_id").alias("doc_id"), F.col("b.mark").alias("mark"))
     first = first.select(*keys(first, F.col("mark")))
     bare = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = quoted(*docs.columns)
     rows = docs.where(~bare)
-    rows = rows.select(*rows.columns, *keys(rows, _mark()))
-    stay = rows.dropDuplicates(["_id", "_none", "_mark"]).join(first, ["_id", "_none", "_mark"], "left_semi")  # copies go before the shuffle
-    return stay.select(*docs.columns).union(docs.where(bare))
+    rows = rows.select(*own, *keys(rows, _mark()))
+    stay = rows.dropDuplicates(names).join(first, names, "left_semi")  # copies go before the shuffle
+    return stay.select(*own).union(docs.where(bare))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, keep, small_batches
+from .common import discard, free_names, keep, quoted, small_batches
 
 KEY_SETTING = "spark.filamenta.surrogates.key"
 #: Rounds of the collision check, each of which moves all entities that share a surrogate; an error beyond.
@@ -302,13 +302,13 @@ def collision_free(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFr
     raise RuntimeError(f"entities still share surrogates after {rounds} rounds")
 
 
-def replace_personal_data(docs: DataFrame, key: bytes | None = None, sent: int = SENT) -> DataFrame:
-    """docs with all its columns, text rewritten, and n_replaced (long).
+def replace_personal_data(docs: DataFrame, key: bytes | None = None, sent: int = SENT, count: str = "n_replaced") -> DataFrame:
+    """docs with all its columns, text rewritten, and the number of replaced entities (long) in the column that count names.
 
     key: of the permutations and hashes; by default key_of() the session. A null text
     stays null (n_replaced 0), texts without entities stay as they are, n_chars, where
     docs has it, is counted anew. Repeated rows are rewritten alike; an empty table
-    gives an empty result. A column n_replaced of docs is overwritten.
+    gives an empty result. A column of docs with the name that count has is overwritten.
     """
     small_batches(docs.sparkSession)
     key = key or key_of(docs.sparkSession)
@@ -320,6 +320,7 @@ def replace_personal_data(docs: DataFrame, key: bytes | None = None, sent: int =
     led = alias.join(assigned, (alias["value"] == assigned["value"]) & (alias["as_kind"] == assigned["kind"])).select(F.concat_ws(" ", F.lit("given:"), alias["value"]).alias("entity"), "kind", "attempt")
     moved = keep(moved.unionByName(led), "moved")
     names = docs.columns
+    new, row, moves = free_names(docs, "new", "row", "moves")
 
     if moved.limit(sent + 1).count() <= sent:
         sent_all = {r["entity"]: (r["kind"], r["attempt"]) for r in moved.collect()}
@@ -328,7 +329,7 @@ def replace_personal_data(docs: DataFrame, key: bytes | None = None, sent: int =
         def rewrite(text: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([(None, 0) if t is None else replaced(t, sent_all, key) for t in text], columns=["text", "n_replaced"])
 
-        out = docs.withColumn("_new", rewrite("text"))
+        out = docs.withColumn(new, rewrite("text"))
     else:
 
         @F.pandas_udf("array<string>")
@@ -339,8 +340,9 @@ def replace_personal_data(docs: DataFrame, key: bytes | None = None, sent: int =
         def rewrite_by(text: pd.Series, moves: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([(None, 0) if t is None else replaced(t, {e["entity"]: (e["kind"], e["attempt"]) for e in (m if m is not None else [])}, key) for t, m in zip(text, moves)], columns=["text", "n_replaced"])
 
-        rows = docs.withColumn("_row", F.monotonically_increasing_id())
-        of_row = rows.select("_row", F.explode(of_text("text")).alias("entity")).join(moved, "entity").groupBy("_row").agg(F.collect_list(F.struct("entity", "kind", "attempt")).alias("_moves"))  # the entities of one document
-        out = rows.join(of_row, "_row", "left").withColumn("_new", rewrite_by("text", "_moves"))
-    fresh = {"text": F.col("_new.text")} | ({"n_chars": F.coalesce(F.length("_new.text").cast("long"), F.lit(0).cast("long"))} if "n_chars" in names else {})
-    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in names if c != "n_replaced"], F.col("_new.n_replaced").alias("n_replaced"))
+        rows = docs.withColumn(row, F.monotonically_increasing_id())
+        of_row = rows.select(row, F.explode(of_text("text")).alias("entity")).join(moved, "entity").groupBy(row).agg(F.collect_list(F.struct("entity", "kind", "attempt")).alias(moves))  # the entities of one document
+        out = rows.join(of_row, row, "left").withColumn(new, rewrite_by("text", moves))
+    text = F.col(f"{new}.text")
+    fresh = {"text": text} | ({"n_chars": F.coalesce(F.length(text).cast("long"), F.lit(0).cast("long"))} if "n_chars" in names else {})
+    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(q) for c, q in zip(names, quoted(*names)) if c != count], F.col(f"{new}.n_replaced").alias(count))

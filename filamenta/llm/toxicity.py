@@ -211,7 +211,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
 
     Ids are chosen before texts are read, so that the chosen ids, of bounded number,
     are what is sent to every task that reads texts. A row labelled twice counts as
-    toxic if either label says so; null labels and null ids count for nothing.
+    toxic if either label says so; of the rows of one id that with the least hash of its text counts; null labels and null ids count for nothing.
     """
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     y = y.where(~held_out()).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
@@ -220,7 +220,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, F.lit(int(min(1.0, limit / n) * (1 << 20)))).otherwise(share)
     chosen = y.where(F.col("_h") < share).select("doc_id", "label")
-    return docs.join(F.broadcast(chosen), "doc_id").select(text_or_empty().alias("text"), "label")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", text_or_empty().alias("text"), "label")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))  # an id that many rows have counts once
+    return rows.groupBy("doc_id", "label").agg(least.alias("row")).select("row.text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, penalty: float = PENALTY) -> Model:
@@ -288,4 +290,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that the classifier doesn't call toxic."""
     model = train(docs, labels)
-    return docs.withColumn("_toxic", score_column(model, F.col("text"))).where("_toxic < 0.5").drop("_toxic")
+    return docs.where(score_column(model, F.col("text")) < 0.5)

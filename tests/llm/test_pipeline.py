@@ -7,6 +7,8 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from filamenta.llm import surrogates, toxicity
@@ -102,3 +104,25 @@ def test_each_stage_is_a_plain_version_s(spark, sf):
 def test_the_whole_run_returns_the_pieces(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+
+
+CLASHING = "id none mark _id _none _mark new row moves _new _row _moves n_replaced entity kind attempt value surrogate _toxic score predicted label node n h c component a b o m _rank _bucket doc_id_ id_ new_ odd.name".split()
+
+
+@pytest.mark.parametrize("sent", [surrogates.SENT, 0])
+def test_columns_of_the_caller_survive_every_stage(spark, sf, monkeypatch, sent):
+    monkeypatch.setattr(surrogates, "SENT", sent)
+    monkeypatch.setattr(surrogates.replace_personal_data, "__defaults__", (None, sent, "n_replaced"))
+    rows = [(1, "Write to anna@example.com now " + "w " * 30, 1), (2, "Write to anna@example.com now " + "w " * 30, 2), (3, "Mr. Weber and Info@acme.com and info@acme.com", 3), (4, None, 4), (5, "plain", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long")
+    docs = docs.select("doc_id", "text", *[F.concat(F.lit(f"{c} "), F.col("k").cast("string")).alias(c) for c in CLASHING])
+    before = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = keep(stage(spark, docs, sf), name)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            want = before[r["doc_id"]] | ({"text": r["text"]} if name == "personal_data" else {})
+            assert r.asDict() == want, name
+        assert name != "near_duplicates" or {r["doc_id"] for r in out.collect()} == {1, 3, 4, 5}
+    assert stage(spark, docs, sf).where("text like '%anna@%' or text like '%acme%.%Weber%'").count() == 0
+    assert corpus_pipeline.packing(spark, docs, sf).count() == len(rows)
