@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filamenta.llm.common import keep, table
+from filamenta.llm.common import free_names, keep, table
 from filamenta.llm.jaccard_join import first_of_components
 from filamenta.llm.packing import pack
 from filamenta.llm.queries import vocabulary_path
@@ -24,7 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates for personal data."""
-    return replace_personal_data(docs).select(*docs.columns)
+    count = free_names(docs, "n_replaced")[0]
+    return replace_personal_data(docs, count=count).drop(count)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
