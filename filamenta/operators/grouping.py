@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.optics import SOFTWARE, acquisition_time, beam_shift_label, time_text
+from .clusters import ward_clusters
 from .ranking import numbered, running_before
 
 
@@ -172,39 +173,26 @@ def dissolve_optics(df: DataFrame, optics: DataFrame, key: str = "optics_group")
     return df.join(optics, key, "left")
 
 
-def shift_clusters(df: DataFrame, x: str, y: str, name: str, least: int = 4, clusters: range = range(2, 200), seed: int = 1) -> DataFrame:
-    """df with a cluster number from 1 for each place (x, y), of the number of clusters with the best silhouette; clusters of fewer than least rows go to the nearest other centre.
+def shift_clusters(df: DataFrame, x: str, y: str, name: str, least: int = 4, clusters: range = range(2, 200), item: str | None = None) -> DataFrame:
+    """df with the number of the Ward cluster (from 1) of each row's beam shift (x, y), of the cut with the best silhouette; clusters under `least` items are dealt to their neighbours.
 
-    Clusters are fitted by k-means on distinct places and their counts, for each number
-    in clusters that the places allow; every fit is a job.
+    item: a column (micrographs) each value of which counts once, with one place; by default every row counts.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    places = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").cast("double").alias("_w"))
-    points = VectorAssembler(inputCols=[x, y], outputCol="_at").transform(places).cache()
-    try:
-        n, best = points.count(), None
-        for k in clusters:
-            if k >= n:
-                break
-            model = KMeans(k=k, seed=seed, featuresCol="_at", predictionCol="_c", weightCol="_w", initSteps=4).fit(points)
-            placed = model.transform(points)
-            if placed.select("_c").distinct().count() < 2:
-                continue
-            score = ClusteringEvaluator(featuresCol="_at", predictionCol="_c", weightCol="_w").evaluate(placed)
-            if best is None or score > best[0] + 1e-9:
-                best = (score, model)
-        if best is None:
-            return df.withColumn(name, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-        placed = best[1].transform(points)
-        sizes = {r["_c"]: r["n"] for r in placed.groupBy("_c").agg(F.sum("_w").alias("n")).collect()}
-        kept = [c for c in sorted(sizes) if sizes[c] >= least] or [max(sizes, key=sizes.get)]
-        centres = best[1].clusterCenters()
-        to = {c: min(kept, key=lambda o: float(((centres[o] - centres[c]) ** 2).sum())) for c in sizes}
-        number = {c: k for k, c in enumerate(sorted(kept, key=lambda c: tuple(centres[c])), 1)}
-        label = F.element_at(F.create_map(*[F.lit(v) for c in sizes for v in (c, number[to[c]])]), F.col("_c"))
-        return df.join(placed.select(x, y, label.alias(name)), [x, y], "left").select(*df.columns, name)
-    finally:
-        points.unpersist()
+    if item is None:
+        return ward_clusters(df, x, y, name, least, clusters)
+    places = df.groupBy(item).agg(F.min(F.struct(x, y)).alias("_at")).select(item, F.col(f"_at.{x}").alias(x), F.col(f"_at.{y}").alias(y))
+    return df.join(ward_clusters(places, x, y, name, least, clusters).select(item, name), item, "left")
+
+
+def optics_by_shift(df: DataFrame, optics: DataFrame, image: str, x: str, y: str, group: str = "rlnOpticsGroup", least: int = 4, clusters: range = range(2, 200)) -> tuple[DataFrame, DataFrame]:
+    """(rows with optics groups split by clusters of beam shifts, the optics table with a row for each). An image without a shift keeps its group apart from the clusters."""
+    out = shift_clusters(df, x, y, "_cluster", least, clusters, image).withColumn("_cluster", F.coalesce("_cluster", F.lit(0)))
+    out = sorted_ids(out, [group, "_cluster"], "_new").drop("_cluster")
+    return out.drop(group).withColumnRenamed("_new", group), cloned_optics(optics, out.select(F.col(group).alias("old"), F.col("_new").alias("new")), group)
+
+
+def exposure_groups_by_shift(df: DataFrame, group: str, image: str, x: str, y: str, medians: list[str], suffix: str = "exp_group_id", least: int = 4, clusters: range = range(2, 200)) -> DataFrame:
+    """df with exposure groups split by clusters of beam shifts, copied to every other column whose name ends in suffix; columns of medians become those of their new group."""
+    out = shift_clusters(df, x, y, "_cluster", least, clusters, image).withColumn("_cluster", F.coalesce("_cluster", F.lit(0)))
+    out = sorted_ids(out, [group, "_cluster"], "_new").drop(group, "_cluster").withColumnRenamed("_new", group)
+    return propagate_medians(sync(out, group, suffix), group, medians).select(*df.columns)

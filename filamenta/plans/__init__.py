@@ -12,11 +12,11 @@ from ..operators import grouping as G
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators.ranking import numbered
-from . import geometry, tables
+from . import geometry, groups, tables
 from .views import SEG, read, segments
 
-QUERIES: dict = geometry.QUERIES | tables.QUERIES
-SQL: dict[str, str] = geometry.SQL | tables.SQL
+QUERIES: dict = geometry.QUERIES | tables.QUERIES | groups.QUERIES
+SQL: dict[str, str] = geometry.SQL | tables.SQL | groups.SQL
 
 
 def _q(name: str, build, sql: str | None = None) -> None:
