@@ -295,9 +295,8 @@ def _rows_of(bits: np.ndarray, words: int):
     return emit
 
 
-def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) of sets, a written table, whose full rows overlap in at least share[0] / share[1] of the sum of their sizes."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def full_rows(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the documents whose ids a bounded filter holds."""
     wanted = keep(wanted.join(nodes, "node").select("node", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), "wanted")
     place = F.pmod("doc_id", F.lit(FILTER_BITS)) + 1
     bitmaps = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most 256 rows of 4 KB
@@ -307,12 +306,19 @@ def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, s
         bits[first : first + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(_rows_of(bits, words), "node long, shingles array<long>")
     rows = keep(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "rows")
+    discard(wanted)
+    return rows
+
+
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, share: tuple[int, int]) -> DataFrame:
+    """Those of pairs (a, b) of sets, a written table, whose full rows overlap in at least share[0] / share[1] of the sum of their sizes."""
+    rows = full_rows(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
     # Both joins read tables, so Spark splits the partition of a row that many pairs have in common.
     left = pairs.join(rows.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
     both = left.join(rows.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
     overlap = F.size(F.array_intersect("of_a", "of_b"))
     links = keep(both.select("a", "b", overlap.alias("o"), (F.size("of_a") + F.size("of_b")).alias("m")).where(F.col("o") * share[1] >= F.col("m") * share[0]).select("a", "b"), "links")
-    discard(wanted, rows)
+    discard(rows)
     return links
 
 

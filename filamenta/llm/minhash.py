@@ -9,11 +9,12 @@ In two elections each node takes one partner, the one that most of its keys name
 so a group of near copies is joined with as many pairs as it has members. What is left
 are keys with nodes of several components. There every node outside the key's largest
 component is compared with all nodes of other components, by tiles of (key, nodes,
-nodes) that are dealt over tasks: only pairs whose signatures agree in at least AGREE
-minima leave a task. No key is capped, and none is expanded into rows of pairs.
+nodes) that are dealt over tasks. A tile discards pairs by sizes, by their signatures,
+and by sketches of their sets, which hold 16 bits of every shingle of a short text and
+of a sample of a long one. No key is capped, and none is expanded into rows of pairs.
 
-All pairs, elected or not, must agree in their signatures and are then confirmed on
-full sets. Components are those of alternating large and small stars.
+Every pair that is left, elected or not, is confirmed on full sets. Components are
+those of alternating large and small stars.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, keep, mix64, small_batches
-from .jaccard_join import SEEN, _node, confirmed
+from .jaccard_join import SEEN, _node, confirmed, full_rows
 from .shingles import shingle_sets
 
 WORDS, BANDS, ROWS = 3, 25, 4
@@ -35,8 +36,8 @@ MINIMA = BANDS * ROWS
 SHARE = (17, 37)
 #: Minima in which a pair must agree: a pair at 0.85 agrees in 85 with a deviation of 3.6, so 60 lie seven deviations below.
 AGREE = 60
-#: Nodes of a side of a tile; elections.
-TILE, ELECTIONS = 1024, 2
+#: Nodes of a side of a tile; elections; most shingles of a sketch.
+TILE, ELECTIONS, SKETCHED = 1024, 2, 1024
 
 _rng = np.random.Generator(np.random.PCG64(13))
 _FACTORS = _rng.integers(0, 1 << 63, MINIMA, np.uint64) << np.uint64(1) | np.uint64(1)
@@ -121,23 +122,107 @@ def _verified(docs: DataFrame, nodes: DataFrame, signatures: DataFrame, pairs: D
     return links
 
 
+_SKETCH = "node long, low binary, n long, level int, sampled int, deep int, sampled_deep int, sketch binary"
+
+
+def sketched(shingles: np.ndarray) -> tuple[int, int, int, int, bytes]:
+    """(level, sampled, deep, sampled_deep, sketch): 16 bits of each shingle that ends in `level` zero bits, the least level with at most SKETCHED of them.
+
+    The first `deep` of the distinct values belong to the sampled_deep shingles of the
+    next level, so that sets of neighbouring levels can be compared.
+    """
+    level = 0
+    while True:
+        mine = shingles[shingles & np.uint64((1 << level) - 1) == 0]
+        if len(mine) <= SKETCHED:
+            break
+        level += 1
+    further = mine & np.uint64((2 << level) - 1) == 0
+    deep, rest = (np.unique((mine[x] >> np.uint64(40)).astype(np.uint16)) for x in (further, ~further))
+    rest = np.setdiff1d(rest, deep, True)
+    return level, len(mine), len(deep), int(further.sum()), np.concatenate([deep, rest]).tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for node, shingles in zip(batch.column("node").to_pylist(), batch.column("shingles")):
+            s = shingles.values.to_numpy().view(np.uint64)
+            level, sampled, deep, sampled_deep, sketch = sketched(s)
+            rows.append({"node": node, "low": minima(s).astype(np.uint8).tobytes(), "n": len(s), "level": level, "sampled": sampled, "deep": deep, "sampled_deep": sampled_deep, "sketch": sketch})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("node", pa.int64()), ("low", pa.binary()), ("n", pa.int64()), *[(k, pa.int32()) for k in ("level", "sampled", "deep", "sampled_deep")], ("sketch", pa.binary())]))
+
+
+class _Side:
+    """The nodes of a tile's side as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.c, self.n, self.level, self.sampled, self.deep, self.sampled_deep = (rows[k].to_numpy() for k in ("node", "c", "n", "level", "sampled", "deep", "sampled_deep"))
+        self.full = rows["full"].to_numpy(zero_copy_only=False)
+        self.low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint8).reshape(len(self.node), MINIMA)
+        values = [np.frombuffer(x, np.uint16) for x in rows["sketch"].to_pylist()]
+        self.size = np.array([len(v) for v in values])
+        self.values = np.full((len(values), max(self.size, default=0)), 1 << 16, np.int32)  # filled up with what no sketch holds
+        for k, v in enumerate(values):
+            self.values[k, : len(v)] = v
+
+
+def _may_link(a: _Side, k: int, b: _Side, rows: np.ndarray) -> np.ndarray:
+    """Of rows of b those that may link with row k of a, and what their sketches have in common. Only collisions of 16 bits and, from level 1 on, seven deviations of the estimate let more pairs pass than link."""
+    out, shared = [], []
+    for level in (a.level[k], a.level[k] + 1):  # b's level is a's, one less, or one more
+        same = rows[b.level[rows] == level] if level > a.level[k] else rows[(b.level[rows] == level) | (b.level[rows] == level - 1)]
+        if not len(same):
+            continue
+        mark = np.zeros((1 << 16) + 1, bool)
+        mine = a.values[k, : a.deep[k] if level > a.level[k] else a.size[k]]
+        m_a, slack_a = (a.sampled_deep[k], a.sampled_deep[k] - a.deep[k]) if level > a.level[k] else (a.sampled[k], a.sampled[k] - a.size[k])
+        mark[mine] = True
+        lower = b.level[same] < level
+        used = np.where(lower, b.deep[same], b.size[same])
+        hits = mark[b.values[same]] & (np.arange(b.values.shape[1]) < used[:, None])
+        m_b = np.where(lower, b.sampled_deep[same], b.sampled[same])
+        o = hits.sum(1) + np.minimum(slack_a, m_b - used)
+        union = np.maximum(m_a + m_b - o, 1)
+        margin = 7 * np.sqrt(0.85 * 0.15 / union) if level else 0.0
+        passed = o >= (0.85 - margin - 1e-12) * union
+        out.append(same[passed])
+        shared.append(o[passed] / union[passed])
+    far = rows[np.abs(b.level[rows] - a.level[k]) > 1]  # no common sample: the signatures alone tell
+    order = np.argsort(-np.concatenate([*shared, np.zeros(len(far))]), kind="stable")
+    return np.concatenate([*out, far]).astype(np.intp)[order]
+
+
 def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile, sorted rows (h, i, j, outside, node, c, low), whose low bytes of minima agree often enough: nodes outside the largest component with all of other components."""
+    """(a, b, full) of tiles, sorted rows (h, i, j, outside, ...): nodes outside the key's largest component with all of other components.
+
+    A row that isn't full names one node of each other component, that whose sketch has
+    most in common; a full row names all that may link.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(tile: pa.Table) -> Iterator[pa.RecordBatch]:
         outside = tile["outside"].to_numpy(zero_copy_only=False)
-        node, c = (tile[k].to_numpy() for k in ("node", "c"))
-        low = np.frombuffer(b"".join(tile["low"].to_pylist()), np.uint8).reshape(len(node), MINIMA)
-        mine, all_ = np.flatnonzero(outside), np.flatnonzero(~outside)
-        for a in mine:
-            others = all_[c[all_] != c[a]]
-            close = others[(low[others] == low[a]).sum(1) >= AGREE]
-            if len(close):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[close], node[a])), pa.array(np.maximum(node[close], node[a]))], ["a", "b"])
-
-    def key(batch: pa.RecordBatch, row: int) -> tuple:
-        return tuple(batch.column(k)[row].as_py() for k in ("h", "i", "j"))
+        if outside.all() or not outside.any():
+            return
+        mine, all_ = _Side(tile.filter(pa.array(outside))), _Side(tile.filter(pa.array(~outside)))
+        one, two, whole = [], [], []
+        for k in range(len(mine.node)):
+            sizes = 100 * np.minimum(all_.n, mine.n[k]) >= 85 * np.maximum(all_.n, mine.n[k])
+            some = np.flatnonzero(sizes & (all_.c != mine.c[k]))
+            some = some[(all_.low[some] == mine.low[k]).sum(1) >= AGREE]
+            if len(some):
+                some = _may_link(mine, k, all_, some)
+                if not mine.full[k]:
+                    some = some[np.sort(np.unique(all_.c[some], return_index=True)[1])]
+                one += [mine.node[k]] * len(some)
+                two += all_.node[some].tolist()
+                whole += [bool(mine.full[k])] * len(some)
+        if one:
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(whole, pa.bool_())], ["a", "b", "full"])
+
+    def key(batch: pa.RecordBatch) -> tuple:
+        return tuple(batch.column(k)[0].as_py() for k in ("h", "i", "j"))
 
     for batch in batches:
         if not batch.num_rows:
@@ -146,7 +231,7 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             part = batch.slice(a, b - a)
-            if held and key(held[0], 0) != key(part, 0):
+            if held and key(held[0]) != key(part):
                 yield from pairs(pa.Table.from_batches(held))
                 held = []
             held.append(part)
@@ -154,24 +239,31 @@ def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held))
 
 
-def _crossing(labelled: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(a, b) in different components that share a key and agree in at least AGREE low bytes of their minima."""
+def _crossing(docs: DataFrame, nodes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes in different components that share a key, at least one for each two components that have any: first one candidate of each node and component, then, for nodes of which one wasn't confirmed, all."""
     mixed = _mixed(labelled).select("h", F.col("most.c").alias("major"), F.ceil(F.col("nodes") / TILE).cast("int").alias("across"), F.ceil((F.col("nodes") - F.col("most.times")) / TILE).cast("int").alias("down"))
     open_ = keep(labelled.join(mixed, "h"), "open")
-    wanted = open_.select("node").distinct()
-    some = signatures.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature")).mapInArrow(_low_bytes, "node long, low binary")
-    rows = open_.join(keep(some, "low"), "node")
+    rows = full_rows(docs, nodes, open_.select("node").distinct(), WORDS)
+    sketches = keep(rows.mapInArrow(_sketches, _SKETCH), "sketches")
+    discard(rows)
     place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    mine = rows.where("c <> major").select("h", place("down", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), F.lit(True).alias("outside"), "node", "c", "low")
-    all_ = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), place("across", 2).alias("j"), F.lit(False).alias("outside"), "node", "c", "low")
-    tiles = mine.union(all_).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return tiles.mapInArrow(_tiled, "a long, b long").distinct()
+    own = ["outside", "node", "c", "low", "n", "level", "sampled", "deep", "sampled_deep", "sketch", "full"]
 
+    def tiles(mine: DataFrame, full: bool) -> DataFrame:
+        mine = mine.select("*", F.lit(True).alias("outside"), F.lit(full).alias("full")).select("h", place("down", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), *own)
+        all_ = open_.join(sketches, "node").select("*", F.lit(False).alias("outside"), F.lit(full).alias("full")).select("h", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), place("across", 2).alias("j"), *own)
+        return mine.union(all_).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_tiled, "a long, b long, full boolean").select("a", "b").distinct()
 
-def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        low = [np.frombuffer(s.as_py(), np.uint32).astype(np.uint8).tobytes() for s in batch.column("signature")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(low, pa.binary())], ["node", "low"])
+    outside = open_.where("c <> major").join(sketches, "node")
+    pairs = keep(tiles(outside, False), "pairs")
+    links = confirmed(docs, nodes, pairs, WORDS, SHARE)
+    failed = keep(pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("node")).distinct(), "failed")
+    if not failed.isEmpty():
+        more = keep(tiles(outside.join(failed, "node", "left_semi"), True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(confirmed(docs, nodes, more, WORDS, SHARE))
+        discard(more)
+    discard(open_, sketches, pairs, failed)
+    return links
 
 
 def minhash_groups(docs: DataFrame) -> DataFrame:
@@ -197,9 +289,10 @@ def minhash_groups(docs: DataFrame) -> DataFrame:
     entries = keep(entries.join(several, "h", "left_semi"), "entries")
 
     links, label = spark.createDataFrame([], "a long, b long"), None
-    for step in [_elected] * ELECTIONS + [lambda labelled: _crossing(labelled, signatures)]:
-        links = links.union(_verified(docs, nodes, signatures, step(_labelled(entries, label))))
+    for _ in range(ELECTIONS):
+        links = links.union(_verified(docs, nodes, signatures, _elected(_labelled(entries, label))))
         label = components(links)
+    label = components(links.union(_crossing(docs, nodes, _labelled(entries, label))))
     discard(entries)
 
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))

@@ -1,10 +1,12 @@
 """Operator 13 against all pairs."""
 
+import collections
 import itertools
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filamenta.llm import minhash
@@ -71,10 +73,11 @@ def drawn(seed):
     return list(zip(ids, texts))
 
 
-@pytest.mark.parametrize("tile, elections", [(minhash.TILE, 2), (2, 1), (3, 0)])
-def test_groups_equal_all_pairs(spark, monkeypatch, tile, elections):
+@pytest.mark.parametrize("tile, elections, sketched", [(minhash.TILE, 2, 1024), (3, 0, 60)])
+def test_groups_equal_all_pairs(spark, monkeypatch, tile, elections, sketched):
     monkeypatch.setattr(minhash, "TILE", tile)
     monkeypatch.setattr(minhash, "ELECTIONS", elections)
+    monkeypatch.setattr(minhash, "SKETCHED", sketched)
     rows = drawn(tile)
     df = spark.createDataFrame([(*r, 0, 0, "s", 0) for r in rows], "doc_id long, text string, node int, n int, h string, c int").repartition(3)
     assert results(minhash.minhash_groups(df)) == plain(rows)
@@ -111,3 +114,23 @@ def test_no_link_at_the_bound_is_lost():
         x = rng.integers(0, 1 << 63, 40, np.uint64)
         a, b = minhash.minima(x[:37]), minhash.minima(x[3:])  # 34 of 40
         assert (a == b).sum() >= minhash.AGREE and (minhash.band_keys(a) == minhash.band_keys(b)).any()
+
+
+def test_sketches_lose_no_link():
+    """Every pair at 0.85 or more passes, at any two levels; most pairs at 0.7 don't."""
+    rng = np.random.default_rng(5)
+    passed = collections.Counter()
+    for n in (3, 40, 300, 1000, 1030, 2060, 5000):
+        for share, expected in ((0.85, True), (0.7, False)):
+            for _ in range(20):
+                x = rng.integers(0, 1 << 63, n, np.uint64)
+                moved = int(n * (1 - share) / (1 + share))  # 100 * (n - moved) >= 100 * share * (n + moved)
+                y = np.concatenate([x[moved:], rng.integers(0, 1 << 63, moved, np.uint64)])
+                rows = []
+                for k, s in enumerate((x, y)):
+                    level, sampled, deep, sampled_deep, sketch = minhash.sketched(np.unique(s))
+                    rows.append({"node": k, "c": k, "n": n, "level": level, "sampled": sampled, "deep": deep, "sampled_deep": sampled_deep, "full": False, "low": bytes(minhash.MINIMA), "sketch": sketch})
+                a, b = (minhash._Side(pa.Table.from_pylist([r])) for r in rows)
+                passed[n, expected] += len(minhash._may_link(a, 0, b, np.array([0])))
+    assert all(passed[n, True] == 20 for n in (3, 40, 300, 1000, 1030, 2060, 5000))
+    assert all(passed[n, False] == 0 for n in (40, 300, 1000, 5000))
