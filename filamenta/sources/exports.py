@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from ..operators.grouping import dissolve_optics
 from .databases import read_refinement
 from .maps import stack_images
-from .star import moved_out, read_star, write_star_file
+from .star import read_star, write_star_file
+from .star_source import opened
+from .streams import write_stream
 
 #: Rows that a task hands over at once.
 SLICE = 10_000
@@ -117,49 +119,69 @@ def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p).withColumn("source", F.lit(k)) for k, p in enumerate(paths)])
 
 
-def write_export(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """A folder of structured .npy tables (.cs), one a task, or with one_file a single table, which one task writes.
+def write_export(df: DataFrame, path: str, one_file: bool = False, order: list[str] | None = None) -> None:
+    """A folder of structured .npy tables (.cs), one a task, or with one_file a single table in the order of columns, which many tasks write.
 
-    Strings are as long as the longest of the column, arrays as long as the first row's.
+    Strings are as long as the longest of the column, arrays as the longest of theirs.
+    A null string is empty, a null float NaN, a null array or a shorter one is filled up
+    with NaN or 0; a null whole number or boolean is an error, as the format has none.
     The file system must be one that pyarrow opens.
     """
-    kinds, text = {f.name: f.dataType.simpleString() for f in df.schema.fields}, []
-    for name, kind in kinds.items():
-        if kind == "string":
-            text.append(F.max(F.octet_length(f"`{name}`")).alias(name))
-        elif kind.startswith("array"):
-            text.append(F.max(F.size(f"`{name}`")).alias(name))
-    widths = df.agg(*text).first().asDict() if text else {}
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     plain = {"double": "f8", "float": "f4", "bigint": "i8", "int": "i4", "smallint": "i2", "tinyint": "i1", "boolean": "?"}
-    fields = [(n, f"S{max(1, widths[n] or 1)}") if k == "string" else (n, plain[k[6:-1]], (max(1, widths[n] or 1),)) if k.startswith("array") else (n, plain[k]) for n, k in kinds.items()]
-    folder = f"{path}.parts" if one_file else path
-
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder.removeprefix("file:"))
-        filesystem.create_dir(root, recursive=True)
-        tables = []
-        for part in parts:
-            table = np.zeros(len(part), np.dtype(fields))
-            for field in fields:
-                column = part[field[0]]
-                table[field[0]] = [v.encode() for v in column] if field[1].startswith("S") else np.stack(column.to_list()) if len(field) == 3 and len(part) else column.to_numpy()
-            tables.append(table)
-        if tables:
-            task = TaskContext.get()
+    bad = [n for n, k in kinds.items() if k != "string" and k not in plain and not (k.startswith("array<") and k[6:-1] in plain)]
+    if bad:
+        raise ValueError(f"columns without a type in the format: {', '.join(bad)}")
+    whole = [n for n, k in kinds.items() if k in plain and k not in ("double", "float")]
+    looked = [F.max(F.octet_length(f"`{n}`") if k == "string" else F.size(f"`{n}`")).alias(f"w{i}") for i, (n, k) in enumerate(kinds.items()) if k == "string" or k.startswith("array")]
+    looked += [F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(kinds) if n in whole]
+    found = df.agg(*looked).first().asDict() if looked else {}
+    null = [n for i, n in enumerate(kinds) if found.get(f"n{i}")]
+    if null:
+        raise ValueError(f"null whole numbers, which the format can't hold, in {', '.join(null)}")
+    width = lambda i: max(1, found[f"w{i}"] or 1)
+    kind = np.dtype([(n, f"S{width(i)}") if k == "string" else (n, plain[k[6:-1]], (width(i),)) if k.startswith("array") else (n, plain[k]) for i, (n, k) in enumerate(kinds.items())])
+    names = [f"c{i}" for i in range(len(kinds))]  # whatever the columns are called
+
+    def table_of(batch: pa.RecordBatch) -> np.ndarray:
+        table = np.zeros(batch.num_rows, kind)
+        for name, short in zip(kinds, names):
+            column, field = batch.column(short), kind[name]
+            if field.kind == "S":
+                table[name] = [b"" if v is None else v.encode() for v in column.to_pylist()]
+            elif field.subdtype:
+                fill = np.nan if field.base.kind == "f" else 0
+                for k, v in enumerate(column.to_pylist()):
+                    row = [fill if x is None else x for x in v or []]
+                    table[name][k] = row + [fill] * (field.shape[0] - len(row))
+            else:
+                table[name] = column.to_numpy(zero_copy_only=False)
+        return table
+
+    rows = df.select(*[F.col(f"`{n}`").alias(short) for n, short in zip(kinds, names)])
+    if one_file:
+        sort = [names[list(kinds).index(c)] for c in (order or list(kinds)[:1])]
+        write_stream(rows, path, lambda batch: table_of(batch).tobytes(), lambda n: _npy_head(kind, n), sort)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(path)
+        system.create_dir(root, recursive=True)
+        task, parts = TaskContext.get(), [table_of(b) for b in batches]
+        if parts:
+            table = np.concatenate(parts)
             name = f"{root}/part-{task.partitionId():05d}.cs"
-            with filesystem.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp", compression=None) as sink:
-                sink.write(_npy(np.concatenate(tables)))
-            filesystem.move(f"{name}.{task.taskAttemptId()}.tmp", name)
-            yield pd.DataFrame({"path": [name]})
+            with system.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp", compression=None) as sink:
+                sink.write(_npy_head(kind, len(table)) + table.tobytes())
+            system.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+            yield pa.RecordBatch.from_pydict({"path": [name]})
 
-    (df.repartition(1) if one_file else df).mapInPandas(write, "path string").count()
-    if one_file:
-        moved_out(df.sparkSession, folder, path)
+    rows.mapInArrow(write, "path string").count()
 
 
-def _npy(table: np.ndarray) -> bytes:
+def _npy_head(kind: np.dtype, rows: int) -> bytes:
     out = io.BytesIO()
-    np.save(out, table)
+    np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (rows,)})
     return out.getvalue()
 
 
@@ -172,7 +194,7 @@ def write_table(df: DataFrame, path: str, optics: DataFrame | None = None, order
     elif path.endswith(".star"):
         write_star_file(df, path, optics, order=order)
     elif path.endswith(".cs"):
-        write_export(df, path, one_file=True)
+        write_export(df, path, True, [order] if order in df.columns else None)
     elif path.endswith(".csv"):
         df.write.csv(path, header=True)
     elif path.endswith(".parquet"):

@@ -7,9 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .streams import write_stream
+
 # Number types by the mode of an MRC header.
 MODES = {0: "i1", 1: "i2", 2: "f4", 4: "c8", 6: "u2", 12: "f2"}
 _HEAD = "path string, nx int, ny int, nz int, mode int, apix double, apix_y double, apix_z double, extended int, low double, high double, mean double, is_volume boolean"
@@ -77,3 +80,36 @@ def with_beam_shift(df: DataFrame, shifts: DataFrame, image: str) -> DataFrame:
     """df with beam_shift_x and beam_shift_y of the movie that a column names; an image without its XML file has null."""
     one = shifts.groupBy(F.col("movie").alias("_movie")).agg(F.first("x").alias("beam_shift_x"), F.first("y").alias("beam_shift_y"))
     return df.withColumn("_own", F.regexp_extract(image, MOVIE, 1)).join(one, F.col("_own") == F.col("_movie"), "left").drop("_own", "_movie")
+
+
+def write_map(voxels: DataFrame, path: str, apix: float = 1.0, value: str = "value") -> None:
+    """One MRC map of 32-bit floats from voxels (z, y, x from 0, and a value), written by as many tasks as the sections fill; voxels that are missing or null are 0.
+
+    The header has the size, the voxel size and least, largest and mean value.
+    """
+    at = voxels.agg(*[F.max(c).alias(c) for c in ("z", "y", "x")], F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("sum"), F.count(value).alias("n")).first()
+    if at["z"] is None:
+        raise ValueError("nothing to write")
+    nz, ny, nx = (int(at[c]) + 1 for c in ("z", "y", "x"))
+    missing = at["n"] < nz * ny * nx
+    low, high = (min(at["low"], 0.0), max(at["high"], 0.0)) if missing and at["n"] else (at["low"] or 0.0, at["high"] or 0.0)
+    all_ = voxels.sparkSession.range(nz).select(F.col("id").alias("_z"))
+    cells = voxels.where(F.col(value).isNotNull()).groupBy("z", "y").agg(F.collect_list(F.struct(F.col("x").cast("int").alias("x"), F.col(value).cast("float").alias("v"))).alias("cells"))
+    lines = all_.join(voxels.sparkSession.range(ny).select(F.col("id").alias("_y")), F.lit(True)).join(cells, (F.col("_z") == F.col("z")) & (F.col("_y") == F.col("y")), "left").select("_z", "_y", "cells")
+
+    def encode(batch: pa.RecordBatch) -> bytes:
+        out = np.zeros((batch.num_rows, nx), "<f4")
+        for k, row in enumerate(batch.column("cells").to_pylist()):
+            for cell in row or []:
+                out[k, cell["x"]] = cell["v"]
+        return out.tobytes()
+
+    def head(rows: int) -> bytes:
+        out = bytearray(1024)
+        struct.pack_into("<10i", out, 0, nx, ny, nz, 2, 0, 0, 0, nx, ny, nz)
+        struct.pack_into("<6f3i", out, 40, nx * apix, ny * apix, nz * apix, 90.0, 90.0, 90.0, 1, 2, 3)
+        struct.pack_into("<3fi", out, 76, low, high, (at["sum"] or 0.0) / (nz * ny * nx), 1 if nz > 1 else 0)
+        out[208:216] = b"MAP \x44\x44\x00\x00"
+        return bytes(out)
+
+    write_stream(lines, path, encode, head, ["_z", "_y"])

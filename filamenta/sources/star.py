@@ -1,20 +1,19 @@
-"""STAR tables: one loop_ block as a DataFrame, and back to text files.
-
-Files are read as text by Spark, a file a row, so any path that Spark reads works.
-"""
+"""STAR tables: one loop_ block as a DataFrame, and back to text files. Files are read by ranges of bytes, see star_source."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .star_source import PLACE, SPLIT, chosen_block, star_frame, star_index
+from .streams import write_stream
+
 _TOKEN = re.compile(r"'[^']*'|\"[^\"]*\"|[^\s#]\S*")
-#: Blocks in the order in which one is chosen.
-BLOCKS = ("movies", "micrographs", "particles", "coordinate_files", "images")
 #: Columns that are whole numbers; all others are floating point where every value is.
 WHOLE = frozenset("rlnRandomSubset rlnClassNumber rlnHelicalTubeID rlnOpticsGroup rlnImageSize rlnGroupNumber".split())
 
@@ -38,39 +37,35 @@ def loops(text: str) -> Iterator[tuple[str, list[str], list[list[str]]]]:
             rows.append([t.strip("'\"") for t in _TOKEN.findall(line)])
 
 
-def read_star(spark: SparkSession, path: str, block: str | None = None) -> DataFrame:
-    """Rows of a block (the first of BLOCKS that the file has) with rid, their place in it from 0; rows with a missing value are dropped."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
-
-    def heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([(b, c) for t in part["text"] for b, c, _ in loops(t)], columns=["block", "columns"])
-
-    found = {r["block"]: list(r["columns"]) for r in texts.mapInPandas(heads, "block string, columns array<string>").collect()}
-    block = block or next((b for b in BLOCKS if b in found), next(iter(found), None))
-    if block not in found:
-        raise ValueError(f"no block {block} in {path}")
-    columns = found[block]
+def read_star(spark: SparkSession, path: str, block: str | None = None, split: int = SPLIT) -> DataFrame:
+    """Rows of a block (the first of BLOCKS that the file has) with rid, their place in it from 0; rows with a missing value are dropped.
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for t in part["text"]:
-                for b, c, values in loops(t):
-                    if b == block:
-                        yield pd.DataFrame([dict(zip(c, v)) | {"rid": k} for k, v in enumerate(values)], columns=["rid", *columns])
-
-    raw = texts.mapInPandas(rows, "rid long, " + ", ".join(f"`{c}` string" for c in columns))
-    floats = raw.agg(*[F.bool_and(F.col(f"`{c}`").try_cast("double").isNotNull()).alias(c) for c in columns]).first()
-    typed = [F.col(f"`{c}`").cast("double").cast("long") if c in WHOLE else F.col(f"`{c}`").cast("double") if floats[c] else F.col(f"`{c}`") for c in columns]
-    out = raw.select("rid", *[t.alias(c) for t, c in zip(typed, columns)])
-    return out.na.drop("any")
+    Tasks read ranges of `split` bytes: one pass counts the rows of each range and finds
+    the columns whose every value is a number, another reads them typed.
+    """
+    index = star_index(spark, path, split)
+    for file, places in json.loads(index).items():
+        names = [n for _, n in places]
+        if chosen_block(names, block) not in names:
+            raise ValueError(f"no block {block or 'at all'} in {file}")
+    raw = star_frame(spark, path, block, split=split, index=index)
+    columns = [c for c in raw.columns if c not in PLACE]
+    looked = raw.groupBy("file", "part").agg(F.count("*").alias("n"), *[F.bool_and(F.col(f"`{c}`").isNull() | F.col(f"`{c}`").try_cast("double").isNotNull()).alias(c) for c in columns]).collect()  # a row a range
+    kinds = {c: "long" if c in WHOLE else "double" if all(r[c] is not False for r in looked) else "string" for c in columns}
+    before, sums = [], {}
+    for r in sorted(looked, key=lambda r: (r["file"], r["part"])):
+        before.append((r["file"], r["part"], sums.get(r["file"], 0)))
+        sums[r["file"]] = sums.get(r["file"], 0) + r["n"]
+    starts = spark.createDataFrame(before, "file string, part long, before long")
+    typed = star_frame(spark, path, block, schema="file string, part long, row long" + "".join(f", `{c}` {k}" for c, k in kinds.items()), split=split, index=index)
+    out = typed.join(F.broadcast(starts), ["file", "part"])  # a row a range
+    return out.select((F.col("before") + F.col("row")).alias("rid"), *[F.col(f"`{c}`") for c in columns]).na.drop("any")
 
 
 def write_star(df: DataFrame, path: str, block: str = "particles", order: str = "rid") -> None:
     """A folder of STAR text in order of a column: a head file of column names, then part files, which read in name order are one table."""
     columns = [c for c in df.columns if c != order]
-    shown = [F.round(c, 6).cast("string") if df.schema[c].dataType.simpleString() in ("double", "float") else F.col(c).cast("string") for c in columns]
-    head = f"data_{block}\n\nloop_\n" + "\n".join(f"_{c} #{k}" for k, c in enumerate(columns, 1))
+    shown, head = _shown(df, columns), _head(block, columns)
     body = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).select(F.concat_ws("\t", *shown).alias("value"))
     df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/0-head")
     body.write.text(f"{path}/1-rows")
@@ -78,12 +73,25 @@ def write_star(df: DataFrame, path: str, block: str = "particles", order: str =
 
 def read_star_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
     """(rows, optics table or None) of a STAR file."""
-    blocks = {b for r in spark.read.text(path, wholetext=True).select(F.expr("regexp_extract_all(value, '(?m)^data_([^ \\\\t\\\\r\\\\n]*)', 1)").alias("b")).collect() for b in r["b"]}
+    blocks = {name for places in json.loads(star_index(spark, path)).values() for _, name in places}
     return read_star(spark, path), read_star(spark, path, "optics") if "optics" in blocks else None
 
 
 def _shown(df: DataFrame, columns: list[str]) -> list[Column]:
-    return [F.round(f"`{c}`", 6).cast("string") if df.schema[c].dataType.simpleString() in ("double", "float") else F.col(f"`{c}`").cast("string") for c in columns]
+    """Values as text: floats to six digits, null and NaN as nan, null strings as None, and quoted what wouldn't be read back as one word."""
+    out = []
+    for c in columns:
+        x, kind = F.col(f"`{c}`"), df.schema[c].dataType.simpleString()
+        if kind in ("double", "float"):
+            out.append(F.coalesce(F.when(F.isnan(x), "nan").otherwise(F.round(x, 6).cast("string")), F.lit("nan")))
+        elif kind == "string":
+            clean = F.regexp_replace(x, r"[\r\n]", " ")
+            quote = F.when(clean.contains("'"), F.lit('"')).otherwise(F.lit("'"))
+            odd = (clean == "") | clean.rlike(r"[\s#]|^['\"]|^data_|^loop_$|^_")
+            out.append(F.coalesce(F.when(odd, F.concat(quote, clean, quote)).otherwise(clean), F.lit("None")))
+        else:
+            out.append(F.coalesce(x.cast("string"), F.lit("nan")))
+    return out
 
 
 def _head(block: str, columns: list[str]) -> str:
@@ -91,43 +99,27 @@ def _head(block: str, columns: list[str]) -> str:
 
 
 def write_star_file(df: DataFrame, path: str, optics: DataFrame | None = None, block: str | None = None, order: str = "rid") -> None:
-    """One STAR file of the columns named rln..., in order of a column, after the optics table.
+    """One STAR file of the columns named rln..., in order of a column, after the optics table; as many tasks write it as the rows fill.
 
-    The format is one stream of text, so one task writes it, from rows that Spark has
-    sorted with spilling; write_star() is the way for many tasks. The block is
-    micrographs for rows without images, else particles.
+    The block is micrographs for rows without images, else particles. Nulls are nan in
+    numeric columns and None in others; a path that exists is replaced.
     """
     columns = [c for c in df.columns if c.startswith("rln")]
     if not columns or df.isEmpty():
         raise ValueError("nothing to write")
     block = block if block is not None else "particles" if "rlnImageName" in columns or "rlnMicrographName" not in columns else "micrographs"
-    spark = df.sparkSession
-    lines = [("0", 0, "# version 30001")] if optics is not None else []
-    parts = []
+    head = ""
     if optics is not None:
         names = [c for c in optics.columns if c.startswith("rln")]
-        lines += [("1", 0, "\n" + _head("optics", names)), ("3", 0, "")]
-        parts.append(optics.select(F.lit("2").alias("part"), F.col(names[0] if "rlnOpticsGroup" not in names else "rlnOpticsGroup").cast("long").alias("at"), F.concat_ws("\t", *_shown(optics, names)).alias("line")))
-    lines += [("4", 0, "\n" + _head(block, columns))]
-    parts.append(df.select(F.lit("5").alias("part"), F.col(order).cast("long").alias("at"), F.concat_ws("\t", *_shown(df, columns)).alias("line")))
-    text = spark.createDataFrame(lines, "part string, at long, line string")
-    for p in parts:
-        text = text.union(p)
-    folder = f"{path}.parts"
-    text.repartition(1).sortWithinPartitions("part", "at", "line").select("line").write.mode("overwrite").text(folder)
-    moved_out(spark, folder, path)
-
-
-def moved_out(spark: SparkSession, folder: str, path: str) -> None:
-    """The only part file of a folder becomes path, and the folder goes."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-    source, target = jvm.Path(folder), jvm.Path(path)
-    files = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in files.listStatus(source) if f.getPath().getName().startswith("part-"))
-    files.delete(target, False)
-    if not files.rename(part, target):
-        raise OSError(f"can't write {path}")
-    files.delete(source, True)
+        lines = optics.orderBy("rlnOpticsGroup" if "rlnOpticsGroup" in names else names[0]).select(F.concat_ws("\t", *_shown(optics, names)).alias("line")).collect()  # a row a group
+        head = "# version 30001\n\n" + _head("optics", names) + "\n" + "".join(r["line"] + "\n" for r in lines) + "\n"
+    head = f"{head}\n{_head(block, columns)}\n".encode()
+    rows = df.select(F.col(f"`{order}`").alias("at"), F.concat_ws("\t", *_shown(df, columns)).alias("line"))
+
+    def encode(batch: pa.RecordBatch) -> bytes:
+        return "".join(line + "\n" for line in batch.column("line").to_pylist()).encode()
+
+    write_stream(rows, path, encode, lambda n: head, ["at", "line"])
 
 
 def write_star_by(df: DataFrame, path: str, column: str, order: str = "rid") -> None:
