@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import fourier, local
+from ..operators import curves, fourier, local
 from ..operators.volumes import voxels
 from .geometry import neighbours
 from .views import read
@@ -72,3 +72,37 @@ SQL["true_shell_correlation"] = f"""WITH {_CUBE}, ok AS (SELECT a.vec_id AS map
   bm AS (SELECT map, half, g.z, g.y, g.x, {_SUM.format(v='f.v')} FROM (SELECT b.map, b.half, b.z, b.y, b.x, v * mask AS v FROM b JOIN m USING (map, half, z, y, x)) f, g GROUP BY ALL),
   u AS ({_FSC.format(t='p')}), k AS ({_FSC.format(t='pm')}), n AS ({_FSC.format(t='bm')})
   SELECT map, shell, round(u.fsc, 4) AS unmasked, round(n.fsc, 4) AS randomised, round(k.fsc, 4) AS masked, round(CASE WHEN shell > 0 AND n.fsc < 1 THEN (k.fsc - n.fsc) / (1 - n.fsc) ELSE k.fsc END, 4) AS corrected FROM u JOIN k USING (map, shell) JOIN n USING (map, shell)"""
+
+
+def _falling(spark, sf_dir) -> DataFrame:
+    """Curves that fall from 1: an embedding's entries by size, over the largest; place k of 64 lies at (k + 1) / 64."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.reverse(F.array_sort(F.transform("embedding", lambda v: F.abs(v.cast("double"))))).alias("_v"))
+    return e.select("vec_id", F.posexplode("_v").alias("_k", "_x"), F.get("_v", F.lit(0)).alias("_most")).select("vec_id", ((F.col("_k") + 1) / 64).alias("s"), (F.col("_x") / F.col("_most")).alias("f"))
+
+
+QUERIES["curve_fits"] = lambda spark, sf_dir: curves.falling_fits(_falling(spark, sf_dir), "vec_id", "s", "f").select("vec_id", "model", *[F.round(c, 5).alias(c) for c in ("p", "q", "error")])
+_U = "CASE WHEN s > 0 THEN pow(s / p, q) ELSE 0 END"
+_MODELS = {
+    "butterworth": ("2.0::DOUBLE", f"1 / (1 + {_U})", f"q / p * {_U} / (1 + {_U}) ** 2", f"-({_U}) * ln(s / p) / (1 + {_U}) ** 2"),
+    "fermi": ("s / 5", "(exp(-p / q) + 1) / (exp((s - p) / q) + 1)", "(-exp(-p / q) / q * (exp((s - p) / q) + 1) + (exp(-p / q) + 1) * exp((s - p) / q) / q) / (exp((s - p) / q) + 1) ** 2", "(exp(-p / q) * p / (q * q) * (exp((s - p) / q) + 1) + (exp(-p / q) + 1) * exp((s - p) / q) * (s - p) / (q * q)) / (exp((s - p) / q) + 1) ** 2"),
+}
+
+
+def _fit_sql(model: str) -> str:
+    """One model's rounds: a row a curve and round, whose normal equations are sums over the curve's points."""
+    first, value, dp, dq = _MODELS[model]
+    sums = f"sum((f - ({value})) ** 2) AS e, sum(({dp}) ** 2) AS pp, sum(({dp}) * ({dq})) AS pq, sum(({dq}) ** 2) AS qq, sum(({dp}) * (f - ({value}))) AS pr, sum(({dq}) * (f - ({value}))) AS qr"
+    return f"""{model}(r, vec_id, p, q, d, e, pp, pq, qq, pr, qr) AS (
+    SELECT 0, vec_id, p, q, 0.001::DOUBLE, {sums} FROM (SELECT c.vec_id, c.s AS p, {first.replace('s ', 'c.s ')} AS q FROM c WHERE k = 32) JOIN c USING (vec_id) GROUP BY vec_id, p, q
+    UNION ALL
+    (WITH now AS (SELECT * FROM {model} WHERE r < 60), det AS (SELECT *, pp * (1 + d) * qq * (1 + d) - pq * pq AS t FROM now),
+      step AS (SELECT vec_id, p + (qq * (1 + d) * pr - pq * qr) / t AS p, q + (pp * (1 + d) * qr - pq * pr) / t AS q FROM det WHERE t <> 0),
+      tried AS (SELECT vec_id, p, q, {sums} FROM (SELECT * FROM step WHERE p > 0 AND q > 0) JOIN c USING (vec_id) GROUP BY vec_id, p, q)
+    SELECT n.r + 1, n.vec_id, CASE WHEN x.e <= n.e * (1 + 1e-13::DOUBLE) THEN x.p ELSE n.p END, CASE WHEN x.e <= n.e * (1 + 1e-13::DOUBLE) THEN x.q ELSE n.q END, CASE WHEN x.e <= n.e * (1 + 1e-13::DOUBLE) THEN n.d / 10 ELSE n.d * 10 END,
+      {', '.join(f'CASE WHEN x.e <= n.e * (1 + 1e-13::DOUBLE) THEN x.{c} ELSE n.{c} END' for c in ('e', 'pp', 'pq', 'qq', 'pr', 'qr'))} FROM now n LEFT JOIN tried x USING (vec_id)))"""
+
+
+SQL["curve_fits"] = f"""WITH RECURSIVE a AS (SELECT vec_id, list_reverse_sort(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v))) AS v FROM embeddings),
+  c AS (SELECT vec_id, k, (k + 1) / 64 AS s, v[k + 1] / v[1] AS f FROM a, range(64) x(k)), {_fit_sql('butterworth')}, {_fit_sql('fermi')}
+  SELECT vec_id, CASE WHEN g.e / 64 < b.e / 64 THEN 'fermi' ELSE 'butterworth' END AS model, round(CASE WHEN g.e / 64 < b.e / 64 THEN g.p ELSE b.p END, 5) AS p, round(CASE WHEN g.e / 64 < b.e / 64 THEN g.q ELSE b.q END, 5) AS q, round(least(g.e / 64, b.e / 64), 5) AS error
+  FROM (SELECT * FROM butterworth WHERE r = 60) b JOIN (SELECT * FROM fermi WHERE r = 60) g USING (vec_id)"""
