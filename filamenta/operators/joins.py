@@ -205,11 +205,21 @@ def nearest_match(df: DataFrame, other: DataFrame, partition: list[str], x: str,
     return near.groupBy("rid").agg(F.min(F.struct("apart", "match")).alias("b")).select("rid", F.col("b.match").alias("match"), F.col("b.apart").alias("apart"))
 
 
-def recover_filaments(part: DataFrame, full: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """All rows of those filaments of full of which part holds at least that share."""
+def recover_filaments(part: DataFrame, full: DataFrame, keys: list[str], least: float | None = None) -> DataFrame:
+    """All rows of those filaments of full of which part holds at least that share.
+
+    Without a share it is found: none is asked for where part holds at least half of the
+    rows of its filaments, else the share that it holds of them.
+    """
     have = part.groupBy(*keys).agg(F.count("*").alias("_have"))
     all_ = full.groupBy(*keys).agg(F.count("*").alias("_all"))
-    chosen = have.join(all_, keys).where(F.col("_have") / F.col("_all") >= least)
+    chosen = have.join(all_, keys)
+    if least is None:
+        whole = chosen.agg((F.sum("_have") / F.sum("_all")).alias("_share"))
+        whole = whole.select(F.when(F.col("_share") >= 0.5, 0.0).otherwise(F.col("_share")).alias("_least"))
+        chosen = chosen.join(F.broadcast(whole), F.col("_have") / F.col("_all") >= F.col("_least"))  # one row
+    else:
+        chosen = chosen.where(F.col("_have") / F.col("_all") >= least)
     return full.join(chosen, keys, "left_semi")
 
 

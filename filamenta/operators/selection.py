@@ -163,35 +163,99 @@ def split_largest_first(df: DataFrame, keys: list[str], rid: str, sets: int) ->
     return df.join(ranked.select(*keys, subset.alias("subset")), keys)
 
 
-def split_in_halves(df: DataFrame, keys: list[str], rid: str, most: int = 1 << 24) -> DataFrame:
+def _bundles(counts: dict[int, int]) -> list[tuple[int, int]]:
+    """(size, number) in powers of two that make up every number of items of a size."""
+    out = []
+    for size, count in sorted(counts.items()):
+        k = 1
+        while count:
+            out.append((size, min(k, count)))
+            count, k = count - out[-1][1], 2 * k
+    return out
+
+
+def _sums(bundles: list[tuple[int, int]], most: int, reached: int = 1) -> int:
+    """The sums up to most that items of bundles reach, as bits of a number."""
+    inside = (1 << (most + 1)) - 1
+    for size, take in bundles:
+        reached = (reached | reached << (size * take)) & inside
+    return reached
+
+
+def _items(bundles: list[tuple[int, int]], goal: int, most: int) -> dict[int, int]:
+    """How many items of each size make up a sum that is reached. Only every so many-th state is kept; those between are worked out again."""
+    step = max(1, int(len(bundles) ** 0.5))
+    kept = [1]
+    for k in range(0, len(bundles), step):
+        kept.append(_sums(bundles[k : k + step], most, kept[-1]))
+    out: dict[int, int] = {}
+    for block in range(len(kept) - 2, -1, -1):
+        part = bundles[block * step : (block + 1) * step]
+        states = [kept[block]]
+        for b in part[:-1]:
+            states.append(_sums([b], most, states[-1]))
+        for (size, take), before in zip(reversed(part), reversed(states)):
+            if not before >> goal & 1:
+                out[size] = out.get(size, 0) + take
+                goal -= size * take
+    return out
+
+
+def even_halves(sizes: dict[int, int], windowed: bool | None = None) -> dict[int, int]:
+    """Of groups (size: number) how many of each size make one of two halves whose sums differ as little as possible; it is the smaller one.
+
+    From an even deal of every size, with odd ones left dealt so that the halves differ
+    by at most the largest size w, moves to either side make it the best one. Moves can
+    be put in an order in which their sum stays within w around its way, so 3 w + 1 of
+    them are enough (of more, some between two equal sums add up to nothing), and
+    each side's sums stay below 2 w squared + w: states depend on the largest group, not
+    on the number of rows. Where all rows are fewer, their sums are taken at once.
+    """
+    total = sum(n * c for n, c in sizes.items())
+    if not total:
+        return dict.fromkeys(sizes, 0)
+    w = max(sizes)
+    bound = 2 * w * w + w
+    if not (total // 2 > bound if windowed is None else windowed):
+        bundles = _bundles(sizes)
+        reached = _sums(bundles, total // 2)
+        return _items(bundles, reached.bit_length() - 1, total // 2)
+    mine = {n: c // 2 for n, c in sizes.items()}
+    apart = 0  # the first half less the second
+    for n in sorted((n for n, c in sizes.items() if c % 2), reverse=True):
+        if apart <= 0:
+            mine[n], apart = mine[n] + 1, apart + n
+        else:
+            apart -= n
+    moves = 3 * w + 1
+    in_, out_ = (_bundles({n: min(c, moves) for n, c in x.items() if c}) for x in ({n: sizes[n] - mine[n] for n in sizes}, mine))
+    gained, lost = _sums(in_, bound), _sums(out_, bound)
+    for left in sorted(range(-w, w + 1), key=abs):
+        if (left - apart) % 2:
+            continue
+        move = (left - apart) // 2  # what the first half must gain
+        both = gained & (lost << move) if move >= 0 else (gained << -move) & lost
+        if both:
+            at = (both & -both).bit_length() - 1
+            plus, minus = (at, at - move) if move >= 0 else (at + move, at)
+            for n, k in _items(in_, plus, bound).items():
+                mine[n] += k
+            for n, k in _items(out_, minus, bound).items():
+                mine[n] -= k
+            return mine if left <= 0 else {n: sizes[n] - mine[n] for n in sizes}
+    raise AssertionError("the even deal itself is within reach")
+
+
+def split_in_halves(df: DataFrame, keys: list[str], rid: str) -> DataFrame:
     """df with subset 1 or 2: whole groups (micrographs) to two subsets whose row counts differ as little as possible.
 
-    The sums that groups can reach are bits of a number; groups of equal size are taken
-    in powers of two, so passes are as many as distinct sizes times the logarithm of
-    their numbers. The histogram of sizes reaches the driver; a table of more than most
-    rows has too many sums, and an error says so.
+    even_halves() works on the histogram of group sizes, which reaches the driver (distinct
+    sizes: at most the root of twice the rows); a group finds its subset by its number
+    among those of its size, in order of first appearance.
     """
     groups = df.groupBy(*keys).agg((-F.count("*")).alias("_less"), F.min(rid).alias("_first"))
     sizes = {-r["_less"]: r["n"] for r in groups.groupBy("_less").agg(F.count("*").alias("n")).collect()}
-    total = sum(n * c for n, c in sizes.items())
-    if total > most:
-        raise ValueError("too many rows for exact halves: split_largest_first gives nearly even ones")
-    bundles = []
-    for size, count in sorted(sizes.items()):
-        k = 1
-        while count:
-            take = min(k, count)
-            bundles.append((size, take))
-            count, k = count - take, 2 * k
-    reached, inside = [1], (1 << (total // 2 + 1)) - 1
-    for size, take in bundles:
-        reached.append((reached[-1] | reached[-1] << (size * take)) & inside)
-    goal = next(x for x in range(total // 2, -1, -1) if reached[-1] >> x & 1)
-    chosen: dict[int, int] = {}
-    for (size, take), before in zip(reversed(bundles), reversed(reached[:-1])):
-        if not before >> goal & 1:
-            chosen[size] = chosen.get(size, 0) + take
-            goal -= size * take
+    chosen = even_halves(sizes)
     larger, before = {}, 0
     for size in sorted(sizes, reverse=True):
         larger[size], before = before, before + sizes[size]

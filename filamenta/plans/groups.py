@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import grouping as G
-from .views import read
+from ..operators import jobs
+from ..operators import joins as J
+from ..operators import selection as S
+from .views import SEG, read, segments
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,3 +81,51 @@ SQL["exposure_groups_by_shift"] = _ward("supplier", "(s_suppkey % 2) * 10 + s_ac
   , placed AS (SELECT s_suppkey, s_acctbal, s_nationkey % 2 + 1 AS g, cluster FROM supplier JOIN clustered ON x = (s_suppkey % 2) * 10 + s_acctbal / 10000 AND y = (s_suppkey % 11) / 10.0)
   , numbered AS (SELECT s_suppkey AS rid, s_acctbal, CAST(dense_rank() OVER (ORDER BY g, cluster) AS INTEGER) AS id FROM placed)
   SELECT rid, id AS ctf_exp_group_id, id AS mscope_exp_group_id, median(s_acctbal) OVER (PARTITION BY id) AS tilt FROM numbered"""
+
+
+def split_halves_sizes(spark, sf_dir):
+    """How even the halves of the events by user are: rows of either subset and their difference."""
+    out = S.split_in_halves(read(spark, sf_dir, "events").select("event_id", "user_id"), ["user_id"], "event_id")
+    counts = out.agg(F.count_if(F.col("subset") == 1).alias("smaller"), F.count_if(F.col("subset") == 2).alias("larger"))
+    return counts.select("smaller", "larger", (F.col("larger") - F.col("smaller")).alias("difference"))
+
+
+QUERIES["split_halves_sizes"] = split_halves_sizes
+SQL["split_halves_sizes"] = """WITH RECURSIVE g AS (SELECT n, row_number() OVER (ORDER BY n) AS k FROM (SELECT count(*) AS n FROM events GROUP BY user_id)),
+  t AS (SELECT sum(n) AS total, count(*) AS groups FROM g),
+  s(k, sum) AS (SELECT 0::BIGINT, 0::HUGEINT UNION SELECT s.k + 1, s.sum + take * g.n FROM s JOIN g ON g.k = s.k + 1, range(2) x(take), t WHERE s.sum + take * g.n <= total // 2),
+  b AS (SELECT max(sum) AS smaller FROM s, t WHERE k = groups) SELECT CAST(smaller AS BIGINT) AS smaller, CAST(total - smaller AS BIGINT) AS larger, CAST(total - 2 * smaller AS BIGINT) AS difference FROM b, t"""
+
+
+def _orders_as_jobs(spark, sf_dir):
+    """Orders as jobs: the input of each is the order before it of the same customer, and priorities and states stand for kinds."""
+    o = read(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "Extract").when(F.col("o_orderpriority") == "2-HIGH", "Polish").when(F.col("o_orderpriority") == "3-MEDIUM", "AutoPick").otherwise("Class2D")
+    name = F.concat(kind, F.lit("/job"), F.col("o_orderkey").cast("string"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    named = o.select("o_custkey", "o_orderkey", "o_orderstatus", name.alias("job"))
+    earlier = lambda k: F.lag("job", k).over(w)
+    return named.select("job", earlier(1).alias("input"), F.when(F.col("o_orderstatus") != "P", earlier(1)).alias("coordinates"), F.when(F.col("o_orderstatus") == "O", earlier(2)).alias("reextract"))
+
+
+_JOBS = """WITH RECURSIVE named AS (SELECT o_custkey, o_orderkey, o_orderstatus, CASE o_orderpriority WHEN '1-URGENT' THEN 'Extract' WHEN '2-HIGH' THEN 'Polish' WHEN '3-MEDIUM' THEN 'AutoPick' ELSE 'Class2D' END || '/job' || o_orderkey AS job FROM orders),
+  jobs AS (SELECT job, lag(job) OVER w AS input, CASE WHEN o_orderstatus <> 'P' THEN lag(job) OVER w END AS coordinates, CASE WHEN o_orderstatus = 'O' THEN lag(job, 2) OVER w END AS reextract FROM named WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+"""
+QUERIES["traced_jobs"] = lambda spark, sf_dir: (lambda j: jobs.traced(j, j.select("job")))(_orders_as_jobs(spark, sf_dir))
+SQL["traced_jobs"] = _JOBS + """  walk(job, place, n, found) AS (SELECT job, job, 0, false FROM jobs UNION ALL SELECT w.job, j.input, w.n + 1, j.input LIKE '%Extract%' OR j.input LIKE '%Polish%' FROM walk w JOIN jobs j ON j.job = w.place WHERE NOT w.found AND j.input IS NOT NULL)
+  SELECT job, CASE WHEN max(n) > 0 THEN arg_max(place, n) END AS source, bool_or(found) AS found, CAST(max(n) AS BIGINT) AS steps FROM walk GROUP BY job"""
+QUERIES["traced_jobs_to_picks"] = lambda spark, sf_dir: (lambda j: jobs.traced(j, j.select("job"), True))(_orders_as_jobs(spark, sf_dir))
+SQL["traced_jobs_to_picks"] = _JOBS + """  step AS (SELECT j.job, j.input, i.coordinates, i.reextract, (j.input LIKE '%Extract%' OR j.input LIKE '%Polish%') AS made FROM jobs j JOIN jobs i ON i.job = j.input),
+  next AS (SELECT job, made AND coalesce(coordinates LIKE '%Pick%', false) AS found, CASE WHEN made AND NOT coalesce(coordinates LIKE '%Pick%', false) AND reextract IS NOT NULL THEN reextract ELSE input END AS to_, CASE WHEN made AND NOT coalesce(coordinates LIKE '%Pick%', false) AND reextract IS NOT NULL THEN 2 ELSE 1 END AS n FROM step),
+  walk(job, place, n, found) AS (SELECT job, job, 0, false FROM jobs UNION ALL SELECT w.job, x.to_, w.n + x.n, x.found FROM walk w JOIN next x ON x.job = w.place WHERE NOT w.found)
+  SELECT job, CASE WHEN max(n) > 0 THEN arg_max(place, n) END AS source, bool_or(found) AS found, CAST(max(n) AS BIGINT) AS steps FROM walk GROUP BY job"""
+
+
+def recover_by_share(spark, sf_dir):
+    """Full filaments of the segments of a score, with the share that is found."""
+    d = segments(spark, sf_dir)
+    return J.recover_filaments(d.where("score > 60"), d, ["mic", "tube"]).select("rid")
+
+
+QUERIES["recover_by_found_share"] = recover_by_share
+SQL["recover_by_found_share"] = f"WITH {SEG}, f AS (SELECT mic, tube, count(*) FILTER (WHERE score > 60) AS n, count(*) AS a FROM seg GROUP BY 1, 2), t AS (SELECT sum(n) / sum(a) AS share FROM f WHERE n > 0) SELECT rid FROM seg JOIN f USING (mic, tube), t WHERE n > 0 AND n / a >= CASE WHEN share >= 0.5 THEN 0 ELSE share END"

@@ -77,3 +77,22 @@ def test_small_clusters_and_odd_tables(spark):
     assert len(set(of(rows([(0.0, 0.0), (1.0, 0.0), (9.0, 0.0), (10.0, 0.0)])))) == 2
     assert set(of(rows([(float(k % 4), float(k // 4)) for k in range(16)] * 2))) <= set(range(1, 17))  # ties everywhere
     assert len(set(of(rows(clump(0.0, 3) + clump(5.0, 3) + clump(50.0, 3)), least=4))) >= 2  # all are small
+
+
+@pytest.mark.parametrize("windowed", [None, True, False])
+def test_even_halves_are_the_most_even_ones(windowed):
+    from filamenta.operators.selection import even_halves
+
+    rng = np.random.default_rng(9)
+    for _ in range(150):
+        sizes = {int(n): int(c) for n, c in zip(rng.choice(np.arange(1, 30), rng.integers(1, 6), False), rng.integers(1, 9, 6))}
+        total, sums = sum(n * c for n, c in sizes.items()), {0}
+        for n, c in sizes.items():
+            sums = {s + k * n for s in sums for k in range(c + 1)}
+        half = even_halves(sizes, windowed)
+        assert all(0 <= half.get(n, 0) <= c for n, c in sizes.items())
+        assert sum(n * k for n, k in half.items()) == max(s for s in sums if s <= total // 2), sizes
+    huge = {7: 10**12, 12: 10**13 + 1, 100: 3}  # more rows than any table of sums could hold
+    half = even_halves(huge)
+    assert abs(sum(n * (c - 2 * half[n]) for n, c in huge.items())) <= 1
+    assert even_halves({}) == {} and even_halves({5: 1}) == {5: 0} or even_halves({5: 1}) == {}

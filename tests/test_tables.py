@@ -63,8 +63,6 @@ def test_halves_are_the_most_even_ones(spark):
         best = min(abs(sum(n if c else -n for n, c in zip(sizes, choice))) for choice in itertools.product((0, 1), repeat=len(sizes)))
         out = selection.split_in_halves(spark.createDataFrame(rows, "rid long, mic long"), ["mic"], "rid")
         assert abs(sum(1 if x["subset"] == 1 else -1 for x in out.collect())) == best
-    with pytest.raises(ValueError):
-        selection.split_in_halves(spark.range(9).select(F.col("id").alias("rid"), F.col("id").alias("mic")), ["mic"], "rid", most=8)
 
 
 def test_runs_packed_by_tasks_are_those_packed_one_by_one(spark):
