@@ -15,7 +15,7 @@ from .packing import pack
 from .piecewise_hash import piecewise_fingerprints
 from .posting_lists import nearest_neighbours
 from .sharding import shard_documents
-from .surrogates import replace_personal_data
+from .surrogates import REGISTERED_KEY, key_of, replace_personal_data
 from .toxicity import score_toxicity
 from .warc import archive_round_trip
 from .whitening import whiten
@@ -44,7 +44,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    """With the session's key, or REGISTERED_KEY, so that runs agree."""
+    return replace_personal_data(table(spark, sf_dir, "documents"), key_of(spark, REGISTERED_KEY)).select("doc_id", "text", "n_replaced")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

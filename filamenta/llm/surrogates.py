@@ -5,10 +5,12 @@ addresses and secrets go through a keyed permutation of all strings of their own
 shape, so two different ones never share a surrogate; letters of any script are
 replaced by letters of their script and case; card numbers keep a valid check
 digit, IP addresses valid octets. Names after a title, and known given names before
-a family name, become other names of the same gender and script, chosen by a keyed
-hash. No entity becomes itself. A collision check over the distinct entities of the
-whole corpus moves every entity but one that share a surrogate (but for letter case)
-to their next choice until none share one. Equal entities have equal surrogates
+a family name, become other names of the same gender and script, with as many parts
+joined by hyphens: listed ones at first, then names built of syllables, which don't
+run out. No entity becomes itself. A collision check over the distinct entities of the
+whole corpus moves every entity but one that share a surrogate (but for letter case),
+and every one whose surrogate is another entity of the corpus, to their next choice
+until there is none. Equal entities have equal surrogates
 everywhere: a given name whose title tells no gender takes the gender that the
 corpus gives it, and later mentions of a name follow its first.
 
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import discard, free_names, keep, quoted, small_batches
 
 KEY_SETTING = "spark.filamenta.surrogates.key"
+#: What the registered query and the pipeline use without the setting, so that their runs agree. Whoever reads this can reverse it: set a key of your own for data that matter.
+REGISTERED_KEY = "filamenta-registered"
 #: Rounds of the collision check, each of which moves all entities that share a surrogate; an error beyond.
 ROUNDS = 100
 #: Entities that had to move to a later choice and are sent to every task; beyond so many they are joined to their documents instead.
@@ -57,6 +61,12 @@ FAMILY = {
     "cyrillic": "Белов Волков Громов Егоров Жуков Зайцев Козлов Лебедев Морозов Новиков Орлов Попов".split(),
     "greek": "Αλεξίου Γεωργίου Δημητρίου Ιωάννου Νικολάου Παππάς".split(),
 }
+# Consonants and vowels of each script's syllables, and endings of women's, men's and family names.
+SYLLABLES = {
+    "latin": ("bcdfghjklmnprstvwz", "aeiou", {"f": ["a", "ia", "ina"], "m": ["o", "us", "an"], "family": ["er", "an", "el", "ov", "is", "en"]}),
+    "cyrillic": ("бвгджзклмнпрстфхчш", "аеиоу", {"f": ["а", "ия", "ина"], "m": ["ан", "ий", "ор"], "family": ["ко", "ук", "ак", "ич", "дзе", "ян"]}),
+    "greek": ("βγδζθκλμνπρστφχ", "αεηιο", {"f": ["α", "η", "ια"], "m": ["ος", "ης", "ας"], "family": ["ου", "ης", "ας", "ιδης"]}),
+}
 _TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Sr": "m", "Sra": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Dr": "", "Prof": "", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 _CAP = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]++|[А-ЯЁ][а-яё-]++|[Α-ΩΆΈ-Ώ][α-ωά-ώ]++)"
 _FOUND = re.compile(
@@ -75,9 +85,9 @@ _HINT = re.compile(r"[@\d]|[=:]|(?<!\w)(?:" + "|".join([*_TITLES, *(n for names
 _GENDER = {n: g for (g, _), names in GIVEN.items() for n in names}
 
 
-def key_of(spark: SparkSession) -> bytes:
-    """The key of the session's setting, or one for this call alone."""
-    key = spark.conf.get(KEY_SETTING, None)
+def key_of(spark: SparkSession, otherwise: str | None = None) -> bytes:
+    """The key of the session's setting, else that of `otherwise`, else one for this call alone."""
+    key = spark.conf.get(KEY_SETTING, None) or otherwise
     return hashlib.blake2b(key.encode(), digest_size=32).digest() if key else secrets.token_bytes(32)
 
 
@@ -150,6 +160,26 @@ def _known_as(kind: str, value: str) -> str:
     return value.lower() if _is_name(kind) else value
 
 
+def _name(kind: str, part: str, place: int, attempt: int, key: bytes) -> str:
+    """A name for one part of a name: a listed one first, then one built of syllables of the script with an ending of the gender, longer from choice to choice."""
+    script = script_of(part)
+    genders = [kind[6:]] if kind in ("given:f", "given:m") else ["f", "m"]
+    h = int.from_bytes(hashlib.blake2b(f"{kind}:{part.lower()}:{place}:{attempt}".encode(), key=key, digest_size=32).digest(), "big")
+    if attempt == 0:
+        names = FAMILY[script] if kind == "family" else [n for g in genders for n in GIVEN[g, script]]
+        names = [n for n in names if n.lower() != part.lower()]
+        return names[h % len(names)]
+    consonants, vowels, ends = SYLLABLES[script]
+    out = ""
+    for _ in range(1 + (attempt + 1) // 2):  # an even chance in 100, in 10,000, ... of a first choice taken
+        h, c = divmod(h, len(consonants))
+        h, v = divmod(h, len(vowels))
+        out += consonants[c] + vowels[v]
+    own = ends["family" if kind == "family" else genders[h % len(genders)]]
+    h, c = divmod(h // 2, len(consonants))
+    return (out + consonants[c] + own[h % len(own)]).capitalize()
+
+
 def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     """The attempt-th choice for an entity, never itself (but for letter case); kinds given:f, given:m, given: and family are names.
 
@@ -164,15 +194,7 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
 
 def _choice(kind: str, value: str, attempt: int, key: bytes) -> str:
     if _is_name(kind):
-        script = script_of(value)
-        genders = [kind[6:]] if kind in ("given:f", "given:m") else ["f", "m"]
-        names = FAMILY[script] if kind == "family" else [n for g in genders for n in GIVEN[g, script]]
-        names = [n for n in names if n.lower() != value.lower()]
-
-        def pick(k: int) -> str:
-            return names[int.from_bytes(hashlib.blake2b(f"{kind}:{value.lower()}:{attempt}:{k}".encode(), key=key, digest_size=8).digest(), "big") % len(names)]
-
-        return "-".join(pick(k) for k in range(1 + attempt // 2))  # later choices are double names and longer, so the supply doesn't end
+        return "-".join(_name(kind, part, k, attempt, key) if part else "" for k, part in enumerate(value.split("-")))
     if kind == "ip":
         number = 0
         for part in value.split("."):
@@ -284,18 +306,22 @@ def told_apart(found: DataFrame) -> DataFrame:
 
 
 def collision_free(found: DataFrame, key: bytes, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, value, attempt, surrogate) of distinct entities, no two with one surrogate, whatever its letter case."""
+    """(kind, value, attempt, surrogate) of distinct entities, no two with one surrogate, and none with a surrogate that is itself a value of the corpus, whatever the letter case."""
 
     @F.pandas_udf("string")
     def choice(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(k, v, a, key).lower() for k, v, a in zip(kind, value, attempt)], dtype=object)
 
+    real = keep(found.select(F.lower("value").alias("surrogate")).distinct(), "values")
     now = keep(found.withColumn("attempt", F.lit(0)).withColumn("surrogate", choice("kind", "value", "attempt")), "surrogates")
     for _ in range(rounds):
+        taken = now.join(real, "surrogate", "left_semi").select("kind", "value")
         owner = now.groupBy("surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("owner"), F.count("*").alias("n")).where("n > 1").select("surrogate", "owner")
-        losing = now.join(owner, "surrogate").where("owner.kind <> kind or owner.value <> value").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        losing = now.join(owner, "surrogate").where("owner.kind <> kind or owner.value <> value").select("kind", "value").union(taken).distinct()
+        losing = losing.join(now.select("kind", "value", "attempt"), ["kind", "value"]).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         losing = keep(losing.withColumn("surrogate", choice("kind", "value", "attempt")), "surrogates")
         if losing.isEmpty():
+            discard(real, losing)
             return now
         before, now = now, keep(now.join(losing, ["kind", "value"], "left_anti").unionByName(losing), "surrogates")
         discard(before, losing)

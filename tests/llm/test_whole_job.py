@@ -5,6 +5,7 @@ import heapq
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from filamenta import plans
 from filamenta.llm import licenses, packing, surrogates, toxicity
@@ -139,3 +140,24 @@ def test_training_reads_whole_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
     assert {r["predicted"] == r["doc_id"] % 2 for r in toxicity.score_toxicity(docs, labels).collect()} == {True}
+
+
+def test_names_keep_their_format_and_never_run_out(spark):
+    """As many families as the corpus has, none with a part more, none equal to another's surrogate or to a name that the corpus has."""
+    n = 100_000
+    family = lambda k: "Q" + "".join(chr(97 + k // 26**j % 26) for j in range(5))
+    found = spark.range(n).select(F.lit("family").alias("kind"), F.concat(F.lit("q"), *[F.expr(f"char(97 + cast(id / {26**j} as long) % 26)") for j in range(5)]).alias("value"))
+    rows = [(f"weber-{k:x}".translate(str.maketrans("0123456789", "ghijklmnop")), "family") for k in range(50)] + [(w.lower(), "given:f") for w in surrogates.GIVEN["f", "latin"]]
+    found = found.union(spark.createDataFrame(rows, "value string, kind string").select("kind", "value"))
+    out = surrogates.collision_free(found, KEY)
+    got = out.agg(F.count("*").alias("n"), F.countDistinct("surrogate").alias("distinct"), F.max("attempt").alias("attempt"), F.count_if(F.size(F.split("surrogate", "-")) != F.size(F.split("value", "-"))).alias("parts"), F.max(F.length("surrogate")).alias("long")).first()
+    assert (got["n"], got["distinct"], got["parts"]) == (n + 50 + 28, n + 50 + 28, 0) and got["long"] < 40
+    assert out.join(found.select(F.col("value").alias("surrogate")), "surrogate", "left_semi").count() == 0
+    assert out.where("surrogate not rlike '^[a-z-]+$'").count() == 0 and family(3) == "Qdaaaa"
+
+
+def test_registered_runs_agree(spark, sf):
+    from filamenta.llm.queries import QUERIES
+
+    one, other = ({tuple(r) for r in QUERIES["op5_surrogates"](spark, sf).collect()} for _ in range(2))
+    assert one == other
