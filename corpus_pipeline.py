@@ -8,7 +8,7 @@ from filamenta.llm.common import free_names, keep, table
 from filamenta.llm.jaccard_join import first_of_components
 from filamenta.llm.packing import pack
 from filamenta.llm.queries import vocabulary_path
-from filamenta.llm.surrogates import replace_personal_data
+from filamenta.llm.surrogates import REGISTERED_KEY, key_of, replace_personal_data
 from filamenta.llm.toxicity import clean_documents
 
 
@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates for personal data."""
     count = free_names(docs, "n_replaced")[0]
-    return replace_personal_data(docs, count=count).drop(count)
+    return replace_personal_data(docs, key_of(spark, REGISTERED_KEY), count=count).drop(count)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
