@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,3 +47,122 @@ def unfolded(df: DataFrame, one: str, other: str, first: int, second: int, angle
     a, b = F.floor(F.col("_k") / second), F.col("_k") % second
     placed = df.withColumn("_k", k)
     return placed.withColumn(one, (F.col(one) + a * (360.0 / first)) % 360.0).withColumn(other, (F.col(other) + b * (360.0 / second)) % 360.0).drop("_k")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: written out at every use, nested rotations would grow without bound."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _four(q: Column) -> list[Column]:
+    return [F.get(q, F.lit(k)) for k in range(4)]
+
+
+def rotation_of(pose: Column) -> Column:
+    """The unit quaternion (array of 4, scalar first) of a rotation vector (array of 3, radians)."""
+
+    def of(v: Column) -> Column:
+        x = [F.get(v, F.lit(k)) for k in range(3)]
+        share = F.when(x[2] > 1e-12, F.sin(x[2] / 2) / x[2]).otherwise(0.5)
+        return F.array(F.cos(x[2] / 2), *[share * F.get(v, F.lit(k)) for k in (0, 1, 3)])
+
+    v = [F.get(pose, F.lit(k)).cast("double") for k in range(3)]
+    return _let(F.array(v[0], v[1], F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), v[2]), of)  # the angle stands third
+
+
+def pose_of(q: Column) -> Column:
+    """The rotation vector of a unit quaternion, of an angle of at most pi."""
+
+    def of(p: Column) -> Column:
+        w, *v = _four(p)
+        length = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+        return _let(F.array(F.when(length > 1e-12, 2 * F.atan2(length, w) / F.when(length > 1e-12, length)).otherwise(2.0), *v), lambda s: F.array(*[F.get(s, F.lit(0)) * F.get(s, F.lit(k)) for k in (1, 2, 3)]))
+
+    return _let(_let(q, lambda p: F.when(F.get(p, F.lit(0)) < 0, F.transform(p, lambda x: -x)).otherwise(p)), of)
+
+
+def inverse(q: Column) -> Column:
+    return F.transform(q, lambda x, k: F.when(k == 0, x).otherwise(-x))
+
+
+def times(p: Column, q: Column) -> Column:
+    """The rotation q, then p."""
+
+    def of(both: Column) -> Column:
+        (a, b, c, d), (w, x, y, z) = _four(both["p"]), _four(both["q"])
+        return F.array(a * w - b * x - c * y - d * z, a * x + b * w + c * z - d * y, a * y - b * z + c * w + d * x, a * z + b * y - c * x + d * w)
+
+    return _let(F.struct(p.alias("p"), q.alias("q")), of)
+
+
+def about_z(degrees: Column) -> Column:
+    half = F.radians(degrees) / 2
+    return F.array(F.cos(half), F.lit(0.0), F.lit(0.0), F.sin(half))
+
+
+def first_angle(q: Column) -> Column:
+    """The first of the Euler angles about z, x and z (degrees): the turn about the fixed z axis; all of the turn where the middle angle is 0 or 180."""
+
+    def of(p: Column) -> Column:
+        w, x, y, z = _four(p)
+        flat = (x * x + y * y < 1e-14) | (w * w + z * z < 1e-14)
+        return F.degrees(F.when(flat, F.atan2(2 * (x * y + w * z), 1 - 2 * (y * y + z * z))).otherwise(F.atan2(x * z + w * y, w * x - y * z)))
+
+    return _let(q, of)
+
+
+def correspondence(one: DataFrame, other: DataFrame, pose: str, distance: float | None = None, axis: float | None = None, micrograph: str = "mic", x: str = "x", y: str = "y", uid: str = "uid") -> DataFrame:
+    """(uid1, uid2): for each row of other its partner in one.
+
+    Where the tables share any uid, partners have one uid. Else they lie in one micrograph
+    at most distance apart, in cells of that width. With axis (degrees), the axis of the
+    turn from partner to row must be at most so far from +z, and of several candidates
+    the one nearest to it is taken; without, the nearest in place. Ties go to the
+    smaller uid.
+    """
+    a = one.select(F.col(uid).alias("uid1"), F.col(micrograph).alias("_m"), F.col(x).alias("_x1"), F.col(y).alias("_y1"), F.col(pose).alias("_p1"))
+    b = other.select(F.col(uid).alias("uid2"), F.col(micrograph).alias("_m"), F.col(x).alias("_x2"), F.col(y).alias("_y2"), F.col(pose).alias("_p2"))
+    if not one.select(uid).join(other.select(uid), uid, "left_semi").isEmpty():
+        pairs = a.drop("_m").join(b.drop("_m"), F.col("uid1") == F.col("uid2")).withColumn("_d", F.lit(0.0))
+    elif distance is None:
+        raise ValueError("the tables share no uid, so partners need a distance")
+    else:
+        side = distance or 1.0
+        cell = lambda c: F.floor(F.col(c) / side)
+        near = F.array(*[F.struct((cell("_x2") + i).alias("i"), (cell("_y2") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        asks = b.withColumn("_c", F.explode(near)).withColumns({"_i": F.col("_c.i"), "_j": F.col("_c.j")}).drop("_c")
+        apart = F.sqrt(F.pow(F.col("_x1") - F.col("_x2"), 2) + F.pow(F.col("_y1") - F.col("_y2"), 2))
+        pairs = a.withColumns({"_i": cell("_x1"), "_j": cell("_y1")}).join(asks, ["_m", "_i", "_j"]).withColumn("_d", apart).where(F.col("_d") <= distance)
+    if axis is None or axis <= 0:
+        rank = F.struct(F.col("_d").alias("d"), "uid1")
+    else:
+        turn = pose_of(times(rotation_of(F.col("_p2")), inverse(rotation_of(F.col("_p1")))))
+        size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        up = _let(turn, lambda v: F.when(size(v) < 1e-6, 1.0).otherwise(F.get(v, F.lit(2)) / size(v)))
+        pairs = pairs.withColumn("_z", up).where(F.col("_z") > math.cos(math.radians(axis)))
+        rank = F.struct((-F.round("_z", 9)).alias("z"), "uid1")
+    return pairs.groupBy("uid2").agg(F.min(rank).alias("_b")).select(F.col("_b.uid1").alias("uid1"), "uid2")
+
+
+def reassigned(one: DataFrame, other: DataFrame, pose: str, first: int, second: int, distance: float | None = None, axis: float | None = None, uid: str = "uid", **places: str) -> tuple[DataFrame, DataFrame, float | None]:
+    """(rows of one, rows of other, relative angle): matched particles of refinements under Cn symmetries, with poses turned by whole steps of their symmetry so that those of a pair agree in one setting.
+
+    Both tables keep all their columns and get pair, the uid of other's row; a row of one
+    that several rows match comes back for each. Without a match both are empty and the
+    angle is None.
+    """
+    matches = correspondence(one, other, pose, distance, axis, uid=uid, **places)
+    turn = lambda df, u, name: df.select(F.col(uid).alias(u), first_angle(rotation_of(F.col(pose))).alias(name))
+    rows = matches.join(turn(one, "uid1", "_one"), "uid1").join(turn(other, "uid2", "_other"), "uid2")
+    angle = relative_angle(rows, "_one", "_other", first, second, "uid2")
+    if angle is None:
+        empty = lambda df: df.withColumn("pair", F.col(uid)).limit(0)
+        return empty(one), empty(other), None
+    moved = unfolded(rows.withColumns({"_one0": F.col("_one"), "_other0": F.col("_other")}), "_one", "_other", first, second, angle)
+
+    def out(df: DataFrame, u: str, name: str) -> DataFrame:
+        step = moved.select(F.col(u).alias("_uid"), F.col("uid2").alias("pair"), (F.col(name) - F.col(f"{name}0")).alias("_step"))
+        joined = df.join(step, F.col(uid) == F.col("_uid"))
+        return joined.withColumn(pose, pose_of(times(about_z(F.col("_step")), rotation_of(F.col(pose))))).drop("_uid", "_step")
+
+    return out(one, "uid1", "_one"), out(other, "uid2", "_other"), angle
