@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import curves, fourier, local
+from ..operators import windows as W
 from ..operators.volumes import voxels
 from .geometry import neighbours
 from .views import read
@@ -52,7 +53,7 @@ def _true_fsc(spark, sf_dir) -> DataFrame:
     halves = voxels(e, "vec_id", "embedding", 4, 4).withColumn("half", F.lit("a")).unionByName(voxels(e.withColumn("vec_id", F.col("vec_id") - 1), "vec_id", "embedding", 4, 4).withColumn("half", F.lit("b")))
     both = halves.join(e.select(F.col("vec_id").alias("map")).join(e.select((F.col("vec_id") - 1).alias("map")), "map"), "map", "left_semi")
     curve = fourier.true_shell_correlation(both, "map", {"z": 4, "y": 4, "x": 4}, F.col("v") > 0.2, _WIDTH, 0)
-    return curve.select("map", "shell", *[F.round(c, 4).alias(c) for c in ("unmasked", "randomised", "masked", "corrected")])
+    return curve.select("map", "shell", *[(F.round(c, 4) + 0.0).alias(c) for c in ("unmasked", "randomised", "masked", "corrected")])
 
 
 QUERIES["true_shell_correlation"] = _true_fsc
@@ -71,7 +72,7 @@ SQL["true_shell_correlation"] = f"""WITH {_CUBE}, ok AS (SELECT a.vec_id AS map
   pm AS (SELECT map, half, g.z, g.y, g.x, {_SUM.format(v='f.v')} FROM (SELECT h.map, h.half, h.z, h.y, h.x, v * mask AS v FROM h JOIN m USING (map, half, z, y, x)) f, g GROUP BY ALL),
   bm AS (SELECT map, half, g.z, g.y, g.x, {_SUM.format(v='f.v')} FROM (SELECT b.map, b.half, b.z, b.y, b.x, v * mask AS v FROM b JOIN m USING (map, half, z, y, x)) f, g GROUP BY ALL),
   u AS ({_FSC.format(t='p')}), k AS ({_FSC.format(t='pm')}), n AS ({_FSC.format(t='bm')})
-  SELECT map, shell, round(u.fsc, 4) AS unmasked, round(n.fsc, 4) AS randomised, round(k.fsc, 4) AS masked, round(CASE WHEN shell > 0 AND n.fsc < 1 THEN (k.fsc - n.fsc) / (1 - n.fsc) ELSE k.fsc END, 4) AS corrected FROM u JOIN k USING (map, shell) JOIN n USING (map, shell)"""
+  SELECT map, shell, round(u.fsc, 4) + 0.0 AS unmasked, round(n.fsc, 4) + 0.0 AS randomised, round(k.fsc, 4) + 0.0 AS masked, round(CASE WHEN shell > 0 AND n.fsc < 1 THEN (k.fsc - n.fsc) / (1 - n.fsc) ELSE k.fsc END, 4) + 0.0 AS corrected FROM u JOIN k USING (map, shell) JOIN n USING (map, shell)"""
 
 
 def _falling(spark, sf_dir) -> DataFrame:
@@ -106,3 +107,21 @@ SQL["curve_fits"] = f"""WITH RECURSIVE a AS (SELECT vec_id, list_reverse_sort(li
   c AS (SELECT vec_id, k, (k + 1) / 64 AS s, v[k + 1] / v[1] AS f FROM a, range(64) x(k)), {_fit_sql('butterworth')}, {_fit_sql('fermi')}
   SELECT vec_id, CASE WHEN g.e / 64 < b.e / 64 THEN 'fermi' ELSE 'butterworth' END AS model, round(CASE WHEN g.e / 64 < b.e / 64 THEN g.p ELSE b.p END, 5) AS p, round(CASE WHEN g.e / 64 < b.e / 64 THEN g.q ELSE b.q END, 5) AS q, round(least(g.e / 64, b.e / 64), 5) AS error
   FROM (SELECT * FROM butterworth WHERE r = 60) b JOIN (SELECT * FROM fermi WHERE r = 60) g USING (vec_id)"""
+
+
+def _windows(spark, sf_dir) -> DataFrame:
+    """Windows of 4 x 4 pixels around two places of each embedding as a micrograph of 8 x 8 pixels, in tiles of 3."""
+    e = read(spark, sf_dir, "embeddings")
+    i = F.col("_i")
+    pixels = e.select("vec_id", F.posexplode("embedding").alias("_i", "v")).select("vec_id", F.floor(i / 8).cast("int").alias("y"), (i % 8).cast("int").alias("x"), "v")
+    particles = e.select("vec_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("rid", F.col("vec_id") * 2 + F.col("k"))
+    out = W.windows(particles, W.tiles(pixels, "vec_id", 3), "vec_id", (F.col("rid") * 3) % 9 + 0.25, F.col("rid") % 7 + 0.75, 4, tile=3, sign=-1, normalise=True)
+    return out.select("rid", "inside", F.posexplode("values").alias("i", "v")).select("rid", "inside", "i", (F.round("v", 6) + 0.0).alias("v"))
+
+
+QUERIES["particle_windows"] = _windows
+SQL["particle_windows"] = f"""WITH {_VOX}, p AS (SELECT vec_id, vec_id * 2 + k AS rid FROM embeddings, range(2) r(k)),
+  w AS (SELECT p.rid, CAST(j AS INTEGER) AS i, CAST(e.v AS DOUBLE) AS v FROM p CROSS JOIN range(16) r(j) LEFT JOIN e ON e.vec_id = p.vec_id AND (rid * 3) % 9 - 2 + j // 4 BETWEEN 0 AND 7 AND rid % 7 + 1 - 2 + j % 4 BETWEEN 0 AND 7 AND e.i = ((rid * 3) % 9 - 2 + j // 4) * 8 + rid % 7 - 1 + j % 4),
+  f AS (SELECT rid, i, count(v) OVER (PARTITION BY rid) AS inside, coalesce(v, avg(v) OVER (PARTITION BY rid)) AS v FROM w),
+  s AS (SELECT rid, i, inside, max(v) OVER r + min(v) OVER r - v AS v FROM f WINDOW r AS (PARTITION BY rid))
+  SELECT rid, inside, i, round((v - avg(v) OVER r) / stddev_pop(v) OVER r, 6) + 0.0 AS v FROM s WINDOW r AS (PARTITION BY rid)"""

@@ -20,7 +20,7 @@ def _refined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def _both(one: DataFrame, other: DataFrame) -> DataFrame:
-    shown = lambda df, n: df.select("pair", F.col("uid").alias(f"uid{n}"), *[F.round(F.get("pose", F.lit(k)), 5).alias(f"p{n}{a}") for k, a in enumerate("xyz")])
+    shown = lambda df, n: df.select("pair", F.col("uid").alias(f"uid{n}"), *[(F.round(F.get("pose", F.lit(k)), 5) + 0.0).alias(f"p{n}{a}") for k, a in enumerate("xyz")])
     return shown(one, 1).join(shown(other, 2), "pair").drop("pair")
 
 
@@ -54,7 +54,7 @@ _UNFOLD = """  tried AS (SELECT m.uid1, m.uid2, a, b, round(abs((((f.e + b * 120
   t1(uid1, uid2, w, x, y, z) AS (SELECT c.uid1, c.uid2, {one} FROM chosen c JOIN q1 q ON q.rid = c.uid1),
   t2(uid1, uid2, w, x, y, z) AS (SELECT c.uid1, c.uid2, {two} FROM chosen c JOIN m USING (uid1, uid2) JOIN q2 q ON q.rid = m.rid2)
   SELECT t1.uid1, t1.uid2, {p1}, {p2} FROM t1 JOIN t2 USING (uid2)"""
-_POSE = ", ".join("round(CASE WHEN {t}.w < 0 THEN -1 ELSE 1 END * {t}.%s * 2 * atan2(sqrt({t}.x ** 2 + {t}.y ** 2 + {t}.z ** 2), abs({t}.w)) / sqrt({t}.x ** 2 + {t}.y ** 2 + {t}.z ** 2), 5) AS p{n}%s" % (a, a) for a in "xyz")
+_POSE = ", ".join("round(CASE WHEN {t}.w < 0 THEN -1 ELSE 1 END * {t}.%s * 2 * atan2(sqrt({t}.x ** 2 + {t}.y ** 2 + {t}.z ** 2), abs({t}.w)) / sqrt({t}.x ** 2 + {t}.y ** 2 + {t}.z ** 2), 5) + 0.0 AS p{n}%s" % (a, a) for a in "xyz")
 _REST = _UNFOLD.format(one=_TURN.format(c="cos(radians(a * 180.0) / 2)", s="sin(radians(a * 180.0) / 2)", w="q.w", x="q.x", y="q.y", z="q.z"), two=_TURN.format(c="cos(radians(b * 120.0) / 2)", s="sin(radians(b * 120.0) / 2)", w="q.w", x="q.x", y="q.y", z="q.z"), p1=_POSE.format(t="t1", n=1), p2=_POSE.format(t="t2", n=2))
 SQL["poses_reassigned"] = _POSES + "  m AS (SELECT rid AS uid1, rid AS uid2, rid AS rid2 FROM q1 WHERE (17.5 + 120 * (rid % 3)) < 180),\n" + _REST
 SQL["poses_reassigned_in_space"] = _POSES + """  pair AS (SELECT a.rid AS uid1, -b.rid - 1 AS uid2, b.rid AS rid2, a.w AS aw, a.x AS ax, a.y AS ay, a.z AS az, b.w AS rw, b.x AS rx, b.y AS ry, b.z AS rz FROM q1 a JOIN q2 b ON a.mic = b.mic AND sqrt((a.px - b.px - 0.3) ** 2 + (a.py - b.py) ** 2) <= 0.5),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filamenta.operators import curves, fourier, local
+from filamenta.operators import curves, fourier, local, windows
 
 
 def voxel_rows(cubes, axes="zyx"):
@@ -66,3 +66,23 @@ def test_fits_find_the_curves_they_were_made_from(spark):
     mean = spark.createDataFrame([(0.0, 1.0)], "a double, b double").select(curves.area(F.lit("butterworth"), F.lit(0.3), F.lit(3.5), F.col("a"), F.col("b"))).first()[0]
     x = np.linspace(0, 1, 500)
     assert abs(mean - np.trapezoid(1 / (1 + (x / 0.3) ** 3.5), x)) < 1e-9
+
+
+def test_windows_are_cut_across_tiles_and_edges(spark):
+    rng = np.random.default_rng(4)
+    mics = {"a": rng.random((11, 13)), "b": rng.random((6, 5))}
+    pixels = spark.createDataFrame([(m, y, x, float(c[y, x])) for m, c in mics.items() for y, x in np.ndindex(c.shape)], "mic string, y int, x int, v double")
+    places = [(k, m, y, x) for k, (m, y, x) in enumerate([("a", 5.4, 6.5), ("a", 0.0, 0.0), ("a", 10.0, 12.0), ("b", 3.0, 2.0), ("b", 50.0, 50.0), ("none", 1.0, 1.0), ("a", None, 1.0)])]
+    df = spark.createDataFrame(places, "rid long, mic string, y double, x double")
+    for tile in (4, 64):
+        for fill in ("mean", "zero"):
+            got = {r["rid"]: r for r in windows.windows(df, windows.tiles(pixels, "mic", tile), "mic", F.col("y"), F.col("x"), 5, tile=tile, fill=fill).collect()}
+            for k, m, y, x in places:
+                if k >= 4:
+                    assert (got[k]["inside"], got[k]["values"]) == (0, None)
+                    continue
+                c, y0, x0 = mics[m], round(y) - 2, round(x) - 2
+                want = np.array([[c[i, j] if 0 <= i < c.shape[0] and 0 <= j < c.shape[1] else np.nan for j in range(x0, x0 + 5)] for i in range(y0, y0 + 5)])
+                inside = ~np.isnan(want)
+                want[~inside] = want[inside].mean() if fill == "mean" else 0
+                assert got[k]["inside"] == inside.sum() and np.allclose(got[k]["values"], want.ravel())
