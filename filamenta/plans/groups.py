@@ -9,6 +9,7 @@ from ..operators import grouping as G
 from ..operators import jobs
 from ..operators import joins as J
 from ..operators import selection as S
+from ..streaming.best import best_of
 from .views import SEG, read, segments
 
 QUERIES: dict = {}
@@ -129,3 +130,8 @@ def recover_by_share(spark, sf_dir):
 
 QUERIES["recover_by_found_share"] = recover_by_share
 SQL["recover_by_found_share"] = f"WITH {SEG}, f AS (SELECT mic, tube, count(*) FILTER (WHERE score > 60) AS n, count(*) AS a FROM seg GROUP BY 1, 2), t AS (SELECT sum(n) / sum(a) AS share FROM f WHERE n > 0) SELECT rid FROM seg JOIN f USING (mic, tube), t WHERE n > 0 AND n / a >= CASE WHEN share >= 0.5 THEN 0 ELSE share END"
+
+
+#: The five best segments of each micrograph, as a running job would have told last.
+QUERIES["best_results"] = lambda spark, sf_dir: best_of(segments(spark, sf_dir).select("mic", "rid", F.floor("score").cast("double").alias("score")), "mic", "score", "rid", 5)
+SQL["best_results"] = f'WITH {SEG} SELECT mic, rank, rid, score FROM (SELECT mic, rid, floor(score) AS score, row_number() OVER (PARTITION BY mic ORDER BY floor(score) DESC, rid) AS rank FROM seg) WHERE rank <= 5'
