@@ -106,13 +106,11 @@ def test_odd_tables(spark):
     of = lambda rows: results(repair.repair_conversations(repair.damaged(spark.createDataFrame(rows, SCHEMA))))
     assert of([]) == {}
     gone = next(k for k in range(1000) if zlib.crc32(f"{k}:0".encode()) % 20 == 0)
-    assert of([(gone, 0, "user", "Hi.")]) == {gone: (0, 0, 0, 0, 0, 0, "", empty)}
-    nulls = of([(None, None, None, None)] * 2)
-    assert nulls == plain([(None, None, None, None)] * 2)
+    long = [(5000, k, "user" if k % 2 == 0 else "assistant", "word " * 60_000 + ".") for k in range(8)]
+    rows = [(gone, 0, "user", "Hi."), *[(None, None, None, None)] * 2, *long]
+    assert of(rows) == plain(rows) and of(rows)[gone] == (0, 0, 0, 0, 0, 0, "", empty)
     tied = [(7, 1, "user", "b."), (7, 1, "user", "a."), (7, 1, "assistant", "c."), (7, 1, "user", "a.")]
     assert of(tied) == of(tied[::-1])
-    long = [(5, k, "user" if k % 2 == 0 else "assistant", "word " * 60_000 + ".") for k in range(8)]
-    assert of(long) == plain(long)
 
 
 def test_texts_and_undamaged_rows(spark):

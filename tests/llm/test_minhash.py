@@ -91,12 +91,10 @@ def test_query_equals_all_pairs(spark, sf):
 def test_odd_tables(spark):
     of = lambda rows: results(minhash.minhash_groups(spark.createDataFrame(rows, "doc_id long, text string")))
     assert of([]) == []
-    assert of([(None, None), (3, "")]) == [(3, 0, 3, True), (None, 0, None, True)]
-    words = " ".join(map(str, range(60)))
-    got = of([(None, words), (None, words), (9, words + " x"), (9, words), (None, "a b c d"), (None, "a b c d")])
-    assert got == sorted([(9, 59, 9, True), (9, 58, 9, True), (None, 58, 9, False), (None, 58, 9, False), (None, 2, None, True), (None, 2, None, True)], key=repr)
-    long = " ".join(str(k * k) for k in range(60_000))
-    assert of([(5, long), (2, long + " end")]) == [(2, 59_999, 2, True), (5, 59_998, 2, False)]
+    words, long = " ".join(map(str, range(60))), " ".join(str(k * k) for k in range(60_000))
+    rows = [(None, None), (3, ""), (None, words), (None, words), (9, words + " x"), (9, words), (None, "a b c d"), (None, "a b c d"), (5, long), (2, long + " end")]
+    want = [(None, 0, None, True), (3, 0, 3, True), (9, 59, 9, True), (9, 58, 9, True), (None, 58, 9, False), (None, 58, 9, False), (None, 2, None, True), (None, 2, None, True), (2, 59_999, 2, True), (5, 59_998, 2, False)]
+    assert of(rows) == sorted(want, key=repr)
 
 
 def test_minima_estimate_similarity():
