@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filamenta.llm.common import free_names, keep, table
+from filamenta.llm.common import discard, free_names, keep, table
 from filamenta.llm.jaccard_join import first_of_components
 from filamenta.llm.packing import pack
 from filamenta.llm.queries import vocabulary_path
@@ -42,5 +42,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        after = keep(stage(spark, docs, sf_dir), name)
+        discard(docs)  # what the stage before wrote; the documents themselves stay
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

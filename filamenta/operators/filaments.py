@@ -254,3 +254,14 @@ def resampled(df: DataFrame, spacing: float) -> DataFrame:
     line = line.withColumn("_start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.abs("_l") / spacing).cast("int"))))
     at = F.col("_start") + F.col("_s") * F.col("k") * spacing
     return line.select(*KEYS, "k", (F.col("k") * F.lit(float(spacing))).alias("track"), (F.col("cx") + at * F.col("ux")).alias("x"), (F.col("cy") + at * F.col("uy")).alias("y"))
+
+
+def resampled_rows(df: DataFrame, spacing: float) -> DataFrame:
+    """df with a row at every spacing along each filament's line: k, track, x and y of resampled(), all other columns from the filament's k-th row in order, or its last one where it has fewer."""
+    w = Window.partitionBy(*KEYS).orderBy("track", "rid")
+    rows = df.withColumn("_n", F.row_number().over(w) - 1)
+    counts = df.groupBy(*KEYS).agg((F.count("*") - 1).alias("_last"))
+    places = resampled(df, spacing).join(counts, KEYS).withColumn("_n", F.least(F.col("k"), F.col("_last"))).drop("_last")
+    rest = [c for c in df.columns if c not in (*KEYS, "track", "x", "y")]
+    out = places.join(rows.select(*KEYS, "_n", *[F.col(f"`{c}`") for c in rest]), [*KEYS, "_n"])
+    return out.select("k", *[F.col(f"`{c}`") for c in df.columns])

@@ -141,9 +141,12 @@ _q("pair_distance_histogram", lambda d: L.pair_distances(d).groupBy(F.floor(F.co
 _q("class_abundance", lambda d: d.sparkSession.range(1, 8).withColumnRenamed("id", "cls").join(d.groupBy("cls").agg(F.count("*").alias("n")), "cls", "left").select("cls", F.coalesce("n", F.lit(0)).alias("n")), "SELECT k AS cls, (SELECT count(*) FROM seg WHERE cls = k) AS n FROM range(1, 8) r(k)")
 _q("helix_summary", lambda d: d.groupBy("mic", "tube", "cls").agg(F.count("*").alias("n"), (F.max("track")).alias("last")).groupBy("mic", "tube").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "cls"))), lambda s: s["cls"].cast("string")), " ").alias("classes"), F.round(F.max("last"), 4).alias("length")), ", c AS (SELECT mic, tube, cls, count(*) AS n, max(track) AS last FROM seg GROUP BY ALL) SELECT mic, tube, string_agg(CAST(cls AS VARCHAR), ' ' ORDER BY n DESC, cls) AS classes, round(max(last), 4) AS length FROM c GROUP BY mic, tube")
 _q("helix_ordinal", lambda d: G.sorted_ids(d, ["mic", "tube"], "helix").select("rid", "helix"), "SELECT rid, CAST(dense_rank() OVER (ORDER BY mic, tube) AS INTEGER) AS helix FROM seg")
-_q("reset_inter_segment_distance", lambda d: L.resampled(d, 25.0).select("mic", "tube", "k", _r("x", 3), _r("y", 3)), """, e AS (SELECT mic, tube, avg(x) AS cx, avg(y) AS cy, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS t, arg_min(x, (track, rid)) AS ax, arg_min(y, (track, rid)) AS ay, arg_max(x, (track, rid)) AS bx, arg_max(y, (track, rid)) AS by_ FROM seg GROUP BY mic, tube),
-  l AS (SELECT *, (bx - ax) * cos(t) + (by_ - ay) * sin(t) AS len, (ax - cx) * cos(t) + (ay - cy) * sin(t) AS start FROM e), k AS (SELECT *, unnest(range(CAST(floor(abs(len) / 25.0) AS BIGINT) + 1)) AS k FROM l)
+_LINES = """, e AS (SELECT mic, tube, avg(x) AS cx, avg(y) AS cy, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS t, arg_min(x, (track, rid)) AS ax, arg_min(y, (track, rid)) AS ay, arg_max(x, (track, rid)) AS bx, arg_max(y, (track, rid)) AS by_ FROM seg GROUP BY mic, tube),
+  l AS (SELECT *, (bx - ax) * cos(t) + (by_ - ay) * sin(t) AS len, (ax - cx) * cos(t) + (ay - cy) * sin(t) AS start FROM e), k AS (SELECT *, unnest(range(CAST(floor(abs(len) / 25.0) AS BIGINT) + 1)) AS k FROM l)"""
+_q("reset_inter_segment_distance", lambda d: L.resampled(d, 25.0).select("mic", "tube", "k", _r("x", 3), _r("y", 3)), f"""{_LINES}
   SELECT mic, tube, CAST(k AS INTEGER) AS k, round(cx + (start + CASE WHEN len < 0 THEN -1.0 ELSE 1.0 END * k * 25.0) * cos(t), 3) AS x, round(cy + (start + CASE WHEN len < 0 THEN -1.0 ELSE 1.0 END * k * 25.0) * sin(t), 3) AS y FROM k""")
+_q("reset_inter_segment_rows", lambda d: L.resampled_rows(d, 2000.0).select("mic", "tube", "k", "rid", "cls", "track", _r("x", 3)), f"""{_LINES.replace('25.0', '2000.0')}, n AS (SELECT *, row_number() OVER (PARTITION BY mic, tube ORDER BY track, rid) - 1 AS n, count(*) OVER (PARTITION BY mic, tube) - 1 AS last FROM seg)
+  SELECT k.mic, k.tube, CAST(k AS INTEGER) AS k, n.rid, n.cls, CAST(k * 2000 AS DOUBLE) AS track, round(cx + (start + CASE WHEN len < 0 THEN -1.0 ELSE 1.0 END * k * 2000.0) * cos(t), 3) AS x FROM k JOIN n ON n.mic = k.mic AND n.tube = k.tube AND n.n = least(k, n.last)""")
 _q("banner_counts", lambda d: d.agg(F.countDistinct("mic").alias("mics"), F.countDistinct("mic", "tube").alias("helices"), F.count("*").alias("particles")), "SELECT count(DISTINCT mic) AS mics, count(DISTINCT (mic, tube)) AS helices, count(*) AS particles FROM seg")
 _q("union_distinct", lambda d: d.where("cls < 4").unionByName(d.where("cls > 2")).dropDuplicates(["rid"]).select("rid"), "SELECT DISTINCT rid FROM (SELECT rid FROM seg WHERE cls < 4 UNION ALL SELECT rid FROM seg WHERE cls > 2)")
 _t("cosine_similarity", lambda t: (lambda e: e.alias("a").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id").select("vec_id", F.round(A.cosine_similarity("embedding", "other"), 6).alias("cosine")))(t("embeddings")), "SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grouping import dissolve_optics
+from ..operators.ranking import numbered
 from .databases import read_refinement
 from .maps import stack_images
-from .star import read_star, write_star_file
+from .star import read_star, read_star_tables, write_star_file
 from .star_source import opened
 from .streams import write_stream
 
@@ -119,6 +120,26 @@ def read_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(p).withColumn("source", F.lit(k)) for k, p in enumerate(paths)])
 
 
+def read_tables_with_optics(spark: SparkSession, paths: list[str], group: str = "rlnOpticsGroup") -> tuple[DataFrame, DataFrame | None]:
+    """(read_tables() of the paths, the union of their optics tables or None). As files count their groups on their own, groups of several files are numbered anew, in order of file and number; source tells the file in both."""
+    rows, tables = [], []
+    for k, path in enumerate(paths):
+        own, optics = read_star_tables(spark, path) if path.endswith(".star") else (read_tables(spark, [path]).drop("source"), None)
+        rows.append(own.withColumn("source", F.lit(k)))
+        if optics is not None:
+            tables.append(optics.drop("rid").withColumn("source", F.lit(k)))
+    if not rows:
+        raise ValueError("no paths")
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    data, optics = union(rows), union(tables) if tables else None
+    if optics is None or len(paths) == 1 or group not in data.columns:
+        return data, optics
+    known = data.where(F.col(group).isNotNull()).select("source", F.col(group).cast("long").alias(group)).union(optics.select("source", F.col(group).cast("long"))).distinct()
+    ids = numbered(known, ["source", group], "_new")
+    renumber = lambda df: df.withColumn(group, F.col(group).cast("long")).join(F.broadcast(ids), ["source", group], "left").drop(group).withColumnRenamed("_new", group)  # noqa: E731  a row a group
+    return renumber(data), renumber(optics)
+
+
 def write_export(df: DataFrame, path: str, one_file: bool = False, order: list[str] | None = None) -> None:
     """A folder of structured .npy tables (.cs), one a task, or with one_file a single table in the order of columns, which many tasks write.
 

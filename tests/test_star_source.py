@@ -133,3 +133,14 @@ def test_a_map_from_many_tasks(spark, tmp_path):
     assert (head["nx"], head["ny"], head["nz"], head["mode"], head["is_volume"]) == (3, 4, 5, 2, True) and abs(head["apix"] - 1.5) < 1e-6 and abs(head["mean"] - cube.mean()) < 1e-6
     sections = {r["section"]: r["values"] for r in maps.read_sections(spark, f"file://{path}").collect()}
     assert np.allclose(sections[3], cube[3].ravel())
+
+
+def test_optics_of_several_files_are_united(spark, tmp_path):
+    head = "data_optics\nloop_\n_rlnOpticsGroup\n_rlnVoltage\n{}\n\ndata_particles\nloop_\n_rlnImageName\n_rlnOpticsGroup\n{}\n"
+    (tmp_path / "a.star").write_text(head.format("1 300\n2 200", "1@a 1\n2@a 2"))
+    (tmp_path / "b.star").write_text(head.format("1 100", "1@b 1"))
+    spark.createDataFrame([("3@c",)], "rlnImageName string").write.parquet(f"file://{tmp_path}/c.parquet")
+    rows, optics = exports.read_tables_with_optics(spark, [f"{tmp_path}/a.star", f"{tmp_path}/b.star", f"file://{tmp_path}/c.parquet"])
+    assert {(r["rlnImageName"], r["rlnOpticsGroup"]) for r in rows.collect()} == {("1@a", 1), ("2@a", 2), ("1@b", 3), ("3@c", None)}
+    assert {(r["rlnOpticsGroup"], r["rlnVoltage"]) for r in optics.collect()} == {(1, 300.0), (2, 200.0), (3, 100.0)}
+    assert exports.read_tables_with_optics(spark, [f"file://{tmp_path}/c.parquet"])[1] is None
