@@ -12,11 +12,11 @@ from ..operators import grouping as G
 from ..operators import joins as J
 from ..operators import selection as S
 from ..operators.ranking import numbered
-from . import geometry, groups, maps, poses, tables
+from . import consistency, geometry, groups, maps, poses, tables
 from .views import SEG, read, segments
 
-QUERIES: dict = geometry.QUERIES | tables.QUERIES | groups.QUERIES | maps.QUERIES | poses.QUERIES
-SQL: dict[str, str] = geometry.SQL | tables.SQL | groups.SQL | maps.SQL | poses.SQL
+QUERIES: dict = geometry.QUERIES | tables.QUERIES | groups.QUERIES | maps.QUERIES | poses.QUERIES | consistency.QUERIES
+SQL: dict[str, str] = geometry.SQL | tables.SQL | groups.SQL | maps.SQL | poses.SQL | consistency.SQL
 
 
 def _q(name: str, build, sql: str | None = None) -> None:
