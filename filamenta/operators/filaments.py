@@ -265,3 +265,42 @@ def resampled_rows(df: DataFrame, spacing: float) -> DataFrame:
     rest = [c for c in df.columns if c not in (*KEYS, "track", "x", "y")]
     out = places.join(rows.select(*KEYS, "_n", *[F.col(f"`{c}`") for c in rest]), [*KEYS, "_n"])
     return out.select("k", *[F.col(f"`{c}`") for c in df.columns])
+
+
+def _rates(df: DataFrame, angle: str) -> DataFrame:
+    """(mic, tube, rate): sizes of the angle's change over the way for all pairs of a filament's segments at different places, its angle without jumps."""
+    u = unwrapped(df, angle).select(*KEYS, "track", "unwrapped")
+    a, b = u.alias("a"), u.alias("b")
+    pairs = a.join(b, (F.col("a.mic") == F.col("b.mic")) & (F.col("a.tube") == F.col("b.tube")) & (F.col("a.track") < F.col("b.track")))
+    return pairs.select("a.mic", "a.tube", F.abs((F.col("b.unwrapped") - F.col("a.unwrapped")) / (F.col("b.track") - F.col("a.track"))).alias("rate"))
+
+
+def angle_quality(df: DataFrame, qualities: tuple[str, ...] = (), angle: str = "rot") -> DataFrame:
+    """Per filament: segments; tilt_mean, tilt_std and psi_std of angle_variance(); rot_std: circular deviation of the angle's wrapped change over the way to the next segment; rate_median and rate_mad: median size of the rates of all pairs and median distance from it; mean and population deviation of each quality column.
+
+    A filament without two places has 0 for rot_std and both rates. Null angles and
+    qualities take no part. Pairs stay inside a filament, whose length bounds them, and
+    are aggregated where they are joined.
+    """
+    step = wrap(F.col(angle) - F.lag(angle).over(_along("track", "rid"))) / F.nullif(F.col("track") - F.lag("track").over(_along("track", "rid")), F.lit(0.0))
+    own = [f(c).alias(f"{c}_{n}") for c in qualities for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    spread = F.when(F.count("_step") > 0, circular_std(F.col("_step"))).otherwise(0.0).alias("rot_std")
+    per = df.withColumn("_step", step).groupBy(*KEYS).agg(F.count("*").alias("segments"), circular_mean(F.col("tilt")).alias("tilt_mean"), circular_std(F.col("tilt")).alias("tilt_std"), (circular_std(2 * F.col("psi")) / 2).alias("psi_std"), spread, *own)
+    rates = _rates(df.where(F.col(angle).isNotNull() & F.col("track").isNotNull()), angle)
+    middle = rates.groupBy(*KEYS).agg(F.median("rate").alias("rate_median"))
+    away = rates.join(middle, KEYS).groupBy(*KEYS).agg(F.max("rate_median").alias("rate_median"), F.median(F.abs(F.col("rate") - F.col("rate_median"))).alias("rate_mad"))
+    out = per.join(away, KEYS, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("rate_median", "rate_mad")})
+
+
+def with_angle_sigmas(df: DataFrame, names: tuple[str, str, str] = ("tilt_sigma", "psi_sigma", "rot_sigma"), angle: str = "rot") -> DataFrame:
+    """df with the deviations of its filament's tilt, psi and change of rot, to two digits. Rows without a filament have nulls."""
+    step = wrap(F.col(angle) - F.lag(angle).over(_along("track", "rid"))) / F.nullif(F.col("track") - F.lag("track").over(_along("track", "rid")), F.lit(0.0))
+    spread = F.when(F.count("_step") > 0, circular_std(F.col("_step"))).otherwise(0.0)
+    per = df.withColumn("_step", step).groupBy(*KEYS).agg(*[F.round(c, 2).alias(n) for c, n in zip((circular_std(F.col("tilt")), circular_std(2 * F.col("psi")) / 2, spread), names)])
+    return df.drop(*names).join(per, KEYS, "left")
+
+
+def lengths_with_box(df: DataFrame, box: float) -> DataFrame:
+    """(mic, tube, length): the track from the first to the last segment and one box, as the ends of both reach half a box further."""
+    return df.groupBy(*KEYS).agg((F.max("track") - F.min("track") + float(box)).alias("length"))

@@ -63,3 +63,34 @@ SQL["hom_error_histogram"] = f"""{_CHAIN}, d AS (SELECT round(good_segment, 6) A
   w AS (SELECT any_value(high) AS high, 2 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / pow(count(*), 1.0::DOUBLE / 3) AS width FROM d),
   n AS (SELECT high, CASE WHEN width > 0 THEN CAST(ceil(high / width) AS BIGINT) ELSE 1 END AS bins FROM w), a AS (SELECT CAST(least(floor(v / n.high * bins), bins - 1) AS BIGINT) AS bin, count(*) AS n FROM d, n GROUP BY 1)
   SELECT r.bin, round((r.bin + 0.5) * (n.high / n.bins), 6) AS center, coalesce(a.n, 0) AS n FROM n, range(n.bins) r(bin) LEFT JOIN a ON a.bin = r.bin"""
+
+
+def angle_quality(spark, sf_dir):
+    """Filaments with deviations of their angles, rates of all pairs and means of the score."""
+    q = L.angle_quality(_hours(spark, sf_dir), ("score",))
+    return q.select("mic", "tube", "segments", *[F.round(c, 3).alias(c) for c in ("tilt_mean", "tilt_std", "psi_std", "rot_std", "rate_median", "rate_mad", "score_mean", "score_std")])
+
+
+def angle_sigmas(spark, sf_dir):
+    """Segments with the deviations of their filament's angles."""
+    return L.with_angle_sigmas(_hours(spark, sf_dir)).select("rid", "tilt_sigma", "psi_sigma", "rot_sigma")
+
+
+def length_with_box(spark, sf_dir):
+    """Filaments with their length and a box of 36 (hours stand for angstroms)."""
+    return L.lengths_with_box(_hours(spark, sf_dir), 36.0).select("mic", "tube", F.round("length", 4).alias("length"))
+
+
+def _std(x: str) -> str:
+    return f"degrees(sqrt(-2 * ln(least(1.0, sqrt(pow(avg(sin(radians({x}))), 2) + pow(avg(cos(radians({x}))), 2))))))"
+
+
+_QUALITY = f"""WITH {SEG}, s AS (SELECT mic, tube, rid, track / 3600 AS x, rot, tilt, psi, score FROM seg), t AS (SELECT *, ((rot - lag(rot) OVER w + 180) % 360 + 360) % 360 - 180 AS turn, x - lag(x) OVER w AS way, first_value(rot) OVER w AS f FROM s WINDOW w AS (PARTITION BY mic, tube ORDER BY x, rid)),
+  u AS (SELECT *, turn / nullif(way, 0) AS step, f + sum(coalesce(turn, 0)) OVER (PARTITION BY mic, tube ORDER BY x, rid ROWS UNBOUNDED PRECEDING) AS u FROM t),
+  g AS (SELECT mic, tube, count(*) AS segments, (degrees(atan2(avg(sin(radians(tilt))), avg(cos(radians(tilt))))) + 360) % 360 AS tilt_mean, {_std('tilt')} AS tilt_std, {_std('2 * psi')} / 2 AS psi_std, CASE WHEN count(step) > 0 THEN {_std('step')} ELSE 0 END AS rot_std, avg(score) AS score_mean, stddev_pop(score) AS score_std FROM u GROUP BY mic, tube)"""
+QUERIES |= {f.__name__: f for f in (angle_quality, angle_sigmas, length_with_box)}
+SQL["angle_quality"] = f"""{_QUALITY}, p AS (SELECT a.mic, a.tube, abs((b.u - a.u) / (b.x - a.x)) AS rate FROM u a JOIN u b ON a.mic = b.mic AND a.tube = b.tube AND a.x < b.x),
+  m AS (SELECT mic, tube, median(rate) AS m FROM p GROUP BY mic, tube), d AS (SELECT p.mic, p.tube, any_value(m) AS rate_median, median(abs(rate - m)) AS rate_mad FROM p JOIN m USING (mic, tube) GROUP BY p.mic, p.tube)
+  SELECT g.mic, g.tube, segments, round(tilt_mean, 3) AS tilt_mean, round(tilt_std, 3) AS tilt_std, round(psi_std, 3) AS psi_std, round(rot_std, 3) AS rot_std, round(coalesce(rate_median, 0), 3) AS rate_median, round(coalesce(rate_mad, 0), 3) AS rate_mad, round(score_mean, 3) AS score_mean, round(score_std, 3) AS score_std FROM g LEFT JOIN d USING (mic, tube)"""
+SQL["angle_sigmas"] = f"{_QUALITY} SELECT rid, round(tilt_std, 2) AS tilt_sigma, round(psi_std, 2) AS psi_sigma, round(rot_std, 2) AS rot_sigma FROM s JOIN g USING (mic, tube)"
+SQL["length_with_box"] = f"WITH {SEG} SELECT mic, tube, round((max(track) - min(track)) / 3600 + 36, 4) AS length FROM seg GROUP BY mic, tube"
