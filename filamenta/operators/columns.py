@@ -108,3 +108,49 @@ def with_created_time(df: DataFrame, files: DataFrame, column: str) -> DataFrame
     times = files.select(F.regexp_replace("path", "^file:/+", "/").alias("_path"), F.col("modificationTime").alias(f"{column}CreateTime"))
     named = df.withColumn("_file", F.element_at(F.split(column, "@"), -1))
     return named.join(times.dropDuplicates(["_path"]), F.col("_file") == F.col("_path"), "left").drop("_file", "_path")
+
+
+def set_pixel_size(df: DataFrame, optics: DataFrame | None, apix: float, defocus: tuple[str, ...] = (), names: tuple[str, ...] = ("rlnMicrographPixelSize", "rlnMicrographOriginalPixelSize", "rlnImagePixelSize")) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, optics) with a new pixel size in the column that pixel_size() finds, wherever it is; columns of defocus scale with the square of the ratio. Without any such column both stay as they are."""
+    found = pixel_size(df, optics, names)
+    if found is None:
+        return df, optics
+    ratio, column = float(apix) / found[0], found[1]
+    df = df.withColumns({c: F.col(c) * ratio * ratio for c in defocus if c in df.columns})
+    put = lambda t: t.withColumn(column, F.lit(float(apix))) if t is not None and column in t.columns else t
+    return put(df), put(optics)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with the first number from 2 on that makes it a column that df lacks."""
+    k, free = 1, name
+    while free in df.columns:
+        k += 1
+        free = f"{name}{k}"
+    return free
+
+
+def names_with(df: DataFrame, text: str) -> list[str]:
+    """The columns whose names hold a text, in order."""
+    return [c for c in df.columns if text in c]
+
+
+def first_name(df: DataFrame, names: list[str]) -> str | None:
+    """The first of a list of names that is a column."""
+    return next((c for c in names if c in df.columns), None)
+
+
+def sort_keys(df: DataFrame, columns: list[str], image: str, descending: bool = False) -> list[Column]:
+    """Orders by columns, nulls last; the image column by its file, then its number. A column that df lacks is an error."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}")
+    parts = [p for c in columns for p in ((F.element_at(F.split(c, "@"), -1), F.element_at(F.split(c, "@"), 1)) if c == image else (F.col(f"`{c}`"),))]
+    return [F.desc_nulls_last(p) if descending else F.asc_nulls_last(p) for p in parts]
+
+
+def storage(df: DataFrame, headers: DataFrame, image: str = "rlnImageName") -> DataFrame:
+    """(images, files, bytes): rows that name an image, their files, and the bytes that their images take at four a pixel; headers: (file, nx, ny). A file without a header adds no bytes."""
+    files = df.groupBy(F.element_at(F.split(image, "@"), -1).alias("file")).agg(F.count(image).alias("_n")).where("file is not null")
+    sized = files.join(headers.select("file", (F.col("nx").cast("long") * F.col("ny") * 4).alias("_b")), "file", "left")
+    return sized.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("images"), F.count("*").alias("files"), F.coalesce(F.sum(F.col("_n") * F.col("_b")), F.lit(0)).alias("bytes"))

@@ -170,7 +170,10 @@ def build_optics(df: DataFrame, columns: list[str], rid: str) -> tuple[DataFrame
 
 
 def dissolve_optics(df: DataFrame, optics: DataFrame, key: str = "optics_group") -> DataFrame:
-    return df.join(optics, key, "left")
+    """df with the columns of its optics row. A group that the optics table lacks is an error when rows are read; a null group has nulls."""
+    known = df.join(optics.withColumn("_known", F.lit(True)), key, "left")
+    missing = F.col(key).isNotNull() & F.col("_known").isNull()
+    return known.withColumn(key, F.when(missing, F.raise_error(F.concat(F.lit("no optics group "), F.col(key).cast("string")))).otherwise(F.col(key))).drop("_known")
 
 
 def shift_clusters(df: DataFrame, x: str, y: str, name: str, least: int = 4, clusters: range = range(2, 200), item: str | None = None) -> DataFrame:

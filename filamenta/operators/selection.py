@@ -262,3 +262,10 @@ def split_in_halves(df: DataFrame, keys: list[str], rid: str) -> DataFrame:
     bounds = df.sparkSession.createDataFrame([(-size, larger[size] + chosen.get(size, 0)) for size in sizes], "_less long, _to long")
     ranked = running_before(groups, ["_less", "_first"], F.lit(1).cast("long"), "_rank").join(bounds, "_less")
     return df.join(ranked.select(*keys, F.when(F.col("_rank") < F.col("_to"), 1).otherwise(2).alias("subset")), keys)
+
+
+def with_opposite(df: DataFrame, angle: str, group: str) -> DataFrame:
+    """df and once more with the angle turned by 180 degrees, its groups' numbers raised by the power of ten above the largest (at least 10), so that they stay apart."""
+    ten = df.agg(F.pow(F.lit(10.0), F.ceil(F.log10(F.greatest(F.max(group), F.lit(2))))).cast("long").alias("_ten"))
+    turned = df.withColumn(angle, F.col(angle) + 180).join(F.broadcast(ten)).withColumn(group, F.col(group) + F.col("_ten")).drop("_ten")  # one row
+    return df.unionByName(turned)

@@ -51,7 +51,7 @@ _q("image_name_parts", lambda d: d.select("rid", O.image_index(F.col("image")).a
 _q("change_pixel_size", lambda d: C.change_pixel_size(d, 2.0).select("rid", _r("defocus_u"), _r("defocus_v"), _r("cs"), "apix"), "SELECT rid, round(defocus_u * 1.6 * 1.6, 4) AS defocus_u, round(defocus_v * 1.6 * 1.6, 4) AS defocus_v, round(cs * 1.6 * 1.6 * 1.6 * 1.6, 4) AS cs, CAST(2.0 AS DOUBLE) AS apix FROM seg")
 _q("astigmatism_convert", lambda d: d.select("rid", *[c.alias(n) for c, n in zip(O.defocus_to_mean(F.col("defocus_u"), F.col("defocus_v"), F.col("psi")), ("mean_um", "differ_um", "angle"))]), "SELECT rid, (defocus_u + defocus_v) / 2e4 AS mean_um, abs(defocus_u - defocus_v) / 1e4 AS differ_um, CASE WHEN defocus_u > defocus_v THEN psi % 180.0 ELSE (psi + 90.0) % 180.0 END AS angle FROM seg")
 _q("astigmatism_back", lambda d: d.select("rid", *[c.alias(n) for c, n in zip(O.defocus_from_mean(F.col("x"), F.col("y"), F.col("psi")), ("u", "v", "angle"))]), "SELECT rid, x * 1e4 + y * 5e3 AS u, x * 1e4 - y * 5e3 AS v, psi AS angle FROM seg")
-_q("psi_prior_180", lambda d: (lambda ten: d.select("rid", "psi", "mic").union(d.select("rid", (F.col("psi") + 180).alias("psi"), "mic").crossJoin(F.broadcast(ten)).select("rid", "psi", F.col("mic") + F.col("ten"))))(d.agg(F.pow(F.lit(10.0), F.ceil(F.log10(F.greatest(F.max("mic"), F.lit(2))))).cast("long").alias("ten"))), "SELECT rid, psi, mic FROM seg UNION ALL SELECT rid, psi + 180, mic + (SELECT CAST(pow(10, ceil(log10(greatest(max(mic), 2)))) AS BIGINT) FROM seg) FROM seg")
+_q("psi_prior_180", lambda d: S.with_opposite(d.select("rid", "psi", "mic"), "psi", "mic"), "SELECT rid, psi, mic FROM seg UNION ALL SELECT rid, psi + 180, mic + (SELECT CAST(pow(10, ceil(log10(greatest(max(mic), 2)))) AS BIGINT) FROM seg) FROM seg")
 _q("electron_wavelength", lambda d: d.select("rid", F.round(O.electron_wavelength(F.abs(F.col("score")) + 100), 8).alias("wavelength")), "SELECT rid, round(12.2639 / sqrt((abs(score) + 100) * 1000.0 + 0.97845e-6 * ((abs(score) + 100) * 1000.0) * ((abs(score) + 100) * 1000.0)), 8) AS wavelength FROM seg")
 _q("filename_time_parse", lambda d: d.select("rid", O.acquisition_epoch(F.date_format(F.timestamp_micros((F.col("track") * 1000000).cast("long")), "'FoilHole_1_Data_2_46_'yyyyMMdd_HHmmss'_fractions.tiff'")).alias("epoch")), "SELECT rid, CAST(floor(track) AS BIGINT) AS epoch FROM seg")
 _q("clean_micrograph", lambda d: d.select("rid", O.clean_micrograph(F.concat(F.lit("J1/motion/123456789012_"), F.col("tube"), F.lit("_patch_aligned_doseweighted.mrc"))).alias("name")), "SELECT rid, tube || '.mrc' AS name FROM seg")
@@ -110,7 +110,7 @@ _t("exclude_file_anti", lambda t: J.anti_or_all(t("orders").withColumnRenamed("o
 _q("select_common_helices", lambda d: J.semi(d, d.where("score > 60"), ["mic", "tube"]).select("rid"), "SELECT rid FROM seg WHERE (mic, tube) IN (SELECT (mic, tube) FROM seg WHERE score > 60)")
 _q("copy_parm_keep_last", lambda d: J.last_lookup(d.select("rid", "mic", "score"), d.where("cls = 1").select("mic", "score", "rid"), "mic", ["score"], "rid"), ", k AS (SELECT mic, arg_max(score, rid) AS s FROM seg WHERE cls = 1 GROUP BY mic) SELECT rid, seg.mic, k.s AS score FROM seg LEFT JOIN k ON seg.mic = k.mic")
 _q("copy_ctf_group_mean", lambda d: J.group_mean_lookup(d.select("rid", "mic", "defocus_u"), d.where("cls <> 3"), "mic", ["defocus_u"]).select("rid", "mic", _r("defocus_u")), ", k AS (SELECT mic, avg(defocus_u) AS m FROM seg WHERE cls <> 3 GROUP BY mic) SELECT rid, seg.mic, round(k.m, 4) AS defocus_u FROM seg LEFT JOIN k ON seg.mic = k.mic")
-_q("select_by_location_range_join", lambda d: J.near_semi(d.where("rid % 2 = 0"), d.where("rid % 2 = 1"), ["mic"], "x", "y", 2.0, "rid").select("rid"), "SELECT rid FROM seg a WHERE rid % 2 = 0 AND EXISTS (SELECT 1 FROM seg b WHERE b.rid % 2 = 1 AND a.mic = b.mic AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0)")
+_q("select_by_location_range_join", lambda d: J.near_semi(d, d.select("mic", "rid", ((F.col("x") + 31) % 100).alias("x"), ((F.col("y") + 17) % 100).alias("y")), ["mic"], "x", "y", 2.0, "rid").select("rid"), ", o AS (SELECT mic, (x + 31) % 100 AS x, (y + 17) % 100 AS y FROM seg) SELECT rid FROM seg a WHERE EXISTS (SELECT 1 FROM o b WHERE a.mic = b.mic AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0)")
 _q("select_by_location_all", lambda d: J.near_semi(d, d, ["mic"], "x", "y", 2.0, "rid", own=False).select("rid"), "SELECT rid FROM seg a WHERE EXISTS (SELECT 1 FROM seg b WHERE b.rid <> a.rid AND a.mic = b.mic AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0)")
 _q("containment_join", lambda d: J.contained_in(d, "tube", d.sparkSession.createDataFrame([(1, "li", 1), (2, "e", 2)], "rank int, pattern string, value int"), "grp").select("rid", "grp"), "SELECT rid, CASE WHEN contains(tube, 'li') THEN 1 WHEN contains(tube, 'e') THEN 2 ELSE 0 END AS grp FROM seg")
 _q("recover_full_filaments", lambda d: J.recover_filaments(d.where("score > 30"), d, ["mic", "tube"], 0.6).select("rid"), "SELECT rid FROM seg WHERE (mic, tube) IN (SELECT (mic, tube) FROM seg GROUP BY mic, tube HAVING count(*) FILTER (WHERE score > 30) / count(*) >= 0.6 AND count(*) FILTER (WHERE score > 30) > 0)")

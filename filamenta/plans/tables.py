@@ -16,7 +16,7 @@ from ..operators import mismatch as M
 from ..operators import selection as S
 from ..operators import shells
 from ..operators import volumes as V
-from .options import run_options
+from .options import Tables, run_options, run_with_optics
 from .views import SEG, read, segments
 
 QUERIES: dict = {}
@@ -171,6 +171,14 @@ _q("symmetry_mismatch_unfold", lambda d: M.unfolded(d.select("rid", "rot", "psi"
 _q("shell_corrected", lambda d: d.select("rid", shells.corrected(F.col("x") / 100, F.col("y") / 100).alias("c")), "SELECT rid, CASE WHEN y / 100 < 1 THEN (x / 100 - y / 100) / (1 - y / 100) ELSE x / 100 END AS c FROM seg")
 _q("option_chain", lambda d: run_options(d, [("select", "cls 1 2 3"), ("addParm", "score 5"), ("selectValueRange", "score 10 60"), ("multParm", "score 2"), ("renameParm", "score fom"), ("keepParm", "rid fom cls")]), "SELECT rid, (score + 5) * 2 AS fom, cls FROM seg WHERE cls IN (1, 2, 3) AND score + 5 > 10 AND score + 5 < 60")
 
+_q("option_chain_optics", lambda d: (lambda t: _clones((t.rows, t.optics)))(run_with_optics(Tables(*(lambda r, o: (r.withColumn("image", NAMES["EPU"][0]()), o))(*_with_optics(d))), [("selectValueRange", "score 10 60"), ("assignOpticGroupByBeamShiftLabel", "EPU"), ("setParm", "rlnVoltage 200.5"), ("select", "cls 1 3 5"), ("usedOptics", "")])),
+   ", i AS (SELECT tube, cls, CAST(dense_rank() OVER (ORDER BY tube, cls) AS BIGINT) AS grp FROM seg WHERE score > 10 AND score < 60) SELECT grp, 'opticsGroup' || CAST(grp AS VARCHAR) AS name, CAST(200.5 AS DOUBLE) AS voltage, tube, count(*) AS n FROM i WHERE cls IN (1, 3, 5) GROUP BY grp, tube")
+_q("option_chain_tables", lambda d: run_with_optics(Tables(d, others={"good": Tables(d.where("score > 60")), "means": Tables(C.multiply(d, "score", 2)), "bad": Tables(d.where("cls = 3"))}), [("selectCommonHelices", "good"), ("copyParm", "means score ~cls"), ("excludeFile", "bad"), ("estimateHelicalTubeLength", ""), ("keepParm", "rid mic score tube_length")]).rows,
+   ", c AS (SELECT rid, mic, tube, score * 2.0 AS score, track FROM seg WHERE (mic, tube) IN (SELECT (mic, tube) FROM seg WHERE score > 60) AND cls <> 3) SELECT rid, mic, score, max(track) OVER (PARTITION BY mic, tube) AS tube_length FROM c")
+_q("pixel_size_of_optics", lambda d: (lambda r, o: r.join(o, "rlnOpticsGroup").select("rid", _r("defocus_u"), "defocus_v", "rlnImagePixelSize"))(*C.set_pixel_size(*(lambda r, o: (r, o.withColumn("rlnImagePixelSize", F.lit(1.25))))(*_with_optics(d)), 2.0, ("defocus_u", "nothing"))), 'SELECT rid, round(defocus_u * 1.6 * 1.6, 4) AS defocus_u, defocus_v, CAST(2.0 AS DOUBLE) AS "rlnImagePixelSize" FROM seg')
+QUERIES["storage_bytes"] = lambda spark, sf_dir: C.storage(segments(spark, sf_dir), read(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.format_string("stack_%d.mrcs", "c_custkey").alias("file"), (F.col("c_custkey") % 7 + 16).alias("nx"), (F.col("c_custkey") % 3 + 20).alias("ny")), "image")
+SQL["storage_bytes"] = f"WITH {SEG} SELECT count(*) AS images, count(DISTINCT mic) AS files, CAST(sum(CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 7 + 16) * (c_custkey % 3 + 20) * 4 END) AS BIGINT) AS bytes FROM seg LEFT JOIN customer ON c_custkey = mic"
+
 
 def _v(name: str, build, sql: str) -> None:
     """build: of voxels of 4 x 4 x 4 maps made of the embeddings; sql: over the view vox (map, z, y, x, v)."""
