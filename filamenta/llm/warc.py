@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import keep, shared_folder, small_batches
 
 SKIPPABLE = 0x184D2A5D
-#: The dictionary is built from about so many payloads, of so many bytes each; its own size.
+#: The dictionary is built from about so many records, of so many bytes each; its own size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 2000, 8192, 65_536
 #: Bytes of payloads after which a task begins another archive.
 ARCHIVE = 256 << 20
@@ -35,6 +35,9 @@ SENT = 200_000
 #: Equal payloads from this size are written once.
 LEAST = 100
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the registered namespace of URLs
+_FIELDS = ["page_id", "url", "payload", "digest", "record_type", "refers_to"]
+#: The date in every record, unless another is given.
+DATE = "2024-01-01T00:00:00Z"
 _RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -57,18 +60,6 @@ def page_records(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "payload", "size", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("low")).alias("refers_to"))
 
 
-def build_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of payloads (about SAMPLE, at most twice as many, by a hash of id and url); empty where there are too few to build one."""
-    share = min(1 << 20, SAMPLE * (1 << 20) // max(1, pages.count()) + 1)
-    some = pages.where("html <> ''").where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < share)
-    parts = some.select(F.substring(F.col("html").cast("binary"), 1, SAMPLE_BYTES).alias("part")).limit(2 * SAMPLE).collect()
-    samples = sorted(bytes(r["part"]) for r in parts)
-    try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 16 else b""
-    except zstandard.ZstdError:
-        return b""
-
-
 def _header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
@@ -90,6 +81,27 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, ki
     return _header(fields) + block + b"\r\n\r\n"
 
 
+def build_dictionary(records: DataFrame, rows: int, date: str = DATE) -> bytes:
+    """A dictionary from a bounded sample of the archived records of page_records(), headers included (about SAMPLE, at most twice as many, by a hash of id and url); empty where there are too few to build one.
+
+    Tasks make the records; the first SAMPLE_BYTES of each come to the driver. rows: how
+    many records there are, as counting them here would hash every payload once more.
+    """
+    share = min(1 << 20, SAMPLE * (1 << 20) // max(1, rows) + 1)
+    some = records.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)) < share).select(*_FIELDS).limit(2 * SAMPLE)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in _FIELDS))
+            yield pa.RecordBatch.from_arrays([pa.array([record(*r, date)[:SAMPLE_BYTES] for r in rows], pa.binary())], ["part"])
+
+    samples = sorted(bytes(r["part"]) for r in some.mapInArrow(begin, "part binary").collect())
+    try:
+        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes() if len(samples) >= 16 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
@@ -103,7 +115,7 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str = DATE, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Writes the records of page_records() as *.warc.zst files and returns (path, records, bytes) of each file."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +134,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str
             sink, count, packed, payloads, number = None, 0, 0, 0, number + 1
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]
+            columns = [batch.column(c) for c in _FIELDS]
             for k in range(batch.num_rows):
                 if sink is None:
                     final = f"{root}/part-{task.partitionId():06d}-{number:04d}.warc.zst"
@@ -140,7 +152,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str
             close()
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return records.select("page_id", "url", "payload", "digest", "record_type", "refers_to").mapInArrow(write, "path string, records long, bytes long")
+    return records.select(*_FIELDS).mapInArrow(write, "path string, records long, bytes long")
 
 
 def read_archive(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -192,5 +204,5 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame
     small_batches(spark)
     folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     records = page_records(pages)
-    files = keep(write_archives(records, folder, build_dictionary(pages)), "archives")
+    files = keep(write_archives(records, folder, build_dictionary(records, pages.count())), "archives")
     return read_archives(files.repartition(max(1, min(1024, files.count())), F.xxhash64("path")), folder)

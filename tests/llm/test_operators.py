@@ -287,6 +287,13 @@ def test_patterns_hold_the_histogram():
     assert got == h
 
 
+def test_dictionary_knows_the_headers_of_records(spark):
+    pages = spark.createDataFrame([(k, f"http://site.example/{k}", f"<p>{k * 7919}</p>" * 3) for k in range(400)], "page_id long, url string, html string")
+    known = warc.build_dictionary(warc.page_records(pages), 400)
+    assert b"WARC-Payload-Digest: sha256:" in known or b"Content-Type: text/html; charset=utf-8" in known
+    assert warc.build_dictionary(warc.page_records(pages.limit(3)), 3) == b""
+
+
 def test_warc_round_trip(spark, nothing, tmp_path):
     big, r = "<html>" + "same " * 60 + "</html>", random.Random(4)
     rows = [(k, f"http://e.example/{k}", big if k % 3 == 0 else ["", None, "tiny", "tiny", prose(r, 60)][k % 5]) for k in range(90)] + [(7, "http://e.example/7", "tiny"), (None, None, big)]
