@@ -172,9 +172,9 @@ def piecewise_fingerprints(docs: DataFrame, rows_in_part: int = 2000) -> DataFra
     gives an empty result.
 
     Rows are dealt once, into parts of neighbouring ids by quantiles of doc_id, one a
-    task, which Spark sorts with spilling and a worker reads as a stream. Only the
-    first and last row of each part meet outside it. Beyond PARTS * rows_in_part rows
-    parts grow; rows of one doc_id are always in one part.
+    task, which Spark sorts with spilling and a worker reads as a stream. The
+    last row of a part meets the first of the next one in an aggregation over all tasks.
+    Beyond PARTS * rows_in_part rows parts grow; rows of one doc_id are always in one part.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
@@ -189,11 +189,18 @@ def piecewise_fingerprints(docs: DataFrame, rows_in_part: int = 2000) -> DataFra
         ordered = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_part").transform(keyed)
     else:
         ordered = keyed.withColumn("_part", F.lit(0.0))
-    ordered = ordered.select((F.lit(len(cuts)) - F.col("_part")).cast("int").alias("part"), "doc_id", "text")
+    number = (F.lit(len(cuts)) - F.col("_part")).cast("int").alias("part")
+    keyed_parts, ordered = ordered.select(number), ordered.select(number, "doc_id", "text")
     ordered = ordered.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.desc_nulls_last("doc_id"), "text")
     borders = ordered.mapInArrow(_borders, "part int, doc_id long, text string, head string")
-    # One row a part, so at most PARTS rows, of which texts go along, meet here.
+    # The part before each one that has rows, the last one for the first: numbers only, at most PARTS of them.
+    there = keyed_parts.distinct()
     places = Window.orderBy("part")
-    chained = borders.withColumn("after", F.coalesce(F.lead("head").over(places), F.first("head").over(places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    turns = there.select("part", F.coalesce(F.lag("part").over(places), F.max("part").over(places.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    # A part's last row and the first row of the next one meet under the number of the part.
+    last = F.struct(F.col("part").alias("at"), F.struct("doc_id", "text").alias("last"), F.lit(None).cast("string").alias("after"))
+    first = F.struct(F.col("before").alias("at"), F.lit(None).cast("struct<doc_id: bigint, text: string>").alias("last"), F.col("head").alias("after"))
+    ends = borders.join(F.broadcast(turns), "part").select(F.explode(F.array(last, first)).alias("e")).select("e.*")
+    chained = ends.groupBy("at").agg(F.max("last").alias("last"), F.max("after").alias("after")).select("last.doc_id", "last.text", "after")
     crossing = chained.select("doc_id", "text", "after").repartition(tasks).mapInArrow(_crossing, _RESULT)
     return ordered.mapInArrow(_inner, _RESULT).union(crossing)
