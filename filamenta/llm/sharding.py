@@ -10,7 +10,7 @@ needs. Requests from shard a to shard b are granted up to a quota: as much as as
 to move from b to a, and a part of b's spare capacity in proportion to the requests.
 Requests of a pair are granted in order of buckets of their gain (neighbours there
 less neighbours here) and link key; only counts of (pair, bucket) meet in one place.
-Rounds end when nothing moves. At last each shard gives rows beyond its quota,
+Rounds end when nothing moves, or after ROUNDS of them. At last each shard gives rows beyond its quota,
 unlinked ones first, to shards that lack rows, so that row counts differ by one at
 most.
 """
