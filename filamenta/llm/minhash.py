@@ -10,8 +10,10 @@ so a group of near copies is joined with as many pairs as it has members. What i
 are keys with nodes of several components. There every node outside the key's largest
 component is compared with all nodes of other components, by tiles of (key, nodes,
 nodes) that are dealt over tasks. A tile discards pairs by sizes, by their signatures,
-and by sketches of their sets, which hold 16 bits of every shingle of a short text and
-of a sample of a long one. No key is capped, and none is expanded into rows of pairs.
+and by sketches of their sets, which hold 32 bits of every shingle of a short text and
+of a sample of a long one. Of the pairs that are left it names a spanning forest, so at
+most as many as it has components. Only tiles in which full sets refute a pair are
+asked again, for other pairs. No key is capped, and none is expanded into rows of pairs.
 
 Every pair that is left, elected or not, is confirmed on full sets. Components are
 those of alternating large and small stars.
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +129,7 @@ _SKETCH = "node long, low binary, n long, level int, sampled int, deep int, samp
 
 
 def sketched(shingles: np.ndarray) -> tuple[int, int, int, int, bytes]:
-    """(level, sampled, deep, sampled_deep, sketch): 16 bits of each shingle that ends in `level` zero bits, the least level with at most SKETCHED of them.
+    """(level, sampled, deep, sampled_deep, sketch): 32 bits of each shingle that ends in `level` zero bits, the least level with at most SKETCHED of them.
 
     The first `deep` of the distinct values belong to the sampled_deep shingles of the
     next level, so that sets of neighbouring levels can be compared.
@@ -138,7 +141,7 @@ def sketched(shingles: np.ndarray) -> tuple[int, int, int, int, bytes]:
             break
         level += 1
     further = mine & np.uint64((2 << level) - 1) == 0
-    deep, rest = (np.unique((mine[x] >> np.uint64(40)).astype(np.uint16)) for x in (further, ~further))
+    deep, rest = (np.unique((mine[x] >> np.uint64(32)).astype(np.uint32)) for x in (further, ~further))
     rest = np.setdiff1d(rest, deep, True)
     return level, len(mine), len(deep), int(further.sum()), np.concatenate([deep, rest]).tobytes()
 
@@ -158,17 +161,16 @@ class _Side:
 
     def __init__(self, rows: pa.Table):
         self.node, self.c, self.n, self.level, self.sampled, self.deep, self.sampled_deep = (rows[k].to_numpy() for k in ("node", "c", "n", "level", "sampled", "deep", "sampled_deep"))
-        self.full = rows["full"].to_numpy(zero_copy_only=False)
         self.low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint8).reshape(len(self.node), MINIMA)
-        values = [np.frombuffer(x, np.uint16) for x in rows["sketch"].to_pylist()]
-        self.size = np.array([len(v) for v in values])
-        self.values = np.full((len(values), max(self.size, default=0)), 1 << 16, np.int32)  # filled up with what no sketch holds
-        for k, v in enumerate(values):
-            self.values[k, : len(v)] = v
+        self.whole = [np.frombuffer(x, np.uint32) for x in rows["sketch"].to_pylist()]
+        self.size = np.array([len(v) for v in self.whole])
+        self.values = np.full((len(self.whole), max(self.size, default=0)), 1 << 16, np.int32)  # filled up with what no sketch holds
+        for k, v in enumerate(self.whole):
+            self.values[k, : len(v)] = v & np.uint32(0xFFFF)
 
 
 def _may_link(a: _Side, k: int, b: _Side, rows: np.ndarray) -> np.ndarray:
-    """Of rows of b those that may link with row k of a, and what their sketches have in common. Only collisions of 16 bits and, from level 1 on, seven deviations of the estimate let more pairs pass than link."""
+    """(row of b, share of the sketches in common) of those rows that may link with row k of a. Only collisions of 16 bits and, from level 1 on, seven deviations of the estimate let more pairs pass than link."""
     out, shared = [], []
     for level in (a.level[k], a.level[k] + 1):  # b's level is a's, one less, or one more
         same = rows[b.level[rows] == level] if level > a.level[k] else rows[(b.level[rows] == level) | (b.level[rows] == level - 1)]
@@ -189,80 +191,157 @@ def _may_link(a: _Side, k: int, b: _Side, rows: np.ndarray) -> np.ndarray:
         out.append(same[passed])
         shared.append(o[passed] / union[passed])
     far = rows[np.abs(b.level[rows] - a.level[k]) > 1]  # no common sample: the signatures alone tell
-    order = np.argsort(-np.concatenate([*shared, np.zeros(len(far))]), kind="stable")
-    return np.concatenate([*out, far]).astype(np.intp)[order]
+    return np.column_stack([np.concatenate([*out, far]), np.concatenate([*shared, np.zeros(len(far))])])
 
 
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, full) of tiles, sorted rows (h, i, j, outside, ...): nodes outside the key's largest component with all of other components.
+def _links_by_sketch(a: _Side, k: int, b: _Side, m: int) -> bool:
+    """Whether 32 bits of all shingles let row k of a link with row m of b; sketches of samples don't tell."""
+    if a.level[k] or b.level[m]:
+        return True
+    o = len(np.intersect1d(a.whole[k], b.whole[m], True)) + min(a.n[k] - a.size[k], b.n[m] - b.size[m])
+    return bool(100 * o >= 85 * (a.n[k] + b.n[m] - o))
 
-    A row that isn't full names one node of each other component, that whose sketch has
-    most in common; a full row names all that may link.
+
+def _forest(a: _Side, b: _Side, pairs: np.ndarray, left: np.ndarray) -> list[int]:
+    """Positions in pairs (row of a, row of b), best first, of a spanning forest of both sides' components. Of those in left, it takes out what it takes and what sketches refute."""
+    names, of = np.unique(np.concatenate([a.c[pairs[:, 0]], b.c[pairs[:, 1]]]), return_inverse=True)
+    x, y = of[: len(pairs)], of[len(pairs) :]
+    root, out = np.arange(len(names)), []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for at in range(0, len(pairs), 4096):
+        while (root[root] != root).any():
+            root = root[root]
+        some = np.arange(at, min(at + 4096, len(pairs)))
+        for p in some[left[some] & (root[x[some]] != root[y[some]])].tolist():
+            u, v = top(x[p]), top(y[p])
+            if u != v:
+                left[p] = False
+                if _links_by_sketch(a, pairs[p, 0], b, pairs[p, 1]):
+                    root[u] = v
+                    out.append(p)
+    return out
+
+
+_TRIED = "h long, i int, j int, a long, b long"
+
+
+def _tiled(forests: int):
+    """(h, i, j, a, b) of tiles, sorted rows (h, i, j, outside, ...): pairs that may link of nodes outside the key's largest component and of any others.
+
+    They are the edges of a spanning forest of the tile's components, or of as many
+    forests without common edges as asked for, so that there are no more pairs than
+    components in each. A row whose `outside` is null is a refuted pair (node, c),
+    which the tile doesn't name again.
     """
-    held: list[pa.RecordBatch] = []
 
     def pairs(tile: pa.Table) -> Iterator[pa.RecordBatch]:
-        outside = tile["outside"].to_numpy(zero_copy_only=False)
-        if outside.all() or not outside.any():
+        outside, known = tile["outside"], tile.filter(pc.is_null(tile["outside"]))
+        mine, all_ = _Side(tile.filter(outside)), _Side(tile.filter(pc.invert(outside)))
+        if not len(mine.node) or not len(all_.node):
             return
-        mine, all_ = _Side(tile.filter(pa.array(outside))), _Side(tile.filter(pa.array(~outside)))
-        one, two, whole = [], [], []
+        met = []
         for k in range(len(mine.node)):
             sizes = 100 * np.minimum(all_.n, mine.n[k]) >= 85 * np.maximum(all_.n, mine.n[k])
             some = np.flatnonzero(sizes & (all_.c != mine.c[k]))
             some = some[(all_.low[some] == mine.low[k]).sum(1) >= AGREE]
             if len(some):
                 some = _may_link(mine, k, all_, some)
-                if not mine.full[k]:
-                    some = some[np.sort(np.unique(all_.c[some], return_index=True)[1])]
-                one += [mine.node[k]] * len(some)
-                two += all_.node[some].tolist()
-                whole += [bool(mine.full[k])] * len(some)
-        if one:
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(whole, pa.bool_())], ["a", "b", "full"])
+                met.append(np.column_stack([np.full(len(some), k), some]))
+        met = np.concatenate(met) if met else np.zeros((0, 3))
+        if not len(met):
+            return
+        rows = met[:, :2].astype(np.intp)
+        one, two = mine.node[rows[:, 0]], all_.node[rows[:, 1]]
+        one, two = np.minimum(one, two), np.maximum(one, two)
+        order = np.lexsort((two, one, -met[:, 2]))  # all tiles prefer the same pairs
+        rows, one, two = rows[order], one[order], two[order]
+        left = np.ones(len(rows), bool)
+        if known.num_rows:
+            refuted = set(zip(known["node"].to_pylist(), known["c"].to_pylist()))
+            left = np.array([p not in refuted for p in zip(one.tolist(), two.tolist())], bool)
+        left[1:] &= (one[1:] != one[:-1]) | (two[1:] != two[:-1])  # two nodes outside meet twice
+        taken: list[int] = []
+        for _ in range(forests):
+            new = _forest(mine, all_, rows, left)
+            if not new:
+                break
+            taken += new
+        h, i, j = (tile[k][0].as_py() for k in ("h", "i", "j"))
+        n = len(taken)
+        yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(one[taken], pa.int64()), pa.array(two[taken], pa.int64())], ["h", "i", "j", "a", "b"])
 
     def key(batch: pa.RecordBatch) -> tuple:
         return tuple(batch.column(k)[0].as_py() for k in ("h", "i", "j"))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h, i, j = (batch.column(k).to_numpy() for k in ("h", "i", "j"))
-        cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
-            if held and key(held[0]) != key(part):
-                yield from pairs(pa.Table.from_batches(held))
-                held = []
-            held.append(part)
-    if held:
-        yield from pairs(pa.Table.from_batches(held))
-
-
-def _crossing(docs: DataFrame, nodes: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Links (a, b) of nodes in different components that share a key, at least one for each two components that have any: first one candidate of each node and component, then, for nodes of which one wasn't confirmed, all."""
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, i, j = (batch.column(k).to_numpy() for k in ("h", "i", "j"))
+            cuts = [0, *(np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.slice(a, b - a)
+                if held and key(held[0]) != key(part):
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return tiled
+
+
+def _crossing(docs: DataFrame, nodes: DataFrame, known: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Links (a, b) of nodes in different components that share a key, so many that with those known they join all components that have any.
+
+    Each round confirms the pairs that tiles name, at most a forest each. A tile all of
+    whose pairs are confirmed is done. The others are asked again, with the components
+    and the refuted pairs known by then, for four times as many forests.
+    """
     mixed = _mixed(labelled).select("h", F.col("most.c").alias("major"), F.ceil(F.col("nodes") / TILE).cast("int").alias("across"), F.ceil((F.col("nodes") - F.col("most.times")) / TILE).cast("int").alias("down"))
-    open_ = keep(labelled.join(mixed, "h"), "open")
+    open_ = keep(labelled.join(mixed, "h").select("h", "node", "c", F.expr("c <> major").alias("outside"), "across", "down"), "open")
     rows = full_rows(docs, nodes, open_.select("node").distinct(), WORDS)
     sketches = keep(rows.mapInArrow(_sketches, _SKETCH), "sketches")
     discard(rows)
     place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    own = ["outside", "node", "c", "low", "n", "level", "sampled", "deep", "sampled_deep", "sketch", "full"]
-
-    def tiles(mine: DataFrame, full: bool) -> DataFrame:
-        mine = mine.select("*", F.lit(True).alias("outside"), F.lit(full).alias("full")).select("h", place("down", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"), *own)
-        all_ = open_.join(sketches, "node").select("*", F.lit(False).alias("outside"), F.lit(full).alias("full")).select("h", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), place("across", 2).alias("j"), *own)
-        return mine.union(all_).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(_tiled, "a long, b long, full boolean").select("a", "b").distinct()
-
-    outside = open_.where("c <> major").join(sketches, "node")
-    pairs = keep(tiles(outside, False), "pairs")
-    links = confirmed(docs, nodes, pairs, WORDS, SHARE)
-    failed = keep(pairs.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("node")).distinct(), "failed")
-    if not failed.isEmpty():
-        more = keep(tiles(outside.join(failed, "node", "left_semi"), True).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(confirmed(docs, nodes, more, WORDS, SHARE))
-        discard(more)
-    discard(open_, sketches, pairs, failed)
+    own = ["h", "i", "j", "outside", "node", "c", "low", "n", "level", "sampled", "deep", "sampled_deep", "sketch"]
+    part = ["h", "i", "j"]
+
+    def tiles(rows: DataFrame) -> DataFrame:
+        down, across = (F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("down", "across"))
+        mine = rows.where("outside").withColumn("i", place("down", 1)).withColumn("j", across)
+        all_ = rows.withColumn("outside", F.lit(False)).withColumn("i", down).withColumn("j", place("across", 2))
+        return mine.unionByName(all_)
+
+    asked, forests = tiles(open_).join(sketches, "node").select(*own), 1
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    refuted, read = None, [open_, sketches]
+    while True:
+        tried = keep(asked.repartition(*part).sortWithinPartitions(*part).mapInArrow(_tiled(forests), _TRIED), "tried")
+        pairs = keep(tried.select("a", "b").distinct(), "pairs")
+        found = confirmed(docs, nodes, pairs, WORDS, SHARE)
+        links = links.union(found)
+        new = keep(tried.join(found, ["a", "b"], "left_anti").select(*part, "a", "b"), "refuted")
+        discard(tried, pairs)
+        read.append(new)
+        if new.isEmpty():
+            break
+        again = new.select(*part).distinct()
+        refuted = new if refuted is None else keep(refuted.join(again, part, "left_semi").union(new), "refuted")
+        label = components(known.union(links))
+        read += [refuted, label]
+        keys = open_.join(again.select("h").distinct(), "h", "left_semi").join(label, "node", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
+        asked = tiles(keys).join(again, part, "left_semi").join(sketches, "node").select(*own)
+        pairs_known = refuted.select(*part, F.col("a").alias("node"), F.col("b").alias("c"))
+        asked, forests = asked.unionByName(pairs_known, allowMissingColumns=True), 4 * forests
+    discard(*read)
     return links
 
 
@@ -292,7 +371,7 @@ def minhash_groups(docs: DataFrame) -> DataFrame:
     for _ in range(ELECTIONS):
         links = links.union(_verified(docs, nodes, signatures, _elected(_labelled(entries, label))))
         label = components(links)
-    label = components(links.union(_crossing(docs, nodes, _labelled(entries, label))))
+    label = components(links.union(_crossing(docs, nodes, links, _labelled(entries, label))))
     discard(entries)
 
     named = nodes.select("node", "doc_id").join(label, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))

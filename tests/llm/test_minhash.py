@@ -132,3 +132,34 @@ def test_sketches_lose_no_link():
                 passed[n, expected] += len(minhash._may_link(a, 0, b, np.array([0])))
     assert all(passed[n, True] == 20 for n in (3, 40, 300, 1000, 1030, 2060, 5000))
     assert all(passed[n, False] == 0 for n in (40, 300, 1000, 5000))
+
+
+def test_a_group_of_links_is_no_square_of_pairs(spark, monkeypatch):
+    """Of 60 near copies that all link and that no election joins, tiles name a forest a key, not all pairs."""
+    monkeypatch.setattr(minhash, "ELECTIONS", 0)
+    counted, confirmed = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda docs, nodes, pairs, *more: counted.append(pairs.count()) or confirmed(docs, nodes, pairs, *more))
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(edited(rng, base, 1))) for k in range(60)]
+    assert results(minhash.minhash_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows)
+    assert 59 <= sum(counted) <= minhash.BANDS * 59
+
+
+def test_a_tile_names_other_pairs_after_refuted_ones():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 1 << 63, 100, np.uint64)
+    own = ("level", "sampled", "deep", "sampled_deep", "sketch")
+    rows = []
+    for node in (1, 2, 3):
+        s = np.unique(np.concatenate([x, rng.integers(0, 1 << 63, node, np.uint64)]))
+        one = {"h": 5, "i": 0, "j": 0, "node": node, "c": node, "low": bytes(minhash.MINIMA), "n": len(s)} | dict(zip(own, minhash.sketched(s)))
+        rows += [one | {"outside": False}] + [one | {"outside": True}] * (node < 3)
+    of = lambda rows, forests: [(r["a"], r["b"]) for t in minhash._tiled(forests)(iter(pa.Table.from_pylist(rows).to_batches())) for r in t.to_pylist()]
+    assert of(rows, 1) == [(1, 2), (1, 3)]
+    assert of(rows, 4) == [(1, 2), (1, 3), (2, 3)]
+    refuted = {"h": 5, "i": 0, "j": 0, "outside": None, "node": 1, "c": 2}
+    assert of([*rows, refuted], 1) == [(1, 3), (2, 3)]
+    assert of([rows[0] | {"c": 3}, rows[1] | {"c": 3}, *rows[2:], refuted], 1) == [(2, 3)]  # 1 and 3 are in one component by now
+    far = [rows[0], rows[1] | dict(zip(own, minhash.sketched(np.unique(rng.integers(0, 1 << 63, 101, np.uint64))))) | {"node": 4, "c": 4}]
+    assert of(far + [refuted], 1) == []
