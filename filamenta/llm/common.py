@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,28 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_held: dict[str, object] = {}
+
+
+def held_for(operator: str, make: Callable[[], object]) -> object:
+    """What a Python worker holds from task to task for one operator. That of the operator before goes, as workers outlive stages and share an executor's memory with its JVM."""
+    if operator not in _held:
+        _held.clear()
+        _held[operator] = make()
+    return _held[operator]
+
+
+def giving_back(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of mapInArrow that ends by giving the system back what Arrow and the C library keep of freed memory, which else stays with the idle worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, free_names, keep, mix64, quoted, small_batches
+from .common import components, discard, free_names, giving_back, keep, mix64, quoted, small_batches
 from .shingles import WORDS, shingle_sets
 
 #: Shingles that at least 1/512 of the documents of some window of 2**20 shingles hold count as frequent; at most so many are kept, the most frequent.
@@ -213,7 +213,8 @@ def _shared(blocks: int):
             parts.clear()
             if not hot:  # most columns are in one entry only; these go before anything else is gathered
                 order = np.argsort(h)
-                same = h[order[1:]] == h[order[:-1]]
+                same = h[order]
+                same = same[1:] == same[:-1]
                 often = np.zeros(len(h), bool)
                 often[1:] = same
                 often[:-1] |= same
@@ -304,7 +305,7 @@ def full_rows(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int)
     for r in bitmaps:
         first = (r["bucket"] - 1) * 4096
         bits[first : first + 4096] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(_rows_of(bits, words), "node long, shingles array<long>")
+    rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(giving_back(_rows_of(bits, words)), "node long, shingles array<long>")
     rows = keep(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "rows")
     discard(wanted)
     return rows
@@ -373,7 +374,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = keep(docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(_profile, _PROFILE), "profile")
+    profile = keep(docs.select("doc_id", "text", _mark().alias("mark")).mapInArrow(giving_back(_profile), _PROFILE), "profile")
     sets = profile.where("n is not null").select("doc_id", "mark", "n", "node")
     often = profile.where("times is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     rows = often.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
@@ -382,9 +383,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequent = (known[order], rows["times"].to_numpy(np.int64)[order])
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(spark.sparkContext.defaultParallelism, total // BLOCK + 1)
-    dealt = docs.mapInArrow(_blocks(frequent, blocks), _BLOCKS).repartitionById(blocks, F.col("block"))
-    shared = dealt.mapInArrow(_shared(blocks), _PACKED).repartitionById(blocks, F.col("bucket"))
-    entries = keep(shared.mapInArrow(_leading, _ENTRY), "entries")
+    dealt = docs.mapInArrow(giving_back(_blocks(frequent, blocks)), _BLOCKS).repartitionById(blocks, F.col("block"))
+    shared = dealt.mapInArrow(giving_back(_shared(blocks)), _PACKED).repartitionById(blocks, F.col("bucket"))
+    entries = keep(shared.mapInArrow(giving_back(_leading), _ENTRY), "entries")
     nodes = keep(profile.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     links, label = None, None

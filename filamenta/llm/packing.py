@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_bpe
-from .common import keep, ranked, small_batches, text_or_empty
+from .common import giving_back, keep, ranked, small_batches, text_or_empty
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -82,7 +82,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> D
 
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("string").alias("text"))
-    return docs.mapInArrow(cut, _PIECES)
+    return docs.mapInArrow(giving_back(cut), _PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, limit: int = 2048, end_id: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import mix64, utf8_slices
+from .common import held_for, mix64, utf8_slices
 
 WORDS = 5
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -22,20 +22,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _WEIGHTS = mix64(np.arange(1, 9, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n + 1 of each; they grow to the longest text."""
-    if not _powers or len(_powers[0]) <= n:
+    powers: list[np.ndarray] = held_for("shingles", list)
+    if not powers or len(powers[0]) <= n:
         size = max(1 << 19, n) + 1
         tables = []
         for x in (_BASE, pow(_BASE, -1, 1 << 64)):
             step = np.full(size, x, np.uint64)
             step[0] = 1
             tables.append(np.multiply.accumulate(step))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+        powers[:] = tables
+    return powers[0], powers[1]
 
 
 def _word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import held_for
+
 _PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
 _WORD = re.compile(r"[a-zß-öø-ÿ]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\t-\r 0-9a-zß-öø-ÿ]+")
 _PIECE = re.compile(r"[^ \n]+")
@@ -109,11 +111,6 @@ class WordBpe:
         return b"".join(out)
 
 
-_loaded: dict[str, WordBpe] = {}
-
-
 def load(path: str) -> WordBpe:
-    """One vocabulary a Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordBpe(path)
-    return _loaded[path]
+    """One vocabulary a Python worker, with the words that it remembers, until it works for another operator."""
+    return held_for(f"vocabulary {path}", lambda: WordBpe(path))
