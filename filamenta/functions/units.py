@@ -15,11 +15,12 @@ def next_power_of_ten(n: Column) -> Column:
     return F.when(n <= 1, F.lit(10).cast("long")).when(power >= n, power).otherwise(power * 10)
 
 
-def in_units(count: Column, unit: str | None = None, base: int = 1024) -> tuple[Column, Column]:
-    """(value, unit) of a number of bytes: in the unit given by its first letter, else in the first in which it is less than base."""
+def in_units(count: Column, unit: str | None = None, base: int = 1024, last: str = _UNITS[-1]) -> tuple[Column, Column]:
+    """(value, unit) of a number of bytes: in the unit given by its first letter, else in the first up to last in which it is less than base; in last if it is less in none."""
     sized = [(count / float(base) ** k, u) for k, u in enumerate(_UNITS, 1)]
     if unit is not None:
         return next((x, F.lit(u)) for x, u in sized if u[0].lower() == unit.lower())
+    sized = sized[: _UNITS.index(last) + 1]
     value, name = sized[-1][0], F.lit(sized[-1][1])
     for x, u in reversed(sized[:-1]):
         value, name = F.when(x < base, x).otherwise(value), F.when(x < base, F.lit(u)).otherwise(name)
