@@ -113,10 +113,12 @@ def pair_distances(df: DataFrame) -> DataFrame:
     """Distances of all pairs of segments of one class in one filament with the same polarity.
 
     Pairs are the result itself; a filament's length, not the table's, bounds them.
+    A difference of 90 degrees isn't the same polarity. A turn is added to either sign,
+    as in SQL, so that both decide alike where last bits tell 90 from less.
     """
     a, b = df.alias("a"), df.alias("b")
     same = (F.col("a.mic") == F.col("b.mic")) & (F.col("a.tube") == F.col("b.tube")) & (F.col("a.cls") == F.col("b.cls"))
-    polar = F.abs(wrap(F.col("a.psi") - F.col("b.psi"))) < 90
+    polar = F.abs(((F.col("a.psi") - F.col("b.psi") + 180) % 360 + 360) % 360 - 180) < 90
     return a.join(b, same & (F.col("a.track") < F.col("b.track")) & polar).select("a.mic", "a.tube", "a.cls", (F.col("b.track") - F.col("a.track")).alias("distance"))
 
 

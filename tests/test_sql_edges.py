@@ -36,3 +36,17 @@ def test_bytes_beyond_gigabytes(compared):
     rows = compared("bytes_in_units", [(k, 0, "view", 0, 1) for k in (1, 20, 500, 13000, 396324, 396325, 40_000_000)])
     assert [r["unit"] for r in rows] == ["kB", "kB", "MB", "GB", "GB", "GB", "GB"]
     assert rows[-1]["value"] == 7 * 40_000_000**2 / 2**30
+
+
+
+
+def _quarters():
+    """Every value of a step whose partner, 2.5 more, lies 90 degrees on; a filament each, and one of near segments."""
+    rows = []
+    for k in range(4000):
+        rows += [(10 * k, k, "view", 0, round(k * 0.07, 2)), (10 * k + 5, k, "view", 90_000, round(k * 0.07 + 2.5, 2))]
+    return rows + [(100_001, 5000, "view", 0, 3.0), (100_006, 5000, "view", 60_000, 3.5)]
+
+
+def test_pair_distances_at_a_quarter_turn(compared):
+    assert 5000 in [r["mic"] for r in compared("pair_distances", _quarters())]
