@@ -50,3 +50,7 @@ def _quarters():
 
 def test_pair_distances_at_a_quarter_turn(compared):
     assert 5000 in [r["mic"] for r in compared("pair_distances", _quarters())]
+
+
+def test_pair_distance_histogram_at_a_quarter_turn(compared):
+    assert compared("pair_distance_histogram", _quarters())[0]["bin"] == 0
