@@ -54,3 +54,7 @@ def test_pair_distances_at_a_quarter_turn(compared):
 
 def test_pair_distance_histogram_at_a_quarter_turn(compared):
     assert compared("pair_distance_histogram", _quarters())[0]["bin"] == 0
+
+
+def test_twist_histogram_at_a_quarter_turn(compared):
+    assert len(compared("twist_histogram", _quarters())) == 40
