@@ -15,8 +15,7 @@ SQL: dict[str, str] = {}
 def _refined(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Segments refined twice: under C2, and under C3 turned by 17.5 degrees and whole steps about z."""
     one = segments(spark, sf_dir).select(F.col("rid").alias("uid"), "mic", "x", "y", F.array(F.col("psi") / 180, F.col("rot") / 300, F.col("tilt") / 150).alias("pose"))
-    turned = M.times(M.about_z(17.5 + 120.0 * (F.col("uid") % 3)), M.rotation_of(F.col("pose")))
-    return one, one.withColumn("pose", M.pose_of(turned))
+    return one, M.turned(one, "pose", 17.5 + 120.0 * (F.col("uid") % 3))
 
 
 def _both(one: DataFrame, other: DataFrame) -> DataFrame:
