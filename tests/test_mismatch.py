@@ -38,3 +38,18 @@ def test_no_side_of_a_match_goes_to_the_driver(spark, tmp_path):
     other = one.withColumn("uid", -F.col("uid") - 1)
     for df in (M.correspondence(one, other, "pose", 0.5, 20.0), M.correspondence(one, one, "pose", axis=20.0)):
         assert "BroadcastExchange" not in _plan(df)
+
+
+def test_turned_poses_equal_products_of_rotations(spark):
+    _, one = _poses(spark)
+    angle = F.col("uid") * 7.5
+    want = one.select("uid", M.pose_of(M.times(M.about_z(angle), M.rotation_of(F.col("pose")))).alias("want"))
+    for r in M.turned(one, "pose", angle).join(want, "uid").collect():
+        assert max(abs(a - b) for a, b in zip(r["pose"], r["want"])) < 1e-9, r
+
+
+def test_poses_are_turned_in_generated_code(spark):
+    _, one = _poses(spark)
+    other = M.turned(one, "pose", F.lit(17.5) + 120 * (F.col("uid") % 3))
+    for df in M.reassigned(one, other, "pose", 2, 3)[:2]:
+        assert df.count() == 300 and "lambda" not in _plan(df)
