@@ -11,7 +11,9 @@ number of tasks.
 
 All cuts into 2 .. most clusters are then judged in one pass over pairs of places:
 the sums of distances of each place to the atoms of the finest cut give the
-silhouettes of every coarser one.
+silhouettes of every coarser one. Places meet as blocks of one atom; a task reads all
+blocks as a stream against each of its own and keeps the sums of that one only, so
+the pass writes nothing but scores, whose number is that of the cuts.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import Written
 from .ranking import numbered
 
-#: Clusters whose merges are made in one place; places of a tile of pairs; places that are asked for the width of the first grid.
+#: Clusters whose merges are made in one place; places of a block; places that are asked for the width of the first grid.
 TAIL, TILE, ASKED = 1024, 2048, 128
 _CLUSTER = ["id", "x", "y", "n", "h"]
 
@@ -94,10 +96,9 @@ def _first_width(clusters: DataFrame) -> float:
 def ward_merges(places: DataFrame, written: Written, tail: int = TAIL) -> tuple[list[DataFrame], list[tuple[int, int, float]]]:
     """All merges of places (id, x, y, n: rows at the place): tables (kept, gone, h) of the rounds in Spark, in their order, then those of the last tail clusters."""
     clusters = written.keep(places.select(F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n"), F.lit(0.0).alias("h")))
-    rounds, count, width = [], clusters.count(), None
+    rounds, count = [], clusters.count()
     while count > tail:
-        width = width or _first_width(clusters)
-        near = _nearest(clusters, written, width)
+        near = _nearest(clusters, written, _first_width(clusters))
         back = near.select(F.col("id").alias("gone"), F.col("near").alias("kept"))
         pairs = near.where("id < near").select(F.col("id").alias("kept"), F.col("near").alias("gone"), "d").join(back, ["kept", "gone"])
         b = clusters.select(F.col("id").alias("gone"), *[F.col(c).alias(f"b{c}") for c in _CLUSTER[1:]])
@@ -166,15 +167,76 @@ def _cut_labels(atoms: dict[int, tuple[int, float]], merges: list[tuple[int, int
     return out
 
 
-def _sums(part: pd.DataFrame) -> pd.DataFrame:
-    """Of a tile of pairs the sum and the least of the distances of each place (side 0) to the places of each atom (side 1)."""
-    mine, all_ = part[part["side"] == 0], part[part["side"] == 1].sort_values(["atom", "id"])
-    if not len(mine) or not len(all_):
-        return pd.DataFrame({"id": [], "atom": [], "s": [], "m": []})
-    d = np.sqrt((mine["x"].to_numpy()[:, None] - all_["x"].to_numpy()) ** 2 + (mine["y"].to_numpy()[:, None] - all_["y"].to_numpy()) ** 2)
-    atoms, begins = np.unique(all_["atom"].to_numpy(), return_index=True)
-    s, m = np.add.reduceat(d * all_["n"].to_numpy(), begins, 1), np.minimum.reduceat(d, begins, 1)
-    return pd.DataFrame({"id": np.repeat(mine["id"].to_numpy(), len(atoms)), "atom": np.tile(atoms, len(mine)), "s": s.ravel(), "m": m.ravel()})
+def _apart(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    d, e = np.subtract.outer(x, u), np.subtract.outer(y, v)
+    d *= d
+    e *= e
+    d += e
+    return np.sqrt(d, out=d)
+
+
+def _nearest_of(small: list[tuple[int, float, float]]):
+    """The least distance of each of these places (atom, x, y) to the places of each atom, of the rows of a task."""
+    own, x, y = (np.array(v) for v in zip(*small))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for batch in batches:
+            u, v, atom = (batch.column(c).to_numpy() for c in ("x", "y", "atom"))
+            for a in range(0, len(u), 1024):
+                d, of = _apart(u[a : a + 1024], v[a : a + 1024], x, y), atom[a : a + 1024]
+                for k in np.unique(of).tolist():
+                    best[k] = np.minimum(best[k], d[of == k].min(0)) if k in best else d[of == k].min(0)
+        for k, d in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), k, np.int64)), pa.array(d)], ["small", "atom", "m"])
+
+    return least
+
+
+def _judge(names: list[int], grouped: list[np.ndarray], rows_of: np.ndarray, blocks: int):
+    """The sums of silhouettes of each cut over the blocks of a task, of rows that pair each with all blocks."""
+    column = {a: k for k, a in enumerate(names)}
+    groups = []
+    for label in grouped:
+        order = np.argsort(label, kind="stable")
+        groups.append((label, order, np.searchsorted(label[order], np.arange(label.max() + 1)), np.bincount(label, rows_of)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, open_ = np.zeros(len(grouped)), {}
+        for batch in batches:
+            ids, atoms, others = (batch.column(c).to_pylist() for c in ("block", "atom", "other"))
+            lists = {c: batch.column(c) for c in ("x", "y", "n", "u", "v", "m")}
+            part = lambda c, r: lists[c][r].values.to_numpy()
+            for r, (block, atom, other) in enumerate(zip(ids, atoms, others)):
+                if block not in open_:
+                    open_[block] = [0, np.zeros((len(part("x", r)), len(names)))]
+                now, x, y, u, v, m = open_[block], *(part(c, r) for c in "xyuvm")
+                step = max(1, (1 << 15) // len(u))  # pairs that stay in a core's cache
+                for a in range(0, len(x), step):
+                    now[1][a : a + step, column[other]] += _apart(x[a : a + step], y[a : a + step], u, v) @ m
+                now[0] += 1
+                if now[0] == blocks:
+                    total += _silhouettes(open_.pop(block)[1], column[atom], part("n", r), groups)
+        assert not open_
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grouped))), pa.array(total)], ["cut", "total"])
+
+    return judge
+
+
+def _silhouettes(s: np.ndarray, mine: int, w: np.ndarray, groups: list) -> np.ndarray:
+    """Of each cut the silhouettes of places of one atom, times their rows; s: their sums of distances to atoms."""
+    out = np.zeros(len(groups))
+    for k, (label, order, begins, size) in enumerate(groups):
+        own = label[mine]
+        by = np.add.reduceat(s[:, order], begins, 1)
+        a = by[:, own] / max(size[own] - 1, 1)
+        by = by / size
+        by[:, own] = np.inf
+        b = by.min(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.where((size[own] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(a, b), 0.0)
+        out[k] = (value * w).sum()
+    return out
 
 
 def ward_clusters(df: DataFrame, x: str, y: str, name: str, least: int = 4, clusters: range = range(2, 200), tail: int = TAIL) -> DataFrame:
@@ -203,49 +265,31 @@ def ward_clusters(df: DataFrame, x: str, y: str, name: str, least: int = 4, clus
     atoms_of = written.keep(small.select("id", "x", "y", "n", "c", "atom"))
     atoms = {r["atom"]: (r["c"], r["rows"]) for r in atoms_of.groupBy("atom", "c").agg(F.sum("n").alias("rows")).collect()}  # at most `most` large clusters and `least` - 1 places of each small one
 
-    tiles = max(1, math.ceil(n / TILE))
-    each = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    p, q = (F.col("id") % tiles).cast("int"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-    sides = atoms_of.select(p.alias("p"), each.alias("q"), F.lit(0).alias("side"), "id", "x", "y", "n", "atom").union(atoms_of.select(each.alias("p"), q.alias("q"), F.lit(1).alias("side"), "id", "x", "y", "n", "atom"))
-    met = sides.groupBy("p", "q").applyInPandas(_sums, "id long, atom long, s double, m double")
-    sums = written.keep(met.groupBy("id", "atom").agg(F.sum("s").alias("s"), F.min("m").alias("m")))
-
     near: dict[int, dict[int, float]] = {}
-    for r in sums.where(F.col("id").isin(*[-a for a in atoms if a < 0])).collect() if any(a < 0 for a in atoms) else []:  # places of small clusters, against atoms
-        near.setdefault(-r["id"], {})[r["atom"]] = r["m"]
+    if any(a < 0 for a in atoms):  # places of small clusters, against atoms
+        small = [tuple(r) for r in atoms_of.where("atom < 0").select("atom", "x", "y").collect()]
+        met = atoms_of.select("x", "y", "atom").mapInArrow(_nearest_of(small), "small long, atom long, m double")
+        for r in met.groupBy("small", "atom").agg(F.min("m").alias("m")).collect():
+            near.setdefault(r["small"], {})[r["atom"]] = r["m"]
     cuts = _cut_labels(atoms, merges, near, least, clusters)
     cuts = [(k, label) for k, label in cuts if len(set(label.values())) > 1]
     if not cuts:
         written.close()
         return alone
     names = sorted(atoms)
-    column = {a: k for k, a in enumerate(names)}
     grouped = [np.unique([label[a] for a in names], return_inverse=True)[1] for _, label in cuts]
     rows_of = np.array([atoms[a][1] for a in names])
 
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(grouped))
-        for part in parts:
-            s = np.zeros((len(part), len(names)))
-            for k, (of, values) in enumerate(zip(part["atoms"], part["sums"])):
-                s[k, [column[a] for a in of]] = values
-            mine, w = np.array([column[a] for a in part["atom"]]), part["n"].to_numpy()
-            for k, label in enumerate(grouped):
-                order = np.argsort(label, kind="stable")
-                begins = np.searchsorted(label[order], np.arange(label.max() + 1))
-                by, size = np.add.reduceat(s[:, order], begins, 1), np.bincount(label, rows_of)
-                own, at = label[mine], np.arange(len(part))
-                a = by[at, own] / np.maximum(size[own] - 1, 1)
-                by = by / size
-                by[at, own] = np.inf
-                b = by.min(1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    value = np.where((size[own] > 1) & (np.maximum(a, b) > 0), (b - a) / np.maximum(a, b), 0.0)
-                total[k] += (value * w).sum()
-        yield pd.DataFrame({"cut": np.arange(len(grouped)), "total": total})
-
-    of_place = sums.groupBy("id").agg(F.collect_list("atom").alias("atoms"), F.collect_list("s").alias("sums")).join(atoms_of.select("id", "atom", "n"), "id")  # an entry an atom
-    scores = {r["cut"]: r["total"] for r in of_place.mapInPandas(judge, "cut long, total double").groupBy("cut").agg(F.sum("total").alias("total")).collect()}  # a row a cut
+    chunks = atoms_of.groupBy("atom").agg(F.ceil(F.count("*") / TILE).alias("chunks"))  # a row an atom
+    of_block = F.sort_array(F.collect_list(F.struct("id", "x", "y", "n")))
+    packed = atoms_of.join(F.broadcast(chunks), "atom").withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).groupBy("atom", "chunk").agg(of_block.alias("p"))  # about TILE places each
+    blocks = written.keep(packed.select(F.xxhash64("atom", "chunk").alias("block"), "atom", *[F.col(f"p.{c}").alias(c) for c in "xyn"]))
+    count = blocks.count()
+    spark = df.sparkSession
+    mine = blocks.repartition(min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)))
+    theirs = blocks.select(F.col("atom").alias("other"), F.col("x").alias("u"), F.col("y").alias("v"), F.col("n").alias("m")).coalesce(1)
+    met = mine.crossJoin(theirs.hint("shuffle_replicate_nl"))  # no shuffle of pairs: each task reads theirs as a stream
+    scores = {r["cut"]: r["total"] for r in met.mapInArrow(_judge(names, grouped, rows_of, count), "cut long, total double").groupBy("cut").agg(F.sum("total").alias("total")).collect()}  # a row a cut
     rows = sum(v for _, v in atoms.values())
     best = max(sorted(scores, reverse=True), key=lambda k: round(scores[k] / rows, 9))  # cuts go from many clusters to few
     label = cuts[best][1]

@@ -96,3 +96,20 @@ def test_even_halves_are_the_most_even_ones(windowed):
     half = even_halves(huge)
     assert abs(sum(n * (c - 2 * half[n]) for n, c in huge.items())) <= 1
     assert even_halves({}) == {} and even_halves({5: 1}) == {5: 0} or even_halves({5: 1}) == {}
+
+
+def test_no_table_has_a_row_a_pair_of_place_and_cluster(spark, monkeypatch):
+    sizes = []
+
+    class Counted(Written):
+        def keep(self, df):
+            out = super().keep(df)
+            sizes.append(out.count())
+            return out
+
+    monkeypatch.setattr(clusters, "Written", Counted)
+    monkeypatch.setattr(clusters, "TILE", 16)
+    points, _ = drawn(5, 120)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(points)]
+    out = clusters.ward_clusters(spark.createDataFrame(rows, "rid long, x double, y double"), "x", "y", "g", 1, range(2, 20))
+    assert out.where("g is not null").count() == 120 and max(sizes) <= 120
