@@ -113,3 +113,16 @@ def test_no_table_has_a_row_a_pair_of_place_and_cluster(spark, monkeypatch):
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(points)]
     out = clusters.ward_clusters(spark.createDataFrame(rows, "rid long, x double, y double"), "x", "y", "g", 1, range(2, 20))
     assert out.where("g is not null").count() == 120 and max(sizes) <= 120
+
+
+def test_exposure_groups_by_shift_write_no_sums(spark, monkeypatch):
+    from filamenta.operators.grouping import exposure_groups_by_shift
+
+    sizes = []
+    keep = Written.keep
+    monkeypatch.setattr(Written, "keep", lambda self, df: (out := keep(self, df), sizes.append(out.count()))[0])
+    points, _ = drawn(6, 60)
+    rows = [(i, f"m{i}", 1 + i % 2, float(i), float(x), float(y)) for i, (x, y) in enumerate(points)]
+    df = spark.createDataFrame(rows, "rid long, image string, a_exp_group_id long, tilt double, x double, y double")
+    out = exposure_groups_by_shift(df, "a_exp_group_id", "image", "x", "y", ["tilt"], clusters=range(2, 10))
+    assert out.count() == 60 and max(sizes) <= 60
