@@ -1,14 +1,23 @@
-"""Falling curves fitted by least squares, each curve in one row: rounds of damped normal equations inside Spark's expressions."""
+"""Falling curves fitted by least squares, each curve in one row: rounds of damped normal equations.
+
+Those of the two models here are made by numpy for the curves of a batch at once; any
+other model, given as expressions, by Spark's.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds of a fit, each of which tries one step; the first damping; the share by which residuals may rise, so that steps go on below their rounding.
 ROUNDS, DAMPING, SLACK = 60, 1e-3, 1e-13
+#: Curves whose rounds numpy makes together.
+TOGETHER = 512
 
 
 def butterworth(s: Column, p: Column, q: Column) -> tuple[Column, Column, Column]:
@@ -27,6 +36,69 @@ def fermi(s: Column, p: Column, q: Column) -> tuple[Column, Column, Column]:
     return value, dp, dq
 
 
+def _butterworth(s: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As butterworth, of points (rows) of curves (columns)."""
+    u = np.where(s > 0, (np.maximum(s, 0) / p) ** q, 0.0)
+    below = (1 + u) * (1 + u)
+    return 1 / (1 + u), q / p * u / below, np.where(s > 0, -u * np.log(np.where(s > 0, s / p, 1.0)) / below, 0.0)
+
+
+def _fermi(s: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As fermi, of points (rows) of curves (columns)."""
+    up, down = np.exp((s - p) / q), np.exp(-p / q)
+    below = (up + 1) * (up + 1)
+    dp = (-down / q * (up + 1) + (down + 1) * up / q) / below
+    dq = (down * p / (q * q) * (up + 1) + (down + 1) * up * (s - p) / (q * q)) / below
+    return (down + 1) / (up + 1), dp, dq
+
+
+_IN_BATCHES = {butterworth: _butterworth, fermi: _fermi}
+
+
+def _rounds(s: np.ndarray, f: np.ndarray, real: np.ndarray, p: np.ndarray, q: np.ndarray, model: Callable, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(p, q, summed squared residuals) of curves in columns, of which only the real points count; NaN counts as larger than any number, as in SQL."""
+
+    def sums(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        value, dp, dq = model(s, p, q)
+        r = f - value
+        return np.stack([np.where(real, v, 0.0).sum(0) for v in (r * r, dp * dp, dp * dq, dq * dq, dp * r, dq * r)])
+
+    t, d = sums(p, q), np.full(len(p), DAMPING)
+    for _ in range(rounds):
+        a, b, c = t[1] * (1 + d), t[2], t[3] * (1 + d)
+        det = a * c - b * b
+        p1, q1 = p + (c * t[4] - b * t[5]) / det, q + (a * t[5] - b * t[4]) / det
+        tried = sums(p1, q1)
+        better = (det != 0) & ~(p1 <= 0) & ~(q1 <= 0) & ((tried[0] <= t[0] * (1 + SLACK)) | np.isnan(t[0]))
+        p, q, t, d = np.where(better, p1, p), np.where(better, q1, q), np.where(better, tried, t), np.where(better, d / 10, d * 10)
+    return p, q, t[0]
+
+
+def _in_batches(model: Callable, rounds: int):
+    """A function of the batches of (s, f, first p, first q) of curves with three points at least."""
+
+    @F.arrow_udf("p double, q double, e double")
+    def fit(s: pa.Array, f: pa.Array, p: pa.Array, q: pa.Array) -> pa.Array:
+        size = pc.list_value_length(s).to_numpy(zero_copy_only=False)
+        ends, x, y = np.cumsum(size), s.flatten().to_numpy(zero_copy_only=False), f.flatten().to_numpy(zero_copy_only=False)
+        starts = [v.to_numpy(zero_copy_only=False) for v in (p, q)]
+        out = np.full((len(s), 3), np.nan)
+        order = np.argsort(size, kind="stable")  # curves of like lengths together
+        for rows in (order[a : a + TOGETHER] for a in range(0, len(order), TOGETHER)):
+            most = size[rows[-1]]
+            if not most:
+                continue
+            place = np.arange(most)[:, None]
+            real = place < size[rows]
+            at = np.where(real, (ends - size)[rows] + place, 0)
+            with np.errstate(all="ignore"):
+                u, v, e = _rounds(np.where(real, x[at], 1.0), np.where(real, y[at], 0.0), real, *(w[rows] for w in starts), model, rounds)
+                out[rows] = np.stack([u, v, e / size[rows]], 1)
+        return pa.StructArray.from_arrays([pa.array(c) for c in out.T.copy()], ["p", "q", "e"])  # NaN stays NaN
+
+    return fit
+
+
 def _sums(points: Column, model: Callable, p: Column, q: Column) -> Column:
     """Of a curve's points the squared residuals e and the sums of the normal equations."""
     names = ("e", "pp", "pq", "qq", "pr", "qr")
@@ -69,6 +141,9 @@ def _fit(points: Column, model: Callable, start: Callable[[Column], tuple[Column
         return F.coalesce(F.get(better, F.lit(0)), state(now["p"], now["q"], d * 10, t))
 
     p, q = (x.cast("double") for x in start(points))
+    if model in _IN_BATCHES:
+        done = _in_batches(_IN_BATCHES[model], rounds)(F.transform(points, lambda x: x["s"]), F.transform(points, lambda x: x["f"]), p, q)
+        return F.when(F.size(points) >= 3, done)
     first = state(p, q, F.lit(DAMPING), _sums(points, model, p, q))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), first, step, lambda x: F.struct(x["p"].alias("p"), x["q"].alias("q"), (x["t"]["e"] / F.size(points)).alias("e")))
     return F.when(F.size(points) >= 3, done)
